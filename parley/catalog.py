@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from .plans import calendar, store, texts  # noqa: F401  (registration)
+from .plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
