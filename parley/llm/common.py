@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +33,16 @@ def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df as a table in the shared folder and read it back: cuts lineage and survives the loss of executors."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files of a finished job go once the driver has collected its plans; until then they hold disk on every executor."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete intermediate tables that no later plan reads."""
     for path in paths:
@@ -62,18 +71,33 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
+_POWERS: dict[int, np.ndarray] = {}
+#: Longest table of powers that a worker keeps.
+_KEPT = 1 << 20
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, by doubling."""
-    out = np.ones(max(n, 1), dtype=np.uint64)
+    """base**0 .. base**(n-1) modulo 2**64, by doubling; tables of ordinary length are kept."""
+    kept = _POWERS.get(base)
+    if kept is not None and len(kept) >= n:
+        return kept[:n]
+    size = n if n > _KEPT else max(1 << 16, 1 << max(0, n - 1).bit_length())
+    out = np.ones(size, dtype=np.uint64)
     have = 1
-    while have < n:
-        step = np.uint64(pow(base, have, 1 << 64))
-        more = min(have, n - have)
-        out[have : have + more] = out[:more] * step
+    while have < size:
+        more = min(have, size - have)
+        out[have : have + more] = out[:more] * np.uint64(pow(base, have, 1 << 64))
         have += more
+    if size <= _KEPT:
+        _POWERS[base] = out
     return out[:n]
 
 
+@lru_cache
+def _inverse(base: int) -> int:
+    return pow(base, -1, 1 << 64)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values (multiply and xor-shift rounds)."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
@@ -92,12 +116,20 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     """A 64-bit hash of each word, from one running polynomial over the whole buffer."""
     if not len(start):
         return np.zeros(0, dtype=np.uint64)
-    up, down = powers(_BASE, len(data) + 1), powers(pow(_BASE, -1, 1 << 64), len(data) + 1)
+    up, down = powers(_BASE, len(data) + 1), powers(_inverse(_BASE), len(data) + 1)
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def span_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """Hash (modulo 2**64) of each run of values from start to end, exclusive."""
+    n = len(hashes)
+    total = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(hashes * powers(base, n), out=total[1:])
+    return mix((total[end] - total[start]) * powers(_inverse(base), n + 1)[start] + mix((end - start).astype(np.uint64)))
+
+
 def rolling(hashes: np.ndarray, k: int, base: int) -> np.ndarray:
     """Rabin-Karp hash (modulo 2**64) of every window of k consecutive values."""
     n = len(hashes)
@@ -105,4 +137,4 @@ def rolling(hashes: np.ndarray, k: int, base: int) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(hashes * powers(base, n), out=total[1:])
-    return mix((total[k:] - total[: n - k + 1]) * powers(pow(base, -1, 1 << 64), n - k + 1))
+    return mix((total[k:] - total[: n - k + 1]) * powers(_inverse(base), n - k + 1))

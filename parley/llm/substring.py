@@ -1,9 +1,11 @@
 """Substring dedup: every window of 20 words whose sequence also starts earlier in the corpus is removed.
 
 Rabin-Karp hashes are taken of every window. To shuffle few of them, each window names one short run inside it, the one
-of RUN words with the smallest hash (equal windows name equal runs, and neighbouring windows mostly the same one); Spark
-counts the runs, and only windows whose run occurs at least twice can repeat. Their 128-bit hashes (two moduli bases)
-are counted with their first place; every later place is covered, and covered places merge into maximal intervals.
+of RUN words with the smallest hash (equal windows name equal runs, and neighbouring windows mostly the same one). Spark
+counts the runs; only windows whose run occurs at least twice can repeat. The windows that name one run form a stretch.
+First whole stretches are counted by their 128-bit hashes: a stretch that also starts earlier goes whole. What is left,
+stretches that are the first of their kind, is counted window by window where their run has other stretches too (every
+window's first place lies in one of these). Later windows are covered, and covers merge into maximal intervals.
 
 Defined results: null and empty texts have no words; a text of fewer than 20 words has no window; of rows with equal
 doc_id and equal text neither starts earlier, so both stay (they are digested alike); a null doc_id comes before all
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WINDOW, RUN = 20, 8
+WINDOW, RUN = 20, 6
 _B1, _B2, _B3 = 0xB5026F5AA96619E9, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3
 
 
@@ -46,8 +48,8 @@ def _digest(words: list[bytes]) -> str:
 def removed(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> tuple[DataFrame, DataFrame]:
     """(whole, cut): word count and digest of every row as it stands, and of the rows that lose words the kept text.
 
-    whole: doc_id, tkey, n_words, sha256. cut: doc_id, tkey, n_removed, spans (start and end word of each removal
-    interval), kept_text, kept_sha256.
+    whole: rid (a row's own number), doc_id, n_words, sha256. cut: rid, n_removed, spans (start and end word of each
+    removal interval), kept_text, kept_sha256.
     """
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", common.text_key(F.col("text")).alias("tkey"), "text")
@@ -72,52 +74,94 @@ def removed(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> tuple[Data
             lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x or [np.zeros(0, dtype=np.int64)]))) for x in (runs, times)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.string()), *lists], names=["doc_id", "tkey", "n_words", "sha256", "runs", "times"])
 
-    surveyed, surveyed_path = common.store(rows.mapInArrow(survey, f"doc_id {kind}, tkey long, n_words long, sha256 string, runs array<long>, times array<long>"), "survey")
-    named = surveyed.select("doc_id", "tkey", F.explode(F.arrays_zip("runs", "times")).alias("r")).select("doc_id", "tkey", F.col("r.runs").alias("run"), F.col("r.times").alias("times"))
+    plain = rows.mapInArrow(survey, f"doc_id {kind}, tkey long, n_words long, sha256 string, runs array<long>, times array<long>")
+    surveyed, _ = common.store(plain.withColumn("rid", F.monotonically_increasing_id()), "survey")
+    repeated = not surveyed.groupBy("doc_id", "tkey").count().where("count > 1").isEmpty()
+    if repeated:  # rows with the same doc_id and text share one number, and one of them is looked at
+        same = surveyed.groupBy(F.col("doc_id").alias("d"), F.col("tkey").alias("t")).agg(F.min("rid").alias("least"))
+        surveyed = surveyed.join(same, surveyed["doc_id"].eqNullSafe(F.col("d")) & (surveyed["tkey"] == F.col("t"))).withColumn("own", F.col("rid") == F.col("least")).withColumn("rid", F.col("least")).drop("d", "t", "least")
+    else:
+        surveyed = surveyed.withColumn("own", F.lit(True))
+    named = surveyed.where("own").select("rid", F.explode(F.arrays_zip("runs", "times")).alias("r")).select("rid", F.col("r.runs").alias("run"), F.col("r.times").alias("times"))
     twice = named.groupBy("run").agg(F.sum("times").alias("n")).where("n > 1").select(F.col("run").alias("twice"))
-    suspects = named.join(twice, named["run"] == twice["twice"]).groupBy(F.col("doc_id").alias("d"), F.col("tkey").alias("t")).agg(F.collect_set("run").alias("twice"))
-    candidates, _ = common.store(rows.join(suspects, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["tkey"] == F.col("t"))).select("doc_id", "tkey", "text", "twice"), "candidates")
+    suspects = named.select("rid", "run").join(twice, F.col("run") == F.col("twice")).groupBy("rid").agg(F.collect_list("run").alias("twice"))
+    suspects, _ = common.store(suspects.join(surveyed.where("own").select("rid", F.col("doc_id").alias("d"), F.col("tkey").alias("t")), "rid"), "suspects")
+    found = rows.join(suspects, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["tkey"] == F.col("t"))).select("rid", "doc_id", "text", "twice")
+    candidates, _ = common.store(found.dropDuplicates(["rid"]) if repeated else found, "candidates")
 
-    def windows(batches):
+    def stretches(batches):
+        """A row for each stretch of windows that name one place of a run that occurs twice."""
         for batch in batches:
-            doc, key = batch.column(0), batch.column(1)
+            out: list[list[np.ndarray]] = [[] for _ in range(6)]
             for at, (text, twice) in enumerate(zip(common.as_bytes(batch.column("text")), batch.column("twice"))):
                 words = _hashes(text)
                 runs, place = chosen_runs(words, window, run)
-                hit = np.flatnonzero(np.isin(runs[place].view(np.int64), twice.values.to_numpy(zero_copy_only=False)))
-                if len(hit):
-                    same = pa.array(np.full(len(hit), at))
-                    yield pa.RecordBatch.from_arrays([doc.take(same), key.take(same), pa.array(hit.astype(np.int64)), pa.array(common.rolling(words, window, _B1)[hit].view(np.int64)), pa.array(common.rolling(words, window, _B2)[hit].view(np.int64))], names=["doc_id", "tkey", "at", "h1", "h2"])
+                edge = np.flatnonzero(np.diff(place, prepend=-1, append=-1))
+                start, end = edge[:-1], edge[1:]
+                key = runs[place[start]].view(np.int64)
+                hit = np.isin(key, twice.values.to_numpy(zero_copy_only=False))
+                start, end = start[hit], end[hit]
+                g = [common.span_hashes(words, start, end + window - 1, b).view(np.int64) for b in (_B1, _B2)]
+                for column, value in zip(out, (np.full(len(start), at), key[hit], start, end - start, *g)):
+                    column.append(value)
+            yield _gathered(batch, out, ["run", "at", "n", "h1", "h2"])
 
-    places = candidates.mapInArrow(windows, f"doc_id {kind}, tkey long, at long, h1 long, h2 long")
-    known = F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "at")
-    first = places.groupBy(F.col("h1").alias("g1"), F.col("h2").alias("g2")).agg(F.min(known).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = places.join(first, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where(known > F.col("first"))
-    lost = later.groupBy(F.col("doc_id").alias("d"), F.col("tkey").alias("t")).agg(F.collect_set("at").alias("starts"))
+    found = candidates.mapInArrow(stretches, f"rid long, doc_id {kind}, run long, at long, n long, h1 long, h2 long")
+    marked, _ = common.store(_mark_later(found), "stretches")
+    shared = marked.where("not later").groupBy("run").agg(F.count("*").alias("c")).where("c > 1").select(F.col("run").alias("shared"))
+    open_stretches = marked.where("not later").select("rid", "run", "at", "n").join(shared, F.col("run") == F.col("shared")).groupBy(F.col("rid").alias("r")).agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    texts = candidates.select("rid", "doc_id", "text")
+
+    def windows(batches):
+        for batch in batches:
+            out: list[list[np.ndarray]] = [[] for _ in range(4)]
+            for at, (text, spans) in enumerate(zip(common.as_bytes(batch.column("text")), batch.column("spans"))):
+                words = _hashes(text)
+                begin, count = (spans.values.field(f).to_numpy(zero_copy_only=False) for f in ("at", "n"))
+                hit = np.repeat(begin - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+                for column, value in zip(out, (np.full(len(hit), at), hit, *(common.rolling(words, window, b)[hit].view(np.int64) for b in (_B1, _B2)))):
+                    column.append(value)
+            yield _gathered(batch, out, ["at", "h1", "h2"])
+
+    single = texts.join(open_stretches, F.col("rid") == F.col("r")).select("rid", "doc_id", "text", "spans").mapInArrow(windows, f"rid long, doc_id {kind}, at long, h1 long, h2 long")
+    later, _ = common.store(_mark_later(single).where("later").select("rid", "at", F.lit(1).cast("long").alias("n")), "windows")
+    lost = marked.where("later").select("rid", "at", "n").unionByName(later).groupBy(F.col("rid").alias("r")).agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
     def cut(batches):
         for batch in batches:
             out = ([], [], [], [])
-            for text, starts in zip(common.as_bytes(batch.column("text")), batch.column("starts")):
+            for text, spans in zip(common.as_bytes(batch.column("text")), batch.column("spans")):
                 words = text.split()
                 cover = np.zeros(len(words) + 1, dtype=np.int64)
-                begin = starts.values.to_numpy(zero_copy_only=False)
+                begin, count = (spans.values.field(f).to_numpy(zero_copy_only=False) for f in ("at", "n"))
                 np.add.at(cover, begin, 1)
-                np.add.at(cover, begin + window, -1)
+                np.add.at(cover, begin + count + window - 1, -1)
                 gone = np.cumsum(cover[:-1]) > 0
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
                 kept = [w for w, g in zip(words, gone.tolist()) if not g]
-                for column, value in zip(out, (int(gone.sum()), edge.tolist(), b" ".join(kept), _digest(kept))):
+                for column, value in zip(out, (int(gone.sum()), edge.tolist(), b" ".join(kept).decode(), _digest(kept))):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array([x.decode() for x in out[2]], pa.string()), pa.array(out[3], pa.string())], names=["doc_id", "tkey", "n_removed", "spans", "kept_text", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), *(pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.list_(pa.int64()), pa.string(), pa.string())))], names=["rid", "n_removed", "spans", "kept_text", "kept_sha256"])
+
+    done = texts.join(lost, F.col("rid") == F.col("r")).select("rid", "text", "spans").mapInArrow(cut, "rid long, n_removed long, spans array<long>, kept_text string, kept_sha256 string")
+    return surveyed.select("rid", "doc_id", "n_words", "sha256"), done
+
 
-    texts = candidates.select("doc_id", "tkey", "text")
-    done = texts.join(lost, texts["doc_id"].eqNullSafe(F.col("d")) & (texts["tkey"] == F.col("t"))).select("doc_id", "tkey", "text", "starts").mapInArrow(cut, f"doc_id {kind}, tkey long, n_removed long, spans array<long>, kept_text string, kept_sha256 string")
-    return surveyed.select("doc_id", "tkey", "n_words", "sha256"), done
+def _gathered(batch: pa.RecordBatch, out: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
+    """One batch of findings: rid and doc_id of the rows in out[0], and the other columns."""
+    flat = [pa.array(np.concatenate(c).astype(np.int64) if c else np.zeros(0, dtype=np.int64)) for c in out]
+    return pa.RecordBatch.from_arrays([batch.column("rid").take(flat[0]), batch.column("doc_id").take(flat[0]), *flat[1:]], names=["rid", "doc_id", *names])
+
+
+def _mark_later(found: DataFrame) -> DataFrame:
+    """Adds `later`: the same hashes also start earlier (smaller doc_id, or the same document and an earlier word)."""
+    known = F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "at")
+    first = found.groupBy(F.col("h1").alias("g1"), F.col("h2").alias("g2")).agg(F.min(known).alias("first"))
+    joined = found.join(first, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
+    return joined.withColumn("later", known > F.col("first")).drop("h1", "h2", "g1", "g2", "first")
 
 
 def digest(whole: DataFrame, cut: DataFrame) -> DataFrame:
-    """Repeated rows (same doc_id and text) are cut alike, so one finding serves them all."""
-    lost = cut.groupBy(F.col("doc_id").alias("d"), F.col("tkey").alias("t")).agg(F.first("n_removed").alias("n_removed"), F.first("kept_sha256").alias("kept"))
-    joined = whole.join(lost, whole["doc_id"].eqNullSafe(F.col("d")) & (whole["tkey"] == F.col("t")), "left")
+    lost = cut.select(F.col("rid").alias("r"), "n_removed", F.col("kept_sha256").alias("kept"))
+    joined = whole.join(lost, F.col("rid") == F.col("r"), "left")
     return joined.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "sha256").alias("kept_sha256"))
