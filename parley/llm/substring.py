@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WINDOW, RUN = 20, 6
+WINDOW, RUN = 20, 8
 _B1, _B2, _B3 = 0xB5026F5AA96619E9, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3
 
 
@@ -51,7 +51,7 @@ def removed(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> tuple[Data
     whole: rid (a row's own number), doc_id, n_words, sha256. cut: rid, n_removed, spans (start and end word of each
     removal interval), kept_text, kept_sha256.
     """
-    kind = dict(docs.dtypes)["doc_id"]
+    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", common.text_key(F.col("text")).alias("tkey"), "text")
 
     def survey(batches):
@@ -85,9 +85,10 @@ def removed(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> tuple[Data
     named = surveyed.where("own").select("rid", F.explode(F.arrays_zip("runs", "times")).alias("r")).select("rid", F.col("r.runs").alias("run"), F.col("r.times").alias("times"))
     twice = named.groupBy("run").agg(F.sum("times").alias("n")).where("n > 1").select(F.col("run").alias("twice"))
     suspects = named.select("rid", "run").join(twice, F.col("run") == F.col("twice")).groupBy("rid").agg(F.collect_list("run").alias("twice"))
-    suspects, _ = common.store(suspects.join(surveyed.where("own").select("rid", F.col("doc_id").alias("d"), F.col("tkey").alias("t")), "rid"), "suspects")
+    suspects, suspects_path = common.store(suspects.join(surveyed.where("own").select("rid", F.col("doc_id").alias("d"), F.col("tkey").alias("t")), "rid"), "suspects")
     found = rows.join(suspects, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["tkey"] == F.col("t"))).select("rid", "doc_id", "text", "twice")
     candidates, _ = common.store(found.dropDuplicates(["rid"]) if repeated else found, "candidates")
+    common.drop(spark, suspects_path)
 
     def stretches(batches):
         """A row for each stretch of windows that name one place of a run that occurs twice."""
