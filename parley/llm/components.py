@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Hang the larger (large) or all smaller (small) neighbours of each node on the least node among them and itself."""
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Hang the larger neighbours of each node on the least node among its neighbours and itself."""
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-    joined = both.join(least, both["a"] == least["n"])
-    if large:
-        return joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-    return joined.select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+    # A hub's links are many: the join's large partitions can be split.
+    return both.where(F.col("b") > F.col("a")).join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Hang each node and its smaller neighbours on the least of them. A node has few smaller neighbours after a large star, so a window does it."""
+    pair = F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))
+    hung = edges.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+    return hung.select(F.explode(F.array(*pair)).alias("e")).select("e.*").where("a <> b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,7 +29,7 @@ def components(links: DataFrame) -> DataFrame:
     edges, path = common.store(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = None
     while True:
-        after, after_path = common.store(_star(_star(edges, True), False), "links")
+        after, after_path = common.store(_small_star(_large_star(edges)), "links")
         new = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         common.drop(spark, path)
         edges, path = after, after_path
