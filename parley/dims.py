@@ -60,3 +60,28 @@ DOC_TYPE_ORDER = ["report", "decision", "proposal", "vote", "issue-charge", "tar
 SUBJECT_TERM = r"(?i)\bhydro(?!gen|carbon)|pumped[\s\-]?storage|\bPSH\b|run[\s\-]?of[\s\-]?river"
 EXCERPT_CHARS, HEAD_SHARE = 48000, 0.6
 OMISSION = "\n\n[... MIDDLE OF DOCUMENT OMITTED FOR LENGTH — the text below resumes from a LATER page and does not continue the sentence above ...]\n\n"
+#: Subtype that names no committee; kinds of meeting at the end of a slug; schedule tokens of each committee.
+#: They must equal the original system's for right results.
+CATCHALL_SUBTYPE = "Other Committees and Working Groups"
+MEETING_SUFFIXES = ["net-conferences", "net-conference", "face-to-face", "annual-meeting", "zoom-meeting", "stakeholder-call", "conference-call", "meeting", "call"]
+SCHEDULE_TOKENS = {
+    "Business Issues Committee": ["BIC"], "Management Committee": ["MC"], "Operating Committee": ["OC"], "Installed Capacity Working Group": ["ICAP"],
+    "Market Issues Working Group": ["MIWG"], "Price-Responsive Load Working Group": ["PRLWG"], "Electric System Planning Working Group": ["ESPWG"],
+    "Transmission Planning Advisory Subcommittee": ["TPAS"], "Load Forecasting Task Force": ["LFTF"], "Billing, Accounting & Credit Policy Working Group": ["BACWG"],
+    "Electric Gas Coordination Working Group": ["EGCWG"], "Budget & Priorities Working Group": ["BPWG"], "Business Intelligence Task Force": ["BITF"],
+    "Interconnection Issues Task Force": ["IITF"], "Interconnection Project Facilities Study Working Group": ["IPFSWG", "IPFS"],
+    "Inter-area Planning Stakeholder Advisory Committee": ["IPSAC"], "Communication & Data Advisory Subcommittee": ["CDAS"], "System Operations Advisory Subcommittee": ["SOAS"],
+    "System Protection Advisory Subcommittee": ["SPAS"], "Market Participant Audit Advisory Subcommittee": ["MPAAS"], "Liaison Subcommittee": ["LIAISON"],
+    "By-Laws Subcommittee": ["BY-LAWS", "BYLAWS"], "Appeals to the Board": ["APPEALS"], "Environmental Advisory Council": ["EAC"], "Customer Support Focus Group": ["CSFG"],
+}
+TOPIC_LABELS = {
+    "price-formation": "Price Formation", "ancillary-services": "Ancillary Services", "ramping-flexibility": "Ramping & Flexibility", "capacity-ra": "Capacity & RA",
+    "storage": "Storage & PSH", "hybrids-der": "Hybrids & DER", "mitigation-offers": "Mitigation & Offers", "interconnection": "Interconnection", "transmission": "Transmission",
+    "load-growth": "Load Growth", "ops-compliance": "Ops & Compliance", "seams-governance": "Seams & Governance", "water-hydrology": "Water & Hydrology",
+    "clean-energy": "Clean Energy", "ferc-policy": "FERC Policy",
+}
+CONFIDENCE = {
+    "direct": "Direct — Changes a hydro or PSH revenue stream, obligation, or option",
+    "precedent": "Precedent — Written for other resources or markets, but sets precedent for hydro",
+    "reference": "Reference — Background or analysis, no specific hydro action",
+}

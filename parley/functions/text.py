@@ -72,6 +72,22 @@ def identify_committee(title: Column) -> Column:
     return F.struct(pick(1).alias("committee_name"), pick(2).alias("slug"))
 
 
+def committee_of_subtype(subtype: Column, title: Column) -> Column:
+    """The committee that an event's subtype names, else what the title keeps without its frame; null if nothing."""
+    name = F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(subtype, F.lit(""))), r"^\[+|\]+$", ""), r"^\s*Name\s*:\s*", ""))
+    bare = title
+    for pattern in (r"(?i)^NEPOOL\s+", r"(?i)\s+Meeting\b.*$", r"\s*\([^)]*\)\s*$"):
+        bare = F.regexp_replace(bare, pattern, "")
+    return F.when((name != "") & (name != dims.CATCHALL_SUBTYPE), name).otherwise(F.when(F.trim(bare) != "", F.trim(bare)))
+
+
+def committee_from_slug(slug: Column) -> Column:
+    """A page slug without its date and kind of meeting, as a title; null if nothing is left."""
+    s = F.regexp_replace(F.regexp_replace(slug, r"-\d{8}(?:-\d{2,4})?$", ""), "-(?:" + "|".join(dims.MEETING_SUFFIXES) + ")$", "")
+    name = F.regexp_replace(F.initcap(F.trim(F.replace(s, F.lit("-"), F.lit(" ")))), r"(?i)\bmarketsplus\b", "Markets+")
+    return F.when(name != "", name)
+
+
 def track_rto(*parts: Column) -> Column:
     return F.when(F.lower(F.concat_ws(" ", *parts)).rlike(r"marketsplus|markets ?\+"), "SPP Markets +").otherwise("SPP")
 

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_any_date
+from ..functions.text import classify_document_by_source, committee_of_subtype
 
 CAISO_SITE = "https://www.caiso.com"
 CAISO_EVENTS = "array<struct<id string, title string, hidden boolean, isoArchived boolean, format array<string>, `start` string, `end` string, allDay boolean, description string, url string, calendarTopics struct<titles array<string>>, calendarCategories struct<titles array<string>>, calendarTopicsUrl array<string>>>"
 MISO_EVENTS = "array<struct<contentGuid string, linkURL string, eventCanceled boolean, meetingDate string, name string, startDate string, endDate string, hostLocation string, entityReferenceList array<struct<url string, text string>>>>"
+ISONE_EVENTS = "array<struct<event_id string, event_title string, cancelled_flag string, deleted_flag string, event_type struct<name string>, event_subtypes array<struct<name string>>, event_start_date_gmt_str string, location string, committee_link string>>"
+TREE_NODE = "struct<type string, label string, data struct<url string, filename string, title string, isoDatePosted string, siteInfos array<struct<siteId string, url string>>>, children array<string>>"
 #: Titles of press items that are no market news. They must equal the original system's for right results.
 SKIPPED_TITLES = [
     r"\bEnvironmental Impact Statement\b", r"\bDraft Environmental\b", r"\bNotice of Availability\b", r"\bNotice of Schedule\b.*(Pipeline|Expansion Project)", r"\bPipeline Project\b",
@@ -72,6 +75,48 @@ def normalize_miso_events(payloads: DataFrame, first: str, last: str, site: str
     )
 
 
+def normalize_isone_events(payloads: DataFrame, kinds: tuple[str, ...] = ("Meetings",), site: str = "https://www.iso-ne.com") -> DataFrame:
+    """One meeting per event of the kept kinds that is neither cancelled nor deleted and has an id, a start and a committee."""
+    e = payloads.select(F.inline(F.from_json("payload", ISONE_EVENTS)))
+    gone = F.coalesce(F.col("cancelled_flag") == "Y", F.lit(False)) | F.coalesce(F.col("deleted_flag") == "Y", F.lit(False))
+    title, at, key = F.coalesce(F.when(F.col("event_title") != "", F.col("event_title")), F.lit("(untitled)")), _wall(F.col("event_start_date_gmt_str")), _some(F.col("event_id"))
+    committee = committee_of_subtype(F.get("event_subtypes", F.lit(0))["name"], title)
+    out = e.where(~gone & F.col("event_type.name").isin(*kinds)).select(
+        key.alias("event_id"), F.trim(title).alias("title"), at.cast("date").alias("meeting_date"), _clock(at).alias("meeting_time"), committee.alias("committee"), _some(F.col("location")).alias("location"),
+        F.concat(F.lit(f"{site}/calendar?eventId="), key).alias("detail_url"), F.when(F.col("committee_link") != "", F.col("committee_link")).alias("materials_url"),
+    )
+    return out.where("event_id IS NOT NULL AND meeting_date IS NOT NULL AND committee IS NOT NULL")
+
+
+def flatten_document_tree(trees: DataFrame, depth: int = 12, site: str = CAISO_SITE) -> DataFrame:
+    """event_id, download_url, doc_type, title, filename, posted_date of the documents of a folder tree, the first of each address.
+
+    trees: event_id, tree (JSON nodes, or such JSON as a JSON string). Every level is one narrow step that splits nodes from
+    their children, so only the last step, the first of each address in walking order, shuffles. Folders are no documents; a
+    document may have children; videos are skipped. Unreadable trees give no rows; trees deeper than depth fail the job.
+    """
+    inner = F.get(F.from_json(F.concat(F.lit("["), "tree", F.lit("]")), "array<string>"), F.lit(0))
+    rows = trees.where("tree IS NOT NULL").select("event_id", F.posexplode(F.from_json(inner, "array<string>")).alias("at", "node")).select("event_id", F.array("at").alias("path"), "node", F.lit(True).alias("fresh"))
+    children = F.coalesce(F.from_json("node", "struct<children array<string>>")["children"], F.array().cast("array<string>"))
+    for level in range(depth):
+        below = F.when(F.col("fresh"), children).otherwise(F.array().cast("array<string>"))
+        if level == depth - 1:
+            below = F.when(F.size(below) > 0, F.raise_error(F.lit(f"document tree deeper than {depth}")).cast("array<string>")).otherwise(below)
+        nodes = F.concat(F.array(F.struct("path", "node", F.lit(False).alias("fresh"))), F.transform(below, lambda c, i: F.struct(F.concat("path", F.array(i)).alias("path"), c.alias("node"), F.lit(True).alias("fresh"))))
+        rows = rows.select("event_id", F.inline(nodes))
+    n = rows.select("event_id", "path", F.from_json("node", TREE_NODE).alias("n")).where(F.coalesce(F.lower("n.type"), F.lit("")) != "folder")
+    copies = F.filter("n.data.siteInfos", lambda c: c["url"] != "")
+    raw = F.coalesce(_some(F.col("n.data.url")), F.get(F.filter(copies, lambda c: c["siteId"] == "1"), F.lit(0))["url"], F.get(copies, F.lit(0))["url"])
+    url = F.when(raw.startswith("http"), raw).otherwise(F.concat(F.lit(site + "/"), F.regexp_replace(raw, "^/+", "")))
+    docs = n.withColumn("download_url", url).where(~F.lower("download_url").contains("youtu"))
+    one = first_per(docs, ["event_id", "download_url"], ["path"])
+    tail = F.regexp_extract("download_url", r"([^/]*)$", 1)
+    name = F.coalesce(_some(F.col("n.data.filename")), F.coalesce(F.try_url_decode(F.replace(tail, F.lit("+"), F.lit("%2B"))), tail))
+    out = one.withColumn("filename", name).withColumn("title", F.coalesce(_some(F.col("n.data.title")), _some(F.col("n.label")), "filename"))
+    posted = F.when(F.length("n.data.isoDatePosted") >= 10, F.substring("n.data.isoDatePosted", 1, 10))
+    return out.select("event_id", "download_url", classify_document_by_source(F.lit("CAISO"), F.lit(None).cast("string"), F.col("filename"), F.col("title")).alias("doc_type"), "title", "filename", posted.alias("posted_date"))
+
+
 def parse_ical_events(calendars: DataFrame) -> DataFrame:
     """calendar_id, event_date, summary, meeting_time of every timed event; all-day ones are skipped."""
     blocks = calendars.select("calendar_id", F.posexplode(F.split("text", "BEGIN:VEVENT")).alias("at", "block")).where("at > 0")
