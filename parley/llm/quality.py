@@ -27,7 +27,8 @@ BAND_WIDTH = 8.0
 LEAST_SPREAD = {"chars_per_token": 0.08, "fallback_share": 0.01, "token_entropy": 0.05}
 #: A language with fewer documents than this takes the corpus-wide band.
 LEAST_DOCS = 200
-_LIMIT = 600_000
+#: Words that a worker remembers, and no longer than its task: later stages find the memory free.
+_LIMIT = 200_000
 _FEATURES = tuple(LEAST_SPREAD)
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _SIGNS = tuple(s.encode() for s in "#*$%&|<>")
@@ -112,11 +113,14 @@ def features(docs: DataFrame, pieces: str | None = None, ranks: str | None = Non
 
     def run(batches):
         memo = fertility(pieces, ranks)
-        for batch in batches:
-            found = [measure(t, memo) for t in common.as_bytes(batch.column("text"))]
-            cols = list(zip(*found)) if found else [()] * 8
-            kinds = [pa.int64()] * 5 + [pa.float64()] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "tkey", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *_FEATURES])
+        try:
+            for batch in batches:
+                found = [measure(t, memo) for t in common.as_bytes(batch.column("text"))]
+                cols = list(zip(*found)) if found else [()] * 8
+                kinds = [pa.int64()] * 5 + [pa.float64()] * 3
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "tkey", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *_FEATURES])
+        finally:
+            memo.clear()
 
     kind = dict(docs.dtypes)["doc_id"]
     return rows.mapInArrow(run, f"doc_id {kind}, tkey long, lang string, {BASE}, " + ", ".join(f"{f} double" for f in _FEATURES))

@@ -25,7 +25,7 @@ def _byte_letters() -> dict[int, str]:
 class WordIds(dict):
     """Word (UTF-8) -> its ids as little-endian unsigned 32-bit integers. Emptied at `limit` entries, so memory is bounded."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.whole, self.limit, self.parts = Tokenizer.from_file(path), limit, {}
