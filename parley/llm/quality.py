@@ -3,8 +3,10 @@
 Each word is encoded by public vocabularies as it stands in running text (with the space before it). A document's
 fertility features are characters per token, the share of byte-fallback tokens and the entropy of its tokens. For
 every language the median and the spread of each feature over all documents that pass the base rules give the band;
-languages with few documents take the band of the whole corpus. A document is kept if it passes the base rules and
-its features lie in the bands.
+languages with few documents take the band of the whole corpus. Two more figures follow from the features and have
+bands: tokens per word, which signs hung on words raise, and the entropy in excess of what a text of this many tokens
+has (a curve fitted over all those documents), which signs repeated between words lower. A document is kept if it
+passes the base rules and all five figures lie in the bands.
 
 Defined results: null and empty texts have zero counts and fail the base rules; a null language is a language of its
 own; repeated rows keep a row each; an empty table gives an empty table; extra columns travel along.
@@ -22,14 +24,14 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Half width of a band in robust spreads (1.4826 x median absolute deviation), and the least spread of each feature.
-BAND_WIDTH = 8.0
-LEAST_SPREAD = {"chars_per_token": 0.08, "fallback_share": 0.01, "token_entropy": 0.05}
+#: Widths of a band below and above the median in robust spreads (quartile distance / 1.349), and the least spread of each figure.
+BAND_WIDTH = {"chars_per_token": (8.0, 8.0), "fallback_share": (8.0, 8.0), "token_entropy": (8.0, 8.0), "tokens_per_word": (8.0, 8.0), "entropy_excess": (5.0, 12.0)}
+LEAST_SPREAD = {"chars_per_token": 0.08, "fallback_share": 0.01, "token_entropy": 0.05, "tokens_per_word": 0.05, "entropy_excess": 0.05}
 #: A language with fewer documents than this takes the corpus-wide band.
 LEAST_DOCS = 200
 #: Words that a worker remembers, and no longer than its task: later stages find the memory free.
 _LIMIT = 200_000
-_FEATURES = tuple(LEAST_SPREAD)
+_FEATURES = ("chars_per_token", "fallback_share", "token_entropy")
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _SIGNS = tuple(s.encode() for s in "#*$%&|<>")
 _MEMO: dict[str, "Fertility"] = {}
@@ -126,30 +128,44 @@ def features(docs: DataFrame, pieces: str | None = None, ranks: str | None = Non
     return rows.mapInArrow(run, f"doc_id {kind}, tkey long, lang string, {BASE}, " + ", ".join(f"{f} double" for f in _FEATURES))
 
 
+def excess(found: DataFrame) -> DataFrame:
+    """Adds tokens_per_word and entropy_excess (bits) to the features; the curve is fitted over all rows that pass the base rules."""
+    tokens = F.greatest(F.col("word_chars") / F.when(F.col("chars_per_token") > 0, F.col("chars_per_token")), F.lit(1.0))
+    # Entropy levels off with length: a constant and two falling powers of the number of tokens.
+    basis = [F.lit(1.0), F.pow(tokens, F.lit(-0.5)), F.pow(tokens, F.lit(-0.25))]
+    bits = F.col("token_entropy") * F.greatest(F.log2(tokens), F.lit(1.0))
+    sums = found.where("not base_failed").agg(*[F.sum(x * y) for x in basis for y in (*basis, bits)]).first()
+    m = np.array([x or 0.0 for x in sums]).reshape(3, 4)
+    fit = np.linalg.lstsq(m[:, :3], m[:, 3], rcond=1e-12)[0]
+    curve = sum(F.lit(float(c)) * x for c, x in zip(fit, basis))
+    return found.withColumn("tokens_per_word", F.coalesce(tokens / F.when(F.col("n_words") > 0, F.col("n_words")), F.lit(0.0))).withColumn("entropy_excess", F.coalesce(bits - curve, F.lit(0.0)))
+
+
 def bands(found: DataFrame) -> DataFrame:
-    """Per language: rows, and low and high bound of each feature, from quartiles over all rows that pass the base rules."""
+    """Per language: low and high bound of each figure, from quartiles over all rows that pass the base rules."""
     good = found.where("not base_failed")
-    quart = [F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(f) for f in _FEATURES]
+    quart = [F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(f) for f in BAND_WIDTH]
     whole = good.agg(*quart).first()
     by = good.groupBy(F.coalesce("lang", F.lit("")).alias("band_lang")).agg(F.count("*").alias("n"), *quart)
 
     def bound(f: str, sign: int):
         own = F.when((F.col("n") >= LEAST_DOCS) | F.lit(whole[f] is None), F.col(f)).otherwise(F.array(*[F.lit(float(x)) for x in (whole[f] or [0, 0, 0])]))
         spread = F.greatest((own[2] - own[0]) / 1.349, F.lit(LEAST_SPREAD[f]))
-        return (own[1] + sign * BAND_WIDTH * spread).alias(f"{f}_{'high' if sign > 0 else 'low'}")
+        return (own[1] + sign * BAND_WIDTH[f][sign > 0] * spread).alias(f"{f}_{'high' if sign > 0 else 'low'}")
 
-    return by.select("band_lang", *[bound(f, sign) for f in _FEATURES for sign in (-1, 1)])
+    return by.select("band_lang", *[bound(f, sign) for f in BAND_WIDTH for sign in (-1, 1)])
 
 
 def judge(found: DataFrame) -> DataFrame:
     """Adds base_failed and kept to the features."""
     found = found.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    by, _ = common.store(bands(found), "bands")
+    full = excess(found)
+    by, _ = common.store(bands(full), "bands")
     by = F.broadcast(by) if by.count() <= 1000 else by
     inside = F.lit(True)
-    for f in _FEATURES:
+    for f in BAND_WIDTH:
         inside = inside & F.col(f).between(F.col(f"{f}_low"), F.col(f"{f}_high"))
-    joined = found.join(by, F.coalesce("lang", F.lit("")) == F.col("band_lang"), "left")
+    joined = full.join(by, F.coalesce("lang", F.lit("")) == F.col("band_lang"), "left")
     # A language in which every row fails the base rules has no band and keeps nothing.
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).select(*found.columns, "kept")
 
