@@ -2,8 +2,9 @@
 
 Each word is encoded by public vocabularies as it stands in running text (with the space before it). A document's
 fertility features are characters per token, the share of byte-fallback tokens and the entropy of its tokens. For
-every language the median and the spread of each feature over all documents that pass the base rules give the band;
-languages with few documents take the band of the whole corpus. Two more figures follow from the features and have
+every language the median and the spread of each feature over all documents that pass the base rules give the band,
+drawn towards the whole corpus as if PRIOR of its documents were among the language's own, so no size of a language
+flips a verdict; the band spans both medians while the language has few documents. Two more figures follow from the features and have
 bands: tokens per word, which signs hung on words raise, and the entropy in excess of what a text of this many tokens
 has (a curve fitted over all those documents), which signs repeated between words lower. A document is kept if it
 passes the base rules and all five figures lie in the bands.
@@ -27,8 +28,8 @@ from . import common
 #: Widths of a band below and above the median in robust spreads (quartile distance / 1.349), and the least spread of each figure.
 BAND_WIDTH = {"chars_per_token": (8.0, 8.0), "fallback_share": (8.0, 8.0), "token_entropy": (8.0, 8.0), "tokens_per_word": (8.0, 8.0), "entropy_excess": (5.0, 12.0)}
 LEAST_SPREAD = {"chars_per_token": 0.08, "fallback_share": 0.01, "token_entropy": 0.05, "tokens_per_word": 0.05, "entropy_excess": 0.05}
-#: A language with fewer documents than this takes the corpus-wide band.
-LEAST_DOCS = 200
+#: Documents of the whole corpus that count into each language's median and spread.
+PRIOR = 3.0
 #: Words that a worker remembers, and no longer than its task: later stages find the memory free.
 _LIMIT = 200_000
 _FEATURES = ("chars_per_token", "fallback_share", "token_entropy")
@@ -149,9 +150,14 @@ def bands(found: DataFrame) -> DataFrame:
     by = good.groupBy(F.coalesce("lang", F.lit("")).alias("band_lang")).agg(F.count("*").alias("n"), *quart)
 
     def bound(f: str, sign: int):
-        own = F.when((F.col("n") >= LEAST_DOCS) | F.lit(whole[f] is None), F.col(f)).otherwise(F.array(*[F.lit(float(x)) for x in (whole[f] or [0, 0, 0])]))
-        spread = F.greatest((own[2] - own[0]) / 1.349, F.lit(LEAST_SPREAD[f]))
-        return (own[1] + sign * BAND_WIDTH[f][sign > 0] * spread).alias(f"{f}_{'high' if sign > 0 else 'low'}")
+        n, own, least = F.col("n"), F.col(f), LEAST_SPREAD[f]
+        low, middle, high = (float(x) for x in (whole[f] or [0, 0, 0]))
+        part = n / (n + PRIOR)
+        apart = (1 - part) * (own[1] - middle)
+        within = part * F.pow((own[2] - own[0]) / 1.349, F.lit(2.0)) + (1 - part) * max((high - low) / 1.349, least) ** 2
+        # The last factor: quartiles of few documents say little.
+        spread = F.sqrt(F.greatest(within + apart * apart, F.lit(least**2)) * (1 + PRIOR / n))
+        return (own[1] - apart + sign * BAND_WIDTH[f][sign > 0] * spread).alias(f"{f}_{'high' if sign > 0 else 'low'}")
 
     return by.select("band_lang", *[bound(f, sign) for f in BAND_WIDTH for sign in (-1, 1)])
 

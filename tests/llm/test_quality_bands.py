@@ -30,7 +30,7 @@ def signed(rng, lang, n):
     return " ".join(w + str(rng.choice(SIGNS)) for w in prose(rng, lang, n))
 
 
-@pytest.mark.parametrize("each", [220])
+@pytest.mark.parametrize("each", [25, 220])
 def test_sign_ridden_text_is_rejected_and_clean_text_kept(spark, each):
     rng = np.random.default_rng(6)
     rows = corpus({lang: each for lang in SYLLABLES})
@@ -40,3 +40,21 @@ def test_sign_ridden_text_is_rejected_and_clean_text_kept(spark, each):
     for i in range(len(SYLLABLES)):
         assert [kept[10_000 + 10 * i + j] for j in range(3)] == [False, False, True]
     assert sum(kept[i] for i in range(4 * each)) >= 0.99 * 4 * each
+
+
+def test_small_languages_keep_clean_text_and_do_not_flip_at_a_count(spark):
+    rng = np.random.default_rng(7)
+    # A script that the vocabularies split into bytes: far from the mostly English corpus.
+    letters = [chr(c) for c in range(0x1400, 0x1440)]
+    far = [" ".join("".join(rng.choice(letters, 5)) for _ in range(90)) for _ in range(3)]
+    rows = corpus({"en": 300}) + [(9000 + i, t, "iu") for i, t in enumerate(far)]
+    kept = {r["doc_id"]: r["kept"] for r in quality.assess(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(kept[9000 + i] for i in range(3))
+    # The bounds of a language of 199 and of 200 equal documents differ by next to nothing.
+    base = [(i, "en", 100, 480, 2.2, 0.0, 0.7) for i in range(1000)]
+    schema = "doc_id long, lang string, n_words long, word_chars long, chars_per_token double, fallback_share double, token_entropy double"
+    low = []
+    for n in (199, 200):
+        found = spark.createDataFrame(base + [(5000 + i, "es", 100, 500, 1.6 + 0.01 * (i % 9), 0.0, 0.7) for i in range(n)], schema).selectExpr("*", "false AS base_failed")
+        low.append({r["band_lang"]: r for r in quality.bands(quality.excess(found)).collect()}["es"]["chars_per_token_high"])
+    assert abs(low[0] - low[1]) < 0.01
