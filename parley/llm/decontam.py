@@ -15,6 +15,7 @@ benchmark or corpus gives no contamination; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -93,7 +94,7 @@ def scores(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float =
     out = None
     for block in _blocks(benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text"), block_bytes):
         listed = sorted((r["item_id"], r["text"]) for r in block.toLocalIterator() if r["item_id"] is not None)
-        items = spark.sparkContext.broadcast(listed)
+        items = spark.sparkContext.broadcast((uuid.uuid4().hex, listed))
 
         def count(batches, items=items):
             known = _block(items, n)
@@ -124,16 +125,16 @@ def scores(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float =
     return out.groupBy("doc_id", "tkey").agg(F.max_by(F.struct("item_id", "score", "start_word", "end_word"), F.struct("score", -F.col("item_id"))).alias("m")).select("doc_id", "tkey", "m.*")
 
 
-_HELD: dict[int, Items] = {}
+_HELD: dict[tuple[str, int], Items] = {}
 
 
 def _block(items, n: int) -> Items:
-    """The block's seeds, built once in a worker process."""
-    rows = items.value
-    if id(rows) not in _HELD:
+    """The block's seeds, built once in a worker process; the name sent along tells blocks apart, whatever address they get."""
+    name, rows = items.value
+    if (name, n) not in _HELD:
         _HELD.clear()
-        _HELD[id(rows)] = Items(rows, n)
-    return _HELD[id(rows)]
+        _HELD[name, n] = Items(rows, n)
+    return _HELD[name, n]
 
 
 def rare_seeds(items: Items, df: dict[tuple, int]) -> dict[tuple, set[int]]:
