@@ -151,15 +151,15 @@ def _forest(rows: np.ndarray, radius: int, words: int) -> pa.RecordBatch:
 
 
 def near_groups(docs: DataFrame, k: int = 5, seeds: tuple[int, ...] = (42, 43), radius: int = 24, blocks: int = 9, equal: int = 2) -> DataFrame:
-    """One row per row of docs: doc_id, tkey (the text's key), fp and group (smallest doc_id reachable over links)."""
+    """One row per row of docs: doc_id, tkey (the text's key), fp, root (least fp reachable over links) and group (smallest doc_id there)."""
     rows = docs.withColumn("tkey", common.text_key(F.col("text")))
     fps, _ = common.store(fingerprints(rows, k, seeds, ["doc_id", "tkey"]), "fingerprints")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = components(links(classes.select("fp"), len(seeds), radius, blocks, equal))
     rooted = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("group"))
-    groups, _ = common.store(rooted.join(named, "root").select(F.col("fp").alias("f"), "group"), "groups")
-    return fps.join(groups, fps["fp"] == groups["f"], "left").select("doc_id", "tkey", "fp", "group")
+    groups, _ = common.store(rooted.join(named, "root").select(F.col("fp").alias("f"), "root", "group"), "groups")
+    return fps.join(groups, fps["fp"] == groups["f"], "left").select("doc_id", "tkey", "fp", "root", "group")
 
 
 def digest(groups: DataFrame) -> DataFrame:
@@ -167,9 +167,11 @@ def digest(groups: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The documents that stay: the one with the smallest doc_id of each group (one row of equal rows)."""
-    own = groups.where(F.col("doc_id").eqNullSafe(F.col("group"))).groupBy(F.col("doc_id").alias("d")).agg(F.min("tkey").alias("t"), F.count("*").alias("n"))
+    """The documents that stay: of each group one row, with the smallest doc_id (null last), then the smallest text key."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("f")
+    own = groups.groupBy("root").agg(first).select(F.col("f.doc_id").alias("d"), F.col("f.tkey").alias("t"))
     keyed = docs.withColumn("__t", common.text_key(F.col("text")))
-    kept = keyed.join(own.select("d", "t"), keyed["doc_id"].eqNullSafe(F.col("d")) & (keyed["__t"] == F.col("t")), "left_semi").drop("__t")
-    # Only repeated rows of one doc_id need a second pass over the texts.
-    return kept if own.where("n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    kept = keyed.join(own, keyed["doc_id"].eqNullSafe(F.col("d")) & (keyed["__t"] == F.col("t")), "left_semi")
+    # Only repeated rows need a second pass over the texts.
+    repeated = not groups.groupBy("doc_id", "tkey").count().where("count > 1").isEmpty()
+    return (kept.dropDuplicates(["doc_id", "__t"]) if repeated else kept).drop("__t")
