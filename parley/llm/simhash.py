@@ -29,18 +29,23 @@ TILE = 2048
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: bytes, k: int = 4, seeds: tuple[int, ...] = (42,)) -> list[int]:
-    """One 64-bit word per seed; a bit is set if it is set in over half of the shingles' XXH64 values, repeats included."""
+def shingles(text: bytes, k: int, seeds: tuple[int, ...]) -> list[np.ndarray]:
+    """Per seed the XXH64 value of each shingle, repeats included; none for a text without words."""
     words = text.translate(_UPPER).split()
     if not words:
-        return [0] * len(seeds)
+        return [np.zeros(0, dtype="<u8")] * len(seeds)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
     ends = ends[k - 1 :].tolist() if len(words) >= k else [len(joined)]
+    cut = [joined[a:b] for a, b in zip(starts, ends)]
+    return [np.array([xxhash.xxh64_intdigest(c, seed) for c in cut], dtype="<u8") for seed in seeds]
+
+
+def fingerprint(text: bytes, k: int = 4, seeds: tuple[int, ...] = (42,)) -> list[int]:
+    """One 64-bit word per seed; a bit is set if it is set in over half of the shingles' XXH64 values."""
     out = []
-    for seed in seeds:
-        hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends)], dtype="<u8")
+    for hashes in shingles(text, k, seeds):
         total = np.zeros(64, dtype=np.int64)
         for at in range(0, len(hashes), 1 << 16):
             total += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -150,7 +155,7 @@ def _forest(rows: np.ndarray, radius: int, words: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
 
 
-def near_groups(docs: DataFrame, k: int = 5, seeds: tuple[int, ...] = (42, 43), radius: int = 24, blocks: int = 9, equal: int = 2) -> DataFrame:
+def near_groups(docs: DataFrame, k: int = 5, seeds: tuple[int, ...] = (42, 43, 44), radius: int = 48, blocks: int = 10, equal: int = 2) -> DataFrame:
     """One row per row of docs: doc_id, tkey (the text's key), fp, root (least fp reachable over links) and group (smallest doc_id there)."""
     rows = docs.withColumn("tkey", common.text_key(F.col("text")))
     fps, _ = common.store(fingerprints(rows, k, seeds, ["doc_id", "tkey"]), "fingerprints")
@@ -166,12 +171,94 @@ def digest(groups: DataFrame) -> DataFrame:
     return groups.select("doc_id", F.col("fp").alias("fingerprint"), F.col("group").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The documents that stay: of each group one row, with the smallest doc_id (null last), then the smallest text key."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("f")
-    own = groups.groupBy("root").agg(first).select(F.col("f.doc_id").alias("d"), F.col("f.tkey").alias("t"))
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype="<u8") for x in column.to_pylist()]
+
+
+def _greedy(least: float):
+    """For a group of at most SMALL texts: the rows that stay, each less than `least` similar to every earlier one that stays."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("none", "ascending"), ("doc_id", "ascending"), ("tkey", "ascending")])
+        stay: list[tuple[int, np.ndarray]] = []
+        for i, one in enumerate(_sets(table.column("sig"))):
+            if all(jaccard(one, other) < least for _, other in stay):
+                stay.append((i, one))
+        return table.take(pa.array([i for i, _ in stay], pa.int64())).select(["doc_id", "tkey"])
+
+    return run
+
+
+#: Texts of a group that one task compares with each other; larger groups are compared with one text of each at a time.
+SMALL = 64
+_SALTS = 16
+
+
+def first_of_near(docs: DataFrame, least: float = 0.8, k: int = 5, seeds: tuple[int, ...] = (42, 43, 44), radius: int = 48, blocks: int = 10, equal: int = 2) -> DataFrame:
+    """(doc_id, tkey) of the rows that stay. In order of doc_id (null last) a text stays unless its shingle set has at least
+    `least` in common (Jaccard) with one of its group that stays, so every text that goes has a near copy that stays.
+
+    Fingerprints only propose groups: texts within `radius` bits and what they chain to.
+    """
+    spark = docs.sparkSession
+    kind = dict(docs.dtypes)["doc_id"]
+    keyed = docs.select("doc_id", "text", common.text_key(F.col("text")).alias("tkey"))
+    fps, _ = common.store(fingerprints(keyed, k, seeds, ["doc_id", "tkey"]), "fingerprints")
+    # Equal rows are one item; rows of one fingerprint with different texts are several.
+    items = fps.groupBy("fp", "tkey").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("f")).select("fp", "tkey", "f.none", "f.doc_id")
+    found, _ = common.store(components(links(items.select("fp").distinct(), len(seeds), radius, blocks, equal)), "roots")
+    rooted, _ = common.store(items.join(found, items["fp"] == found["node"], "left").select("none", "doc_id", "tkey", F.coalesce("root", "fp").alias("root")), "rooted")
+    sizes = rooted.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct("none", "doc_id", "tkey")).alias("f"))
+    kept = [sizes.where("n = 1").select("f.doc_id", "f.tkey")]
+
+    def sets(batches):
+        for batch in batches:
+            sig = [np.unique(shingles(t, k, seeds[:1])[0]).tobytes() for t in common.as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "none", "doc_id", "tkey")), pa.array(sig, pa.binary())], names=["root", "none", "doc_id", "tkey", "sig"])
+
+    grouped = rooted.join(sizes.where("n > 1").select("root"), "root").select("root", "none", F.col("doc_id").alias("d"), F.col("tkey").alias("t"))
+    texts = keyed.join(grouped, keyed["doc_id"].eqNullSafe(F.col("d")) & (keyed["tkey"] == F.col("t"))).select("root", "none", "doc_id", "tkey", "text")
+    schema = f"root string, none boolean, doc_id {kind}, tkey long, sig binary"
+    left, path = common.store(texts.mapInArrow(sets, schema).dropDuplicates(["doc_id", "tkey"]), "near")
+    while True:
+        sizes, sizes_path = common.store(left.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct("none", "doc_id", "tkey")).alias("f")), "near_sizes")
+        small = left.join(sizes.where(F.col("n") <= SMALL).select("root"), "root")
+        kept.append(common.store(small.select(*left.columns).groupBy("root").applyInArrow(_greedy(least), f"doc_id {kind}, tkey long"), "stay")[0])
+        large = sizes.where(F.col("n") > SMALL)
+        if large.isEmpty():
+            break
+        lead = large.select("root", "f.doc_id", "f.tkey")
+        kept.append(lead.select("doc_id", "tkey"))
+        lead = left.join(lead.select("root", F.col("doc_id").alias("d"), F.col("tkey").alias("t")), "root").where(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("t")))
+        # Salted: a large group's rows meet their leader in many tasks.
+        lead = lead.select("root", F.col("sig").alias("lead"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+
+        def far(batches):
+            for batch in batches:
+                apart = [jaccard(a, b) < least for a, b in zip(_sets(batch.column("sig")), _sets(batch.column("lead")))]
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("root", "none", "doc_id", "tkey", "sig")], names=["root", "none", "doc_id", "tkey", "sig"]).filter(pa.array(apart, pa.bool_()))
+
+        met = left.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tkey"), F.lit(_SALTS)).cast("int")).join(lead, ["root", "salt"])
+        after, after_path = common.store(met.select(*left.columns, "lead").mapInArrow(far, schema), "near")
+        common.drop(spark, path)
+        left, path = after, after_path
+    out = kept[0]
+    for more in kept[1:]:
+        out = out.union(more)
+    return common.store(out, "stays")[0]
+
+
+def keep_first(docs: DataFrame, stay: DataFrame) -> DataFrame:
+    """The rows of docs that stay, one of equal rows."""
+    own = stay.select(F.col("doc_id").alias("d"), F.col("tkey").alias("t"))
     keyed = docs.withColumn("__t", common.text_key(F.col("text")))
     kept = keyed.join(own, keyed["doc_id"].eqNullSafe(F.col("d")) & (keyed["__t"] == F.col("t")), "left_semi")
     # Only repeated rows need a second pass over the texts.
-    repeated = not groups.groupBy("doc_id", "tkey").count().where("count > 1").isEmpty()
+    repeated = not keyed.groupBy("doc_id", "__t").count().where("count > 1").isEmpty()
     return (kept.dropDuplicates(["doc_id", "__t"]) if repeated else kept).drop("__t")
