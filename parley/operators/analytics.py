@@ -162,11 +162,25 @@ def meetings_ahead(events: DataFrame, today: str, days: int | None = None, relev
     return rows.where("is_relevant") if relevant_only else rows
 
 
-def filter_events(events: DataFrame, view: str = "all", rtos: list[str] | None = None, topics: list[str] | None = None, text: str | None = None) -> DataFrame:
-    rows = {"all": lambda e: e, "relevant": lambda e: e.where("is_relevant"), "issues": lambda e: e.where("has_issues")}[view](events)
+def filter_events(events: DataFrame, view: str = "all", rtos: list[str] | None = None, topics: list[str] | None = None, text: str | None = None, today: str | None = None, week_end: str | None = None, facet: DataFrame | None = None) -> DataFrame:
+    """Events of a view, of operators, of topics, of a facet (rows of match_facet, by id) and with a text.
+
+    The view "today" takes the days from today to week_end. Text is sought in title, committee, rto and, where the events have
+    the nested columns of calendar_events, in issues, stakeholders and document titles.
+    """
+    days = lambda e: e.where(F.col("meeting_date").between(F.lit(today).cast("date"), F.lit(week_end).cast("date")))
+    rows = {"all": lambda e: e, "relevant": lambda e: e.where("is_relevant"), "issues": lambda e: e.where("has_issues"), "today": days}[view](events)
     rows = rows.where(F.col("rto").isin(rtos)) if rtos else rows
     rows = rows.where(F.arrays_overlap("topics", F.array(*[F.lit(t) for t in topics]))) if topics else rows
-    return rows.where(F.lower(F.concat_ws(" ", "title", "committee", "rto")).contains(text.lower())) if text else rows
+    rows = rows.join(facet.select("id").distinct(), "id", "left_semi") if facet is not None else rows
+    parts = ["title", "committee", "rto"]
+    if "issues" in events.columns:
+        named = [c for c in ("title", "name", "native_id") if c in events.schema["issues"].dataType.elementType.names]
+        parts.append(F.array_join(F.transform("issues", lambda i: F.concat_ws(" ", *[i[c] for c in named])), " "))
+    if "documents" in events.columns:
+        who = F.flatten(F.transform("documents", lambda d: F.coalesce(d["stakeholders"], F.array().cast(events.schema["documents"].dataType.elementType["stakeholders"].dataType))))
+        parts += [F.array_join(F.transform(who, lambda s: F.concat_ws(" ", s["name"], s["entity"])), " "), F.array_join(F.transform("documents", lambda d: d["title"]), " ")]
+    return rows.where(F.lower(F.concat_ws(" ", *parts)).contains(text.lower())) if text else rows
 
 
 def search_suggestions(index: DataFrame, text: str, top: int = 5) -> DataFrame:

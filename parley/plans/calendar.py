@@ -151,6 +151,23 @@ def filter_events(t):
     return analytics.filter_events(events(t), "relevant", ["PJM", "MISO", "SPP"], ["storage", "transmission"], "committee").select("id", "rto", "meeting_date")
 
 
+@query(None)
+def search_events(t):
+    """The ways of the filter one by one: the days of this week, one entity, a text among issues, stakeholders and document titles."""
+    from ..operators import matching
+
+    who = people(t)
+    nested = linking.calendar_events(t.meetings, t.stored_documents, resolved(t), t.issues, who).select("id", "issues", "documents")
+    rows = events(t).join(nested, "id", "left")
+    facet = matching.match_facet(t.meetings, t.stored_documents, who, None, "entity", entity="Acme Power")
+    ways = {"today": {"view": "today", "today": TODAY, "week_end": "2024-01-19"}, "facet": {"facet": facet}, "text": {"text": "person 7"}}
+    out = None
+    for way, how in ways.items():
+        part = analytics.filter_events(rows, **how).select(F.lit(way).alias("way"), "id", "rto", "meeting_date")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(f"SELECT id, rto, meeting_date FROM meetings WHERE meeting_date BETWEEN DATE '{TODAY}' - 7 AND DATE '{TODAY}' + 5")
 def date_window_filter(t):
     day = F.lit(TODAY).cast("date")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import screening
+from ..operators import linking, screening
 from .calendar import ENTITY_SQL, STRIP_SQL
 from .registry import query
 from .store import DOC_TYPE_SQL
@@ -143,6 +143,12 @@ def extract_document_links(t):
     return t.base("pages").select("page_id", F.explode(href).alias("href")).groupBy("page_id").agg(F.count("*").alias("links"), F.countDistinct("href").alias("hrefs"))
 
 
+@query(None)
+def document_links(t):
+    """The given pages link paths without extensions: the pattern takes every named path."""
+    return linking.document_links(t.base("pages"), keep=r"/[^/]+$")
+
+
 @query(None)
 def markup_to_text(t):
     return t.base("pages").select("page_id", text.markup_to_text(F.col("html")).alias("text"))
