@@ -1,62 +1,79 @@
 """Token ids of whole texts by a public vocabulary, with each distinct word encoded once in a worker.
 
-The 49k vocabulary lower-cases and drops white space, so a text's ids are its words' ids in order; the library's
-model encodes each part of a word, and the whole library call takes words outside plain Latin letters and signs.
+The 49k vocabulary lower-cases and drops white space, so a text's ids are its words' ids in order. Texts of Latin-1
+characters alone are lower-cased whole, which leaves fewer distinct words; the library's model encodes each part of a
+word, and the whole library call takes words outside plain Latin letters and signs.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
+from array import array
 
-#: Letters, single digits and runs of signs, as the vocabulary's own split gives them for words of plain Latin text.
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-zà-öø-ÿß0-9]+")
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+#: Letters, single digits and runs of signs, as the vocabulary's own split gives them for lower-case words of plain Latin text.
+_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xe0-\xf6\xf8-\xff\xdf]+|[0-9]|[^a-z\xe0-\xf6\xf8-\xff\xdf0-9]+")
+_PLAIN = re.compile(rb"[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_LOWER = bytes(ord(x) if ord(x := chr(b).lower()) < 256 else b for b in range(256))
 _CACHES: dict[str, "WordIds"] = {}
 
 
-def _byte_letters() -> dict[int, str]:
+def _byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: printable ones stand for themselves, the rest follow from 256 on."""
     own = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
     rest = iter(range(256, 512))
-    return {b: chr(b if b in own else next(rest)) for b in range(256)}
+    return [chr(b if b in own else next(rest)) for b in range(256)]
 
 
 class WordIds(dict):
-    """Word (UTF-8) -> its ids as little-endian unsigned 32-bit integers. Emptied at `limit` entries, so memory is bounded."""
+    """Lower-case Latin-1 word -> its ids as unsigned 32-bit integers. Emptied at `limit` entries, so memory is bounded."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.whole, self.limit, self.parts = Tokenizer.from_file(path), limit, {}
         self.model = self.whole.model
-        self.letters = _byte_letters()
+        letters = _byte_letters()
+        self.shown = ["".join(letters[x] for x in chr(b).encode()) for b in range(256)]
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        if len(self.parts) >= self.limit:
-            self.parts.clear()
-        text = word.decode("utf-8", "replace")
-        if len(text) <= 200 and "<|" not in text and _PLAIN.fullmatch(text) and unicodedata.is_normalized("NFC", text):
-            ids = b"".join([self.parts.get(p) or self._part(p) for p in _PARTS.findall(text.lower())])
+        if word.isalpha() and len(word) <= 200:  # of bytes: letters a to z alone
+            ids = self._part(word)
+        elif len(word) <= 200 and b"<|" not in word and _PLAIN.fullmatch(word):
+            ids = b"".join(map(self._part, _PARTS.findall(word)))
         else:
-            ids = self._pack(self.whole.encode(text, add_special_tokens=False).ids)
+            ids = self._library(word.decode("latin-1"))
         if len(word) <= 64:
             self[word] = ids
         return ids
 
-    def _part(self, part: str) -> bytes:
-        shown = part if part.isascii() else "".join(self.letters[b] for b in part.encode())
-        self.parts[part] = ids = self._pack([t.id for t in self.model.tokenize(shown)])
+    def _part(self, part: bytes) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            if len(self.parts) >= self.limit:
+                self.parts.clear()
+            shown = part.decode() if part.isascii() else "".join([self.shown[b] for b in part])
+            self.parts[part] = ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         return ids
 
-    @staticmethod
-    def _pack(ids: list[int]) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+    def _library(self, text: str) -> bytes:
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        try:
+            words = (text if text.isascii() else text.decode().encode("latin-1")).translate(_LOWER).split()
+        except UnicodeEncodeError:
+            # Words with other characters go to the library as they stand, the rest of the text as above.
+            return b"".join([self._any(w) for w in text.split()])
+        return b"".join([self[w] for w in words])
+
+    def _any(self, word: bytes) -> bytes:
+        shown = word.decode()
+        try:
+            return self[shown.encode("latin-1").translate(_LOWER)]
+        except UnicodeEncodeError:
+            return self._library(shown)
 
 
 def word_ids(path: str) -> WordIds:
