@@ -1,14 +1,16 @@
 """Token ids in files: blocks of ids, each coded by itself with context mixing and a range coder, and checksummed.
 
-For every id the models of order 2 and order 1 (what followed the same two ids, the same id, last time in this block)
-each predict one id, with a confidence; order 0 is the segment's own frequency table. Adaptive hit rates for each
-confidence turn the predictions into shares of the coding interval, and the range coder codes the share that applies.
-All blocks of a segment are coded side by side, one id of each block at a time, by array operations; every block starts
-from empty models, has its own crc32, and can be decoded alone.
-
-File: segments, each of them: magic, lengths, zlib-packed head (documents' ids and lengths, frequency table, block sizes
-and checksums), digits of the blocks. Defined results: null and empty texts are one end id; repeated rows and equal
-doc_ids keep a row each; null doc_ids come first; an empty table writes nothing; extra columns are ignored.
+Models of order 2 and order 1 each guess the next id (the one that last followed the same two ids, the same id, in this
+block), with a confidence that grows with hits and falls with misses. Order 0 puts ids into classes of like frequency;
+how often each class occurs is learnt in the block as it goes, and within a class the segment's frequencies hold. The
+hit rates of the guesses, learnt for every pair of confidences, mix the three into shares of the coding interval. All
+models start anew in every block, which has its own crc32 and can be decoded alone (`open_block`). The blocks of a
+segment are coded side by side, one id of each at a time, by array operations; no block sees another.
+
+File: segments, each of them: magic, lengths, zlib-packed head (documents' ids and lengths, the ids that occur with their
+frequencies, block sizes and checksums), digits of the blocks. Defined results: null and empty texts are one end id;
+repeated rows and equal doc_ids keep a row each; null doc_ids come first; an empty table writes nothing; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -24,66 +26,114 @@ from pyspark.sql import functions as F
 from . import common, files
 from .tokens import default_vocabulary, word_ids
 
-MAGIC = b"CTXIDS01"
+MAGIC = b"CTXIDS02"
 END = 1
 BLOCK = 1024
 #: Ids of one segment: the blocks that are coded side by side, and what a task holds in memory.
 SEGMENT = 4 << 20
-PART_BYTES = 24 << 20
-_SLOTS = 1024
-_BITS, _ORDER0 = 24, 18
+#: Bytes of text that a writing task takes at most, and ids that a reading task takes.
+PART_BYTES, PART_IDS = 256 << 20, 64 << 20
+#: Places for guesses in a block and order; classes of order 0, and the least share of each in 2**_SHARE.
+_SLOTS, _CLASSES, _LEAST, _SHARE = 512, 16, 96, 15
+#: Largest chance of a guess in 2**16, and the rank from which ids are never guessed.
+_TOP, _NONE = 63_488, (1 << 14) - 1
+_U = np.uint64
+_KEEP, _FULL, _SHORT = _U((1 << 47) - 1), _U((1 << 63) - 1), _U(1 << 47)
+
+
+class Order0:
+    """The ids of a segment by falling frequency, in classes of about equal weight; frequencies within a class add up to 2**bits."""
+
+    def __init__(self, known: np.ndarray, freq: np.ndarray, kind: np.ndarray, bits: int):
+        self.known, self.freq, self.kind, self.bits = known, freq, kind, bits
+        first = np.searchsorted(kind, kind)
+        total = np.concatenate(([0], np.cumsum(freq)))
+        low = total[:-1] - total[first] if len(known) else freq
+        #: Place within the class, frequency and class of each rank in one number.
+        self.packed = (low << 24) + (freq << 5) + kind
+        self.inverse = np.repeat(np.arange(len(known)), freq)
+        self.begin = total[np.searchsorted(kind, np.arange(_CLASSES))]
+
+    @staticmethod
+    def of(ids: np.ndarray) -> Order0:
+        known, count = np.unique(ids, return_counts=True)
+        order = np.argsort(-count, kind="stable")
+        known, count = known[order].astype(np.int64), count[order].astype(np.int64)
+        bits = max(14, int(np.ceil(np.log2(max(1, len(known)) / _CLASSES))) + 2)
+        middle = np.cumsum(count) - (count + 1) // 2
+        # By weight; a class never holds more ids than half its places.
+        kind = np.maximum(middle * _CLASSES // max(1, int(count.sum())), np.arange(len(known)) >> (bits - 1))
+        freq = np.zeros(len(known), dtype=np.int64)
+        for k in np.unique(kind).tolist():
+            own = np.flatnonzero(kind == k)
+            freq[own] = 1 + count[own] * ((1 << bits) - len(own)) // count[own].sum()
+            freq[own[0]] += (1 << bits) - freq[own].sum()
+        return Order0(known, freq, kind, bits)
 
 
 class Mixer:
-    """The models of all blocks side by side: tables of predicted ids with confidences, and hit counts."""
+    """The models of all blocks side by side: guesses with confidences, hit rates, and how often each class occurs."""
 
     def __init__(self, lanes: int):
-        self.row = np.arange(lanes, dtype=np.int64) * _SLOTS
-        self.base = np.arange(lanes, dtype=np.int64) * 4
-        self.guess = [np.full(lanes * _SLOTS, -1, dtype=np.int32) for _ in range(2)]
-        self.sure = [np.zeros(lanes * _SLOTS, dtype=np.int8) for _ in range(2)]
-        self.hits = [np.full(lanes * 4, h, dtype=np.float32) for h in (0.4, 0.3)]
-        self.prev = [np.zeros(lanes, dtype=np.int64) for _ in range(2)]
-
-    def predict(self, live: int):
-        """Predictions of order 2 and 1 for the first `live` blocks, and the shares that each gets of the interval."""
-        p1, p2 = self.prev[0][:live], self.prev[1][:live]
-        self.at = [self.row[:live] + ((p1 * 0x9E5 + p2 * 0x3D1B) & (_SLOTS - 1)), self.row[:live] + ((p1 * 0x2F5) & (_SLOTS - 1))]
-        self.said = [g[a] for g, a in zip(self.guess, self.at)]
-        self.level = [self.base[:live] + s[a] for s, a in zip(self.sure, self.at)]
-        chance = [np.where(said >= 0, h[lv], 0.0) for said, h, lv in zip(self.said, self.hits, self.level)]
-        same = self.said[0] == self.said[1]
-        chance[1] = np.where(same, 0.0, chance[1] * (1 - chance[0]))
-        share = np.minimum(0.97, chance[0] + chance[1])
-        unit = np.maximum(1, 64 - np.ceil(share * 63).astype(np.int64))  # order 0 gets unit / 64 of the interval
-        rest = (1 << _BITS) - (unit << _ORDER0)
-        first = np.where(share > 0, (rest * (chance[0] / np.maximum(chance[0] + chance[1], 1e-9))).astype(np.int64), 0)
-        # a share of the two predictions that neither can use goes to the other
-        first = np.where(self.said[0] < 0, 0, np.where(same | (self.said[1] < 0), rest, first))
-        return unit, first, rest
-
-    def learn(self, live: int, ids: np.ndarray) -> None:
-        for order in range(2):
-            at, said, level = self.at[order], self.said[order], self.level[order]
-            hit = said == ids
-            known = said >= 0
-            rate = self.hits[order]
-            rate[level] += np.where(known, (hit - rate[level]) * 0.06, 0)
-            np.clip(rate, 0.005, 0.97, out=rate) if live < 64 else None
-            sure = self.sure[order][at]
-            self.sure[order][at] = np.where(hit, np.minimum(sure + 1, 3), np.maximum(sure - 1, 0))
-            self.guess[order][at] = np.where(hit | (sure == 0), ids, said)
-        self.prev[1][:live] = self.prev[0][:live]
-        self.prev[0][:live] = ids
-
-
-def order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of a segment and their cumulative frequencies, scaled to 2**18 with at least 1 each."""
-    known, count = np.unique(ids, return_counts=True)
-    total = 1 << _ORDER0
-    freq = np.maximum(1, (count * (total - len(known)) // max(1, count.sum()))).astype(np.int64)
-    freq[count.argmax()] += total - freq.sum()
-    return known.astype(np.int64), np.concatenate(([0], np.cumsum(freq)))
+        self.lane = np.arange(lanes, dtype=np.int64)
+        self.row = np.arange(lanes, dtype=np.int64) * _SLOTS + np.array([[0], [lanes * _SLOTS]])
+        self.guess = np.full(2 * lanes * _SLOTS, _NONE << 2, dtype=np.uint16)
+        start = np.array([0, 12_000, 30_000, 52_000])
+        two, one = np.divmod(np.arange(16), 4)
+        #: For both confidences, and whether both guess alike: chance of order 2, chance of order 1 if order 2 fails (upper half).
+        self.rate = np.tile(np.concatenate((start[two] + (start[one] << 16), start[two])), lanes).astype(np.uint32)
+        k = np.arange(1, _CLASSES)[:, None]
+        self.bounds = np.zeros((_CLASSES + 1, lanes), dtype=np.uint16)
+        self.bounds[1:-1], self.bounds[-1] = (k << _SHARE) // _CLASSES, 1 << _SHARE
+        self.inner = self.bounds[1:-1].view(np.int16)
+        self.k, self.below = k.astype(np.int16), (k * _LEAST).astype(np.int16)
+        self.rise = ((1 << _SHARE) - _CLASSES * _LEAST) * np.ones_like(self.k)
+        self.step = np.zeros((_CLASSES - 1, lanes), dtype=np.int16)
+        self.prev = np.zeros((2, lanes), dtype=np.int64)
+
+    def predict(self, live: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of 2**16, for the first `live` blocks: the share of order 2, and of order 2 and 1 together."""
+        one, two = self.prev[:, :live]
+        h = one * 0x9E35
+        self.at = np.stack(((h + two * 0x6A2D) >> 3, h >> 4))
+        self.at &= _SLOTS - 1
+        self.at += self.row[:, :live]
+        self.entry = self.guess.take(self.at)
+        self.said, self.sure = self.entry >> np.uint16(2), self.entry & np.uint16(3)
+        state = (self.sure[0] << np.uint16(2)) + self.sure[1] + (self.said[0] == self.said[1]) * np.uint16(16)
+        self.state = (self.lane[:live] << 5) + state
+        both = self.rate.take(self.state)
+        self.two, self.one = both & np.uint32(65_535), both >> np.uint32(16)
+        return self.two.astype(_U), (self.two + (((np.uint32(65_536) - self.two) * self.one) >> np.uint32(16))).astype(_U)
+
+    def class_of(self, live: int, value: np.ndarray) -> np.ndarray:
+        return (self.inner[:, :live] <= value.astype(np.int16)).view(np.int8).sum(axis=0, dtype=np.int8).astype(np.int64)
+
+    def class_bounds(self, live: int, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and width of each block's class in 2**_SHARE."""
+        at, flat = kind * len(self.lane) + self.lane[:live], self.bounds.ravel()
+        low = flat.take(at).astype(np.int64)
+        return low, flat.take(at + len(self.lane)) - low
+
+    def learn(self, live: int, own: np.ndarray, kind: np.ndarray) -> None:
+        hit = self.said == own
+        two, one = self.two.view(np.int32), self.one.view(np.int32)
+        two = two + ((hit[0] * np.int32(_TOP) - two) >> 4)
+        one = one + (((hit[1] * np.int32(_TOP) - one) * ~hit[0]) >> 4)
+        self.rate[self.state] = (two + (one << 16)).view(np.uint32)
+        fresh = (np.minimum(own, _NONE).astype(np.uint16) << np.uint16(2)) + np.uint16(1)
+        # A hit makes surer; a miss less sure, and a guess that was hardly sure gives way.
+        missed = np.where(self.sure <= 1, fresh, self.entry - np.uint16(1))
+        self.guess[self.at] = np.where(hit, self.entry + (self.sure < 3), missed)
+        # Each bound moves 1/64 of the way to where it would stand if only this class occurred.
+        step, inner = self.step[:, :live], self.inner[:, :live]
+        np.multiply(kind.astype(np.int16) < self.k, self.rise, out=step)
+        step += self.below
+        step -= inner
+        step >>= 6
+        inner += step
+        self.prev[1, :live] = self.prev[0, :live]
+        self.prev[0, :live] = own
 
 
 def _lanes(n: int) -> list[int]:
@@ -91,124 +141,168 @@ def _lanes(n: int) -> list[int]:
     return [BLOCK] * (n // BLOCK) + ([n % BLOCK] if n % BLOCK else [])
 
 
-def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(known ids, cumulative frequencies, 16-bit digits of each block)."""
-    sizes = _lanes(len(ids))
-    known, cum = order0(ids) if len(ids) else (np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64))
+def encode(ids: np.ndarray) -> tuple[Order0, list[np.ndarray]]:
+    """The frequencies of the ids, and the 16-bit digits of each block."""
+    sizes, order0 = _lanes(len(ids)), Order0.of(ids)
     lanes = len(sizes)
-    grid = np.zeros((lanes, BLOCK), dtype=np.int64)
-    grid.ravel()[: len(ids)] = ids
-    rank = np.searchsorted(known, grid.T)
+    by_id = np.argsort(order0.known)
+    grid = np.zeros((lanes, BLOCK), dtype=np.int32)
+    grid.ravel()[: len(ids)] = by_id[np.searchsorted(order0.known[by_id], ids)]
     grid = np.ascontiguousarray(grid.T)
-    mixer = Mixer(lanes)
-    low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 56) - 1, dtype=np.uint64)
-    digits = np.zeros((lanes, 2 * BLOCK + 8), dtype=np.int32)
-    flat, start = digits.ravel(), np.arange(lanes, dtype=np.int64) * digits.shape[1]
-    used = np.zeros(lanes, dtype=np.int64)
-    b56, b40, lowest = np.uint64(56), np.uint64(40), np.uint64((1 << 40) - 1)
+    mixer, bits = Mixer(lanes), order0.bits
+    low, span = np.zeros(lanes, dtype=_U), np.full(lanes, (1 << 63) - 1, dtype=_U)
+    digits = np.zeros((3 * BLOCK + 8, lanes), dtype=np.int32)
+    flat, at = digits.ravel(), np.arange(lanes, dtype=np.int64)
 
     def shift(some: np.ndarray) -> None:
-        flat[start[some] + used[some]] += (low[some] >> b40).astype(np.int32)
-        used[some] += 1
-        low[some] = (low[some] & lowest) << np.uint64(16)
-        span[some] <<= np.uint64(16)
+        value, place = low[some], at[some]
+        flat[place] += (value >> _U(47)).astype(np.int32)
+        at[some] = place + lanes
+        low[some] = (value & _KEEP) << _U(16)
+        span[some] <<= _U(16)
 
     for t in range(max(sizes, default=0)):
         live = lanes if t < sizes[-1] else lanes - 1
         own = grid[t, :live]
-        unit, first, rest = mixer.predict(live)
-        r = rank[t, :live]
-        second = ~(by2 := (mixer.said[0] == own) & (first > 0)) & (mixer.said[1] == own) & (rest > first)
-        begin = np.where(by2, 0, np.where(second, first, rest + cum[r] * unit))
-        size = np.where(by2, first, np.where(second, rest - first, (cum[r + 1] - cum[r]) * unit))
-        mixer.learn(live, own)
-        step = span[:live] >> np.uint64(_BITS)
-        low[:live] += step * begin.astype(np.uint64)
-        span[:live] = step * size.astype(np.uint64)
-        over = np.flatnonzero(low[:live] >> b56)
+        two, both = mixer.predict(live)
+        of = order0.packed.take(own)
+        kind = of & 31
+        begin, width = mixer.class_bounds(live, kind)
+        unit = span[:live] >> _U(16)
+        guessed = unit * both
+        part = (span[:live] - guessed) >> _U(_SHARE + bits)
+        begin = guessed + part * ((begin << bits) + width * (of >> 24)).view(_U)
+        size = part * (width * (of >> 5 & 0x7FFFF)).view(_U)
+        by2 = (mixer.said[0] == own) & (two > 0)
+        some = np.flatnonzero(by2)
+        begin[some], size[some] = 0, unit[some] * two[some]
+        some = np.flatnonzero((mixer.said[1] == own) & ~by2 & (both > two))
+        begin[some] = unit[some] * two[some]
+        size[some] = guessed[some] - begin[some]
+        mixer.learn(live, own, kind)
+        low[:live] += begin
+        span[:live] = size
+        over = np.flatnonzero(low > _FULL)
         if len(over):
-            flat[start[over] + used[over] - 1] += 1
-            low[over] &= np.uint64((1 << 56) - 1)
-        while len(some := np.flatnonzero(span[:live] < np.uint64(1 << 40))):
+            flat[at[over] - lanes] += 1
+            low[over] &= _FULL
+        while len(some := np.flatnonzero(span[:live] < _SHORT)):
             shift(some)
     for _ in range(4):
         shift(np.arange(lanes))
-    for at in range(digits.shape[1] - 1, 0, -1):  # carries run to the front
-        digits[:, at - 1] += digits[:, at] >> 16
-    digits &= 0xFFFF
-    return known, cum, [digits[i, : used[i]].astype("<u2") for i in range(lanes)]
+    used = at // max(1, lanes)
+    for i in range(int(used.max(initial=1)) - 1, 0, -1):  # carries run to the front
+        digits[i - 1] += digits[i] >> 16
+    digits = np.ascontiguousarray(digits[: used.max(initial=0)].T).astype("<u2")
+    return order0, [digits[i, :n] for i, n in enumerate(used.tolist())]
 
 
-def decode(known: np.ndarray, cum: np.ndarray, sizes: list[int], blocks: list[np.ndarray]) -> np.ndarray:
-    lanes = len(sizes)
-    width = max((len(b) for b in blocks), default=0) + 8
-    digits = np.zeros((lanes, width), dtype=np.uint64)
+def decode(order0: Order0, sizes: list[int], blocks: list[np.ndarray]) -> np.ndarray:
+    """The ids of whole blocks and at last one shorter block; any of a segment's blocks will do."""
+    lanes, bits = len(sizes), order0.bits
+    digits = np.zeros((lanes, max((len(b) for b in blocks), default=0) + 4), dtype=_U)
     for i, b in enumerate(blocks):
         digits[i, : len(b)] = b
-    flat, start = digits.ravel(), np.arange(lanes, dtype=np.int64) * width
-    used = np.full(lanes, 4, dtype=np.int64)
-    # the first digit lies at bits 40 to 55, as the encoder's first shift takes it
-    code = (digits[:, 0] << np.uint64(40)) + (digits[:, 1] << np.uint64(24)) + (digits[:, 2] << np.uint64(8)) + (digits[:, 3] >> np.uint64(8)) if lanes else np.zeros(0, dtype=np.uint64)
-    spare = digits[:, 3] & np.uint64(0xFF) if lanes else code
-    span = np.full(lanes, (1 << 56) - 1, dtype=np.uint64)
+    digits = np.ascontiguousarray(digits.T)
+    flat, at = digits.ravel(), np.arange(lanes, dtype=np.int64) + 4 * lanes
+    # The first digit lies at bits 47 to 62, as the encoder's shift takes it; a bit of the last one waits.
+    code = (digits[0] << _U(47)) + (digits[1] << _U(31)) + (digits[2] << _U(15)) + (digits[3] >> _U(1))
+    spare = digits[3] & _U(1)
+    span = np.full(lanes, (1 << 63) - 1, dtype=_U)
     mixer = Mixer(lanes)
-    grid = np.zeros((BLOCK, lanes), dtype=np.int64)
+    grid = np.zeros((BLOCK, lanes), dtype=np.int32)
+    most = (1 << (_SHARE + bits)) - 1
     for t in range(max(sizes, default=0)):
         live = lanes if t < sizes[-1] else lanes - 1
-        unit, first, rest = mixer.predict(live)
-        step = span[:live] >> np.uint64(_BITS)
-        value = np.minimum(code[:live] // step, np.uint64((1 << _BITS) - 1)).astype(np.int64)
-        zero = value >= rest
-        r = np.where(zero, np.searchsorted(cum, np.where(zero, (value - rest) // unit, 0), "right") - 1, 0)
-        by2 = value < first
-        own = np.where(by2, mixer.said[0], np.where(zero, known[r], mixer.said[1]))
-        begin = np.where(by2, 0, np.where(zero, rest + cum[r] * unit, first))
-        size = np.where(by2, first, np.where(zero, (cum[r + 1] - cum[r]) * unit, rest - first))
-        mixer.learn(live, own)
+        two, both = mixer.predict(live)
+        now = code[:live]
+        unit = span[:live] >> _U(16)
+        guessed = unit * both
+        part = (span[:live] - guessed) >> _U(_SHARE + bits)
+        plain = now >= guessed
+        rest, part_ = ((now - guessed) * plain).view(np.int64), part.view(np.int64)
+        value = (rest / part_).astype(np.int64)  # a quotient of doubles, off by one at most
+        left = rest - value * part_
+        value += (left >= part_).view(np.int8) - (left < 0).view(np.int8)
+        value = np.minimum(value, most)
+        kind = mixer.class_of(live, value >> bits)
+        begin, width = mixer.class_bounds(live, kind)
+        begin <<= bits
+        own = order0.inverse.take(order0.begin.take(kind) + (value - begin) // width, mode="clip")
+        of = order0.packed.take(own)
+        begin = guessed + part * (begin + width * (of >> 24)).view(_U)
+        size = part * (width * (of >> 5 & 0x7FFFF)).view(_U)
+        some = np.flatnonzero(~plain)
+        first = unit[some] * two[some]
+        by2 = now[some] < first
+        begin[some] = np.where(by2, _U(0), first)
+        size[some] = np.where(by2, first, guessed[some] - first)
+        own[some] = np.where(by2, mixer.said[0][some], mixer.said[1][some])
+        kind[some] = order0.kind.take(own[some])
+        mixer.learn(live, own, kind)
         grid[t, :live] = own
-        code[:live] -= step * begin.astype(np.uint64)
-        span[:live] = step * size.astype(np.uint64)
-        while len(some := np.flatnonzero(span[:live] < np.uint64(1 << 40))):
-            digit = flat[start[some] + used[some]]
-            used[some] += 1
-            code[some] = (code[some] << np.uint64(16)) + (spare[some] << np.uint64(8)) + (digit >> np.uint64(8))
-            spare[some] = digit & np.uint64(0xFF)
-            span[some] <<= np.uint64(16)
-    return grid.T.ravel()[: sum(sizes)]
+        code[:live] -= begin
+        span[:live] = size
+        while len(some := np.flatnonzero(span[:live] < _SHORT)):
+            place = at[some]
+            digit = flat.take(place, mode="clip")
+            at[some] = place + lanes
+            code[some] = (code[some] << _U(16)) + (spare[some] << _U(15)) + (digit >> _U(1))
+            spare[some] = digit & _U(1)
+            span[some] <<= _U(16)
+    return order0.known[grid.T.ravel()[: sum(sizes)]]
 
 
 def pack_segment(docs: list, lengths: list[int], ids: np.ndarray) -> bytes:
-    known, cum, blocks = encode(ids)
+    order0, blocks = encode(ids)
     sizes = _lanes(len(ids))
     sums = [zlib.crc32(ids[i * BLOCK : i * BLOCK + s].astype("<u4").tobytes()) for i, s in enumerate(sizes)]
-    head = zlib.compress(json.dumps({"docs": docs, "lengths": lengths, "known": np.diff(known, prepend=0).tolist(), "freq": np.diff(cum).tolist(), "digits": [len(b) for b in blocks], "sizes": sizes, "crc32": sums}).encode(), 6)
+    head = zlib.compress(json.dumps({"docs": docs, "lengths": lengths, "known": order0.known.tolist(), "freq": order0.freq.tolist(), "kind": order0.kind.tolist(), "bits": order0.bits, "digits": [len(b) for b in blocks], "sizes": sizes, "crc32": sums}).encode(), 6)
     body = b"".join(b.tobytes() for b in blocks)
     return MAGIC + len(head).to_bytes(8, "little") + len(body).to_bytes(8, "little") + head + body
 
 
-def open_segment(data: bytes) -> tuple[list, list[int], np.ndarray]:
+def _opened(data: bytes) -> tuple[dict, Order0, list[np.ndarray]]:
     if data[:8] != MAGIC:
         raise ValueError("not a segment of token ids")
     n = int.from_bytes(data[8:16], "little")
     head = json.loads(zlib.decompress(data[24 : 24 + n]))
     digits = np.frombuffer(data, dtype="<u2", offset=24 + n)
-    cuts = np.cumsum(head["digits"])[:-1] if head["digits"] else []
-    blocks = np.split(digits, cuts) if head["digits"] else []
-    known, cum = np.cumsum(np.array(head["known"], dtype=np.int64)), np.concatenate(([0], np.cumsum(np.array(head["freq"], dtype=np.int64))))
-    ids = decode(known, cum, head["sizes"], blocks)
+    order0 = Order0(*(np.array(head[c], dtype=np.int64) for c in ("known", "freq", "kind")), head["bits"])
+    return head, order0, np.split(digits, np.cumsum(head["digits"])[:-1]) if head["digits"] else []
+
+
+def _check(ids: np.ndarray, sizes: list[int], sums: list[int]) -> np.ndarray:
     at = 0
-    for size, crc in zip(head["sizes"], head["crc32"]):
+    for size, crc in zip(sizes, sums):
         if zlib.crc32(ids[at : at + size].astype("<u4").tobytes()) != crc:
             raise ValueError("a block of token ids does not match its checksum")
         at += size
-    return head["docs"], head["lengths"], ids
+    return ids
+
+
+def open_segment(data: bytes) -> tuple[list, list[int], np.ndarray]:
+    head, order0, blocks = _opened(data)
+    return head["docs"], head["lengths"], _check(decode(order0, head["sizes"], blocks), head["sizes"], head["crc32"])
+
+
+def open_block(data: bytes, i: int) -> np.ndarray:
+    """The ids of one block of a segment, decoded alone."""
+    head, order0, blocks = _opened(data)
+    return _check(decode(order0, head["sizes"][i : i + 1], blocks[i : i + 1]), head["sizes"][i : i + 1], head["crc32"][i : i + 1])
+
+
+def _tasks(spark, most: int, least: int) -> int:
+    """As many tasks as bound each one's share, and enough to keep all cores busy where there is work for them."""
+    return max(1, most, min(least, 4 * spark.sparkContext.defaultParallelism))
 
 
 def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int = END) -> DataFrame:
     """Writes the files in ascending doc_id order; returns the stored manifest, one line per segment."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    placed = rows.repartitionByRange(max(1, -(-total // PART_BYTES)), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    parts = _tasks(docs.sparkSession, -(-total // PART_BYTES), total >> 22)
+    placed = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     tail = end.to_bytes(4, "little")
 
     def run(batches):
@@ -247,8 +341,13 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and ids (little-endian unsigned 32-bit) of every document in the files."""
-    # One line per segment of about SEGMENT ids, so the running total over lines is short.
-    base = manifest.withColumn("base", F.sum("n_ids").over(Window.orderBy("part", "segment")) - F.col("n_ids"))
+    # The running total goes over groups of parts, then parts of a group, then lines of a part.
+    part = manifest.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("some", F.floor(F.sqrt("part")))
+    some = part.groupBy("some").agg(F.sum("n").alias("all"))
+    ahead = lambda n, by: F.sum(n).over(by) - F.col(n)
+    before = some.select("some", ahead("all", Window.orderBy("some")).alias("of_some"))  # a row for a few thousand parts
+    parts = part.withColumn("of_part", ahead("n", Window.partitionBy("some").orderBy("part"))).join(before, "some").select("part", (F.col("of_some") + F.col("of_part")).alias("of_part"))
+    base = manifest.withColumn("of_line", ahead("n_ids", Window.partitionBy("part").orderBy("segment"))).join(parts, "part").withColumn("base", F.col("of_part") + F.col("of_line"))
 
     def run(batches):
         source = files.Reader(folder)
@@ -261,8 +360,9 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ends - lengths + first, pa.int64()), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array(own, pa.binary())], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
         source.close()
 
-    lines = manifest.count()
-    return base.repartition(max(1, lines), "file", "segment").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    size = manifest.agg(F.count("*"), F.sum("n_ids")).first()
+    tasks = _tasks(manifest.sparkSession, -(-(size[1] or 0) // PART_IDS), size[0])
+    return base.repartition(tasks, "file", "segment").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def round_trip(docs: DataFrame, vocabulary: str | None = None, end: int = END) -> DataFrame:
