@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +18,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set only where the session names none (tests)."""
+    """The folder that driver and executors share. In local mode (tests) one is made where the session names none; a cluster must name it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='parley-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -59,14 +62,47 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def matched(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """The rows of docs whose doc_id and text key are (left_semi) or are not (left_anti) among those of keys; null equals null.
+
+    The helper columns take names that docs does not have.
+    """
+    taken = {c.lower() for c in docs.columns}
+    own, d, t = (_free(n, taken) for n in ("parley_key", "parley_d", "parley_t"))
+    right = keys.select(F.col("doc_id").alias(d), F.col("tkey").alias(t))
+    keyed = docs.withColumn(own, text_key(F.col("text")))
+    return keyed.join(right, keyed["doc_id"].eqNullSafe(right[d]) & (keyed[own] == right[t]), how).drop(own)
+
+
+def beside(docs: DataFrame, found: DataFrame, column: str) -> tuple[DataFrame, str]:
+    """docs with a column of found (doc_id, tkey, column) where the row has one, and the name it takes."""
+    taken = {c.lower() for c in docs.columns}
+    own, d, t, name = (_free(n, taken) for n in ("parley_key", "parley_d", "parley_t", f"parley_{column}"))
+    right = found.select(F.col("doc_id").alias(d), F.col("tkey").alias(t), F.col(column).alias(name))
+    keyed = docs.withColumn(own, text_key(F.col("text")))
+    return keyed.join(right, keyed["doc_id"].eqNullSafe(right[d]) & (keyed[own] == right[t]), "left").drop(own, d, t), name
+
+
+def one_of_equal(docs: DataFrame) -> DataFrame:
+    """One row of every doc_id and text; a second pass over the texts only where there are repeats."""
+    own = _free("parley_key", {c.lower() for c in docs.columns})
+    keyed = docs.withColumn(own, text_key(F.col("text")))
+    repeated = not keyed.groupBy("doc_id", own).count().where("count > 1").isEmpty()
+    return keyed.dropDuplicates(["doc_id", own]).drop(own) if repeated else docs
+
+
+def _free(name: str, taken: set[str]) -> str:
+    while name in taken:
+        name = f"{name}_"
+    return name
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """Texts of an Arrow column as UTF-8; null gives b''."""
     binary = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
     return [x or b"" for x in binary.to_pylist()]
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
@@ -105,21 +141,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end byte of every word in a byte buffer."""
-    inside = np.concatenate(([False], ~_SPACE[data], [False]))
+def word_spans(data: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end byte of every word in a byte buffer: the runs of bytes that are not `between` words."""
+    inside = np.concatenate(([False], ~between[data], [False]))
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     return edge[0::2], edge[1::2]
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, from one running polynomial over the whole buffer."""
+#: Bytes beyond which a word is hashed by the library call; shorter ones eight bytes at a time, all words at once.
+_LONG = 64
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
+_SEEDS = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD1B54A32D192ED03, 0xA0761D6478BD642F))
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word; every eight bytes are scrambled (not summed up), so words with inner patterns do not collide.
+
+    The hashes of seed 0 and 1 are independent.
+    """
+    first, factor = (np.uint64(x) for x in _SEEDS[seed])
+    size = end - start
+    out = (size.astype(np.uint64) + np.uint64(1)) * first
     if not len(start):
-        return np.zeros(0, dtype=np.uint64)
-    up, down = powers(_BASE, len(data) + 1), powers(_inverse(_BASE), len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+        return out
+    eight = np.lib.stride_tricks.as_strided(np.concatenate((data, np.zeros(8, dtype=np.uint8))).view(), (len(data) + 1, 8), (1, 1))
+    some, at = np.arange(len(start)), start
+    left = np.where(size > _LONG, 0, size)
+    while True:
+        part = np.ascontiguousarray(eight[at]).view("<u8").ravel() & _MASKS[np.minimum(left, 8)]
+        out[some] = mix((out[some] ^ part) * factor + first)
+        go = np.flatnonzero(left > 8)
+        if not len(go):
+            break
+        some, at, left = some[go], at[go] + 8, left[go] - 8
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), seed)
+    return out
 
 
 def span_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:

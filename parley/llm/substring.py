@@ -3,7 +3,7 @@
 Rabin-Karp hashes are taken of every window. To shuffle few of them, each window names one short run inside it, the one
 of RUN words with the smallest hash (equal windows name equal runs, and neighbouring windows mostly the same one). Spark
 counts the runs; only windows whose run occurs at least twice can repeat. The windows that name one run form a stretch.
-First whole stretches are counted by their 128-bit hashes: a stretch that also starts earlier goes whole. What is left,
+First whole stretches are counted by their 128-bit hashes (two independent ones of every word, combined in order): a stretch that also starts earlier goes whole. What is left,
 stretches that are the first of their kind, is counted window by window where their run has other stretches too (every
 window's first place lies in one of these). Later windows are covered, and covers merge into maximal intervals.
 
@@ -36,9 +36,11 @@ def chosen_runs(hashes: np.ndarray, window: int, run: int) -> tuple[np.ndarray,
     return runs, np.lib.stride_tricks.sliding_window_view(runs, span).argmin(axis=1) + np.arange(len(runs) - span + 1)
 
 
-def _hashes(text: bytes) -> np.ndarray:
+def _hashes(text: bytes, seeds: tuple[int, ...] = (0,)) -> list[np.ndarray]:
+    """For each seed the hash of every word; two seeds make 128 bits."""
     data = np.frombuffer(text, dtype=np.uint8)
-    return common.word_hashes(data, *common.word_spans(data))
+    start, end = common.word_spans(data)
+    return [common.word_hashes(data, start, end, seed) for seed in seeds]
 
 
 def _digest(words: list[bytes]) -> str:
@@ -66,7 +68,7 @@ def removed(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> tuple[Data
                     runs.append(np.zeros(0, dtype=np.int64))
                     times.append(runs[-1])
                     continue
-                hashes, place = chosen_runs(_hashes(text), window, run)
+                hashes, place = chosen_runs(_hashes(text)[0], window, run)
                 value, count = np.unique(hashes[np.unique(place)].view(np.int64), return_counts=True)
                 runs.append(value)
                 times.append(count)
@@ -83,26 +85,27 @@ def removed(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> tuple[Data
     else:
         surveyed = surveyed.withColumn("own", F.lit(True))
     named = surveyed.where("own").select("rid", F.explode(F.arrays_zip("runs", "times")).alias("r")).select("rid", F.col("r.runs").alias("run"), F.col("r.times").alias("times"))
-    twice = named.groupBy("run").agg(F.sum("times").alias("n")).where("n > 1").select(F.col("run").alias("twice"))
+    # Written and read again, so that the join deals out both sides and a run with very many rows can be split.
+    twice, twice_path = common.store(named.groupBy("run").agg(F.sum("times").alias("n")).where("n > 1").select(F.col("run").alias("twice")), "twice")
     suspects = named.select("rid", "run").join(twice, F.col("run") == F.col("twice")).groupBy("rid").agg(F.collect_list("run").alias("twice"))
     suspects, suspects_path = common.store(suspects.join(surveyed.where("own").select("rid", F.col("doc_id").alias("d"), F.col("tkey").alias("t")), "rid"), "suspects")
     found = rows.join(suspects, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["tkey"] == F.col("t"))).select("rid", "doc_id", "text", "twice")
     candidates, _ = common.store(found.dropDuplicates(["rid"]) if repeated else found, "candidates")
-    common.drop(spark, suspects_path)
+    common.drop(spark, suspects_path, twice_path)
 
     def stretches(batches):
         """A row for each stretch of windows that name one place of a run that occurs twice."""
         for batch in batches:
             out: list[list[np.ndarray]] = [[] for _ in range(6)]
             for at, (text, twice) in enumerate(zip(common.as_bytes(batch.column("text")), batch.column("twice"))):
-                words = _hashes(text)
-                runs, place = chosen_runs(words, window, run)
+                words = _hashes(text, (0, 1))
+                runs, place = chosen_runs(words[0], window, run)
                 edge = np.flatnonzero(np.diff(place, prepend=-1, append=-1))
                 start, end = edge[:-1], edge[1:]
                 key = runs[place[start]].view(np.int64)
                 hit = np.isin(key, twice.values.to_numpy(zero_copy_only=False))
                 start, end = start[hit], end[hit]
-                g = [common.span_hashes(words, start, end + window - 1, b).view(np.int64) for b in (_B1, _B2)]
+                g = [common.span_hashes(w, start, end + window - 1, b).view(np.int64) for w, b in zip(words, (_B1, _B2))]
                 for column, value in zip(out, (np.full(len(start), at), key[hit], start, end - start, *g)):
                     column.append(value)
             yield _gathered(batch, out, ["run", "at", "n", "h1", "h2"])
@@ -117,10 +120,10 @@ def removed(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> tuple[Data
         for batch in batches:
             out: list[list[np.ndarray]] = [[] for _ in range(4)]
             for at, (text, spans) in enumerate(zip(common.as_bytes(batch.column("text")), batch.column("spans"))):
-                words = _hashes(text)
+                words = _hashes(text, (0, 1))
                 begin, count = (spans.values.field(f).to_numpy(zero_copy_only=False) for f in ("at", "n"))
                 hit = np.repeat(begin - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-                for column, value in zip(out, (np.full(len(hit), at), hit, *(common.rolling(words, window, b)[hit].view(np.int64) for b in (_B1, _B2)))):
+                for column, value in zip(out, (np.full(len(hit), at), hit, *(common.rolling(w, window, b)[hit].view(np.int64) for w, b in zip(words, (_B1, _B2))))):
                     column.append(value)
             yield _gathered(batch, out, ["at", "h1", "h2"])
 
@@ -156,10 +159,13 @@ def _gathered(batch: pa.RecordBatch, out: list[list[np.ndarray]], names: list[st
 
 def _mark_later(found: DataFrame) -> DataFrame:
     """Adds `later`: the same hashes also start earlier (smaller doc_id, or the same document and an earlier word)."""
+    found, _ = common.store(found, "found")
     known = F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "at")
-    first = found.groupBy(F.col("h1").alias("g1"), F.col("h2").alias("g2")).agg(F.min(known).alias("first"))
-    joined = found.join(first, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
-    return joined.withColumn("later", known > F.col("first")).drop("h1", "h2", "g1", "g2", "first")
+    first = found.groupBy(F.col("h1").alias("g1"), F.col("h2").alias("g2")).agg(F.min(known).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Written and read again: see `twice`.
+    first, _ = common.store(first, "first")
+    joined = found.join(first, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
+    return joined.withColumn("later", F.coalesce(known > F.col("first"), F.lit(False))).drop("h1", "h2", "g1", "g2", "first")
 
 
 def digest(whole: DataFrame, cut: DataFrame) -> DataFrame:
