@@ -1,40 +1,48 @@
 """Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
-Words are lower-cased and stripped of signs at both ends. Every n-gram of an item is a candidate seed; how many rows of
-the whole corpus hold it is counted first, and an item keeps the seeds that are rare for it (at most RARE_FACTOR times
-its median count, or RARE_FLOOR), so a phrase common everywhere is no seed, while the seeds of an item that leaked into
-very many documents stay. A document's passage around the seeds of an item is aligned locally with the item's words
-(+2 match, -1 mismatch, -1 gap); the score is a share of the best possible one. Items are taken in blocks of bounded
-bytes, each block against all documents, so a benchmark of any size works.
-
-Defined results: null or empty texts and empty benchmark items match nothing; equal scores go to the smallest item_id;
-an item shorter than the n-gram uses its whole word sequence as one seed; repeated rows keep a row each; an empty
-benchmark or corpus gives no contamination; extra columns are ignored.
+Words are the runs of letters and digits of the lower-cased text (any byte beyond ASCII counts as a letter). Every n-gram
+of an item is a seed, named by a 64-bit hash. One scan of the corpus gives the places of the seeds in every document;
+where the benchmark's seeds take no more than FILTER_BYTES they go along as a filter, a larger benchmark meets all n-grams
+of the corpus in the shuffle. Spark counts in how many rows a seed stands, and an item keeps the seeds that are rare for
+it (at most FACTOR times the median of its seeds' counts, or FLOOR): a phrase that is common everywhere does not
+name a passage, while the seeds of an item that leaked into very many documents stay. If an item had only common seeds,
+its median would be as common, so every item keeps at least half of its seeds. Rare seeds are joined with their places;
+places of an item in a document that lie near each other make one passage, which is aligned locally with the item's
+words (+2 match, -1 mismatch, -1 gap). The score is a share of the best possible one.
+
+Defined results: null or empty texts and empty benchmark items match nothing; equal scores go to the smallest item_id,
+then the earliest passage; an item shorter than the n-gram has its whole word sequence as its one seed; repeated rows
+keep a row each; an empty benchmark or corpus gives no contamination; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-import uuid
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 N = 3
-THRESHOLD = 0.55
-RARE_FLOOR, RARE_FACTOR = 20, 20
-#: UTF-8 bytes of the items that one pass takes to every task.
-BLOCK_BYTES = 16 << 20
-_WORDS = re.compile(r"\w+(?:[^\w\s]+\w+)*")
+THRESHOLD = 0.33
+FLOOR, FACTOR = 20, 20
+#: Bytes of seeds (8 each) up to which they are sent to every task as a filter.
+FILTER_BYTES = 64 << 20
+_SIGNS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+#: Bytes of text that are hashed in one go.
+_CHUNK = 2 << 20
+_BASE = 0xE7037ED1A0B428DB
+
+
+def word_codes(text: str) -> np.ndarray:
+    """A 64-bit hash of every word of a text, in order."""
+    data = np.frombuffer(text.lower().encode("utf-8", "replace"), dtype=np.uint8)
+    return common.word_hashes(data, *common.word_spans(data, _SIGNS))
 
 
-def words_of(text: str) -> list[str]:
-    return _WORDS.findall(text.lower())
+def grams(codes: np.ndarray, n: int) -> np.ndarray:
+    return common.rolling(codes, n, _BASE).view(np.int64)
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> int:
@@ -49,132 +57,132 @@ def align(item: np.ndarray, passage: np.ndarray) -> int:
     return best
 
 
-class Items:
-    """The items of one block: word codes, and seed n-gram -> items that hold it."""
-
-    def __init__(self, rows: list[tuple[int, str]], n: int):
-        self.codes: dict[str, int] = {}
-        self.words: dict[int, np.ndarray] = {}
-        self.seeds: dict[tuple, set[int]] = defaultdict(set)
-        for item, text in rows:
-            words = words_of(text or "")
-            if words:
-                self.words[item] = np.array([self.codes.setdefault(w, len(self.codes)) for w in words], dtype=np.int64)
-                own = self.words[item].tolist()
-                for i in range(max(1, len(own) - n + 1)):
-                    self.seeds[tuple(own[i : i + n])].add(item)
-        self.short = sorted({len(s) for s in self.seeds if len(s) < n})
-
-    def hits(self, text: str, n: int):
-        """The text's word codes (-1: in no item) and, for each seed in it, its places."""
-        code = self.codes.get
-        words = [code(w, -1) for w in words_of(text)]
-        found: dict[tuple, list[int]] = defaultdict(list)
-        for size in (*self.short, n):
-            known = np.array(words, dtype=np.int64)
-            ok = np.convolve(known >= 0, np.ones(size, dtype=int), "valid") == size if len(known) >= size else np.zeros(0, dtype=bool)
-            for i in np.flatnonzero(ok).tolist():
-                gram = tuple(words[i : i + size])
-                if gram in self.seeds:
-                    found[gram].append(i)
-        return words, found
-
-
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total * 2 // block_bytes))
-    return [benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
-
-
-def scores(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def items_of(benchmark: DataFrame, n: int) -> DataFrame:
+    """(item_id, words, seeds): word hashes and distinct seed hashes of every item that has words.
+
+    Shorter items take one seed of their own length, so `sizes` of seeds may be 1 to n.
+    """
+
+    def run(batches):
+        for batch in batches:
+            words = [word_codes(t or "") for t in batch.column(1).to_pylist()]
+            seeds = [np.unique(grams(w, min(n, max(1, len(w))))).tolist() for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w.view(np.int64).tolist() for w in words], pa.list_(pa.int64())), pa.array(seeds, pa.list_(pa.int64()))], names=["item_id", "words", "seeds"])
+
+    rows = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    return rows.mapInArrow(run, "item_id long, words array<long>, seeds array<long>").where(F.size("words") > 0)
+
+
+def places_of(rows: DataFrame, kind: str, n: int, sizes: list[int], known: np.ndarray | None) -> DataFrame:
+    """(doc_id, tkey, seed, at): where n-grams (of `known` ones alone, if given) stand in every row; at counts words."""
+    if known is not None:
+        known = np.sort(known)
+        bits = np.zeros(1 << 20, dtype=bool)
+        bits[known & (len(bits) - 1)] = True
+
+    def look(batch: pa.RecordBatch, first: int, texts: list[bytes]) -> pa.RecordBatch:
+        """The places in some neighbouring texts of a batch, hashed in one go."""
+        data = np.frombuffer(b" ".join(texts), dtype=np.uint8)
+        start, end = common.word_spans(data, _SIGNS)
+        codes = common.word_hashes(data, start, end)
+        begin = np.cumsum([0] + [len(t) + 1 for t in texts])
+        row = np.searchsorted(begin, start, "right") - 1
+        word = np.searchsorted(start, begin)  # the first word of each text
+        out: list[list[np.ndarray]] = [[], [], []]
+        for size in sizes:
+            found = grams(codes, size)
+            at = np.flatnonzero(row[: len(found)] == row[size - 1 :]) if len(found) else np.zeros(0, dtype=np.int64)
+            if known is not None:
+                at = at[bits[found[at] & (len(bits) - 1)]]
+                near = np.minimum(np.searchsorted(known, found[at]), max(0, len(known) - 1))
+                at = at[known[near] == found[at]] if len(known) else at[:0]
+            for column, value in zip(out, (row[at], found[at], at - word[row[at]])):
+                column.append(value)
+        cols = [pa.array(np.concatenate(c)) for c in out]
+        of = pa.array(np.concatenate(out[0]) + first)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *cols[1:]], names=["doc_id", "tkey", "seed", "at"])
+
+    def run(batches):
+        for batch in batches:
+            first, held, size = 0, [], 0
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                held.append((text or "").lower().encode("utf-8", "replace"))
+                size += len(held[-1])
+                if size > _CHUNK:
+                    yield look(batch, first, held)
+                    first, held, size = i + 1, [], 0
+            if held:
+                yield look(batch, first, held)
+
+    return rows.mapInArrow(run, f"doc_id {kind}, tkey long, seed long, at long")
+
+
+def scores(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """(doc_id, tkey, item_id, score, start_word, end_word) of the best item of every row that reaches the threshold."""
-    spark = docs.sparkSession
+    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", common.text_key(F.col("text")).alias("tkey"), "text")
-    kind = dict(docs.dtypes)["doc_id"]
-    out = None
-    for block in _blocks(benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text"), block_bytes):
-        listed = sorted((r["item_id"], r["text"]) for r in block.toLocalIterator() if r["item_id"] is not None)
-        items = spark.sparkContext.broadcast((uuid.uuid4().hex, listed))
-
-        def count(batches, items=items):
-            known = _block(items, n)
-            for batch in batches:
-                tally: dict[tuple, int] = defaultdict(int)
-                for text in batch.column("text").to_pylist():
-                    if text:
-                        for gram in known.hits(text, n)[1]:
-                            tally[gram] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(["\x1f".join(map(str, g)) for g in tally], pa.string()), pa.array(list(tally.values()), pa.int64())], names=["gram", "n"])
-
-        # One row per seed of the block at most: bounded by the block's size.
-        df = {tuple(map(int, r["gram"].split("\x1f"))): r["n"] for r in rows.select("text").mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
-        rare = spark.sparkContext.broadcast(rare_seeds(Items(listed, n), df))
-
-        def match(batches, items=items, rare=rare):
-            known, chosen = _block(items, n), rare.value
-            for batch in batches:
-                got = [best(known, chosen, t, n, threshold) if t else None for t in batch.column("text").to_pylist()]
-                at = [i for i, g in enumerate(got) if g]
-                cols = list(zip(*(got[i] for i in at))) if at else [()] * 4
-                kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), batch.column(1).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "tkey", "item_id", "score", "start_word", "end_word"])
-
-        found = rows.mapInArrow(match, f"doc_id {kind}, tkey long, item_id long, score double, start_word long, end_word long")
-        out = found if out is None else out.union(found)
-    # distinct: repeated rows give equal findings.
-    return out.groupBy("doc_id", "tkey").agg(F.max_by(F.struct("item_id", "score", "start_word", "end_word"), F.struct("score", -F.col("item_id"))).alias("m")).select("doc_id", "tkey", "m.*")
-
-
-_HELD: dict[tuple[str, int], Items] = {}
-
-
-def _block(items, n: int) -> Items:
-    """The block's seeds, built once in a worker process; the name sent along tells blocks apart, whatever address they get."""
-    name, rows = items.value
-    if (name, n) not in _HELD:
-        _HELD.clear()
-        _HELD[name, n] = Items(rows, n)
-    return _HELD[name, n]
-
-
-def rare_seeds(items: Items, df: dict[tuple, int]) -> dict[tuple, set[int]]:
-    counts = defaultdict(list)
-    for gram, own in items.seeds.items():
-        for item in own:
-            counts[item].append(df.get(gram, 0))
-    most = {item: max(RARE_FLOOR, RARE_FACTOR * float(np.median(c))) for item, c in counts.items()}
-    chosen = {gram: {i for i in own if df.get(gram, 0) <= most[i]} for gram, own in items.seeds.items()}
-    return {gram: own for gram, own in chosen.items() if own}
-
-
-def best(items: Items, rare: dict, text: str, n: int, threshold: float):
-    """The best item and its passage in one text, or None."""
-    words, found = items.hits(text, n)
-    places: dict[int, list[int]] = defaultdict(list)
-    for gram, at in found.items():
-        for item in rare.get(gram, ()):
-            places[item].extend(at)
-    top = None
-    codes = np.array(words, dtype=np.int64)
-    for item in sorted(places):
-        own = items.words[item]
-        around = len(own) + len(own) // 2 + n
-        at = sorted(set(places[item]))
-        lo = at[0]
-        last = at[0]
-        spans = []
-        for x in at[1:]:
-            if x - last > around:
-                spans.append((lo, last))
-                lo = x
-            last = x
-        spans.append((lo, last))
-        for a, b in spans:
-            a, b = max(0, a - around), min(len(codes), b + around)
-            score = align(own, codes[a:b]) / (2 * len(own))
-            if score >= threshold and (top is None or score > top[1]):
-                top = (item, score, a, b)
-    return top
+    items, _ = common.store(items_of(benchmark, n), "items")
+    seeds = items.select("item_id", F.explode("seeds").alias("seed"))
+    sizes = sorted({n, *(r[0] for r in items.select(F.size("words").alias("n")).where(F.col("n") < n).distinct().collect())})  # at most n values
+    few = seeds.select("seed").distinct()
+    known = None
+    if few.count() * 8 <= filter_bytes:
+        known = np.array([r["seed"] for r in few.collect()], dtype=np.int64)
+    # Equal rows have equal places, which count once.
+    places, _ = common.store(places_of(rows, kind, n, sizes, known), "places")
+    held = places.select("doc_id", "tkey", "seed").distinct().groupBy("seed").agg(F.count("*").alias("rows"))
+    counted = seeds.join(held, "seed", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    usual = counted.groupBy("item_id").agg(F.median("rows").alias("usual"))
+    rare, _ = common.store(counted.join(usual, "item_id").where(F.col("rows") <= F.greatest(F.lit(float(FLOOR)), FACTOR * F.col("usual"))).select("seed", "item_id"), "rare_seeds")
+    length = items.select("item_id", F.size("words").alias("length"))
+    hits = places.distinct().join(rare, "seed").join(length, "item_id").select("doc_id", "tkey", "item_id", "at", (F.col("length") + F.floor(F.col("length") / 2) + n).cast("int").alias("around"))
+    # Places further apart than an item and a half start another passage.
+    in_order = Window.partitionBy("doc_id", "tkey", "item_id").orderBy("at")
+    cut = hits.withColumn("new", F.coalesce(F.col("at") - F.lag("at").over(in_order) > F.col("around"), F.lit(True)).cast("int")).withColumn("no", F.sum("new").over(in_order))
+    passages = cut.groupBy("doc_id", "tkey", "item_id", "no").agg(F.greatest(F.min("at") - F.first("around"), F.lit(0)).alias("a"), (F.max("at") + F.first("around")).alias("b"), F.count("*").alias("seeds"))
+    passages, _ = common.store(passages.select(F.col("doc_id").alias("d"), F.col("tkey").alias("t"), "item_id", "a", "b"), "passages")
+    wanted = passages.groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct("item_id", "a", "b"))).alias("spans"))
+    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["tkey"] == F.col("t")))
+
+    def passages_of(batches):
+        """The word hashes of each passage: what alignment needs, however long the document."""
+        for batch in batches:
+            at, item, a, b, words = [], [], [], [], []
+            for i, (text, spans) in enumerate(zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())):
+                codes = word_codes(text or "").view(np.int64)
+                for s in spans:
+                    lo, hi = s["a"], min(s["b"], len(codes))
+                    for column, value in zip((at, item, a, b, words), (i, s["item_id"], lo, hi, codes[lo:hi].tolist())):
+                        column.append(value)
+                    if len(at) == 20_000:
+                        yield _passages(batch, at, item, a, b, words)
+                        at, item, a, b, words = [], [], [], [], []
+            yield _passages(batch, at, item, a, b, words)
+
+    cut_out = texts.select("doc_id", "tkey", "text", "spans").mapInArrow(passages_of, f"doc_id {kind}, tkey long, item_id long, start_word long, end_word long, passage array<long>")
+    pairs = cut_out.join(items.select("item_id", "words"), "item_id")
+
+    def score(batches):
+        for batch in batches:
+            item, passage = batch.column("words"), batch.column("passage")
+            found = [_share(item[i].values.to_numpy(), passage[i].values.to_numpy(), threshold) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "tkey", "item_id", "start_word", "end_word")), pa.array(found, pa.float64())], names=["doc_id", "tkey", "item_id", "start_word", "end_word", "score"])
+
+    scored = pairs.select("doc_id", "tkey", "item_id", "start_word", "end_word", "words", "passage").mapInArrow(score, f"doc_id {kind}, tkey long, item_id long, start_word long, end_word long, score double").where(F.col("score") >= threshold)
+    best = F.max_by(F.struct("item_id", "score", "start_word", "end_word"), F.struct("score", -F.col("item_id"), -F.col("start_word")))
+    return scored.groupBy("doc_id", "tkey").agg(best.alias("m")).select("doc_id", "tkey", "m.*")
+
+
+def _passages(batch: pa.RecordBatch, at: list, item: list, a: list, b: list, words: list) -> pa.RecordBatch:
+    rows = pa.array(at, pa.int64())
+    return pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("tkey").take(rows), *(pa.array(c, pa.int64()) for c in (item, a, b)), pa.array(words, pa.list_(pa.int64()))], names=["doc_id", "tkey", "item_id", "start_word", "end_word", "passage"])
+
+
+def _share(item: np.ndarray, passage: np.ndarray, threshold: float) -> float:
+    """The alignment's share of the item's best score; 0 where the words that both hold cannot reach the threshold."""
+    if np.isin(item, passage).sum() < threshold * len(item):
+        return 0.0
+    return align(item, passage) / (2 * len(item))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
@@ -187,6 +195,4 @@ def report(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 
 def keep_clean(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of docs that match no item."""
-    keyed = docs.withColumn("__t", common.text_key(F.col("text")))
-    hit = found.select(F.col("doc_id").alias("d"), F.col("tkey").alias("t"))
-    return keyed.join(hit, keyed["doc_id"].eqNullSafe(F.col("d")) & (keyed["__t"] == F.col("t")), "left_anti").drop("__t")
+    return common.matched(docs, found, "left_anti")
