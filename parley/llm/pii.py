@@ -145,10 +145,9 @@ def redact(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     found = detect(docs) if found is None else found
     plain = lambda col, kind: F.transform(col, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(kind).alias("kind")))
     every = F.concat(*[plain(F.col(f"b_{k}"), k) for k in KINDS], F.transform("more", lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), m["kind"].alias("kind"))))
-    cuts = found.select(F.col("doc_id").alias("__d"), F.col("tkey").alias("__k"), F.array_sort(every).alias("__cuts")).where(F.size("__cuts") > 0).dropDuplicates(["__d", "__k"])
-    keyed = docs.withColumn("__t", common.text_key(F.col("text")))
-    joined = keyed.join(cuts, keyed["doc_id"].eqNullSafe(F.col("__d")) & (keyed["__t"] == F.col("__k")), "left")
+    cuts = found.select("doc_id", "tkey", F.array_sort(every).alias("cuts")).where(F.size("cuts") > 0).dropDuplicates(["doc_id", "tkey"])
+    joined, cut = common.beside(docs, cuts, "cuts")
     text = F.col("text")
     step = lambda acc, c: F.struct(F.greatest(acc["at"], c["e"]).alias("at"), F.when(c["s"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, c["s"] - acc["at"]), F.lit("<"), F.upper(c["kind"]), F.lit(">"))).otherwise(acc["out"]).alias("out"))
-    new = F.aggregate("__cuts", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return joined.withColumn("text", F.when(F.col("__cuts").isNull(), text).otherwise(new)).select(*docs.columns)
+    new = F.aggregate(cut, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return joined.withColumn("text", F.when(F.col(cut).isNull(), text).otherwise(new)).select(*[F.col(f"`{c}`") for c in docs.columns])

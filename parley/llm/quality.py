@@ -188,6 +188,4 @@ def digest(verdicts: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The rows of docs whose verdict is kept."""
-    good = verdicts.where("kept").select(F.col("doc_id").alias("d"), F.col("tkey").alias("t")).distinct()
-    keyed = docs.withColumn("__t", common.text_key(F.col("text")))
-    return keyed.join(good, keyed["doc_id"].eqNullSafe(F.col("d")) & (keyed["__t"] == F.col("t")), "left_semi").drop("__t")
+    return common.matched(docs, verdicts.where("kept").select("doc_id", "tkey").distinct(), "left_semi")

@@ -256,9 +256,4 @@ def first_of_near(docs: DataFrame, least: float = 0.8, k: int = 5, seeds: tuple[
 
 def keep_first(docs: DataFrame, stay: DataFrame) -> DataFrame:
     """The rows of docs that stay, one of equal rows."""
-    own = stay.select(F.col("doc_id").alias("d"), F.col("tkey").alias("t"))
-    keyed = docs.withColumn("__t", common.text_key(F.col("text")))
-    kept = keyed.join(own, keyed["doc_id"].eqNullSafe(F.col("d")) & (keyed["__t"] == F.col("t")), "left_semi")
-    # Only repeated rows need a second pass over the texts.
-    repeated = not keyed.groupBy("doc_id", "__t").count().where("count > 1").isEmpty()
-    return (kept.dropDuplicates(["doc_id", "__t"]) if repeated else kept).drop("__t")
+    return common.one_of_equal(common.matched(docs, stay, "left_semi"))

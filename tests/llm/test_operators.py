@@ -65,6 +65,28 @@ def test_substring(docs, empty):
     assert substring.digest(*substring.removed(empty)).count() == 0
 
 
+def test_substring_keeps_words_that_only_look_alike(spark):
+    """Words whose letters mirror each other (alike under polynomial hashes modulo 2**64) are different words."""
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    shared = " ".join(f"w{i}" for i in range(19))
+    two = one.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"x y {shared} {one}"), (2, f"u v {shared} {two}")], "doc_id long, text string")
+    assert [r["n_removed"] for r in substring.digest(*substring.removed(docs)).collect()] == [0, 0]
+
+
+def test_extra_columns_with_clashing_names(spark):
+    import corpus_pipeline
+
+    names = ["d", "t", "tkey", "fp", "group", "__t", "__d", "__k", "__cuts", "parley_key", "root", "kept", "seed", "item_id", "more", "b_email", "belief"]
+    rows = [(i, f"{PASSAGE} tail{i} " * (1 + i % 2), "en", *[i] * len(names)) for i in range(6)]
+    docs = spark.createDataFrame([*rows, (None,) * (len(names) + 3)], "doc_id long, text string, lang string, " + ", ".join(f"`{n}` long" for n in names))
+    for stage in (corpus_pipeline.quality_rules, corpus_pipeline.near_dedup, corpus_pipeline.decontamination, corpus_pipeline.personal_data):
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns and all(r[n] == r["doc_id"] for r in out.collect() for n in names)
+
+
 def test_simhash(docs, empty, spark):
     got = simhash.digest(simhash.near_groups(docs, k=4, seeds=(42,), radius=4, blocks=7, equal=3)).collect()
     up = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -129,9 +151,10 @@ def test_pii(docs, empty):
     assert pii.digest(pii.detect(empty)).count() == 0
 
 
-def test_decontamination(docs, empty, spark):
+@pytest.mark.parametrize("filter_bytes", [0, 1 << 20])
+def test_decontamination(docs, empty, spark, filter_bytes):
     bench = spark.createDataFrame([(1, PASSAGE), (2, ""), (3, None), (None, "x y z"), (4, "quite other words that nobody wrote anywhere at all")], "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in decontam.report(docs, bench, block_bytes=64).collect() if r["contaminated"]}
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.report(docs, bench, filter_bytes=filter_bytes).collect() if r["contaminated"]}
     assert got == {(4, 1), (5, 1), (6, 1), (9, 1), (None, 1)}
     assert decontam.report(empty, bench).count() == 0 and not decontam.report(docs, bench.limit(0)).where("contaminated").count()
     # the row-wise alignment equals the plain recurrence
@@ -175,6 +198,8 @@ def test_token_files(docs, empty):
         ids = rng.integers(0, 49408, n)
         data = tokenbin.pack_segment([7], [n], ids)
         assert np.array_equal(tokenbin.open_segment(data)[2], ids)
+        if n > 1024:  # a block needs no other one
+            assert all(np.array_equal(tokenbin.open_block(data, i), ids[i * 1024 : i * 1024 + 1024]) for i in range(-(-n // 1024)))
     with pytest.raises(ValueError):
         tokenbin.open_segment(data[:-40] + bytes(x ^ 1 for x in data[-40:]))
 
