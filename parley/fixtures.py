@@ -40,7 +40,8 @@ SELECT d.doc_id AS seq, m.rto, m.title AS meeting_title, m.meeting_date,
   CASE WHEN d.doc_id % 3 = 0 THEN '2024-01-10' END AS posted_date, CAST(NULL AS string) AS member_url, d.text AS extracted_text
 FROM documents d JOIN meeting_scrapes m ON m.seq = d.doc_id * 5""",
     "stored_documents": """
-SELECT f.*, s.hydro_relevant, s.ai_summary, s.topics, s.directness, s.source_names_hydro FROM (
+SELECT f.*, CASE WHEN f.title LIKE '%Agenda%' THEN 'agenda' WHEN f.title LIKE '%Minutes%' THEN 'minutes' ELSE 'report' END AS doc_type,
+  s.hydro_relevant, s.ai_summary, s.topics, s.directness, s.source_names_hydro, s.hydro_relevance_reason, s.hydro_read_through, s.evidence FROM (
 SELECT download_url, min(x.seq) AS id, min_by(m.id, x.seq) AS meeting_id, min_by(x.rto, x.seq) AS rto,
   max_by(x.title, x.seq) FILTER (WHERE x.title IS NOT NULL) AS title, max_by(filename, x.seq) FILTER (WHERE filename IS NOT NULL) AS filename,
   max_by(posted_date, x.seq) FILTER (WHERE posted_date IS NOT NULL) AS posted_date, max_by(member_url, x.seq) FILTER (WHERE member_url IS NOT NULL) AS member_url
@@ -49,7 +50,9 @@ LEFT JOIN screenings s ON s.doc_id = f.id""",
     "screenings": """
 SELECT doc_id, quality AS hydro_relevant, CASE WHEN quality = 1 THEN concat('Summary ', cast(doc_id AS string)) END AS ai_summary,
   CASE doc_id % 5 WHEN 0 THEN 'storage' WHEN 1 THEN 'storage;capacity-ra' WHEN 2 THEN 'transmission' WHEN 3 THEN 'price-formation;storage;ferc-policy' END AS topics,
-  CASE WHEN quality = 1 THEN CASE doc_id % 4 WHEN 0 THEN 'direct' WHEN 1 THEN 'precedent' WHEN 2 THEN 'reference' END END AS directness, toxic AS source_names_hydro FROM labels""",
+  CASE WHEN quality = 1 THEN CASE doc_id % 4 WHEN 0 THEN 'direct' WHEN 1 THEN 'precedent' WHEN 2 THEN 'reference' END END AS directness, toxic AS source_names_hydro,
+  CASE WHEN doc_id % 3 <> 0 THEN concat('Reason "', cast(doc_id AS string), '", of ', CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END) END AS hydro_relevance_reason, CASE WHEN quality = 1 THEN concat('Reads as ', cast(doc_id AS string)) END AS hydro_read_through,
+  CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '[]' ELSE concat('[{"claim":"c', cast(doc_id AS string), '","quote":"q","verified":true},{"quote":"x","verified":false}]') END AS evidence FROM labels""",
     "issues": f"""
 SELECT p_partkey AS id, {rto('p_partkey')} AS rto, concat('ISS', cast(p_partkey AS string)) AS native_id, CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE p_name END AS canonical_name,
   CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS short_title, CASE p_size % 4 WHEN 0 THEN 'closed' WHEN 1 THEN 'active' WHEN 2 THEN 'evaluation in progress' END AS status, CASE p_size % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS is_open FROM part""",
@@ -94,7 +97,7 @@ def with_views(query: str) -> str:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A stand-in table, lazily, over the parquet tables in sf_dir."""
-    text = with_views(f"SELECT * FROM {name}")
+    text = with_views(f"SELECT * FROM {name}").replace("{", "{{").replace("}", "}}")
     used = [t for t in BASE if re.search(rf"\b(?:FROM|JOIN) {t}\b", text)]
     for t in used:
         text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)

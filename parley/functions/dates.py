@@ -67,10 +67,26 @@ def parse_meeting_time(text: Column) -> Column:
     return F.struct(start.alias("start_min"), F.when(start.isNotNull(), _minutes(F.get(halves, F.lit(1)))).alias("end_min"))
 
 
+def time_in_text(text: Column) -> Column:
+    """The first clock time, or span of two, in free text; null if none."""
+    clock = r"\d{1,2}:\d{2}\s*(?:a\.m\.|p\.m\.|AM|PM|am|pm)"
+    found = F.trim(F.regexp_extract(F.coalesce(text, F.lit("")), rf"({clock}(?:\s*[-–]\s*{clock})?(?:\s*(?:E[PDS]T|ET))?)", 1))
+    return F.when(found != "", found)
+
+
 def resolve_meeting_time(date: Column, text: Column, rto: Column, viewer: str = "America/New_York") -> Column:
-    """struct(zone, start_utc, start_viewer): the tag's zone before the operator's; unknown zones stay unresolved."""
+    """struct(zone, start_utc, end_utc, start_viewer, end_viewer, time24, raw): the tag's zone before the operator's.
+
+    Without a zone the clock time stands as written: time24 is its start and raw the text. An end before the start is the same day's.
+    """
     zone = F.coalesce(zone_tag(text), F.try_element_at(F.create_map(*[F.lit(x) for kv in dims.ZONES.items() for x in kv]), rto))
-    start = parse_meeting_time(text)["start_min"]
-    wall = F.timestamp_seconds(F.unix_date(date).cast("long") * 86400 + start * 60)
-    utc = F.to_utc_timestamp(wall, zone)
-    return F.struct(zone.alias("zone"), utc.alias("start_utc"), F.from_utc_timestamp(utc, viewer).alias("start_viewer"))
+    time = parse_meeting_time(text)
+    utc = lambda minutes: F.to_utc_timestamp(F.timestamp_seconds(F.unix_date(date).cast("long") * 86400 + minutes * 60), zone)
+    start, end = utc(time["start_min"]), utc(time["end_min"])
+    plain = F.lpad((time["start_min"] / 60).cast("int").cast("string"), 2, "0"), F.lpad((time["start_min"] % 60).cast("string"), 2, "0")
+    here = F.from_utc_timestamp(start, viewer)
+    return F.struct(
+        zone.alias("zone"), start.alias("start_utc"), end.alias("end_utc"), here.alias("start_viewer"), F.from_utc_timestamp(end, viewer).alias("end_viewer"),
+        F.when(start.isNotNull(), F.date_format(here, "HH:mm")).when(time["start_min"].isNotNull(), F.concat_ws(":", *plain)).alias("time24"),
+        F.when(start.isNull() & time["start_min"].isNotNull(), text).alias("raw"),
+    )

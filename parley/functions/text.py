@@ -38,14 +38,23 @@ def title_from_filename(filename: Column) -> Column:
     base = F.regexp_replace(F.regexp_replace(filename, r"\.[^.]*$", ""), r"^\d{6,8}[-_]?", "")
     base = F.replace(F.replace(base, F.lit("---"), F.lit(" – ")), F.lit("--"), F.lit(" – "))
     base = F.trim(F.regexp_replace(F.translate(base, "_-", "  "), r"\s+", " "))
-    words = F.transform(F.split(base, " "), lambda w: F.when(F.upper(w).isin(dims.ACRONYMS), F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))))
+    words = F.transform(F.split(base, " "), lambda w: F.when(F.upper(w).isin(dims.ACRONYMS), F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.right(w, F.length(w) - 1))))
     return F.when(base != "", F.array_join(words, " "))
 
 
+def is_junk_title(title: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(title, F.lit("")))).isin(dims.JUNK_TITLES)
+
+
+def backfill_stored_title(title: Column, filename: Column, rto: Column) -> Column:
+    """A stored PJM title that only names a file format gives way to the file name's, unless that is no better."""
+    new = title_from_filename(filename)
+    return F.when((rto == "PJM") & is_junk_title(title) & ~is_junk_title(new), new).otherwise(title)
+
+
 def backfilled_title(title: Column, filename: Column) -> Column:
     """The title, or the file name's where the title only names a file format and the other is usable."""
-    junk = F.lower(F.trim(F.coalesce(title, F.lit("")))).isin(dims.JUNK_TITLES)
-    return F.when(junk, F.coalesce(title_from_filename(filename), title)).otherwise(title)
+    return F.when(is_junk_title(title), F.coalesce(title_from_filename(filename), title)).otherwise(title)
 
 
 def identify_rto(title: Column) -> Column:
@@ -84,7 +93,10 @@ def committee_of_subtype(subtype: Column, title: Column) -> Column:
 def committee_from_slug(slug: Column) -> Column:
     """A page slug without its date and kind of meeting, as a title; null if nothing is left."""
     s = F.regexp_replace(F.regexp_replace(slug, r"-\d{8}(?:-\d{2,4})?$", ""), "-(?:" + "|".join(dims.MEETING_SUFFIXES) + ")$", "")
-    name = F.regexp_replace(F.initcap(F.trim(F.replace(s, F.lit("-"), F.lit(" ")))), r"(?i)\bmarketsplus\b", "Markets+")
+    # A capital after everything that is no letter, as in M2M; initcap would only see white space.
+    runs = F.regexp_extract_all(F.trim(F.replace(s, F.lit("-"), F.lit(" "))), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    titled = F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.lower(F.right(r, F.length(r) - 1)))), "")
+    name = F.regexp_replace(titled, r"(?i)\bmarketsplus\b", "Markets+")
     return F.when(name != "", name)
 
 
@@ -92,6 +104,25 @@ def track_rto(*parts: Column) -> Column:
     return F.when(F.lower(F.concat_ws(" ", *parts)).rlike(r"marketsplus|markets ?\+"), "SPP Markets +").otherwise("SPP")
 
 
+def topics_array(topics: Column) -> Column:
+    """The topics of a joined list; none for null or an empty text."""
+    return F.when(topics != "", F.split(topics, ";")).otherwise(F.array().cast("array<string>"))
+
+
+EVIDENCE = "array<struct<claim:string,quote:string,verified:boolean>>"
+
+
+def evidence_array(evidence: Column) -> Column:
+    """The evidence of a stored JSON text; none for null or a text that is no such list."""
+    return F.coalesce(F.from_json(evidence, EVIDENCE), F.array().cast(EVIDENCE))
+
+
+def evidence_text(items: Column) -> Column:
+    """Each claim with its quote, marked where the quote was not found in the source."""
+    shown = lambda e: F.concat(F.coalesce(e["claim"], F.lit("?")), F.lit(' — "'), F.coalesce(e["quote"], F.lit("")), F.when(F.coalesce(e["verified"], F.lit(False)), '"').otherwise('" [UNVERIFIED]'))
+    return F.array_join(F.transform(items, shown), " | ")
+
+
 def normalize_entity(name: Column) -> Column:
     n = F.trim(F.regexp_replace(F.trim(name), r"\s*\([^)]+\)\s*$", ""))
     n = F.trim(F.regexp_replace(n, "(?i)" + dims.ENTITY_SUFFIX, ""))

@@ -65,6 +65,15 @@ def facet_counts(events: DataFrame) -> DataFrame:
     return by("rto", events, F.col("rto")).unionByName(by("topic", events.select(F.explode("topics").alias("t")), F.col("t"))).unionByName(by("view", events.select(views.alias("v")), F.col("v")))
 
 
+def corpus_profile(rows: DataFrame) -> DataFrame:
+    """Per operator of a selection of the corpus: documents, first and last day, span in days, bytes of the reader's CSV lines (with their ends) and of compact JSON records."""
+    from ..sources.feeds import CORPUS_COLUMNS, compact_csv_line
+
+    first, last = F.min("meeting_date"), F.max("meeting_date")
+    sized = rows.select("rto", "meeting_date", (F.octet_length(compact_csv_line(rows)) + 2).alias("csv"), F.octet_length(F.to_json(F.struct(*CORPUS_COLUMNS), {"ignoreNullFields": "false"})).alias("json"))
+    return sized.groupBy("rto").agg(F.count("*").alias("documents"), first.alias("first_date"), last.alias("last_date"), F.greatest(F.lit(1), F.datediff(last, first)).cast("long").alias("span_days"), F.sum("csv").alias("csv_bytes"), F.sum("json").alias("json_bytes"))
+
+
 def filter_confidence(events: DataFrame, least: int) -> DataFrame:
     """Events at the rank or above; unrated ones always pass."""
     return events.where(F.col("directness_rank").isNull() | (F.col("directness_rank") >= least))
@@ -76,28 +85,44 @@ def confidence_counts(events: DataFrame) -> DataFrame:
 
 
 def informative(people: DataFrame) -> DataFrame:
-    """People with a name that is not their entity's; entity normalised."""
-    return people.where(F.trim("name") != "").withColumn("name", F.trim("name")).withColumn("org", normalize_entity(F.col("entity"))).where(F.lower("name") != F.lower(F.coalesce("entity", F.lit(""))))
+    """People with a name that is not that of their (normalised) organisation."""
+    rows = people.where(F.trim("name") != "").withColumn("name", F.trim("name")).withColumn("org", normalize_entity(F.col("entity")))
+    return rows.where(F.lower("name") != F.lower(F.coalesce("org", F.lit(""))))
+
+
+def _sightings(people: DataFrame, docs: DataFrame) -> DataFrame:
+    """(name_key, org_key, meeting_id, rto, doc_type) once each; types that say nothing are none."""
+    kind = F.when(~F.col("doc_type").isin("other", "document"), F.col("doc_type"))
+    d = docs.select(F.col("id").alias("document_id"), "meeting_id", "rto", kind.alias("doc_type"))
+    return informative(people).join(d, "document_id").select(F.lower("name").alias("name_key"), F.lower(F.coalesce("org", F.lit(""))).alias("org_key"), "meeting_id", "rto", "doc_type").distinct()
+
+
+def _joined_set(column: str) -> Column:
+    return F.array_join(F.array_sort(F.collect_set(column)), ",")
 
 
 def stakeholder_index(people: DataFrame, docs: DataFrame) -> DataFrame:
-    """Per person and organisation (lower case): operators, distinct meetings. Distinct keys are reduced before counting."""
-    rows = informative(people).join(docs.select(F.col("id").alias("document_id"), "meeting_id", "rto"), "document_id")
-    slim = rows.select(F.lower("name").alias("name_key"), F.lower(F.coalesce("org", F.lit(""))).alias("org_key"), "meeting_id", "rto").distinct()
-    return slim.groupBy("name_key", "org_key").agg(F.array_join(F.array_sort(F.collect_set("rto")), ",").alias("rtos"), F.countDistinct("meeting_id").alias("meetings"))
+    """Per person and organisation (lower case): operators, document types, distinct meetings. Distinct keys are reduced before counting."""
+    return _sightings(people, docs).groupBy("name_key", "org_key").agg(_joined_set("rto").alias("rtos"), _joined_set("doc_type").alias("doc_types"), F.countDistinct("meeting_id").alias("meetings"))
 
 
 def entity_index(people: DataFrame, docs: DataFrame) -> DataFrame:
-    rows = informative(people).where("org IS NOT NULL").join(docs.select(F.col("id").alias("document_id"), "meeting_id", "rto"), "document_id")
-    return rows.groupBy(F.lower("org").alias("org_key")).agg(F.array_join(F.array_sort(F.collect_set("rto")), ",").alias("rtos"), F.countDistinct(F.lower("name")).alias("people"), F.countDistinct("meeting_id").alias("meetings"))
+    rows = _sightings(people, docs).where("org_key <> ''")
+    return rows.groupBy("org_key").agg(_joined_set("rto").alias("rtos"), _joined_set("doc_type").alias("doc_types"), F.countDistinct("name_key").alias("people"), F.countDistinct("meeting_id").alias("meetings"))
 
 
 def meeting_stakeholders(people: DataFrame, docs: DataFrame) -> DataFrame:
-    """Per meeting and person of an organisation: first address, roles in order, documents; with the organisation's head count."""
-    rows = informative(people).join(docs.select(F.col("id").alias("document_id"), "meeting_id"), "document_id").withColumn("org", F.coalesce("org", F.lit("Unaffiliated")))
-    role = F.lower(F.when(F.trim("role") != "", F.trim("role")))
-    one = rows.groupBy("meeting_id", "org", "name").agg(F.min_by("email", F.when(F.col("email").isNotNull(), F.col("seq"))).alias("email"), F.array_join(F.array_sort(F.collect_set(role)), ",").alias("roles"), F.countDistinct("document_id").alias("documents"))
-    return one.withColumn("org_people", F.count("*").over(Window.partitionBy("meeting_id", "org")))
+    """Per meeting and person (by name and organisation, whatever the case): the first spelling and address, roles as first seen,
+    documents in order; with the organisation's head count. Order is that of documents, then of rows (seq)."""
+    d = docs.select(F.col("id").alias("document_id"), "meeting_id", F.col("title").alias("document_title"))
+    rows = informative(people).where(F.lower("name") != F.lower(F.coalesce("entity", F.lit("")))).join(d, "document_id")
+    place = F.struct("document_id", "seq")
+    ordered = F.array_sort(F.collect_list(F.struct("document_id", "seq", F.when(F.col("role") != "", F.col("role")).alias("role"))))
+    one = rows.groupBy("meeting_id", F.lower(F.coalesce("org", F.lit(""))).alias("org_key"), F.lower("name").alias("name_key")).agg(
+        F.min_by("name", place).alias("name"), F.coalesce(F.min_by("org", place), F.lit("Unaffiliated")).alias("org"), F.min_by("email", F.when(F.col("email") != "", place)).alias("email"),
+        F.array_join(F.array_distinct(F.transform(ordered, lambda x: x["role"])), ",").alias("roles"), F.array_sort(F.collect_set(F.struct(F.col("document_id").alias("id"), F.col("document_title").alias("title")))).alias("documents"),
+    )
+    return one.withColumn("org_people", F.count("*").over(Window.partitionBy("meeting_id", "org"))).drop("org_key", "name_key")
 
 
 def doc_type_tally(docs: DataFrame) -> DataFrame:
@@ -110,7 +135,9 @@ def diversify_round_robin(rows: DataFrame, limit: int) -> DataFrame:
     """At most `limit` rows: the i-th earliest of each operator in turn, operators in order of first appearance."""
     order = ["meeting_date", "meeting_time", "id"]
     w = Window.partitionBy("rto").orderBy(*order)
-    ranked = rows.withColumn("turn", F.row_number().over(w)).withColumn("lead_row", F.first(F.struct(*order)).over(w))
+    # No operator gives more than `limit` rows, so later ones are dropped before they are shuffled.
+    ranked = rows.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= limit)
+    ranked = ranked.withColumn("lead_row", F.min(F.struct(*order)).over(Window.partitionBy("rto")))
     return ranked.orderBy("turn", "lead_row", *order).limit(limit).drop("turn", "lead_row")
 
 
@@ -183,8 +210,20 @@ def filter_events(events: DataFrame, view: str = "all", rtos: list[str] | None =
     return rows.where(F.lower(F.concat_ws(" ", *parts)).contains(text.lower())) if text else rows
 
 
-def search_suggestions(index: DataFrame, text: str, top: int = 5) -> DataFrame:
-    """index: kind, label, n. Prefix matches first, then by count; the first few of each kind."""
-    t = text.lower()
-    rn = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc(F.lower("label").startswith(t)), F.desc("n"), "label"))
-    return index.where(F.lower("label").contains(t)).withColumn("rn", rn).where(F.col("rn") <= top)
+#: Suggestions of each kind; kinds that are not ranked by prefix.
+TOP, BY_COUNT = {"rto": 4, "topic": 4}, ("rto", "topic")
+
+
+def search_suggestions(index: DataFrame, text: str) -> DataFrame:
+    """The first few of each kind whose search text holds the text (at least two characters), with their place.
+
+    index: kind, label, search (lower case), n, date. Matches at the start come first, then the higher count; markets and topics go by
+    count alone, meetings by date.
+    """
+    t = text.strip().lower()
+    plain, meeting = F.col("kind").isin(*BY_COUNT), F.col("kind") == "meeting"
+    rank = [F.when(meeting, F.col("date")), F.desc(~plain & ~meeting & F.col("search").startswith(t)), F.desc(F.when(~meeting, F.col("n"))), "label"]
+    rn = F.row_number().over(Window.partitionBy("kind").orderBy(*rank))
+    most = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in TOP.items() for x in kv]), F.col("kind")), F.lit(5))
+    found = index.where(F.col("search").contains(t) & F.lit(len(t) >= 2))
+    return found.withColumn("rn", rn).where((F.col("rn") <= 5) & (F.col("rn") <= most))

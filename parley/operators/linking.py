@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import backfilled_title, markup_to_text
+from ..functions.text import backfilled_title, evidence_array, markup_to_text, topics_array
 
 
 def resolve_issue_references(refs: DataFrame, docs: DataFrame, meetings: DataFrame) -> DataFrame:
@@ -42,21 +42,26 @@ def issues_with_reference_counts(issues: DataFrame, refs: DataFrame) -> DataFram
 
 
 def corpus(docs: DataFrame, meetings: DataFrame, refs: DataFrame, issues: DataFrame, people: DataFrame) -> DataFrame:
-    """One flat row per relevant document with its meeting, initiatives (direct or by meeting) and people."""
+    """One flat row per relevant document: the 18 fields of the corpus, and id. Initiatives are the document's own and its meeting's,
+    by canonical name; people by entity and name (no entity first). Lists stay lists."""
     kept = docs.where("hydro_relevant = 1")
     ids = kept.select(F.col("id").alias("document_id"), "meeting_id")
     direct = refs.where("matched_document_id IS NOT NULL").select("issue_id", F.col("matched_document_id").alias("document_id"))
     via = refs.where("matched_meeting_id IS NOT NULL").select("issue_id", F.col("matched_meeting_id").alias("meeting_id")).distinct().join(ids, "meeting_id").select("issue_id", "document_id")
     pairs = direct.join(ids.select("document_id"), "document_id", "left_semi").select("issue_id", "document_id").unionByName(via).distinct()
-    label = F.concat(issue_name(), F.coalesce(F.concat(F.lit(" ["), "status", F.lit("]")), F.lit("")))
-    named = pairs.join(issues, pairs["issue_id"] == issues["id"]).groupBy("document_id").agg(F.array_sort(F.collect_set(label)).alias("initiatives"))
-    person = F.concat("name", F.coalesce(F.concat(F.lit(" ("), "entity", F.lit(")")), F.lit("")))
-    who = people.groupBy("document_id").agg(F.array_sort(F.collect_set(person)).alias("stakeholders"))
+    marked = lambda name, note, left, right: F.concat(name, F.when(F.coalesce(note, F.lit("")) != "", F.concat(F.lit(left), note, F.lit(right))).otherwise(""))
+    one = F.struct("canonical_name", "short_title", "native_id", "status", issue_name().alias("name"))
+    named = pairs.join(issues, pairs["issue_id"] == issues["id"]).where(issue_name().isNotNull()).groupBy("document_id").agg(F.transform(F.sort_array(F.collect_set(one)), lambda i: marked(i["name"], i["status"], " [", "]")).alias("initiatives"))
+    who = people.where(F.col("name") != "").groupBy("document_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("entity", "name"))), lambda p: marked(p["name"], p["entity"], " (", ")")).alias("stakeholders"))
     m = meetings.select(F.col("id").alias("meeting_id"), F.col("title").alias("meeting_title"), "meeting_date", "committee")
     none = F.array().cast("array<string>")
     return (
         kept.join(m, "meeting_id").join(named, F.col("id") == named["document_id"], "left").drop("document_id").join(who, F.col("id") == who["document_id"], "left").drop("document_id")
-        .select("id", "rto", "meeting_title", "meeting_date", "committee", F.coalesce("title", "filename").alias("title"), "download_url", "ai_summary", F.coalesce("directness", F.lit("unrated")).alias("directness"), F.split(F.coalesce("topics", F.lit("")), ";").alias("topics"), F.coalesce("initiatives", none).alias("initiatives"), F.coalesce("stakeholders", none).alias("stakeholders"))
+        .select(
+            "id", "rto", "meeting_date", "committee", "meeting_title", "doc_type", F.coalesce(F.when(F.col("title") != "", F.col("title")), F.col("filename")).alias("title"), "posted_date", F.col("hydro_relevance_reason").alias("relevance_reason"),
+            topics_array(F.col("topics")).alias("topics"), F.coalesce(F.when(F.col("directness") != "", F.col("directness")), F.lit("unrated")).alias("directness"), (F.col("source_names_hydro") != 0).alias("source_names_hydro"), evidence_array(F.col("evidence")).alias("evidence"),
+            F.coalesce("initiatives", none).alias("initiatives"), F.coalesce("stakeholders", none).alias("stakeholders"), "ai_summary", "hydro_read_through", F.col("download_url").alias("url"), "member_url",
+        )
     )
 
 
@@ -66,7 +71,7 @@ def calendar_events(meetings: DataFrame, docs: DataFrame, refs: DataFrame, issue
     di = document_issues(refs, docs).join(i, "issue_id").groupBy("document_id").agg(F.array_sort(F.collect_list("issue")).alias("issues"))
     who = people.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("entity", F.lit("")).alias("entity"), "name", "role", "email"))).alias("stakeholders"))
     d = docs.join(di, docs["id"] == di["document_id"], "left").drop("document_id").join(who, F.col("id") == who["document_id"], "left").drop("document_id")
-    nested = d.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("id", "title", "filename", "download_url", "ai_summary", "hydro_relevant", "directness", F.split(F.coalesce("topics", F.lit("")), ";").alias("topics"), "issues", "stakeholders"))).alias("documents"))
+    nested = d.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("id", "title", "filename", "download_url", "ai_summary", "hydro_relevant", "directness", topics_array(F.col("topics")).alias("topics"), "issues", "stakeholders"))).alias("documents"))
     mi = meeting_issues(refs, issues).groupBy(F.col("meeting_id").alias("mid")).agg(F.array_sort(F.collect_list(F.struct("name", "native_id", "status"))).alias("issues"))
     return meetings.join(nested, meetings["id"] == nested["meeting_id"], "left").drop("meeting_id").join(mi, F.col("id") == mi["mid"], "left").drop("mid")
 
@@ -74,27 +79,35 @@ def calendar_events(meetings: DataFrame, docs: DataFrame, refs: DataFrame, issue
 def related_documents(docs: DataFrame, window_days: int = 10, limit: int = 12) -> DataFrame:
     """For each document the best documents of other operators within the window that share its type or a topic.
 
-    docs: id, event_id, rto, event_date, doc_type, topics (array), ai_summary. A range join by buckets of window_days
-    and an equi-join on each shared key; a pair then counts once. Pairs that share type and topic are taken alone if an
-    anchor has at least two. Text never enters the join.
+    docs: id, event_id, rto, event_date, doc_type, topics (array), ai_summary. Documents of one operator, type, topic list and day
+    are alike as anchors and, but for their ids, as answers: such groups are joined (by buckets of window_days, on each shared key),
+    an answering group gives its `limit` smallest ids at most, and the best go back to every anchor of a group. So a type that very
+    many documents have costs no more than its groups. Answers that share type and topic are taken alone if there are at least two.
     """
+    day, alike = F.unix_date("event_date"), ["rto", "doc_type", "topics", "day"]
+    base = docs.select("id", "rto", "doc_type", F.array_sort(F.array_distinct("topics")).alias("topics"), day.alias("day"), (F.col("ai_summary").isNotNull() & (F.col("ai_summary") != "")).alias("has"))
+    base = base.withColumn("grp", F.xxhash64(*alike))
     keys = F.array_union(F.array(F.concat(F.lit("type:"), F.coalesce("doc_type", F.lit("")))), F.transform("topics", lambda t: F.concat(F.lit("topic:"), t)))
-    day = F.unix_date("event_date")
-    base = docs.select("id", "event_id", "rto", "doc_type", "topics", day.alias("day"), (F.col("ai_summary").isNotNull() & (F.col("ai_summary") != "")).alias("has"), keys.alias("keys"))
-    left = base.withColumn("bucket", F.explode(F.array(*[F.floor(F.col("day") / window_days) + s for s in (-1, 0, 1)]))).withColumn("key", F.explode("keys")).select("key", "bucket", "id", "event_id", "rto", "doc_type", "topics", "day")
-    right = base.where("has").withColumn("bucket", F.floor(F.col("day") / window_days)).withColumn("key", F.explode("keys")).select("key", "bucket", *[F.col(c).alias(f"o_{c}") for c in ("id", "event_id", "rto", "doc_type", "topics", "day")])
+    left = base.select(*alike, "grp").distinct().withColumn("bucket", F.explode(F.array(*[F.floor(F.col("day") / window_days) + s for s in (-1, 0, 1)]))).withColumn("key", F.explode(keys))
+    first = base.where("has").withColumn("rn", F.row_number().over(Window.partitionBy("grp").orderBy("id"))).where(F.col("rn") <= max(2, limit)).groupBy(*alike).agg(F.collect_list("id").alias("ids"))
+    right = first.withColumn("bucket", F.floor(F.col("day") / window_days)).withColumn("key", F.explode(keys)).select("key", "bucket", "ids", *[F.col(c).alias(f"o_{c}") for c in alike])
     gap = F.abs(F.col("day") - F.col("o_day"))
-    hit = left.join(right, ["key", "bucket"]).where((F.col("rto") != F.col("o_rto")) & (F.col("event_id") != F.col("o_event_id")) & (gap <= window_days))
+    hit = left.join(right, ["key", "bucket"]).where((F.col("rto") != F.col("o_rto")) & (gap <= window_days))
     shared, same = F.size(F.array_intersect("topics", "o_topics")), F.coalesce(F.col("doc_type") == F.col("o_doc_type"), F.lit(False))
-    pairs = hit.select("id", "o_id", F.col("o_rto").alias("related_rto"), gap.alias("day_gap"), shared.alias("shared"), same.alias("same_type")).distinct()
+    pairs = hit.select("grp", "ids", F.col("o_rto").alias("related_rto"), gap.alias("day_gap"), shared.alias("shared"), same.alias("same_type")).distinct()
     scored = pairs.withColumn("score", F.when(F.col("same_type"), 4).otherwise(0) + F.col("shared")).withColumn("strong", F.col("same_type") & (F.col("shared") > 0))
-    pool = scored.withColumn("n_strong", F.sum(F.col("strong").cast("int")).over(Window.partitionBy("id"))).where("n_strong < 2 OR strong")
-    rn = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "day_gap", "o_id"))
-    return pool.withColumn("rn", rn).where(F.col("rn") <= limit).select("id", F.col("o_id").alias("related_id"), "related_rto", "day_gap", "shared", "same_type", "score", "rn")
+    n_strong = F.sum(F.when(F.col("strong"), F.size("ids")).otherwise(0)).over(Window.partitionBy("grp"))
+    pool = scored.withColumn("n_strong", n_strong).where("n_strong < 2 OR strong").withColumn("related_id", F.explode("ids"))
+    rn = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("score"), "day_gap", "related_id"))
+    best = pool.withColumn("rn", rn).where(F.col("rn") <= limit).select("grp", "related_id", "related_rto", "day_gap", "shared", "same_type", "score", "rn")
+    return base.select("id", "grp").join(best, "grp").drop("grp")
 
 
 def related_by_rto(related: DataFrame) -> DataFrame:
-    return related.groupBy("id", "related_rto").agg(F.count("*").alias("items"), F.max("score").alias("best"))
+    """Per document and operator its related items, best first; operators by best score, then by number of items, then by name."""
+    item = F.struct("rn", F.col("related_id").alias("id"), "score", "day_gap")
+    by = related.groupBy("id", "related_rto").agg(F.array_sort(F.collect_list(item)).alias("items"), F.max("score").alias("best"))
+    return by.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("best"), F.desc(F.size("items")), "related_rto")))
 
 
 def match_files_by_date(files: DataFrame, meetings: DataFrame) -> DataFrame:
@@ -104,11 +117,18 @@ def match_files_by_date(files: DataFrame, meetings: DataFrame) -> DataFrame:
     return m.join(f, ["folder", "day"]).select("meeting_id", "download_url").distinct()
 
 
+def lacks_member_url(docs: DataFrame) -> Column:
+    """SPP documents inside bundles (a zip, or a part of one) that have no member_url; loose files point at themselves."""
+    bundled = F.col("download_url").contains("#z=") | F.lower("download_url").endswith(".zip")
+    return F.col("rto").startswith("SPP") & F.col("member_url").isNull() & bundled
+
+
 def backfill_member_url(docs: DataFrame, meetings: DataFrame) -> DataFrame:
-    """member_url from the meeting's folder for bundle documents that lack it."""
+    """member_url from the meeting's folder page for bundled documents that lack it; still_missing tells which still do."""
     m = meetings.select(F.col("id").alias("meeting_id"), "materials_url")
-    bundle = (F.col("rto") == "SPP") & F.col("member_url").isNull() & F.col("materials_url").like("%spp-documents-filings%")
-    return docs.join(m, "meeting_id", "left").withColumn("member_url", F.when(bundle, F.col("materials_url")).otherwise(F.col("member_url"))).drop("materials_url")
+    found = lacks_member_url(docs) & F.col("materials_url").like("%/spp-documents-filings/?id=%")
+    filled = docs.join(m, "meeting_id", "left").withColumn("member_url", F.when(found, F.col("materials_url")).otherwise(F.col("member_url"))).drop("materials_url")
+    return filled.withColumn("still_missing", F.coalesce(lacks_member_url(filled), F.lit(False)))
 
 
 #: Links to files, by the extension at the end of the path.

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import dims
 from ..functions.dates import parse_meeting_time, resolve_meeting_time
+from ..functions.dates import time_in_text as time_in_text_of
 from ..operators import analytics, linking
 from .registry import TODAY, query
 from .store import _PEOPLE, DOC_TYPE_SQL, doc_sightings, people, resolved
@@ -68,23 +70,30 @@ def initiative_index(t):
 ENTITY_SQL = r"""CASE lower(n) WHEN 'pjm interconnection' THEN 'PJM' WHEN 'pjm interconnection l.l.c' THEN 'PJM' WHEN 'pjm interconnection llc' THEN 'PJM' WHEN 'constellation energy' THEN 'Constellation' WHEN 'constellation energy generation' THEN 'Constellation' WHEN 'constellation power' THEN 'Constellation' WHEN 'exelon generation' THEN 'Exelon'
 WHEN 'duke energy ohio' THEN 'Duke Energy' WHEN 'duke energy ohio & kentucky' THEN 'Duke Energy' WHEN 'duke energy carolinas' THEN 'Duke Energy' WHEN 'first energy' THEN 'FirstEnergy' WHEN 'ferc' THEN 'FERC' ELSE nullif(n, '') END"""
 STRIP_SQL = r"trim(regexp_replace(trim(regexp_replace(trim(entity), '\s*\([^)]+\)\s*$', '')), '(?i)[,.]?\s+(?:l\.?l\.?c\.?|llc|inc\.?|incorporated|corp\.?|corporation|co\.?|company|ltd\.?|limited|l\.?p\.?|llp|holdings?|group)\s*$', ''))"
-_WHO = _PEOPLE + f", who AS (SELECT k.*, {ENTITY_SQL} AS org FROM (SELECT *, {STRIP_SQL} AS n FROM kept) k WHERE lower(name) <> lower(coalesce(entity, '')))\n"
+_WHO = _PEOPLE + f""", who AS (SELECT k.*, {ENTITY_SQL} AS org FROM (SELECT *, {STRIP_SQL} AS n FROM kept) k),
+seen AS (SELECT w.*, d.meeting_id, d.rto, d.title AS document_title, CASE WHEN d.doc_type NOT IN ('other', 'document') THEN d.doc_type END AS doc_type FROM who w JOIN stored_documents d ON d.id = w.document_id WHERE w.org IS NULL OR lower(w.name) <> lower(w.org))
+"""
+_SETS = "array_to_string(list_sort(list(DISTINCT rto)), ',') AS rtos, coalesce(array_to_string(list_sort(list(DISTINCT doc_type) FILTER (WHERE doc_type IS NOT NULL)), ','), '') AS doc_types"
 
 
-@query(_WHO + "SELECT lower(w.name) AS name_key, lower(coalesce(w.org, '')) AS org_key, array_to_string(list_sort(list(DISTINCT d.rto)), ',') AS rtos, count(DISTINCT d.meeting_id) AS meetings FROM who w JOIN stored_documents d ON d.id = w.document_id GROUP BY 1, 2")
+@query(_WHO + f"SELECT lower(name) AS name_key, lower(coalesce(org, '')) AS org_key, {_SETS}, count(DISTINCT meeting_id) AS meetings FROM seen GROUP BY 1, 2")
 def stakeholder_index(t):
     return analytics.stakeholder_index(people(t), t.stored_documents)
 
 
-@query(_WHO + "SELECT lower(w.org) AS org_key, array_to_string(list_sort(list(DISTINCT d.rto)), ',') AS rtos, count(DISTINCT lower(w.name)) AS people, count(DISTINCT d.meeting_id) AS meetings FROM who w JOIN stored_documents d ON d.id = w.document_id WHERE w.org IS NOT NULL GROUP BY 1")
+@query(_WHO + f"SELECT lower(org) AS org_key, {_SETS}, count(DISTINCT lower(name)) AS people, count(DISTINCT meeting_id) AS meetings FROM seen WHERE org IS NOT NULL GROUP BY 1")
 def entity_index(t):
     return analytics.entity_index(people(t), t.stored_documents)
 
 
-@query(_WHO + """, one AS (SELECT d.meeting_id, coalesce(w.org, 'Unaffiliated') AS org, w.name, arg_min(w.email, w.seq) FILTER (WHERE w.email IS NOT NULL) AS email, coalesce(array_to_string(list_sort(list(DISTINCT w.role) FILTER (WHERE w.role IS NOT NULL)), ','), '') AS roles, count(DISTINCT w.document_id) AS documents
-FROM who w JOIN stored_documents d ON d.id = w.document_id GROUP BY 1, 2, 3) SELECT *, count(*) OVER (PARTITION BY meeting_id, org) AS org_people FROM one""")
+@query(_WHO + """, own AS (SELECT * FROM seen WHERE lower(name) <> lower(coalesce(entity, ''))),
+roles AS (SELECT meeting_id, o, n, string_agg(role, ',' ORDER BY document_id, seq) AS roles FROM (SELECT DISTINCT ON (meeting_id, lower(coalesce(org, '')), lower(name), role) meeting_id, lower(coalesce(org, '')) AS o, lower(name) AS n, role, document_id, seq FROM own WHERE role <> '' ORDER BY meeting_id, lower(coalesce(org, '')), lower(name), role, document_id, seq) x GROUP BY 1, 2, 3),
+docs AS (SELECT meeting_id, o, n, string_agg(cast(document_id AS string), ',' ORDER BY document_id) AS documents FROM (SELECT DISTINCT meeting_id, lower(coalesce(org, '')) AS o, lower(name) AS n, document_id FROM own) x GROUP BY 1, 2, 3),
+one AS (SELECT meeting_id, lower(coalesce(org, '')) AS o, lower(name) AS n, arg_min(name, document_id * 10000000 + seq) AS name, arg_min(coalesce(org, 'Unaffiliated'), document_id * 10000000 + seq) AS org, arg_min(email, document_id * 10000000 + seq) FILTER (WHERE email <> '') AS email FROM own GROUP BY 1, 2, 3)
+SELECT a.meeting_id, a.name, a.org, a.email, coalesce(r.roles, '') AS roles, d.documents, count(*) OVER (PARTITION BY a.meeting_id, a.org) AS org_people FROM one a JOIN docs d ON d.meeting_id = a.meeting_id AND d.o = a.o AND d.n = a.n LEFT JOIN roles r ON r.meeting_id = a.meeting_id AND r.o = a.o AND r.n = a.n""")
 def meeting_stakeholders(t):
-    return analytics.meeting_stakeholders(people(t), t.stored_documents)
+    rows = analytics.meeting_stakeholders(people(t), t.stored_documents)
+    return rows.withColumn("documents", F.array_join(F.transform("documents", lambda d: d["id"].cast("string")), ","))
 
 
 @query(f"""WITH typed AS (SELECT meeting_id, {DOC_TYPE_SQL} AS doc_type FROM (SELECT *, lower(concat_ws(' ', title, filename)) AS x FROM stored_documents) s)
@@ -131,11 +140,48 @@ def week_lanes(t):
     return analytics.week_lanes(t.meetings.select("id", "meeting_date", time["start_min"].alias("start_min"), time["end_min"].alias("end_min")))
 
 
-@query(_EVENTS + """, x AS (SELECT 'committee' AS kind, committee AS label, count(*) AS n FROM ev WHERE committee IS NOT NULL GROUP BY 2 UNION ALL SELECT 'meeting', title, count(*) FROM ev GROUP BY 2 UNION ALL SELECT 'rto', rto, count(*) FROM ev GROUP BY 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY CASE WHEN starts_with(lower(label), 'pl') THEN 0 ELSE 1 END, n DESC, label) AS rn FROM x WHERE contains(lower(label), 'pl')) SELECT kind, label, n, rn FROM r WHERE rn <= 5""")
+def suggestion_index(t):
+    """kind, label, search, n, date of the seven kinds of suggestions."""
+    e, who = events(t), people(t)
+    row = lambda df, kind, label, search, n="n", date=None: df.select(F.lit(kind).alias("kind"), label.alias("label"), F.lower(F.trim(search)).alias("search"), F.col(n).cast("long").alias("n"), (date if date is not None else F.lit(None).cast("date")).alias("date"))
+    count = lambda df, *by: df.groupBy(*by).agg(F.count("*").alias("n"))
+    person = analytics.stakeholder_index(who, t.stored_documents)
+    found = linking.meeting_issues(resolved(t), t.issues).join(t.issues.select(F.col("id").alias("issue_id"), "rto", "canonical_name"), "issue_id").groupBy("rto", "native_id", "canonical_name").agg(F.countDistinct("meeting_id").alias("n"))
+    topic = F.create_map(*[F.lit(x) for kv in dims.TOPIC_LABELS.items() for x in kv])
+    topics = count(e.select(F.explode("topics").alias("topic")), "topic").withColumn("label", F.try_element_at(topic, F.col("topic"))).where("label IS NOT NULL")
+    parts = [
+        row(person, "stakeholder", F.concat_ws(" / ", "name_key", "org_key"), F.concat_ws(" ", "name_key", "org_key"), "meetings"),
+        row(analytics.entity_index(who, t.stored_documents), "entity", F.col("org_key"), F.col("org_key"), "meetings"),
+        row(count(e.where("committee IS NOT NULL"), "rto", "committee"), "committee", F.concat_ws(" / ", "rto", "committee"), F.col("committee")),
+        row(found, "initiative", F.concat_ws(" / ", "rto", "native_id"), F.concat_ws(" ", F.coalesce("canonical_name", F.lit("")), F.coalesce("native_id", F.lit("")))),
+        row(topics, "topic", F.col("topic"), F.concat_ws(" ", "label", "topic")),
+        row(e.withColumn("n", F.lit(1)), "meeting", F.col("id").cast("string"), F.col("title"), date=F.col("meeting_date")),
+        row(count(e, "rto"), "rto", F.col("rto"), F.col("rto")),
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+_SUGGEST = _WHO + ", " + _EVENTS[5:] + """, x AS (SELECT 'stakeholder' AS kind, lower(name) || ' / ' || lower(coalesce(org, '')) AS label, lower(name) || ' ' || lower(coalesce(org, '')) AS search, count(DISTINCT meeting_id) AS n, NULL::DATE AS date FROM seen GROUP BY 2, 3
+UNION ALL SELECT 'entity', lower(org), lower(org), count(DISTINCT meeting_id), NULL FROM seen WHERE org IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'committee', rto || ' / ' || committee, lower(committee), count(*), NULL FROM ev WHERE committee IS NOT NULL GROUP BY 2, 3
+UNION ALL SELECT 'initiative', i.rto || ' / ' || native_id, lower(trim(coalesce(canonical_name, '') || ' ' || native_id)), count(DISTINCT r.matched_meeting_id), NULL FROM matched_references r JOIN issues i ON i.id = r.issue_id WHERE r.matched_meeting_id IS NOT NULL GROUP BY 2, 3
+UNION ALL SELECT 'topic', tp, CASE tp WHEN 'storage' THEN 'storage & psh storage' WHEN 'capacity-ra' THEN 'capacity & ra capacity-ra' WHEN 'transmission' THEN 'transmission transmission' WHEN 'price-formation' THEN 'price formation price-formation' ELSE 'ferc policy ferc-policy' END, count(*), NULL FROM (SELECT unnest(topics) AS tp FROM ev) u GROUP BY 2
+UNION ALL SELECT 'meeting', cast(id AS string), lower(title), 1, meeting_date FROM ev UNION ALL SELECT 'rto', rto, lower(rto), count(*), NULL FROM ev GROUP BY 2),
+q AS (SELECT unnest(['pe', 'is']) AS q),
+r AS (SELECT q, kind, label, row_number() OVER (PARTITION BY q, kind ORDER BY CASE WHEN kind = 'meeting' THEN date END, CASE WHEN kind NOT IN ('meeting', 'rto', 'topic') AND starts_with(search, q) THEN 0 ELSE 1 END, CASE WHEN kind <> 'meeting' THEN n END DESC, label) AS rn FROM x JOIN q ON contains(search, q) AND length(q) >= 2)
+SELECT q, kind, label, rn FROM r WHERE rn <= CASE WHEN kind IN ('rto', 'topic') THEN 4 ELSE 5 END"""
+
+
+@query(_SUGGEST)
 def search_suggestions(t):
-    by = lambda kind, col: t.meetings.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("label")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "label", "n")
-    return analytics.search_suggestions(by("committee", "committee").unionByName(by("meeting", "title")).unionByName(by("rto", "rto")), "pl")
+    index, out = suggestion_index(t), None
+    for text in ("pe", "is"):
+        part = analytics.search_suggestions(index, text).select(F.lit(text).alias("q"), "kind", "label", "rn")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(_EVENTS + """SELECT id, week, rn FROM (SELECT id, cast(date_trunc('week', meeting_date) AS date) AS week, row_number() OVER (PARTITION BY date_trunc('week', meeting_date) ORDER BY meeting_date, id) AS rn FROM ev WHERE is_relevant) x WHERE rn <= 5""")
@@ -186,11 +232,25 @@ def stage1_candidates(t):
     return pick(t.meetings, "CAISO").select("id", "rto", "meeting_date")
 
 
-@query("SELECT d.id, d.rto, d.meeting_id, m.meeting_date FROM stored_documents d JOIN meetings m ON m.id = d.meeting_id WHERE d.hydro_relevant IS NULL AND (m.hydro_relevant = 1 OR d.rto = 'FERC') ORDER BY m.meeting_date DESC, d.id LIMIT 200")
+def screenable(t):
+    return t.stored_documents.select("id", "rto", "meeting_id", "source_names_hydro", F.when(F.col("id") % 3 != 0, "t").alias("ai_processed_at"), F.when(F.col("id") % 2 == 0, "t").alias("stakeholders_extracted_at"))
+
+
+_GATED = "SELECT d.id, d.rto, d.meeting_id, m.meeting_date FROM stored_documents d JOIN meetings m ON m.id = d.meeting_id WHERE (m.hydro_relevant = 1 OR d.rto IN ('NYISO', 'SPP', 'SPP Markets +', 'MISO', 'ERCOT'))"
+
+
+@query(_GATED + " AND (d.id % 3 = 0 OR d.id % 2 <> 0) ORDER BY m.meeting_date DESC, d.id LIMIT 200")
 def stage2_candidates(t):
     from ..operators.screening import stage2_candidates as pick
 
-    return pick(t.stored_documents, t.meetings)
+    return pick(screenable(t), t.meetings)
+
+
+@query(_GATED + " AND d.source_names_hydro IS NULL AND d.rto = 'MISO' AND m.meeting_date BETWEEN DATE '2024-01-03' AND DATE '2024-02-20'")
+def stage2_unrated(t):
+    from ..operators.screening import stage2_candidates as pick
+
+    return pick(screenable(t), t.meetings, rto="miso", since="2024-01-03", until="2024-02-20", rescreen=True, only_unrated=True, limit=None)
 
 
 @query("""SELECT m.id, CASE WHEN s.start_min IS NOT NULL THEN s.start_min END AS start_min, s.end_min FROM meetings m JOIN (VALUES ('9:00 AM - 12:00 PM', 540, 720), ('1:30 p.m.', 810, NULL), ('10:00 AM – 3:00 PM MT', 600, 900), ('12:15 PM ET', 735, NULL), ('TBD', NULL, NULL), ('', NULL, NULL)) s(label, start_min, end_min) ON s.label = coalesce(m.meeting_time, '')""")
@@ -199,8 +259,21 @@ def parse_meeting_times(t):
     return t.meetings.select("id", time["start_min"].alias("start_min"), time["end_min"].alias("end_min"))
 
 
-@query("""SELECT id, zone, cast(timezone('UTC', timezone(zone, meeting_date + to_minutes(start_min))) AS timestamp) AS start_utc FROM (SELECT m.id, m.meeting_date, s.start_min, coalesce(s.tag, CASE WHEN rto IN ('PJM', 'NYISO', 'ISO-NE', 'FERC') THEN 'America/New_York' WHEN rto = 'CAISO' THEN 'America/Los_Angeles' ELSE 'America/Chicago' END) AS zone
-FROM meetings m JOIN (VALUES ('9:00 AM - 12:00 PM', 540, NULL), ('1:30 p.m.', 810, NULL), ('10:00 AM – 3:00 PM MT', 600, 'America/Denver'), ('12:15 PM ET', 735, 'America/New_York'), ('TBD', NULL, NULL), ('', NULL, NULL)) s(label, start_min, tag) ON s.label = coalesce(m.meeting_time, '')) x""")
+_RESOLVED = """WITH x AS (SELECT m.id, m.meeting_date, m.rto, s.label, s.start_min, s.end_min, coalesce(s.tag, CASE WHEN rto IN ('PJM', 'NYISO', 'ISO-NE') THEN 'America/New_York' WHEN rto = 'CAISO' THEN 'America/Los_Angeles' WHEN rto <> 'FERC' THEN 'America/Chicago' END) AS zone
+FROM meetings m JOIN (VALUES ('9:00 AM - 12:00 PM', 540, 720, NULL), ('1:30 p.m.', 810, NULL, NULL), ('10:00 AM – 3:00 PM MT', 600, 900, 'America/Denver'), ('12:15 PM ET', 735, NULL, 'America/New_York'), ('TBD', NULL, NULL, NULL), ('', NULL, NULL, NULL)) s(label, start_min, end_min, tag) ON s.label = coalesce(m.meeting_time, ''))
+"""
+
+
+@query(_RESOLVED + """SELECT id, zone, s AS start_utc, e AS end_utc, coalesce(strftime(timezone('America/New_York', timezone('UTC', s)), '%H:%M'), CASE label WHEN '9:00 AM - 12:00 PM' THEN '09:00' WHEN '1:30 p.m.' THEN '13:30' END) AS time24, CASE WHEN s IS NULL AND start_min IS NOT NULL THEN label END AS raw
+FROM (SELECT *, cast(timezone('UTC', timezone(zone, meeting_date + to_minutes(start_min))) AS timestamp) AS s, cast(timezone('UTC', timezone(zone, meeting_date + to_minutes(end_min))) AS timestamp) AS e FROM x) y""")
 def resolve_meeting_times(t):
-    r = resolve_meeting_time(F.col("meeting_date"), F.col("meeting_time"), F.col("rto"))
-    return t.meetings.select("id", r["zone"].alias("zone"), r["start_utc"].cast("timestamp_ntz").alias("start_utc"))
+    """FERC stands for a source without a known zone."""
+    known = F.when(F.col("rto") != "FERC", F.col("rto"))
+    r = resolve_meeting_time(F.col("meeting_date"), F.col("meeting_time"), known)
+    return t.meetings.select("id", r.alias("r")).select("id", "r.zone", F.col("r.start_utc").cast("timestamp_ntz").alias("start_utc"), F.col("r.end_utc").cast("timestamp_ntz").alias("end_utc"), "r.time24", "r.raw")
+
+
+@query("""SELECT id, CASE WHEN label IN ('', 'TBD') THEN NULL WHEN label LIKE '%MT' THEN '10:00 AM – 3:00 PM' ELSE label END AS found FROM (SELECT id, coalesce(meeting_time, '') AS label FROM meetings) x""")
+def time_in_text(t):
+    shown = F.concat(F.lit("Room 12 opens at "), F.coalesce("meeting_time", F.lit("")), F.lit("; lunch follows, see item 3:15"))
+    return t.meetings.select("id", time_in_text_of(shown).alias("found"))

@@ -9,7 +9,7 @@ from ..sources import feeds
 from ..streaming import upserts
 from .calendar import ENTITY_SQL, STRIP_SQL
 from .registry import query
-from .store import _CORPUS, _PEOPLE, corpus, flat, people, resolved
+from .store import _CALENDAR, _CORPUS, _LINES, _PEOPLE, corpus, people, resolved, shown_calendar
 
 _GUID = "lower(concat('0a1b2c3d', lpad(cast(user_id % 9 AS string), 4, '0'), 'aaaabbbb', lpad(cast(user_id % 7 AS string), 12, '0')))"
 _TEXT_GUID = "concat('0a1b2c3d-', lpad(cast(user_id % 9 AS string), 4, '0'), '-aaaa-bbbb-', lpad(cast(user_id % 7 AS string), 12, '0'))"
@@ -102,11 +102,11 @@ def link_documents_to_events(t):
 
 
 @query("""WITH g AS (SELECT id, rto, DATE '2024-01-01' + cast(id % 30 AS integer) AS day FROM stored_documents WHERE id % 4 <> 3)
-SELECT DISTINCT m.id AS meeting_id, g.id AS object_id FROM meetings m JOIN g ON g.day = m.meeting_date AND (g.rto = m.rto OR m.id % 3 = g.id % 3)""")
+SELECT DISTINCT m.id AS meeting_id, g.id AS object_id, concat('https://cdn.misoenergy.org/Item%20', cast(g.id AS string), '%20%28a%2Ab%29/x~y', cast(g.id AS string), '.', CASE g.id % 2 WHEN 0 THEN 'pdf' ELSE 'PDF' END) AS download_url FROM meetings m JOIN g ON g.day = m.meeting_date AND (g.rto = m.rto OR m.id % 3 = g.id % 3)""")
 def link_materials_by_group_day(t):
     pages = lambda: F.array("rto", F.concat(F.lit("g"), (F.col("id") % 3).cast("string")))
     kind = F.when(F.col("id") % 4 == 3, "Committee Document").when(F.col("id") % 4 == 2, "Both").otherwise("Meeting Material")
-    materials = t.stored_documents.select(F.col("id").alias("object_id"), pages().alias("related_guids"), kind.alias("kind"), F.concat(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 30).cast("int")).cast("string"), F.lit("T09:00:00")).alias("meeting_at"))
+    materials = t.stored_documents.select(F.col("id").alias("object_id"), pages().alias("related_guids"), kind.alias("kind"), F.concat(F.lit("Item "), F.col("id").cast("string"), F.lit(" (a*b)/x~y.pdf")).alias("filename"), F.when(F.col("id") % 2 == 0, "pdf").otherwise("PDF").alias("extension"), F.concat(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 30).cast("int")).cast("string"), F.lit("T09:00:00")).alias("meeting_at"))
     return matching.link_materials_by_group_day(t.meetings.select("id", "meeting_date", pages().alias("committee_guids")), materials)
 
 
@@ -134,13 +134,23 @@ def match_facet(t):
     return out
 
 
-@query("SELECT id, rto, title, meeting_date, n AS n_documents FROM meetings m LEFT JOIN (SELECT meeting_id, count(*) AS n FROM stored_documents GROUP BY 1) d ON d.meeting_id = m.id")
+@query(_CALENDAR)
 def calendar_feed(t):
     """Written and read back."""
     path = feeds.new_folder(t.spark, "feed")
     events = linking.calendar_events(t.meetings, t.stored_documents, resolved(t), t.issues, people(t))
     feeds.write_calendar_feed(events, path)
-    return feeds.read_calendar_feed(t.spark, path, events.schema).select("id", "rto", "title", "meeting_date", F.when(F.col("documents").isNotNull(), F.size("documents")).cast("long").alias("n_documents"))
+    return shown_calendar(feeds.read_calendar_feed(t.spark, path, events.schema))
+
+
+@query(_CALENDAR)
+def calendar_feed_array(t):
+    """The form of one JSON array: read whole (a feed is one file), and compared like the other."""
+    path = feeds.new_folder(t.spark, "feed")
+    events = linking.calendar_events(t.meetings, t.stored_documents, resolved(t), t.issues, people(t))
+    one = F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct(*events.columns))), ","), F.lit("]"))
+    events.agg(one.alias("value")).write.text(path)
+    return shown_calendar(feeds.read_calendar_feed(t.spark, path, events.schema, multi_line=True))
 
 
 @query("SELECT id, rto, native_id, coalesce(canonical_name, short_title, native_id) AS name, status, is_open, count(r.ref_url) AS total_refs, count(r.matched_document_id) AS matched_refs FROM issues i LEFT JOIN matched_references r ON r.issue_id = i.id GROUP BY ALL")
@@ -151,29 +161,38 @@ def issue_list(t):
     return feeds.read_calendar_feed(t.spark, path, rows.schema)
 
 
-@query(_CORPUS + "SELECT * REPLACE (nullif(topics, '') AS topics, nullif(initiatives, '') AS initiatives, nullif(stakeholders, '') AS stakeholders) FROM flat")
+@query(_CORPUS + "SELECT * EXCLUDE (id) REPLACE (nullif(topics, '') AS topics, nullif(evidence, '') AS evidence, nullif(initiatives, '') AS initiatives, nullif(stakeholders, '') AS stakeholders) FROM flat")
 def corpus_csv(t):
     """Written and read back; an empty cell reads as null."""
-    path, rows = feeds.new_folder(t.spark, "corpus"), flat(corpus(t))
+    path, rows = feeds.new_folder(t.spark, "corpus"), corpus(t)
     feeds.write_corpus_csv(rows, path)
-    return feeds.read_corpus_csv(t.spark, path, rows.schema)
+    return feeds.read_corpus_csv(t.spark, path, feeds.flat_corpus(rows).select(*feeds.CORPUS_COLUMNS).schema)
+
+
+@query(_CORPUS + "SELECT * FROM flat")
+def corpus_json(t):
+    """Written with its lists kept, and read back."""
+    path, rows = feeds.new_folder(t.spark, "corpus"), corpus(t)
+    feeds.write_json(feeds.in_corpus_order(rows), path)
+    return feeds.flat_corpus(feeds.read_calendar_feed(t.spark, path, rows.schema))
 
 
-@query(_CORPUS + """, c AS (SELECT id, unnest([rto, cast(meeting_date AS varchar), committee, meeting_title, '', title, '', '', initiatives, stakeholders, ai_summary, download_url]) AS v, generate_subscripts([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12], 1) AS k FROM flat)
-SELECT id, string_agg(CASE WHEN regexp_matches(coalesce(v, ''), '[",\n\r]') THEN '"' || replace(v, '"', '""') || '"' ELSE coalesce(v, '') END, ',' ORDER BY k) AS line FROM c GROUP BY id""")
+@query(_CORPUS + _LINES + "SELECT id, line FROM lines")
 def corpus_csv_compact(t):
-    rows = corpus(t).withColumnRenamed("download_url", "url")
+    rows = corpus(t)
     return rows.select("id", feeds.compact_csv_line(rows).alias("line"))
 
 
-@query("SELECT rto, count(*) AS runs, sum(e)::bigint AS events_found, sum(d)::bigint AS docs_found FROM (SELECT rto, count(*) AS e, 0 AS d FROM meeting_scrapes GROUP BY 1 UNION ALL SELECT rto, 0, count(*) FROM document_scrapes GROUP BY 1) x GROUP BY 1")
+@query("""SELECT rto, 'meetings' AS scrape_type, concat('https://cal.example/', rto) AS target_url, 'success' AS status, count(*) AS events_found, 0 AS docs_found, 0 AS docs_downloaded, NULL AS error_message, 1.5 AS duration_seconds FROM meeting_scrapes GROUP BY rto
+UNION ALL SELECT rto, 'documents', NULL, 'error', 0, count(*), count(posted_date), 'timed out', NULL FROM document_scrapes GROUP BY rto""")
 def scrape_log(t):
     """Two runs appended and read back."""
     path, n = feeds.new_folder(t.spark, "log"), F.count("*")
-    row = lambda df, kind, e, d: df.groupBy("rto").agg(e.alias("events_found"), d.alias("docs_found")).withColumns({"scrape_type": F.lit(kind), "status": F.lit("success")})
-    feeds.append_scrape_log(row(t.meeting_scrapes, "meetings", n, F.lit(0)), path)
-    feeds.append_scrape_log(row(t.document_scrapes, "documents", F.lit(0), n), path)
-    return t.spark.read.parquet(path).groupBy("rto").agg(n.alias("runs"), F.sum("events_found").alias("events_found"), F.sum("docs_found").alias("docs_found"))
+    one = t.meeting_scrapes.groupBy("rto").agg(n.alias("events_found")).withColumns({"scrape_type": F.lit("meetings"), "status": F.lit("success"), "target_url": F.concat(F.lit("https://cal.example/"), F.col("rto")), "duration_seconds": F.lit(1.5)})
+    two = t.document_scrapes.groupBy("rto").agg(n.alias("docs_found"), F.count("posted_date").alias("docs_downloaded")).withColumns({"scrape_type": F.lit("documents"), "status": F.lit("error"), "error_message": F.lit("timed out")})
+    for run in (one, two):
+        feeds.append_scrape_log(run, path)
+    return t.spark.read.parquet(path)
 
 
 @query("SELECT id, rto, title, meeting_date, meeting_time, committee, location, source_url, detail_url, materials_url, last_seq FROM meetings")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import folds, linking
+from ..operators import analytics, folds, linking
+from ..sources import feeds
 from .registry import query
 
 
@@ -129,26 +130,27 @@ def issues_with_reference_counts(t):
 
 _CORPUS = _PEOPLE + """, pairs AS (SELECT DISTINCT issue_id, document_id FROM (SELECT issue_id, matched_document_id AS document_id FROM matched_references WHERE matched_document_id IS NOT NULL
   UNION ALL SELECT r.issue_id, d.id FROM matched_references r JOIN stored_documents d ON d.meeting_id = r.matched_meeting_id) u),
-names AS (SELECT p.document_id, list_sort(list(DISTINCT coalesce(canonical_name, short_title, native_id) || coalesce(' [' || status || ']', ''))) AS l FROM pairs p JOIN issues i ON i.id = p.issue_id GROUP BY 1),
-who AS (SELECT document_id, list_sort(list(DISTINCT name || coalesce(' (' || entity || ')', ''))) AS l FROM kept GROUP BY 1),
-flat AS (SELECT d.id, d.rto, m.title AS meeting_title, m.meeting_date, m.committee, coalesce(d.title, d.filename) AS title, d.download_url, d.ai_summary, coalesce(d.directness, 'unrated') AS directness, coalesce(d.topics, '') AS topics,
-  coalesce(array_to_string(n.l, '; '), '') AS initiatives, coalesce(array_to_string(w.l, '; '), '') AS stakeholders
+named AS (SELECT DISTINCT p.document_id, canonical_name, short_title, native_id, status FROM pairs p JOIN issues i ON i.id = p.issue_id),
+names AS (SELECT document_id, list(coalesce(canonical_name, short_title, native_id) || coalesce(' [' || status || ']', '') ORDER BY canonical_name NULLS FIRST, short_title NULLS FIRST, native_id NULLS FIRST, status NULLS FIRST) AS l FROM named GROUP BY 1),
+who AS (SELECT document_id, list(name || coalesce(' (' || entity || ')', '') ORDER BY entity NULLS FIRST, name) AS l FROM kept GROUP BY 1),
+flat AS (SELECT d.id, d.rto, m.meeting_date, m.committee, m.title AS meeting_title, d.doc_type, coalesce(d.title, d.filename) AS title, d.posted_date, d.hydro_relevance_reason AS relevance_reason, replace(coalesce(d.topics, ''), ';', '; ') AS topics,
+  coalesce(d.directness, 'unrated') AS directness, d.source_names_hydro = 1 AS source_names_hydro, CASE WHEN d.evidence LIKE '[{%' THEN concat('c', cast(d.id AS string), ' — "q" | ? — "x" [UNVERIFIED]') ELSE '' END AS evidence,
+  coalesce(array_to_string(n.l, '; '), '') AS initiatives, coalesce(array_to_string(w.l, '; '), '') AS stakeholders, d.ai_summary, d.hydro_read_through, d.download_url AS url, d.member_url
 FROM stored_documents d JOIN meetings m ON m.id = d.meeting_id LEFT JOIN names n ON n.document_id = d.id LEFT JOIN who w ON w.document_id = d.id WHERE d.hydro_relevant = 1)
 """
+#: The reader's line of a row of `flat`, by id.
+_LINES = """, cells AS (SELECT id, unnest([rto, cast(meeting_date AS varchar), committee, meeting_title, doc_type, title, posted_date, relevance_reason, initiatives, stakeholders, ai_summary, url]) AS v, generate_subscripts([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12], 1) AS k FROM flat),
+lines AS (SELECT id, string_agg(CASE WHEN regexp_matches(coalesce(v, ''), '[",\n\r]') THEN '"' || replace(v, '"', '""') || '"' ELSE coalesce(v, '') END, ',' ORDER BY k) AS line FROM cells GROUP BY id)
+"""
 
 
 def corpus(t):
     return linking.corpus(t.stored_documents, t.meetings, resolved(t), t.issues, people(t))
 
 
-def flat(df):
-    """Lists joined, for output as text."""
-    return df.withColumns({c: F.array_join(c, ";" if c == "topics" else "; ") for c in ("topics", "initiatives", "stakeholders")})
-
-
 @query(_CORPUS + "SELECT * FROM flat")
 def hydro_corpus(t):
-    return flat(corpus(t))
+    return feeds.flat_corpus(corpus(t))
 
 
 @query(_CORPUS + "SELECT id, rto, meeting_date, directness FROM flat WHERE rto IN ('PJM', 'CAISO', 'MISO', 'ERCOT') AND meeting_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-25'")
@@ -157,48 +159,69 @@ def filter_corpus(t):
     return rows.where(F.col("rto").isin("PJM", "CAISO", "MISO", "ERCOT") & F.col("meeting_date").between(F.lit("2024-01-05").cast("date"), F.lit("2024-01-25").cast("date")))
 
 
-@query(_CORPUS + "SELECT rto, count(*) AS documents, min(meeting_date) AS first_date, max(meeting_date) AS last_date, greatest(1, max(meeting_date) - min(meeting_date)) AS span_days FROM flat GROUP BY rto")
+@query(_CORPUS + _LINES + "SELECT rto, count(*) AS documents, min(meeting_date) AS first_date, max(meeting_date) AS last_date, greatest(1, max(meeting_date) - min(meeting_date)) AS span_days, sum(strlen(line) + 2)::bigint AS csv_bytes FROM flat JOIN lines USING (id) WHERE meeting_date >= DATE '2024-01-05' GROUP BY rto")
 def corpus_profile(t):
-    return corpus(t).groupBy("rto").agg(F.count("*").alias("documents"), F.min("meeting_date").alias("first_date"), F.max("meeting_date").alias("last_date"), F.greatest(F.lit(1), F.datediff(F.max("meeting_date"), F.min("meeting_date"))).cast("long").alias("span_days"))
+    """Of the selection from a day on: counts, span and the bytes of the reader's lines (json_bytes, not compared, of compact JSON)."""
+    rows = corpus(t).where(F.col("meeting_date") >= F.lit("2024-01-05").cast("date"))
+    return analytics.corpus_profile(rows).drop("json_bytes")
+
 
+_CALENDAR = _PEOPLE.rstrip() + ", " + _DOC_ISSUES[5:] + """, dx AS (SELECT document_id, count(*) AS n, string_agg(native_id, ',' ORDER BY i.rto, i.native_id) AS l FROM di JOIN issues i ON i.id = di.issue_id GROUP BY 1),
+dq AS (SELECT document_id, count(*) AS n, string_agg(name, ',' ORDER BY coalesce(entity, ''), name) AS l FROM kept GROUP BY 1),
+dd AS (SELECT d.meeting_id, count(*) AS n, string_agg(concat(cast(d.id AS string), ':', coalesce(d.title, ''), ':', replace(coalesce(d.topics, ''), ';', ','), ':', coalesce(dx.l, ''), ':', coalesce(dq.l, '')), '|' ORDER BY d.id) AS l
+  FROM stored_documents d LEFT JOIN dx ON dx.document_id = d.id LEFT JOIN dq ON dq.document_id = d.id GROUP BY 1),
+mi AS (SELECT matched_meeting_id AS mid, string_agg(native_id, ',' ORDER BY coalesce(canonical_name, short_title, native_id), native_id) AS l FROM matched_references r JOIN issues i ON i.id = r.issue_id WHERE matched_meeting_id IS NOT NULL GROUP BY 1)
+SELECT m.id, m.rto, m.title, m.meeting_date, coalesce(dd.n, 0) AS n_documents, coalesce(dd.l, '') AS documents, coalesce(mi.l, '') AS issues FROM meetings m LEFT JOIN dd ON dd.meeting_id = m.id LEFT JOIN mi ON mi.mid = m.id"""
 
-@query(_PEOPLE.rstrip() + ", " + _DOC_ISSUES[5:] + """SELECT m.id, m.rto, m.title, coalesce(d.n, 0) AS n_documents, coalesce(d.s, 0) AS n_document_issues, coalesce(i.n, 0) AS n_issues, coalesce(d.p, 0) AS n_people FROM meetings m
-LEFT JOIN (SELECT meeting_id, count(*) AS n, sum(coalesce(x.n, 0))::bigint AS s, sum(coalesce(q.n, 0))::bigint AS p FROM stored_documents d LEFT JOIN (SELECT document_id, count(*) AS n FROM di GROUP BY 1) x ON x.document_id = d.id
-  LEFT JOIN (SELECT document_id, count(*) AS n FROM kept GROUP BY 1) q ON q.document_id = d.id GROUP BY 1) d ON d.meeting_id = m.id
-LEFT JOIN (SELECT matched_meeting_id AS mid, count(*) AS n FROM matched_references WHERE matched_meeting_id IS NOT NULL GROUP BY 1) i ON i.mid = m.id""")
+
+def shown_calendar(e):
+    """The nested feed as text, for comparison: each document with its title, topics, issues and people, and the meeting's issues."""
+    none = lambda x, what: F.coalesce(F.array_join(F.transform(x, lambda i: i[what]), ","), F.lit(""))
+    one = lambda d: F.concat_ws(":", d["id"].cast("string"), F.coalesce(d["title"], F.lit("")), F.array_join(d["topics"], ","), none(d["issues"], "native_id"), none(d["stakeholders"], "name"))
+    documents = F.coalesce(F.array_join(F.transform("documents", one), "|"), F.lit(""))
+    return e.select("id", "rto", "title", "meeting_date", F.when(F.col("documents").isNull(), 0).otherwise(F.size("documents")).cast("long").alias("n_documents"), documents.alias("documents"), none(F.col("issues"), "native_id").alias("issues"))
+
+
+@query(_CALENDAR)
 def calendar_events(t):
-    """The nested feed, flattened to counts for comparison."""
-    e = linking.calendar_events(t.meetings, t.stored_documents, resolved(t), t.issues, people(t))
-    total = lambda c: F.coalesce(F.aggregate("documents", F.lit(0).cast("long"), lambda a, d: a + F.coalesce(F.size(d[c]), F.lit(0))), F.lit(0)).cast("long")
-    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
-    return e.select("id", "rto", "title", size("documents").alias("n_documents"), total("issues").alias("n_document_issues"), size("issues").alias("n_issues"), total("stakeholders").alias("n_people"))
+    return shown_calendar(linking.calendar_events(t.meetings, t.stored_documents, resolved(t), t.issues, people(t)))
 
 
-@query(_TYPED + """, d AS (SELECT f.id, f.meeting_id AS event_id, f.rto, f.doc_type, m.meeting_date AS event_date, string_split(coalesce(s.topics, ''), ';') AS topics, s.ai_summary FROM folded f JOIN meetings m ON m.id = f.meeting_id JOIN screenings s ON s.doc_id = f.id),
+_RELATED = _TYPED + """, d AS (SELECT f.id, f.meeting_id AS event_id, f.rto, f.doc_type, m.meeting_date AS event_date, CASE WHEN s.topics <> '' THEN string_split(s.topics, ';') ELSE [] END AS topics, s.ai_summary FROM folded f JOIN meetings m ON m.id = f.meeting_id JOIN screenings s ON s.doc_id = f.id),
 p AS (SELECT a.id, b.id AS related_id, b.rto AS related_rto, abs(a.event_date - b.event_date) AS day_gap, len(list_intersect(a.topics, b.topics)) AS shared, a.doc_type = b.doc_type AS same_type FROM d a JOIN d b ON a.rto <> b.rto AND a.event_id <> b.event_id AND abs(a.event_date - b.event_date) <= 10 AND b.ai_summary IS NOT NULL),
 q AS (SELECT *, CASE WHEN same_type THEN 4 ELSE 0 END + shared AS score, same_type AND shared > 0 AS strong FROM p WHERE same_type OR shared > 0),
 r AS (SELECT *, count(*) FILTER (WHERE strong) OVER (PARTITION BY id) AS n_strong FROM q),
 z AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, day_gap, related_id) AS rn FROM r WHERE n_strong < 2 OR strong)
-SELECT id, related_id, related_rto, day_gap, shared, same_type, score, rn FROM z WHERE rn <= 12""")
+"""
+
+
+@query(_RELATED + "SELECT id, related_id, related_rto, day_gap, shared, same_type, score, rn FROM z WHERE rn <= 12")
 def related_documents(t):
     return linking.related_documents(dated_documents(t))
 
 
+@query(_RELATED + """, g AS (SELECT id, related_rto, string_agg(cast(related_id AS string), ',' ORDER BY rn) AS items, count(*) AS n, max(score) AS best FROM z WHERE rn <= 12 GROUP BY 1, 2)
+SELECT id, related_rto, items, best, row_number() OVER (PARTITION BY id ORDER BY best DESC, n DESC, related_rto) AS place FROM g""")
+def related_by_rto(t):
+    rows = linking.related_by_rto(linking.related_documents(dated_documents(t)))
+    return rows.withColumn("items", F.array_join(F.transform("items", lambda i: i["id"].cast("string")), ","))
+
+
 def dated_documents(t):
     d = folds.upsert_documents(doc_sightings(t)).select("id", F.col("meeting_id").alias("event_id"), "rto", "doc_type")
     m = t.meetings.select(F.col("id").alias("event_id"), F.col("meeting_date").alias("event_date"))
-    s = t.screenings.select(F.col("doc_id").alias("id"), F.split(F.coalesce("topics", F.lit("")), ";").alias("topics"), "ai_summary")
+    s = t.screenings.select(F.col("doc_id").alias("id"), text.topics_array(F.col("topics")).alias("topics"), "ai_summary")
     return d.join(m, "event_id").join(s, "id")
 
 
-@query(None)
-def related_by_rto(t):
-    return linking.related_by_rto(linking.related_documents(dated_documents(t)))
-
-
-@query("""SELECT d.id, d.rto, CASE WHEN d.rto = 'SPP' AND d.member_url IS NULL AND m.materials_url LIKE '%spp-documents-filings%' THEN m.materials_url ELSE d.member_url END AS member_url FROM stored_documents d LEFT JOIN meetings m ON m.id = d.meeting_id""")
+@query("""WITH d AS (SELECT id, rto, meeting_id, CASE id % 6 WHEN 0 THEN download_url WHEN 2 THEN concat(download_url, '.ZIP') ELSE concat(download_url, '.zip#z=a.pdf') END AS url, CASE WHEN id % 7 = 0 THEN 'https://own.example' END AS member_url FROM stored_documents),
+f AS (SELECT d.id, d.rto, d.url, CASE WHEN d.rto IN ('SPP', 'SPP Markets +') AND d.member_url IS NULL AND d.id % 6 <> 0 AND contains(m.materials_url, '/spp-documents-filings/?id=') THEN m.materials_url ELSE d.member_url END AS member_url FROM d LEFT JOIN meetings m ON m.id = d.meeting_id)
+SELECT id, rto, member_url, rto IN ('SPP', 'SPP Markets +') AND member_url IS NULL AND id % 6 <> 0 AS still_missing FROM f""")
 def backfill_member_url(t):
-    return linking.backfill_member_url(t.stored_documents, t.meetings).select("id", "rto", "member_url")
+    k = F.col("id") % 6
+    url = F.when(k == 0, F.col("download_url")).when(k == 2, F.concat("download_url", F.lit(".ZIP"))).otherwise(F.concat("download_url", F.lit(".zip#z=a.pdf")))
+    docs = t.stored_documents.withColumns({"download_url": url, "member_url": F.when(F.col("id") % 7 == 0, "https://own.example")})
+    return linking.backfill_member_url(docs, t.meetings).select("id", "rto", "member_url", "still_missing")
 
 
 @query("""SELECT DISTINCT m.id AS meeting_id, f.download_url FROM meetings m JOIN (SELECT download_url, rto AS folder, DATE '2024-01-01' + cast(id % 30 AS integer) AS day FROM stored_documents UNION ALL SELECT download_url, rto, DATE '2024-01-01' + cast(id % 30 + 1 AS integer) FROM stored_documents) f ON f.folder = m.rto AND f.day = m.meeting_date""")

@@ -31,9 +31,11 @@ def title_from_filename(t):
     return t.document_scrapes.select("seq", text.title_from_filename(F.col("filename")).alias("title"))
 
 
-@query("""SELECT s.seq, CASE WHEN s.title IS NULL OR s.title = 'PDF' THEN concat('Item 0', cast(seq % 10 AS string), ' – ', upper(substr(d.lang, 1, 1)), substr(d.lang, 2), ' FTR Auction Update') ELSE s.title END AS title FROM document_scrapes s JOIN documents d ON d.doc_id = s.seq""")
+@query("""SELECT s.seq, CASE WHEN s.rto = 'PJM' AND (s.title IS NULL OR s.title = 'PDF') AND s.seq % 5 <> 0 THEN concat('Item 0', cast(seq % 10 AS string), ' – ', upper(substr(d.lang, 1, 1)), substr(d.lang, 2), ' FTR Auction Update') ELSE s.title END AS title FROM document_scrapes s JOIN documents d ON d.doc_id = s.seq""")
 def backfill_junk_titles(t):
-    return t.document_scrapes.select("seq", text.backfilled_title(F.col("title"), F.col("filename")).alias("title"))
+    """Every fifth file name would itself give a title of no use."""
+    name = F.when(F.col("seq") % 5 == 0, "20240101-xlsx.pdf").otherwise(F.col("filename"))
+    return t.document_scrapes.select("seq", text.backfill_stored_title(F.col("title"), name, F.col("rto")).alias("title"))
 
 
 @query("""SELECT seq, CASE WHEN contains(u, 'PJM') THEN 'PJM' WHEN contains(u, 'CAISO') THEN 'CAISO' WHEN contains(u, 'MISO') THEN 'MISO' WHEN contains(u, 'NYISO') THEN 'NYISO' WHEN contains(u, 'ERCOT') THEN 'ERCOT' WHEN contains(u, 'SPP') THEN 'SPP Markets +' WHEN contains(u, 'ISO-NE') THEN 'ISO-NE' WHEN contains(u, 'FERC') THEN 'FERC' ELSE 'Other' END AS rto FROM (SELECT seq, upper(title) AS u FROM meeting_scrapes) x""")
@@ -130,11 +132,12 @@ def detect_summary_leak(t):
     return rows.select("doc_id", screening.detect_summary_leak(F.when(F.col("quality") == 1, "a trash summary"), F.col("text"), "trash").alias("leak"))
 
 
-@query("""SELECT count(*) AS screened, count(*) FILTER (WHERE quality = 1) AS n_relevant, count(*) FILTER (WHERE quality = 1 AND doc_id % 4 = 0) AS n_direct, 0 AS n_precedent, count(*) FILTER (WHERE quality = 1 AND doc_id % 4 <> 0) AS n_reference, count(*) FILTER (WHERE length(text) > 4000) AS n_truncated, sum(doc_id % 2)::bigint AS n_unverified, count(*) FILTER (WHERE contains(text, 'trash')) AS n_leaks
-FROM labels JOIN documents USING (doc_id) WHERE doc_id % 11 <> 0""")
+@query("""SELECT count(*) FILTER (WHERE ok) AS screened, count(*) FILTER (WHERE NOT ok) AS n_errors, count(*) FILTER (WHERE ok AND quality = 1) AS n_relevant, count(*) FILTER (WHERE ok AND quality = 1 AND doc_id % 4 = 0) AS n_direct, 0 AS n_precedent, count(*) FILTER (WHERE ok AND quality = 1 AND doc_id % 4 <> 0) AS n_reference, count(*) FILTER (WHERE length(text) > 4000) AS n_truncated, sum(doc_id % 2)::bigint AS n_unverified, count(*) FILTER (WHERE contains(text, 'trash')) AS n_leaks, sum(doc_id % 4)::bigint AS n_stakeholders
+FROM (SELECT *, doc_id % 11 <> 0 AS ok FROM labels JOIN documents USING (doc_id)) x""")
 def screening_run_summary(t):
-    rows = screening.postprocess_screening(answers(t)).join(t.base("documents").select("doc_id", "text"), "doc_id")
-    return screening.screening_run_summary(rows.select("relevant", "directness", (F.length("text") > 4000).alias("elided"), (F.col("doc_id") % 2).alias("unverified"), F.col("text").contains("trash").alias("leak")))
+    texts = t.base("labels").select("doc_id").join(t.base("documents").select("doc_id", "text"), "doc_id")
+    rows = texts.join(screening.postprocess_screening(answers(t)), "doc_id", "left")
+    return screening.screening_run_summary(rows.select("relevant", "directness", (F.length("text") > 4000).alias("elided"), (F.col("doc_id") % 2).alias("unverified"), F.col("text").contains("trash").alias("leak"), (F.col("doc_id") % 4).alias("n_stakeholders")))
 
 
 @query(r"""SELECT page_id, count(*) AS links, count(DISTINCT href) AS hrefs FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"', 1)) AS href FROM pages) x GROUP BY 1""")
@@ -154,7 +157,10 @@ def markup_to_text(t):
     return t.base("pages").select("page_id", text.markup_to_text(F.col("html")).alias("text"))
 
 
-@query("SELECT id, array_to_string(CASE WHEN topics IS NULL OR topics = '' THEN [] ELSE string_split(topics, ';') END, '|') AS topics, CASE WHEN topics IS NULL THEN 0 ELSE len(string_split(topics, ';')) END AS n_topics, hydro_relevant = 1 AS relevant FROM stored_documents")
+@query("""SELECT id, coalesce(replace(topics, ';', '|'), '') AS topics, CASE WHEN topics IS NULL THEN 0 ELSE len(string_split(topics, ';')) END AS n_topics, hydro_relevant = 1 AS relevant, CASE WHEN id % 3 <> 0 THEN directness END AS directness,
+CASE WHEN id % 7 <> 0 AND evidence LIKE '[{%' THEN 2 ELSE 0 END AS n_evidence, CASE WHEN id % 7 <> 0 AND evidence LIKE '[{%' THEN concat('c', cast(id AS string), ' — "q" | ? — "x" [UNVERIFIED]') ELSE '' END AS evidence FROM stored_documents""")
 def decode_screening_columns(t):
-    topics = F.when(F.col("topics").isNull() | (F.col("topics") == ""), F.array().cast("array<string>")).otherwise(F.split("topics", ";"))
-    return t.stored_documents.select("id", F.array_join(topics, "|").alias("topics"), F.size(topics).alias("n_topics"), (F.col("hydro_relevant") == 1).alias("relevant"))
+    """Some ratings are unknown words and some evidence is no JSON."""
+    odd = {"directness": F.when(F.col("id") % 3 == 0, F.lit("strong")).otherwise(F.col("directness")), "evidence": F.when(F.col("id") % 7 == 0, F.lit("not json")).otherwise(F.col("evidence"))}
+    rows = screening.decode_screening(t.stored_documents.withColumns(odd))
+    return rows.select("id", F.array_join("topics", "|").alias("topics"), F.size("topics").alias("n_topics"), "relevant", "directness", F.size("evidence").alias("n_evidence"), text.evidence_text(F.col("evidence")).alias("evidence"))

@@ -10,13 +10,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.text import evidence_text
+
 #: Columns of the reader's CSV. They must equal the original system's for right results.
+CORPUS_COLUMNS = ["rto", "meeting_date", "committee", "meeting_title", "doc_type", "title", "posted_date", "relevance_reason", "topics", "directness", "source_names_hydro", "evidence", "initiatives", "stakeholders", "ai_summary", "hydro_read_through", "url", "member_url"]
 COMPACT_COLUMNS = ["rto", "meeting_date", "committee", "meeting_title", "doc_type", "title", "posted_date", "relevance_reason", "initiatives", "stakeholders", "ai_summary", "url"]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='parley-')}"
+    """A new path in the folder that driver and executors share; in local mode alone a temporary one where the session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or f"file://{tempfile.mkdtemp(prefix='parley-')}"
     return f"{base.rstrip('/')}/parley-{uuid.uuid4().hex}/{name}"
 
 
@@ -40,9 +46,20 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.json(path)
 
 
+def flat_corpus(rows: DataFrame) -> DataFrame:
+    """The corpus with its lists as text: joined, and evidence as claims with their quotes."""
+    texts = {c: F.array_join(c, "; ") for c in ("topics", "initiatives", "stakeholders")}
+    return rows.withColumns({**texts, "evidence": evidence_text(F.col("evidence"))})
+
+
+def in_corpus_order(rows: DataFrame) -> DataFrame:
+    return rows.orderBy("rto", F.desc("meeting_date"), "title", "url")
+
+
 def write_corpus_csv(rows: DataFrame, path: str) -> None:
-    """The corpus with lists joined; quotes are doubled, as spreadsheets read them."""
-    rows.write.option("header", True).option("escape", '"').csv(path)
+    """The 18 columns with lists as text, in order; quotes are doubled, as spreadsheets read them. Every file starts with a byte order mark and the header."""
+    named = [F.col(c).alias(("\ufeff" if i == 0 else "") + c) for i, c in enumerate(CORPUS_COLUMNS)]
+    flat_corpus(in_corpus_order(rows)).select(*named).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def read_corpus_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -63,11 +80,14 @@ def compact_csv_line(rows: DataFrame) -> Column:
 
 def write_compact_csv(rows: DataFrame, path: str) -> None:
     """Lines ended by CR LF under one header line; the header is first in the first file."""
-    lines = rows.select(F.lit(1).alias("k"), compact_csv_line(rows).alias("value"))
+    order = [c for c in ("rto", "meeting_date", "title", "url") if c in rows.columns]
+    lines = rows.select(F.lit(1).alias("k"), compact_csv_line(rows).alias("value"), *order)
     head = rows.sparkSession.createDataFrame([(0, "﻿" + ",".join(COMPACT_COLUMNS))], "k int, value string")
-    head.unionByName(lines).orderBy("k", "value").select("value").write.option("lineSep", "\r\n").text(path)
+    head.unionByName(lines, allowMissingColumns=True).orderBy("k", *[F.desc(c) if c == "meeting_date" else c for c in order], "value").select("value").write.option("lineSep", "\r\n").text(path)
 
 
 def append_scrape_log(runs: DataFrame, path: str) -> None:
-    """rto, scrape_type, status, events_found, docs_found: one row per run, appended."""
-    runs.select("rto", "scrape_type", "status", F.col("events_found").cast("long"), F.col("docs_found").cast("long")).write.mode("append").parquet(path)
+    """One row per run, appended: what was scraped and how it went. Counts that the rows lack are 0, texts and duration null."""
+    have = lambda c, kind: F.col(c).cast(kind) if c in runs.columns else F.lit(0 if kind == "long" else None).cast(kind)
+    kinds = {"target_url": "string", "status": "string", "events_found": "long", "docs_found": "long", "docs_downloaded": "long", "error_message": "string", "duration_seconds": "double"}
+    runs.select("rto", "scrape_type", *[have(c, k).alias(c) for c, k in kinds.items()]).write.mode("append").parquet(path)
