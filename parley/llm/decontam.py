@@ -2,8 +2,8 @@
 
 Words are the runs of letters and digits of the lower-cased text (any byte beyond ASCII counts as a letter). Every n-gram
 of an item is a seed, named by a 64-bit hash. One scan of the corpus gives the places of the seeds in every document;
-where the benchmark's seeds take no more than FILTER_BYTES they go along as a filter, a larger benchmark meets all n-grams
-of the corpus in the shuffle. Spark counts in how many rows a seed stands, and an item keeps the seeds that are rare for
+where the benchmark's seeds take no more than FILTER_BYTES they go along as a filter (and once more, the rare ones, to cut
+out the words around them), a larger benchmark meets all n-grams of the corpus in the shuffle. Spark counts in how many rows a seed stands, and an item keeps the seeds that are rare for
 it (at most FACTOR times the median of its seeds' counts, or FLOOR): a phrase that is common everywhere does not
 name a passage, while the seeds of an item that leaked into very many documents stay. If an item had only common seeds,
 its median would be as common, so every item keeps at least half of its seeds. Rare seeds are joined with their places;
@@ -73,50 +73,88 @@ def items_of(benchmark: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, "item_id long, words array<long>, seeds array<long>").where(F.size("words") > 0)
 
 
-def places_of(rows: DataFrame, kind: str, n: int, sizes: list[int], known: np.ndarray | None) -> DataFrame:
-    """(doc_id, tkey, seed, at): where n-grams (of `known` ones alone, if given) stand in every row; at counts words."""
-    if known is not None:
-        known = np.sort(known)
-        bits = np.zeros(1 << 20, dtype=bool)
-        bits[known & (len(bits) - 1)] = True
+class Seeds:
+    """Finds n-grams in texts: those of `known`, or all of them."""
 
-    def look(batch: pa.RecordBatch, first: int, texts: list[bytes]) -> pa.RecordBatch:
-        """The places in some neighbouring texts of a batch, hashed in one go."""
+    def __init__(self, sizes: list[int], known: np.ndarray | None):
+        self.sizes, self.known = sizes, known
+        if known is not None:
+            self.known = np.unique(known)
+            self.bits = np.zeros(1 << 20, dtype=bool)
+            self.bits[known & (len(self.bits) - 1)] = True
+
+    def find(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Some neighbouring texts, hashed in one go: their word hashes, the first word of each text (and the end), and
+        for all n-grams found the text, the hash and the place among all words."""
         data = np.frombuffer(b" ".join(texts), dtype=np.uint8)
         start, end = common.word_spans(data, _SIGNS)
         codes = common.word_hashes(data, start, end)
         begin = np.cumsum([0] + [len(t) + 1 for t in texts])
         row = np.searchsorted(begin, start, "right") - 1
-        word = np.searchsorted(start, begin)  # the first word of each text
         out: list[list[np.ndarray]] = [[], [], []]
-        for size in sizes:
+        for size in self.sizes:
             found = grams(codes, size)
             at = np.flatnonzero(row[: len(found)] == row[size - 1 :]) if len(found) else np.zeros(0, dtype=np.int64)
-            if known is not None:
-                at = at[bits[found[at] & (len(bits) - 1)]]
-                near = np.minimum(np.searchsorted(known, found[at]), max(0, len(known) - 1))
-                at = at[known[near] == found[at]] if len(known) else at[:0]
-            for column, value in zip(out, (row[at], found[at], at - word[row[at]])):
+            if self.known is not None:
+                at = at[self.bits[found[at] & (len(self.bits) - 1)]]
+                near = np.minimum(np.searchsorted(self.known, found[at]), max(0, len(self.known) - 1))
+                at = at[self.known[near] == found[at]] if len(self.known) else at[:0]
+            for column, value in zip(out, (row[at], found[at], at)):
                 column.append(value)
-        cols = [pa.array(np.concatenate(c)) for c in out]
-        of = pa.array(np.concatenate(out[0]) + first)
-        return pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *cols[1:]], names=["doc_id", "tkey", "seed", "at"])
+        return codes, np.searchsorted(start, begin), [np.concatenate(c) for c in out]
+
+
+def _chunks(batch: pa.RecordBatch):
+    """(number of the first row, lower-cased texts) of neighbouring rows, some _CHUNK bytes at a time."""
+    first, held, size = 0, [], 0
+    for i, text in enumerate(batch.column("text").to_pylist()):
+        held.append((text or "").lower().encode("utf-8", "replace"))
+        size += len(held[-1])
+        if size > _CHUNK:
+            yield first, held
+            first, held, size = i + 1, [], 0
+    if held:
+        yield first, held
+
+
+def places_of(rows: DataFrame, kind: str, seeds: Seeds) -> DataFrame:
+    """(doc_id, tkey, seed, at): where the n-grams stand in every row; at counts words."""
 
     def run(batches):
         for batch in batches:
-            first, held, size = 0, [], 0
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                held.append((text or "").lower().encode("utf-8", "replace"))
-                size += len(held[-1])
-                if size > _CHUNK:
-                    yield look(batch, first, held)
-                    first, held, size = i + 1, [], 0
-            if held:
-                yield look(batch, first, held)
+            for first, texts in _chunks(batch):
+                _, begin, (row, seed, at) = seeds.find(texts)
+                of = pa.array(row + first)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(seed), pa.array(at - begin[row])], names=["doc_id", "tkey", "seed", "at"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, tkey long, seed long, at long")
 
 
+def stretches_of(rows: DataFrame, kind: str, seeds: Seeds, around: int) -> DataFrame:
+    """(doc_id, tkey, first, stretch): the word hashes of every row within `around` words of a seed; overlapping stretches are one."""
+
+    def run(batches):
+        for batch in batches:
+            for first, texts in _chunks(batch):
+                codes, begin, (row, _, at) = seeds.find(texts)
+                order = np.argsort(at, kind="stable")
+                row, at = row[order], at[order]
+                lo, hi = np.maximum(at - around, begin[row]), np.minimum(at + around + 1, begin[row + 1])
+                # Places come in order, so a stretch ends where the next begins beyond its end.
+                cut = np.flatnonzero((row[1:] != row[:-1]) | (lo[1:] > hi[:-1])) + 1 if len(at) else np.zeros(0, dtype=np.int64)
+                heads, tails = np.concatenate(([0], cut)), np.concatenate((cut, [len(at)])) - 1
+                if not len(at):
+                    continue
+                for some in np.array_split(np.arange(len(heads)), 1 + len(heads) // 5000):
+                    of, a, b = row[heads[some]], lo[heads[some]], hi[tails[some]]
+                    words = [codes[x:y].view(np.int64) for x, y in zip(a.tolist(), b.tolist())]
+                    offsets = pa.array(np.concatenate(([0], np.cumsum(b - a))).astype(np.int32))
+                    at_row = pa.array(of + first)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at_row), batch.column(1).take(at_row), pa.array(a - begin[of]), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(words)))], names=["doc_id", "tkey", "first", "stretch"])
+
+    return rows.mapInArrow(run, f"doc_id {kind}, tkey long, first long, stretch array<long>")
+
+
 def scores(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """(doc_id, tkey, item_id, score, start_word, end_word) of the best item of every row that reaches the threshold."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
@@ -125,11 +163,10 @@ def scores(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float =
     seeds = items.select("item_id", F.explode("seeds").alias("seed"))
     sizes = sorted({n, *(r[0] for r in items.select(F.size("words").alias("n")).where(F.col("n") < n).distinct().collect())})  # at most n values
     few = seeds.select("seed").distinct()
-    known = None
-    if few.count() * 8 <= filter_bytes:
-        known = np.array([r["seed"] for r in few.collect()], dtype=np.int64)
+    bounded = few.count() * 8 <= filter_bytes
+    listed = lambda df: np.array([r["seed"] for r in df.collect()], dtype=np.int64)  # noqa: E731  (only where bounded)
     # Equal rows have equal places, which count once.
-    places, _ = common.store(places_of(rows, kind, n, sizes, known), "places")
+    places, _ = common.store(places_of(rows, kind, Seeds(sizes, listed(few) if bounded else None)), "places")
     held = places.select("doc_id", "tkey", "seed").distinct().groupBy("seed").agg(F.count("*").alias("rows"))
     counted = seeds.join(held, "seed", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
     usual = counted.groupBy("item_id").agg(F.median("rows").alias("usual"))
@@ -141,26 +178,17 @@ def scores(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float =
     cut = hits.withColumn("new", F.coalesce(F.col("at") - F.lag("at").over(in_order) > F.col("around"), F.lit(True)).cast("int")).withColumn("no", F.sum("new").over(in_order))
     passages = cut.groupBy("doc_id", "tkey", "item_id", "no").agg(F.greatest(F.min("at") - F.first("around"), F.lit(0)).alias("a"), (F.max("at") + F.first("around")).alias("b"), F.count("*").alias("seeds"))
     passages, _ = common.store(passages.select(F.col("doc_id").alias("d"), F.col("tkey").alias("t"), "item_id", "a", "b"), "passages")
-    wanted = passages.groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct("item_id", "a", "b"))).alias("spans"))
-    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["tkey"] == F.col("t")))
-
-    def passages_of(batches):
-        """The word hashes of each passage: what alignment needs, however long the document."""
-        for batch in batches:
-            at, item, a, b, words = [], [], [], [], []
-            for i, (text, spans) in enumerate(zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())):
-                codes = word_codes(text or "").view(np.int64)
-                for s in spans:
-                    lo, hi = s["a"], min(s["b"], len(codes))
-                    for column, value in zip((at, item, a, b, words), (i, s["item_id"], lo, hi, codes[lo:hi].tolist())):
-                        column.append(value)
-                    if len(at) == 20_000:
-                        yield _passages(batch, at, item, a, b, words)
-                        at, item, a, b, words = [], [], [], [], []
-            yield _passages(batch, at, item, a, b, words)
-
-    cut_out = texts.select("doc_id", "tkey", "text", "spans").mapInArrow(passages_of, f"doc_id {kind}, tkey long, item_id long, start_word long, end_word long, passage array<long>")
-    pairs = cut_out.join(items.select("item_id", "words"), "item_id")
+    around = items.select(F.max(F.size("words"))).first()[0] or 0
+    if bounded:
+        # The texts stay where they are: a second scan with the rare seeds as filter sends what lies around them.
+        near = stretches_of(rows, kind, Seeds(sizes, listed(rare.select("seed").distinct())), 2 * around + n)
+    else:
+        wanted = passages.select(F.col("d").alias("doc_id"), F.col("t").alias("tkey")).distinct()
+        near = stretches_of(rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["tkey"] == wanted["tkey"]), "left_semi"), kind, Seeds(sizes, None), n)
+    near, _ = common.store(near, "stretches")
+    met = near.distinct().join(passages, near["doc_id"].eqNullSafe(F.col("d")) & (near["tkey"] == F.col("t")) & (F.col("a") < F.col("first") + F.size("stretch")) & (F.col("b") > F.col("first")))
+    lo, hi = F.greatest("a", "first"), F.least(F.col("b"), F.col("first") + F.size("stretch"))
+    pairs = met.select("doc_id", "tkey", "item_id", lo.alias("start_word"), hi.alias("end_word"), F.slice("stretch", (lo - F.col("first") + 1).cast("int"), (hi - lo).cast("int")).alias("passage")).join(items.select("item_id", "words"), "item_id")
 
     def score(batches):
         for batch in batches:
@@ -173,11 +201,6 @@ def scores(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float =
     return scored.groupBy("doc_id", "tkey").agg(best.alias("m")).select("doc_id", "tkey", "m.*")
 
 
-def _passages(batch: pa.RecordBatch, at: list, item: list, a: list, b: list, words: list) -> pa.RecordBatch:
-    rows = pa.array(at, pa.int64())
-    return pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("tkey").take(rows), *(pa.array(c, pa.int64()) for c in (item, a, b)), pa.array(words, pa.list_(pa.int64()))], names=["doc_id", "tkey", "item_id", "start_word", "end_word", "passage"])
-
-
 def _share(item: np.ndarray, passage: np.ndarray, threshold: float) -> float:
     """The alignment's share of the item's best score; 0 where the words that both hold cannot reach the threshold."""
     if np.isin(item, passage).sum() < threshold * len(item):

@@ -155,7 +155,7 @@ def test_pii(docs, empty):
 def test_decontamination(docs, empty, spark, filter_bytes):
     bench = spark.createDataFrame([(1, PASSAGE), (2, ""), (3, None), (None, "x y z"), (4, "quite other words that nobody wrote anywhere at all")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontam.report(docs, bench, filter_bytes=filter_bytes).collect() if r["contaminated"]}
-    assert got == {(4, 1), (5, 1), (6, 1), (9, 1), (None, 1)}
+    assert got == {(4, 1), (5, 1), (6, 1), (9, 1), (10, 1), (None, 1)}  # 10 holds 28 of the 60 words
     assert decontam.report(empty, bench).count() == 0 and not decontam.report(docs, bench.limit(0)).where("contaminated").count()
     # the row-wise alignment equals the plain recurrence
     rng = np.random.default_rng(2)
