@@ -3,12 +3,14 @@
 Spans: a text is split by a pattern and its matches are taken; their lengths give each match's place. The patterns are
 written without backtracking over long runs, and each is tried only on texts that hold a character it needs.
 
-Contextual extraction: the valid base matches are the seed entities. A lexical pattern is a kind with the word before a
-seed. Of every pattern Spark counts distinct instances, seed ones and candidates of the same shape that fail the base
-pattern (a dotted address split by spaces, digits without a plus sign, an address written with `at` and `dot`), and
-scores patterns and instances in turns: a pattern's trust is the mean of its instances', an instance's is that of its
-best pattern. Patterns trusted at TRUST or more, seen with at least SUPPORT distinct seeds and hardly anywhere else,
-discover the candidates after them as further spans; base spans always stay.
+Contextual extraction, bootstrapped: the valid base matches are the seed entities. A lexical pattern is a kind with the
+word before or the word after an entity. Candidates have a kind's shape but fail its base pattern (a dotted address split
+by spaces, digits without a plus sign, an address written with `at` and `dot`). Patterns and instances form a graph, and
+Spark scores them in turns: a pattern's trust is the mean belief in its distinct instances (seeds 1, unknown candidates
+PRIOR); a pattern with SUPPORT believed instances and a trust of TRUST or more passes its trust on to its candidates, which
+are believed from then on. So candidates found in one round induce patterns that no seed ever stood in, and those find
+further ones in the next; it ends when a round finds nothing new. Candidates that a trusted pattern stands beside are
+further spans; base spans always stay.
 
 Defined results: a null text is empty and has no span; equal spans of equal texts are found in each row; repeated rows
 keep a row each; an empty table gives an empty table; extra columns travel along in `redact`.
@@ -38,7 +40,8 @@ SHAPES = {
     "card": r"(?<![0-9])[0-9]{4}[._/][0-9]{4}[._/][0-9]{4}[._/][0-9]{4}(?![0-9])",
     "phone": r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
 }
-ROUNDS, TRUST, SUPPORT = 3, 0.8, 5
+#: Most rounds, trust that a pattern needs, believed instances that it needs, belief in an unknown candidate.
+ROUNDS, TRUST, SUPPORT, PRIOR = 6, 0.8, 5, 0.5
 
 
 def spans(text: Column, pattern: str) -> Column:
@@ -82,7 +85,7 @@ def base(docs: DataFrame) -> DataFrame:
 
 
 def mentions(found: DataFrame) -> DataFrame:
-    """(kind, value, cue, seed, s, e, key columns): every base span and every shaped candidate, with the word before it."""
+    """(kind, value, cues, seed, s, e, key columns): every base span and every shaped candidate, with the words beside it."""
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<struct<s:int,e:int,v:string>>")
     parts = []
@@ -93,25 +96,40 @@ def mentions(found: DataFrame) -> DataFrame:
 
 
 def _mention(text: Column, kind: str, seed: bool):
-    return lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(seed).alias("seed"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("value"), _cue(text, x["s"]).alias("cue"))
+    return lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(seed).alias("seed"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("value"), F.array_compact(F.array(_before(text, x["s"]), _after(text, x["e"]))).alias("cues"))
 
 
-def _cue(text: Column, start: Column) -> Column:
-    """The word before a place, lower-cased, without signs; its pattern also tells whether signs such as a colon stand between."""
-    before = F.substring(text, F.greatest(start - 39, F.lit(1)), F.least(start, F.lit(40)))
-    return F.lower(F.regexp_extract(before, r"([\p{L}]{2,30}[:=]?)\s*$", 1))
+def _before(text: Column, start: Column) -> Column:
+    """The word before a place, lower-cased and marked; a colon or equals sign belongs to it. Null if a sign or more than 39 characters stand between."""
+    near = F.substring(text, F.greatest(start - 39, F.lit(1)), F.least(start, F.lit(40)))
+    word = F.lower(F.regexp_extract(near, r"([\p{L}]{2,30}[:=]?)\s*$", 1))
+    return F.when(word != "", F.concat(F.lit("<"), word))
+
+
+def _after(text: Column, end: Column) -> Column:
+    word = F.lower(F.regexp_extract(F.substring(text, end + 1, 40), r"^\s+([\p{L}]{2,30})", 1))
+    return F.when(word != "", F.concat(F.lit(">"), word))
 
 
 def trusted(found: DataFrame) -> DataFrame:
     """(kind, cue, trust) of the patterns that the graph of patterns and instances supports."""
-    graph, _ = common.store(found.where("cue <> ''").select("kind", "cue", "value", "seed").groupBy("kind", "cue", "value").agg(F.max("seed").alias("seed")), "pattern_graph")
-    instance = graph.select("kind", "cue", "value", "seed", F.when(F.col("seed"), 1.0).otherwise(0.0).alias("belief"))
-    for turn in range(ROUNDS):
-        pattern = instance.groupBy("kind", "cue").agg(F.avg("belief").alias("trust"), F.sum(F.col("seed").cast("int")).alias("seeds"), F.sum((~F.col("seed")).cast("int")).alias("others"))
-        if turn + 1 < ROUNDS:
-            better = graph.join(pattern.where(F.col("seeds") >= SUPPORT), ["kind", "cue"], "left").groupBy("kind", "value").agg(F.max("trust").alias("best"))
-            instance = graph.join(better, ["kind", "value"]).select("kind", "cue", "value", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("belief"))
-    return pattern.where((F.col("seeds") >= SUPPORT) & (F.col("trust") >= TRUST))
+    edges = found.select("kind", "value", "seed", F.explode("cues").alias("cue")).groupBy("kind", "cue", "value").agg(F.max("seed").alias("seed"))
+    graph, _ = common.store(edges, "pattern_graph")
+    instance = graph.groupBy("kind", "value").agg(F.max("seed").alias("seed"))
+    belief = instance.withColumn("belief", F.when(F.col("seed"), 1.0).otherwise(PRIOR))
+    sure = -1
+    for _ in range(ROUNDS):
+        belief, _ = common.store(belief, "belief")
+        now = belief.where(F.col("belief") >= TRUST).count()
+        if now == sure:
+            break
+        sure = now
+        scored = graph.select("kind", "cue", "value").join(belief.select("kind", "value", "belief"), ["kind", "value"])
+        pattern = scored.groupBy("kind", "cue").agg(F.avg("belief").alias("trust"), F.count_if(F.col("belief") >= TRUST).alias("believed"))
+        good, _ = common.store(pattern.where((F.col("believed") >= SUPPORT) & (F.col("trust") >= TRUST)).select("kind", "cue", "trust"), "patterns")
+        best = graph.select("kind", "cue", "value").join(good, ["kind", "cue"]).groupBy("kind", "value").agg(F.max("trust").alias("best"))
+        belief = instance.join(best, ["kind", "value"], "left").select("kind", "value", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("best", F.lit(PRIOR))).alias("belief"))
+    return good
 
 
 def detect(docs: DataFrame) -> DataFrame:
@@ -120,8 +138,7 @@ def detect(docs: DataFrame) -> DataFrame:
     kept = [f"b_{k}" for k in KINDS]
     found, _ = common.store(base(rows), "personal")
     mention, _ = common.store(mentions(found.select("doc_id", "tkey", "text", *kept)), "mentions")
-    good, _ = common.store(trusted(mention), "patterns")
-    new = mention.where("not seed").join(good.select("kind", "cue"), ["kind", "cue"])
+    new = mention.where("not seed").withColumn("cue", F.explode("cues")).join(trusted(mention).select("kind", "cue"), ["kind", "cue"])
     more = new.groupBy(F.col("doc_id").alias("d"), F.col("tkey").alias("t")).agg(F.collect_set(F.struct("kind", "s", "e")).alias("more"))
     narrow = found.select("doc_id", "tkey", *kept)
     joined = narrow.join(more, narrow["doc_id"].eqNullSafe(F.col("d")) & (narrow["tkey"] == F.col("t")), "left")

@@ -151,6 +151,20 @@ def test_pii(docs, empty):
     assert pii.digest(pii.detect(empty)).count() == 0
 
 
+def test_pii_finds_by_context_what_no_seed_stood_beside(spark):
+    """Round 1 trusts `email:`, which finds eight disguised addresses; these make `ping` trusted, which finds one that only `ping` stands before."""
+    hidden = [f"user{i} [at] corp{i} [dot] com" for i in range(8)]
+    texts = [f"send word to email: a{i}@b{i}.org" for i in range(24)] + [f"Email: {h} or so" for h in hidden] + [f"you may ping {h} then" for h in hidden]
+    texts += ["you may ping zoe [at] only [dot] net then", "the build was yan [at] nowhere [dot] net then"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.detect(docs)).collect()}
+    where = lambda d, v: f"email:{texts[d].index(v)}:{texts[d].index(v) + len(v)}"
+    assert all(got[24 + i] == where(24 + i, h) and got[32 + i] == where(32 + i, h) for i, h in enumerate(hidden))
+    assert got[40] == where(40, "zoe [at] only [dot] net") and got[41] == ""
+    alone = spark.createDataFrame([(0, texts[40])], "doc_id long, text string")
+    assert pii.digest(pii.detect(alone)).first()["spans"] == ""
+
+
 @pytest.mark.parametrize("filter_bytes", [0, 1 << 20])
 def test_decontamination(docs, empty, spark, filter_bytes):
     bench = spark.createDataFrame([(1, PASSAGE), (2, ""), (3, None), (None, "x y z"), (4, "quite other words that nobody wrote anywhere at all")], "item_id long, text string")
@@ -220,8 +234,13 @@ def test_packing(docs, empty):
     assert packing.digest(packing.pack(empty)[1]).count() == 0
     sizes = Counter(np.random.default_rng(4).integers(1, 2049, 3000).tolist())
     plan = packing.solve(dict(sizes))
-    assert Counter(x for c, n in plan for x in c for _ in range(n)) == sizes and all(sum(c) <= 2048 for c, _ in plan)
-    assert sum(n for _, n in plan) <= 1.02 * -(-sum(k * v for k, v in sizes.items()) // 2048)
+    assert Counter(x for c, n in plan.entries for x in c for _ in range(n)) == sizes and all(sum(c) <= 2048 for c, _ in plan.entries)
+    assert plan.bound <= plan.sequences <= 1.02 * plan.bound
+    # Lengths that leave no easy fit: the program beats best-fit decreasing, and the bound holds.
+    sizes = Counter(np.random.default_rng(0).integers(500, 1200, 100_000).tolist())
+    plan = packing.solve(dict(sizes))
+    assert plan.bound <= plan.sequences < 0.99 * sum(n for _, n in packing.best_fit(dict(sizes), 2048)) and plan.share > 0.3
+    assert packing.solve({}).sequences == 0 and packing.solve({2048: 3, 1: 1}).sequences == 4
 
 
 def test_quality(docs, empty):
