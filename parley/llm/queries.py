@@ -29,7 +29,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+    return warc.digest(warc.round_trip(table(spark, sf_dir, "pages")))
 
 
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

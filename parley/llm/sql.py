@@ -1,3 +1,14 @@
-"""DuckDB SQL for the numbered queries that SQL can express: none of them whole (hashes of words, models, files)."""
+"""DuckDB SQL for the numbered queries whose whole result SQL can say: not models, seeded shuffles, XXH64 fingerprints or public vocabularies."""
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_substring_dedup": r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (SELECT doc_id, i, list_slice(words, i, i + 19) AS k FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 19)) AS i FROM w WHERE len(words) >= 20) x),
+firsts AS (SELECT k, min({'d': doc_id, 'i': i}) AS f FROM windows GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT doc_id, list_distinct(flatten(list(generate_series(i, i + 19)))) AS g FROM windows v JOIN firsts f ON f.k = v.k AND {'d': v.doc_id, 'i': v.i} > f.f GROUP BY doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_removed,
+sha256(coalesce(array_to_string(CASE WHEN g IS NULL THEN words ELSE list_filter(list_transform(words, lambda x, n: CASE WHEN list_contains(g, n) THEN NULL ELSE x END), lambda x: x IS NOT NULL) END, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id""",
+    "op6_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages), q AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+r AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS main FROM q)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < main THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < main THEN main END AS refers_to FROM r""",
+}

@@ -122,9 +122,12 @@ def write(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
-    first = rows.where(F.col("size") >= least).groupBy(F.col("digest").alias("g"), F.col("size").alias("z")).agg(F.max("page_id").alias("main"), F.count("*").alias("n")).where("n > 1")
-    joined = rows.join(first, (F.col("digest") == F.col("g")) & (F.col("size") == F.col("z")), "left")
-    planned = joined.select("page_id", "url", "payload", "size", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("main")), F.col("main")).alias("refers_to"))
+    # Which payloads are equal is settled on page_id, digest and size alone; a payload that very many pages have meets no single task.
+    slim = rows.where(F.col("size") >= least).select("page_id", "digest", "size")
+    first, _ = common.store(slim.groupBy("digest", "size").agg(F.max("page_id").alias("main"), F.count("*").alias("n")).where("n > 1").drop("n"), "main_pages")
+    again = slim.join(first, ["digest", "size"]).where(~F.col("page_id").eqNullSafe(F.col("main"))).select(F.col("page_id").alias("p"), F.col("digest").alias("g"), "main").distinct()
+    joined = rows.join(again, rows["page_id"].eqNullSafe(F.col("p")) & (F.col("digest") == F.col("g")), "left")
+    planned = joined.select("page_id", "url", "payload", "size", "digest", F.col("main").alias("refers_to"))
 
     def archive(batches):
         out = files.Writer(folder, files.own_name("captures", ".warc.gz"))
@@ -191,3 +194,7 @@ def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
     folder = common.new_path(pages.sparkSession, "archives")
     index, _ = common.store(merge(write(pages, folder, least)), "index")
     return read(index.repartitionByRange("run", "offset").sortWithinPartitions("run", "offset"), folder)
+
+
+def digest(found: DataFrame) -> DataFrame:
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

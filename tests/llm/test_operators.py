@@ -155,7 +155,7 @@ def test_pii_finds_by_context_what_no_seed_stood_beside(spark):
     """Round 1 trusts `email:`, which finds eight disguised addresses; these make `ping` trusted, which finds one that only `ping` stands before."""
     hidden = [f"user{i} [at] corp{i} [dot] com" for i in range(8)]
     texts = [f"send word to email: a{i}@b{i}.org" for i in range(24)] + [f"Email: {h} or so" for h in hidden] + [f"you may ping {h} then" for h in hidden]
-    texts += ["you may ping zoe [at] only [dot] net then", "the build was yan [at] nowhere [dot] net then"]
+    texts += ["you may ping zoe [at] only [dot] net then", "the build was yan [at] nowhere [dot] net today"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.detect(docs)).collect()}
     where = lambda d, v: f"email:{texts[d].index(v)}:{texts[d].index(v) + len(v)}"
@@ -188,6 +188,15 @@ def test_warc(spark):
     got = {(r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()}
     assert got == {(1, 2000, "revisit", 5), (5, 2000, "response", None), (2, 5, "response", None), (3, 5, "response", None), (4, 0, "response", None), (None, 2000, "revisit", 5)}
     assert warc.round_trip(pages.limit(0)).count() == 0
+    # over all ranges the merged index is in order of key, time and page
+    many = spark.createDataFrame([(i, f"http://h{i * 7 % 5}.org/{i * 13 % 9}", f"p{i}") for i in range(200)], "page_id long, url string, html string").repartition(7)
+    folder = warc.common.new_path(spark, "archives")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    lines = warc.merge(warc.write(many, folder), range_lines=30).orderBy("range_no", "place").collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    keys = [(r["urlkey"], r["stamp"], r["page_id"]) for r in lines]
+    assert len(keys) == 200 and keys == sorted(keys)
+    assert len({r["range_no"] for r in lines}) > 3 and len({r["run"] for r in lines}) > 1
     for k in range(6):
         runs = [sorted(np.random.default_rng(k * 7 + i).integers(0, 30, i * 3).tolist()) for i in range(k)]
         assert list(warc.LoserTree(runs)) == sorted(sum(runs, []))
