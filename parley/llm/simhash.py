@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -181,23 +181,71 @@ def _sets(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype="<u8") for x in column.to_pylist()]
 
 
+def _stay(sigs: list[np.ndarray], least: float) -> list[int]:
+    """Of sets in order: those that are less than `least` similar to every earlier one that stays."""
+    stay: list[int] = []
+    for i, one in enumerate(sigs):
+        if not stay or near_most(one, [sigs[k] for k in stay]) < least:
+            stay.append(i)
+    return stay
+
+
+def near_most(one: np.ndarray, others: list[np.ndarray]) -> float:
+    """The largest Jaccard similarity of a sorted set with some others."""
+    best = 0.0
+    for other in others:
+        small, large = sorted((len(one), len(other)))
+        if small >= best * large:
+            best = max(best, jaccard(one, other))
+    return best
+
+
+_KEPT = ("root", "none", "doc_id", "tkey", "sig")
+
+
 def _greedy(least: float):
-    """For a group of at most SMALL texts: the rows that stay, each less than `least` similar to every earlier one that stays."""
+    """For the rows of one group that are handed over: those that stay."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("none", "ascending"), ("doc_id", "ascending"), ("tkey", "ascending")])
-        stay: list[tuple[int, np.ndarray]] = []
-        for i, one in enumerate(_sets(table.column("sig"))):
-            if all(jaccard(one, other) < least for _, other in stay):
-                stay.append((i, one))
-        return table.take(pa.array([i for i, _ in stay], pa.int64())).select(["doc_id", "tkey"])
+        return table.take(pa.array(_stay(_sets(table.column("sig")), least), pa.int64())).select(_KEPT)
+
+    return run
+
+
+class Leaders:
+    """Some sets, held so that one look gives what each shares with another set."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        every, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(every, kind="stable")
+        self.every, self.of, self.size = every[order], of[order], np.array([len(s) for s in sets])
+
+    def most(self, one: np.ndarray) -> float:
+        lo, hi = np.searchsorted(self.every, one, "left"), np.searchsorted(self.every, one, "right")
+        n = hi - lo
+        hits = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else n
+        both = np.bincount(self.of[hits], minlength=len(self.size))
+        whole = self.size + len(one) - both
+        return float(np.where(whole > 0, both / np.maximum(whole, 1), 1.0).max())
+
+
+def _far(least: float):
+    """The rows of a part of a group that are less than `least` similar to all of the group's new leaders."""
+
+    def run(rows: pa.Table, leaders: pa.Table) -> pa.Table:
+        rows = rows.select(_KEPT)
+        if not rows.num_rows or not leaders.num_rows:
+            return rows
+        lead = Leaders(_sets(leaders.column("sig")))
+        return rows.filter(pa.array([lead.most(one) < least for one in _sets(rows.column("sig"))], pa.bool_()))
 
     return run
 
 
-#: Texts of a group that one task compares with each other; larger groups are compared with one text of each at a time.
-SMALL = 64
-_SALTS = 16
+#: Texts of a group that one task compares with each other; of larger groups the first LEADERS are, and then those that stay with the
+#: rest, PART rows a task.
+SMALL, LEADERS, PART = 64, 256, 1000
 
 
 def first_of_near(docs: DataFrame, least: float = 0.8, k: int = 5, seeds: tuple[int, ...] = (42, 43, 44), radius: int = 48, blocks: int = 10, equal: int = 2) -> DataFrame:
@@ -226,27 +274,24 @@ def first_of_near(docs: DataFrame, least: float = 0.8, k: int = 5, seeds: tuple[
     texts = keyed.join(grouped, keyed["doc_id"].eqNullSafe(F.col("d")) & (keyed["tkey"] == F.col("t"))).select("root", "none", "doc_id", "tkey", "text")
     schema = f"root string, none boolean, doc_id {kind}, tkey long, sig binary"
     left, path = common.store(texts.mapInArrow(sets, schema).dropDuplicates(["doc_id", "tkey"]), "near")
+    order = Window.partitionBy("root").orderBy("none", "doc_id", "tkey")
     while True:
-        sizes, sizes_path = common.store(left.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct("none", "doc_id", "tkey")).alias("f")), "near_sizes")
+        sizes, sizes_path = common.store(left.groupBy("root").agg(F.count("*").alias("n")), "near_sizes")
         small = left.join(sizes.where(F.col("n") <= SMALL).select("root"), "root")
-        kept.append(common.store(small.select(*left.columns).groupBy("root").applyInArrow(_greedy(least), f"doc_id {kind}, tkey long"), "stay")[0])
+        kept.append(common.store(small.groupBy("root").applyInArrow(_greedy(least), schema).select("doc_id", "tkey"), "stay")[0])
         large = sizes.where(F.col("n") > SMALL)
         if large.isEmpty():
             break
-        lead = large.select("root", "f.doc_id", "f.tkey")
+        rows = left.join(large, "root")
+        heads = rows.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= LEADERS).drop("n", "rn")
+        lead, _ = common.store(heads.groupBy("root").applyInArrow(_greedy(least), schema), "leaders")
         kept.append(lead.select("doc_id", "tkey"))
-        lead = left.join(lead.select("root", F.col("doc_id").alias("d"), F.col("tkey").alias("t")), "root").where(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("t")))
-        # Salted: a large group's rows meet their leader in many tasks.
-        lead = lead.select("root", F.col("sig").alias("lead"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
-
-        def far(batches):
-            for batch in batches:
-                apart = [jaccard(a, b) < least for a, b in zip(_sets(batch.column("sig")), _sets(batch.column("lead")))]
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("root", "none", "doc_id", "tkey", "sig")], names=["root", "none", "doc_id", "tkey", "sig"]).filter(pa.array(apart, pa.bool_()))
-
-        met = left.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tkey"), F.lit(_SALTS)).cast("int")).join(lead, ["root", "salt"])
-        after, after_path = common.store(met.select(*left.columns, "lead").mapInArrow(far, schema), "near")
-        common.drop(spark, path)
+        # The leaders go to every part of their group; parts are as many as its rows need. Heads that go are near a leader too.
+        parts = F.ceil(F.col("n") / PART).cast("int")
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tkey"), parts).cast("int")).drop("n")
+        sent = lead.join(large, "root").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+        after, after_path = common.store(salted.groupBy("root", "salt").cogroup(sent.groupBy("root", "salt")).applyInArrow(_far(least), schema), "near")
+        common.drop(spark, path, sizes_path)
         left, path = after, after_path
     out = kept[0]
     for more in kept[1:]:

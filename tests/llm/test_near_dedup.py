@@ -53,3 +53,20 @@ def test_a_group_too_large_for_one_task_is_compared_with_its_leaders(spark):
     rows = [(0, " ".join(one))] + [(i, " ".join([*one[:-1], f"x{i}"])) for i in range(1, 90)] + [(500 + i, " ".join(changed(one, rng, 34))) for i in range(3)]
     got = {d for d, _ in kept(spark, rows)}
     assert got == {0, 500, 501, 502}
+
+
+def test_a_large_group_of_edited_copies_keeps_what_one_pass_in_order_keeps(spark, monkeypatch):
+    """Copies that are near the first text but often not near each other; against the plain loop."""
+    from parley.llm import simhash
+
+    monkeypatch.setattr(simhash, "LEADERS", 20)
+    monkeypatch.setattr(simhash, "PART", 30)
+    rng = np.random.default_rng(11)
+    one = words(8, 400)
+    texts = [one] + [[f"z{rng.integers(1 << 40)}" if rng.random() < 0.012 else w for w in one] for _ in range(150)]
+    stay = []
+    for i, text in enumerate(texts):
+        if all(similarity(text, texts[k]) < 0.8 for k in stay):
+            stay.append(i)
+    assert 10 < len(stay) < 140
+    assert [d for d, _ in sorted(kept(spark, [(i, " ".join(t)) for i, t in enumerate(texts)]))] == stay
