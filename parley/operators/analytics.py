@@ -160,9 +160,10 @@ def week_stats(events: DataFrame) -> DataFrame:
 
 
 def week_lanes(events: DataFrame) -> DataFrame:
-    """Per day, the first lane that is free at each timed event's start (a day's events are few; built-ins cannot do it)."""
+    """Per day, the first lane that is free at each timed event's start. A day is cut where no event is open, and every such stretch
+    is laid out by itself (first-fit is a loop that built-ins cannot say); lanes is the most that are in use at once that day."""
 
-    def lanes(rows):
+    def lay_out(rows):
         rows = rows.sort_values(["start_min", "id"])
         free: list[int] = []
         at = []
@@ -170,10 +171,14 @@ def week_lanes(events: DataFrame) -> DataFrame:
             lane = next((i for i, f in enumerate(free) if f <= start), len(free))
             free[lane:] = [end] if lane == len(free) else [end, *free[lane + 1 :]]
             at.append(lane)
-        return rows.assign(lane=at, lanes=len(free))[["id", "meeting_date", "start_min", "end_min", "lane", "lanes"]]
+        return rows.assign(lane=at)[["id", "meeting_date", "start_min", "end_min", "lane"]]
 
     timed = events.where("start_min IS NOT NULL").select("id", "meeting_date", "start_min", F.coalesce(F.when(F.col("end_min") > F.col("start_min"), F.col("end_min")), F.col("start_min") + 60).alias("end_min"))
-    return timed.groupBy("meeting_date").applyInPandas(lanes, "id long, meeting_date date, start_min int, end_min int, lane int, lanes int")
+    order = Window.partitionBy("meeting_date").orderBy("start_min", "id")
+    busy = timed.withColumn("busy_until", F.max("end_min").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    cut = busy.withColumn("stretch", F.sum(F.when(F.col("busy_until") > F.col("start_min"), 0).otherwise(1)).over(order)).drop("busy_until")
+    laid = cut.groupBy("meeting_date", "stretch").applyInPandas(lay_out, "id long, meeting_date date, start_min int, end_min int, lane int")
+    return laid.withColumn("lanes", F.max(F.col("lane") + 1).over(Window.partitionBy("meeting_date")))
 
 
 def work_week(today: str) -> tuple[Column, Column]:

@@ -197,7 +197,11 @@ def filter_events(t):
     return analytics.filter_events(events(t), "relevant", ["PJM", "MISO", "SPP"], ["storage", "transmission"], "committee").select("id", "rto", "meeting_date")
 
 
-@query(None)
+@query(_WHO + ", " + _EVENTS[5:] + f"""SELECT 'today' AS way, id, rto, meeting_date FROM ev WHERE meeting_date BETWEEN DATE '{TODAY}' AND DATE '2024-01-19'
+UNION ALL SELECT 'facet', id, rto, meeting_date FROM ev WHERE id IN (SELECT d.meeting_id FROM who w JOIN stored_documents d ON d.id = w.document_id WHERE w.org = 'Acme Power')
+UNION ALL SELECT 'text', id, rto, meeting_date FROM ev WHERE contains(lower(concat_ws(' ', title, committee, rto)), 'person 7') OR id IN (SELECT meeting_id FROM stored_documents WHERE contains(lower(title), 'person 7'))
+  OR id IN (SELECT d.meeting_id FROM kept k JOIN stored_documents d ON d.id = k.document_id WHERE contains(lower(concat_ws(' ', k.name, k.entity)), 'person 7'))
+  OR id IN (SELECT r.matched_meeting_id FROM matched_references r JOIN issues i ON i.id = r.issue_id WHERE contains(lower(concat_ws(' ', canonical_name, short_title, native_id)), 'person 7'))""")
 def search_events(t):
     """The ways of the filter one by one: the days of this week, one entity, a text among issues, stakeholders and document titles."""
     from ..operators import matching

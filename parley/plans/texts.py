@@ -152,7 +152,11 @@ def document_links(t):
     return linking.document_links(t.base("pages"), keep=r"/[^/]+$")
 
 
-@query(None)
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(t, '(?i)<br\s*/?>|</(p|div|li|tr|h[1-6]|ul|ol|table|article|section|nav)\s*>', chr(10), 'g') AS t FROM a),
+c AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)</t[dh]\s*>', ' ', 'g'), '(?s)<[^>]*>', '', 'g') AS t FROM b),
+d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM c)
+SELECT page_id, trim(regexp_replace(regexp_replace(t, '[ \t\x{A0}]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g')) AS text FROM d""")
 def markup_to_text(t):
     return t.base("pages").select("page_id", text.markup_to_text(F.col("html")).alias("text"))
 

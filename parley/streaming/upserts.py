@@ -1,8 +1,9 @@
 """Incremental fold of meeting sightings: a stream of landed files merged into a versioned table.
 
-Each attribute keeps the greatest (seq, value) that is not null, so the fold commutes: late, repeated or replayed files
-give the same table as one batch over all of them. Batch n reads version n - 1 and overwrites version n, so a batch that
-runs again after a failure changes nothing.
+Each attribute keeps the greatest (seq, value) that is not null, so the fold commutes and repeats change nothing: late,
+repeated or replayed files give the same table as one batch over all of them. A batch writes only its own fold, part n,
+and overwrites it if it runs again after a failure; the table is the fold of its parts. Once there are more than KEPT
+parts they are folded into one, so a run costs its own rows and, now and then, the table once.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Parts that are left as they are.
+KEPT = 32
 KEY = ["rto", "title", "meeting_date"]
 ATTRIBUTES = ["meeting_time", "committee", "location", "source_url", "detail_url", "materials_url"]
 
@@ -27,17 +30,26 @@ def current(state: DataFrame) -> DataFrame:
     return state.select(*KEY, "id", *[F.col(c)["value"].alias(c) for c in ATTRIBUTES], "last_seq")
 
 
+def compact(spark: SparkSession, table: str) -> None:
+    """Folds the parts into one if there are many. The old ones go last: folding them once more would change nothing."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(table)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted(str(f.getPath().getName()) for f in system.listStatus(root) if str(f.getPath().getName()).startswith("part="))
+    if len(parts) <= KEPT:
+        return
+    merge(spark.read.parquet(table).drop("part")).write.mode("overwrite").parquet(f"{table}/{parts[-1]}-all")
+    for part in parts:
+        system.delete(spark._jvm.org.apache.hadoop.fs.Path(root, part), True)
+
+
 def incremental_upsert(spark: SparkSession, landed: str, table: str, checkpoint: str, files_per_batch: int = 100) -> DataFrame:
-    """Merges all files that landed since the last run; returns the current table. The sort-free schema is the first file's."""
+    """Merges all files that landed since the last run; returns the current table. The schema is that of the files that have landed."""
     schema = spark.read.parquet(landed).schema
 
     def apply(batch: DataFrame, n: int) -> None:
-        new = as_state(batch)
-        both = new if n == 0 else batch.sparkSession.read.parquet(f"{table}/version={n - 1}").select(*new.columns).unionByName(new)
-        merge(both).write.mode("overwrite").parquet(f"{table}/version={n}")
+        merge(as_state(batch)).write.mode("overwrite").parquet(f"{table}/part=n{n:012d}")
 
     run = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(landed).writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(apply).start()
     run.awaitTermination()
-    versions = spark.read.parquet(table)
-    last = versions.agg(F.max("version")).first()[0]
-    return current(spark.read.parquet(f"{table}/version={last}"))
+    compact(spark, table)
+    return current(merge(spark.read.parquet(table).drop("part")))

@@ -55,7 +55,7 @@ def test_compact_csv(spark):
     assert data.decode() == "\ufeff" + ",".join(feeds.COMPACT_COLUMNS) + "\r\n" + 'PJM,,,,,"a ""b"", c",,,x; y,,,\r\n'
 
 
-def test_upsert_takes_late_files_and_can_run_again(spark):
+def test_upsert_takes_late_files_and_can_run_again(spark, monkeypatch):
     base = feeds.new_folder(spark, "stream")
     kinds = "seq long, rto string, title string, meeting_date date, meeting_time string, committee string, location string, source_url string, detail_url string, materials_url string"
     land = lambda rows: spark.createDataFrame(rows, kinds).write.mode("append").parquet(f"{base}/landed")
@@ -64,3 +64,7 @@ def test_upsert_takes_late_files_and_can_run_again(spark):
     assert run() == [(5, "9:00 AM", None, 5)]
     land([(2, "PJM", "T", DAY, "8:00 AM", "MC", None, None, None, None), (5, "PJM", "T", DAY, "9:00 AM", None, None, None, None, None)])
     assert run() == run() == [(2, "9:00 AM", "MC", 5)]
+    monkeypatch.setattr(upserts, "KEPT", 1)
+    land([(9, "PJM", "T", DAY, None, "OC", None, None, None, None)])
+    assert run() == run() == [(2, "9:00 AM", "OC", 9)]
+    assert len(glob.glob(f"{base.removeprefix('file://')}/table/part=*")) == 1
