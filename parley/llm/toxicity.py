@@ -39,7 +39,7 @@ def plain(text: str) -> str:
 def grams(text: str) -> set[str]:
     found: set[str] = set()
     for word in set(plain(text).split()):
-        word = f" {word[:60]} "
+        word = f" {word} "
         for n in SIZES:
             found.update(word[i : i + n] for i in range(len(word) - n + 1))
     return found
@@ -95,7 +95,7 @@ class Index:
         bound = w @ self.bound[at]
         best, where = np.zeros(0, dtype=np.float32), np.zeros(0, dtype=np.int64)
         for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) >= k and bound[b] < best[-1]):
+            if bound[b] <= 0 or (len(best) >= k and bound[b] * (1 + 1e-5) < best[-1]):  # slack for rounding in single precision
                 break
             sim = w @ self.weights[b, at]
             if 0 <= skip - b * BLOCK < BLOCK:
@@ -168,12 +168,12 @@ def model(docs: DataFrame, labels: DataFrame) -> dict:
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for g in grams(text or ""):
                     tally[g][y] += 1
-            if len(tally) > 2_000_000:
+            if len(tally) > 500_000:
                 yield _tally(tally)
                 tally.clear()
         yield _tally(tally)
 
-    seen = picked.select(F.col("toxic").cast("int"), "text").repartition(8).mapInArrow(count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    seen = picked.select(F.col("toxic").cast("int"), "text").repartition(max(8, sum(n.values()) // 250)).mapInArrow(count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     p1, p0 = (F.col("n1") + 0.5) / (n[1] + 1), (F.col("n0") + 0.5) / (n[0] + 1)
     pooled = (F.col("n0") + F.col("n1") + 1) / (n[0] + n[1] + 2)
     ratio = (p1 - p0) / F.sqrt(pooled * (1 - pooled) * (1 / (n[0] + 1) + 1 / (n[1] + 1)))
