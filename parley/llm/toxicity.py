@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bound on the labelled rows of each class that are fitted on, terms, neighbours, examples in a block of the index.
-EXAMPLES, TERMS, K, BLOCK = 2000, 512, 15, 64
+EXAMPLES, TERMS, K, BLOCK = 2000, 4096, 15, 64
 SIZES = range(4, 9)
 _GAPS = re.compile(r"[\W_]+")
 _CHUNK = 1 << 20
@@ -177,7 +177,7 @@ def model(docs: DataFrame, labels: DataFrame) -> dict:
     p1, p0 = (F.col("n1") + 0.5) / (n[1] + 1), (F.col("n0") + 0.5) / (n[0] + 1)
     pooled = (F.col("n0") + F.col("n1") + 1) / (n[0] + n[1] + 2)
     ratio = (p1 - p0) / F.sqrt(pooled * (1 - pooled) * (1 / (n[0] + 1) + 1 / (n[1] + 1)))
-    terms = [r["term"] for r in seen.where("n0 + n1 >= 4").withColumn("z", ratio).where("z > 3").orderBy(F.desc(F.col("z") * F.log(p1 / p0 + 1)), "term").limit(TERMS).collect()]
+    terms = [r["term"] for r in seen.where("n0 + n1 >= 4").withColumn("z", ratio).where("z > 1").orderBy(F.desc(F.col("z") * F.log(p1 / p0 + 1)), "term").limit(TERMS).collect()]
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def frequency(batches):
