@@ -97,6 +97,13 @@ def _free(name: str, taken: set[str]) -> str:
     return name
 
 
+def slices(batches, rows: int = 1000):
+    """Smaller batches, so that what is made of their texts takes little memory at a time."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """Texts of an Arrow column as UTF-8; null gives b''."""
     binary = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())

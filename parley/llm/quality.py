@@ -31,7 +31,7 @@ LEAST_SPREAD = {"chars_per_token": 0.08, "fallback_share": 0.01, "token_entropy"
 #: Documents of the whole corpus that count into each language's median and spread.
 PRIOR = 3.0
 #: Words that a worker remembers, and no longer than its task: later stages find the memory free.
-_LIMIT = 200_000
+_LIMIT = 120_000
 _FEATURES = ("chars_per_token", "fallback_share", "token_entropy")
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _SIGNS = tuple(s.encode() for s in "#*$%&|<>")
@@ -117,7 +117,7 @@ def features(docs: DataFrame, pieces: str | None = None, ranks: str | None = Non
     def run(batches):
         memo = fertility(pieces, ranks)
         try:
-            for batch in batches:
+            for batch in common.slices(batches):
                 found = [measure(t, memo) for t in common.as_bytes(batch.column("text"))]
                 cols = list(zip(*found)) if found else [()] * 8
                 kinds = [pa.int64()] * 5 + [pa.float64()] * 3

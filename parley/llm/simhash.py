@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, k: int, seeds: tuple[int, ...], keep: list[str
     """Columns `keep` of docs plus `fp`, the fingerprint in hexadecimal digits."""
 
     def run(batches):
-        for batch in batches:
+        for batch in common.slices(batches):
             fps = ["".join(f"{w:016x}" for w in fingerprint(t, k, seeds)) for t in common.as_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fps, pa.string())], names=[*keep, "fp"])
 

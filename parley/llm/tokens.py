@@ -27,7 +27,7 @@ def _byte_letters() -> list[str]:
 class WordIds(dict):
     """Lower-case Latin-1 word -> its ids as unsigned 32-bit integers. Emptied at `limit` entries, so memory is bounded."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.whole, self.limit, self.parts = Tokenizer.from_file(path), limit, {}
@@ -60,6 +60,11 @@ class WordIds(dict):
     def _library(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def forget(self) -> None:
+        """Leaves the memory to what a worker does next."""
+        self.clear()
+        self.parts.clear()
+
     def encode(self, text: bytes) -> bytes:
         try:
             words = (text if text.isascii() else text.decode().encode("latin-1")).translate(_LOWER).split()
