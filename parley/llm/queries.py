@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, packing, pii, quality, sharding, simhash, substring, tokenbin, toxicity, warc
+from . import decontam, packing, phrases, pii, quality, search, sharding, simhash, substring, tokenbin, toxicity, urlfilter, warc
 from .common import table
 
 
@@ -48,10 +48,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.assess(table(spark, sf_dir, "documents")))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.digest(urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.train(urlfilter.labelled(spark))))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.top(phrases.mine(table(spark, sf_dir, "documents")))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_substring_dedup, op3_toxicity, op4_pii, op5_decontamination, op6_warc, op7_token_ids, op8_simhash, op9_packing, op10_quality, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_substring_dedup, op3_toxicity, op4_pii, op5_decontamination, op6_warc, op7_token_ids, op8_simhash, op9_packing, op10_quality, op11_url_filters, op12_phrases, op13_search, pipeline)}
