@@ -195,11 +195,39 @@ def scrape_log(t):
     return t.spark.read.parquet(path)
 
 
-@query("SELECT id, rto, title, meeting_date, meeting_time, committee, location, source_url, detail_url, materials_url, last_seq FROM meetings")
+def landed_records(t):
+    """Meeting scrapes with the documents found at them, and issues with their references, as records of the stream."""
+    docs = t.document_scrapes.select((F.col("seq") * 5).alias("at"), F.struct("seq", "download_url", F.lit(None).cast("string").alias("doc_type"), "title", "filename", "posted_date", "member_url").alias("d"))
+    found = docs.groupBy("at").agg(F.collect_list("d").alias("documents"))
+    met = t.meeting_scrapes.join(found, F.col("seq") == F.col("at"), "left").select("seq", F.struct("rto", "title", "meeting_date", "meeting_time", "committee", "location", "source_url", "detail_url", "materials_url").alias("meeting"), "documents")
+    refs = t.issue_references.groupBy("issue_id").agg(F.collect_list(F.struct("ref_url", F.concat(F.lit("of "), F.col("issue_id").cast("string")).alias("ref_title"))).alias("refs"))
+    none = F.lit(None).cast("string")
+    issue = F.struct("rto", F.coalesce("short_title", "native_id").alias("native_id"), "canonical_name", "short_title", "status", none.alias("stakeholder_phase"), none.alias("committee_owner"), "is_open", none.alias("url"))
+    raised = t.issues.join(refs, F.col("id") == F.col("issue_id"), "left").select(F.col("id").cast("long").alias("seq"), issue.alias("issue"), "refs")
+    return met.unionByName(raised, allowMissingColumns=True)
+
+
+_FOLDED = """WITH s AS (SELECT s.*, m.id AS meeting_id FROM document_scrapes s JOIN meetings m ON m.rto = s.rto AND m.title = s.meeting_title AND m.meeting_date = s.meeting_date),
+i AS (SELECT *, coalesce(short_title, native_id) AS n FROM issues),
+k AS (SELECT rto, n, min(id) AS id, arg_max(canonical_name, id) FILTER (WHERE canonical_name IS NOT NULL) AS canonical_name, arg_max(status, id) FILTER (WHERE status IS NOT NULL) AS status, arg_max(is_open, id) FILTER (WHERE is_open IS NOT NULL) AS is_open, max(id) AS last_seq FROM i GROUP BY 1, 2)
+SELECT 'meetings' AS kind, id, concat_ws('|', rto, title, cast(meeting_date AS string)) AS key, concat_ws('|', coalesce(meeting_time, '-'), coalesce(committee, '-'), coalesce(location, '-'), coalesce(source_url, '-'), coalesce(detail_url, '-'), coalesce(materials_url, '-')) AS attributes, last_seq FROM meetings
+UNION ALL SELECT 'documents', min(seq), download_url, concat_ws('|', cast(arg_min(meeting_id, seq) AS string), arg_min(rto, seq), coalesce(arg_max(title, seq) FILTER (WHERE title IS NOT NULL), '-'), coalesce(arg_max(filename, seq), '-'), coalesce(arg_max(posted_date, seq) FILTER (WHERE posted_date IS NOT NULL), '-')), max(seq) FROM s GROUP BY download_url
+UNION ALL SELECT 'issues', id, concat_ws('|', rto, n), concat_ws('|', coalesce(canonical_name, '-'), coalesce(status, '-'), coalesce(cast(is_open AS string), '-')), last_seq FROM k
+UNION ALL SELECT 'references', min(r.issue_id), concat_ws('|', cast(k.id AS string), r.ref_url), concat('of ', cast(max(r.issue_id) AS string)), max(r.issue_id) FROM issue_references r JOIN i ON i.id = r.issue_id JOIN k ON k.rto = i.rto AND k.n = i.n GROUP BY k.id, r.ref_url"""
+
+
+@query(_FOLDED)
 def incremental_upsert(t):
-    """The sightings land in files that overlap, and are merged a few files at a time."""
+    """The records land in files that overlap, in no order, and are merged a few files at a time; all four tables are read back."""
     base = feeds.new_folder(t.spark, "stream")
-    rows = t.meeting_scrapes
+    rows = landed_records(t)
     again = rows.where("seq % 5 = 0")
     rows.unionByName(again).repartition(6, F.pmod(F.xxhash64("seq"), F.lit(17))).write.parquet(f"{base}/landed")
-    return upserts.incremental_upsert(t.spark, f"{base}/landed", f"{base}/table", f"{base}/progress", files_per_batch=2)
+    store = upserts.incremental_upsert(t.spark, f"{base}/landed", f"{base}/store", f"{base}/progress", files_per_batch=2)
+    shown = lambda df, kind, key, attributes: df.select(F.lit(kind).alias("kind"), F.col("id").cast("long").alias("id"), F.concat_ws("|", *key).alias("key"), F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in attributes]).alias("attributes"), F.col("last_seq").cast("long").alias("last_seq"))
+    return (
+        shown(store.meetings(), "meetings", ["rto", "title", "meeting_date"], ["meeting_time", "committee", "location", "source_url", "detail_url", "materials_url"])
+        .unionByName(shown(store.documents(), "documents", ["download_url"], ["meeting_id", "rto", "title", "filename", "posted_date"]))
+        .unionByName(shown(store.issues(), "issues", ["rto", "native_id"], ["canonical_name", "status", "is_open"]))
+        .unionByName(shown(store.references(), "references", ["issue_id", "ref_url"], ["ref_title"]))
+    )

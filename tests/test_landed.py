@@ -3,6 +3,8 @@
 import datetime
 import glob
 
+import pytest
+
 from parley.operators import matching, payloads
 from parley.sources import feeds
 from parley.streaming import upserts
@@ -55,16 +57,45 @@ def test_compact_csv(spark):
     assert data.decode() == "\ufeff" + ",".join(feeds.COMPACT_COLUMNS) + "\r\n" + 'PJM,,,,,"a ""b"", c",,,x; y,,,\r\n'
 
 
-def test_upsert_takes_late_files_and_can_run_again(spark, monkeypatch):
+def _landed(spark, rows):
+    """Rows as (seq, meeting fields, documents, issue fields, refs)."""
+    return spark.createDataFrame(rows, upserts.LANDED)
+
+
+def test_store_takes_late_repeated_and_failed_batches(spark, monkeypatch):
     base = feeds.new_folder(spark, "stream")
-    kinds = "seq long, rto string, title string, meeting_date date, meeting_time string, committee string, location string, source_url string, detail_url string, materials_url string"
-    land = lambda rows: spark.createDataFrame(rows, kinds).write.mode("append").parquet(f"{base}/landed")
-    run = lambda: [(r["id"], r["meeting_time"], r["committee"], r["last_seq"]) for r in upserts.incremental_upsert(spark, f"{base}/landed", f"{base}/table", f"{base}/progress").collect()]
-    land([(5, "PJM", "T", DAY, "9:00 AM", None, None, None, None, None)])
-    assert run() == [(5, "9:00 AM", None, 5)]
-    land([(2, "PJM", "T", DAY, "8:00 AM", "MC", None, None, None, None), (5, "PJM", "T", DAY, "9:00 AM", None, None, None, None, None)])
-    assert run() == run() == [(2, "9:00 AM", "MC", 5)]
-    monkeypatch.setattr(upserts, "KEPT", 1)
-    land([(9, "PJM", "T", DAY, None, "OC", None, None, None, None)])
-    assert run() == run() == [(2, "9:00 AM", "OC", 9)]
-    assert len(glob.glob(f"{base.removeprefix('file://')}/table/part=*")) == 1
+    meeting = lambda **x: {k: x.get(k) for k in ("rto", "title", "meeting_date", "meeting_time", "committee", "location", "source_url", "detail_url", "materials_url")}
+    issue = lambda **x: {k: x.get(k) for k in ("rto", "native_id", "canonical_name", "short_title", "status", "stakeholder_phase", "committee_owner", "is_open", "url")}
+    doc = lambda seq, url, **x: {"seq": seq, "download_url": url, **{k: x.get(k) for k in ("doc_type", "title", "filename", "posted_date", "member_url")}}
+    land = lambda *rows: _landed(spark, rows).coalesce(1).write.mode("append").parquet(f"{base}/landed")
+    run = lambda: upserts.incremental_upsert(spark, f"{base}/landed", f"{base}/store", f"{base}/progress", buckets=4)
+    at = lambda s: (
+        sorted((r["id"], r["title"], r["meeting_time"], r["committee"], r["last_seq"]) for r in s.meetings().collect()),
+        sorted((r["download_url"], r["meeting_id"], r["rto"], r["title"]) for r in s.documents().collect()),
+        sorted((r["id"], r["native_id"], r["status"]) for r in s.issues().collect()),
+        sorted((r["issue_id"], r["ref_url"], r["ref_title"]) for r in s.references().collect()),
+    )
+    assert at(upserts.Store(spark, f"{base}/none")) == ([], [], [], [])
+    land((5, meeting(rto="PJM", title="T", meeting_date=DAY, meeting_time="9:00 AM"), [doc(5, "u1", title="old")], None, None), (6, None, None, issue(rto="PJM", native_id="I"), [("u1", None)]))
+    assert at(run()) == ([(5, "T", "9:00 AM", None, 5)], [("u1", 5, "PJM", "old")], [(6, "I", None)], [(6, "u1", None)])
+    # Late ones: an earlier sighting of the meeting gives it another id, and the documents follow.
+    land((2, meeting(rto="PJM", title="T", meeting_date=DAY, meeting_time="8:00 AM", committee="MC"), None, None, None), (7, meeting(rto="SPP", title="U", meeting_date=None), [doc(7, "u1", title="new"), doc(8, None)], None, None), (3, None, None, issue(rto="PJM", native_id="I", status="open"), [("u1", "a"), ("u2", None)]))
+    want = ([(2, "T", "9:00 AM", "MC", 5), (7, "U", None, None, 7)], [("u1", 2, "PJM", "new")], [(3, "I", "open")], [(3, "u1", "a"), (3, "u2", None)])
+    assert at(run()) == at(run()) == want
+    # A batch that fails halfway leaves the store as it was, and runs again.
+    land((9, meeting(rto="PJM", title="T", meeting_date=DAY, committee="OC"), [doc(9, "u3")], None, None))
+    fold = upserts.Store.fold
+    monkeypatch.setattr(upserts.Store, "fold", lambda self, rows, table, n: fold(self, rows, table, n) if table.name == "meetings" else 1 / 0)
+    with pytest.raises(Exception):
+        run()
+    assert at(upserts.Store(spark, f"{base}/store", 4)) == want
+    monkeypatch.setattr(upserts.Store, "fold", fold)
+    after = at(run())
+    assert after[0] == [(2, "T", "9:00 AM", "OC", 9), (7, "U", None, None, 7)] and after[1] == [("u1", 2, "PJM", "new"), ("u3", 2, "PJM", None)] and after[2:] == want[2:]
+    # Parts that a batch does not touch keep their version.
+    versions = {p.split("version=")[1].split("/")[0] for p in glob.glob(f"{base.removeprefix('file://')}/store/*/version=*/bucket=*")}
+    assert len(versions) > 1
+    # A batch that was marked is left out when it is handed over again.
+    store = upserts.Store(spark, f"{base}/store", 4)
+    store.apply(_landed(spark, [(50, meeting(rto="X", title="X"), None, None, None)]), store.done())
+    assert at(store) == after
