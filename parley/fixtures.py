@@ -29,7 +29,7 @@ SELECT seq, rto, concat(rto, ' ', grp, ' Meeting') AS title, meeting_date,
 FROM (SELECT event_id AS seq, user_id, event_type, cast(ts AS date) AS meeting_date, {rto('user_id')} AS rto,
   CASE event_type WHEN 'click' THEN 'Planning Committee' WHEN 'view' THEN 'Market Issues Working Group' WHEN 'purchase' THEN 'Operating Committee' WHEN 'signup' THEN 'Resource Adequacy Subcommittee' ELSE 'Reliability Committee' END AS grp FROM events) e""",
     "meetings": f"""
-SELECT m.*, CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE 1 END AS hydro_relevant FROM (
+SELECT m.*, CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE 1 END AS hydro_relevant, CASE WHEN id % 4 > 1 AND id % 3 = 0 THEN concat('Because of ', rto) END AS hydro_relevance_reason FROM (
 SELECT rto, title, meeting_date, min(seq) AS id, {', '.join(latest(c) for c in ('meeting_time', 'committee', 'location', 'source_url', 'detail_url', 'materials_url'))}, max(seq) AS last_seq
 FROM meeting_scrapes GROUP BY rto, title, meeting_date) m""",
     "document_scrapes": """
@@ -55,7 +55,8 @@ SELECT doc_id, quality AS hydro_relevant, CASE WHEN quality = 1 THEN concat('Sum
   CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '[]' ELSE concat('[{"claim":"c', cast(doc_id AS string), '","quote":"q","verified":true},{"quote":"x","verified":false}]') END AS evidence FROM labels""",
     "issues": f"""
 SELECT p_partkey AS id, {rto('p_partkey')} AS rto, concat('ISS', cast(p_partkey AS string)) AS native_id, CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE p_name END AS canonical_name,
-  CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS short_title, CASE p_size % 4 WHEN 0 THEN 'closed' WHEN 1 THEN 'active' WHEN 2 THEN 'evaluation in progress' END AS status, CASE p_size % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS is_open FROM part""",
+  CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS short_title, CASE p_size % 4 WHEN 0 THEN 'closed' WHEN 1 THEN 'active' WHEN 2 THEN 'evaluation in progress' END AS status, CASE p_size % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS is_open,
+  CASE p_size % 5 WHEN 0 THEN 'Solution "draft"' WHEN 1 THEN 'Vote' END AS stakeholder_phase, CASE WHEN p_partkey % 3 = 0 THEN concat('WG ', cast(p_size AS string)) END AS committee_owner, CASE WHEN p_partkey % 4 <> 0 THEN concat('https://iss.example/', cast(p_partkey AS string)) END AS url FROM part""",
     "issue_references": """
 SELECT DISTINCT l_partkey AS issue_id, CASE l_linenumber % 3 WHEN 0 THEN concat('https://docs.example/', cast(l_orderkey % 2000 AS string), '.pdf')
   WHEN 1 THEN concat('https://cal.example/', cast(l_suppkey % 9 AS string), '/', CASE cast(l_quantity AS integer) % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'purchase' WHEN 3 THEN 'signup' ELSE 'error' END, '/2024-01-', lpad(cast(1 + l_orderkey % 28 AS string), 2, '0'))
@@ -76,13 +77,19 @@ def _needs(text: str) -> list[str]:
     return [v for v in VIEWS if re.search(rf"\b{v}\b", text)]
 
 
-def with_views(query: str) -> str:
+def needed(name: str) -> list[str]:
+    """The views that a view reads, itself or through others."""
+    direct = _needs(VIEWS.get(name, ""))
+    return list(dict.fromkeys([n for v in direct for n in needed(v)] + direct))
+
+
+def with_views(query: str, without: tuple[str, ...] = ()) -> str:
     """The query behind a WITH list of all stand-in views that it reads, in order of dependence."""
     order: list[str] = []
 
     def add(text: str) -> None:
         for v in _needs(text):
-            if v not in order:
+            if v not in order and v not in without:
                 add(VIEWS[v])
                 if v not in order:
                     order.append(v)
@@ -95,10 +102,11 @@ def with_views(query: str) -> str:
     return f"WITH {inner}\n{rest}" if inner else rest
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A stand-in table, lazily, over the parquet tables in sf_dir."""
-    text = with_views(f"SELECT * FROM {name}").replace("{", "{{").replace("}", "}}")
-    used = [t for t in BASE if re.search(rf"\b(?:FROM|JOIN) {t}\b", text)]
+def view(spark: SparkSession, sf_dir: str, name: str, stored: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A stand-in table, lazily, over the parquet tables in sf_dir and over views that are stored already."""
+    stored = stored or {}
+    text = with_views(VIEWS[name], tuple(stored)).replace("{", "{{").replace("}", "}}")
+    used = {t: t for t in (*BASE, *stored) if re.search(rf"\b(?:FROM|JOIN) {t}\b", text)}
     for t in used:
         text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    return spark.sql(text, **{t: stored[t] if t in stored else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})

@@ -65,15 +65,37 @@ def corpus(docs: DataFrame, meetings: DataFrame, refs: DataFrame, issues: DataFr
     )
 
 
+def listed(rows: DataFrame, by: str, order: list[str], fields: list, name: str) -> DataFrame:
+    """(by, name): a list of structs of the fields for each `by`, in the order given (nulls first)."""
+    item = F.struct(F.struct(*order).alias("order"), F.struct(*fields).alias("item"))
+    return rows.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["item"]).alias(name))
+
+
+ISSUE_FIELDS = ["rto", "native_id", "canonical_name", "status", "stakeholder_phase", "committee_owner", "is_open", "url"]
+_ISSUE_ORDER = ["canonical_name", "rto", "native_id"]
+
+
 def calendar_events(meetings: DataFrame, docs: DataFrame, refs: DataFrame, issues: DataFrame, people: DataFrame) -> DataFrame:
-    """Meetings with nested issues and documents; each document with its issues and people. No document text travels."""
-    i = issues.select(F.col("id").alias("issue_id"), F.struct("rto", "native_id", issue_name().alias("name"), "status").alias("issue"))
-    di = document_issues(refs, docs).join(i, "issue_id").groupBy("document_id").agg(F.array_sort(F.collect_list("issue")).alias("issues"))
-    who = people.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("entity", F.lit("")).alias("entity"), "name", "role", "email"))).alias("stakeholders"))
+    """The nested feed: a row a meeting with its issues (repeats kept) and documents; each document with its issues and people.
+    Lists are never null. No document text travels.
+    """
+    i = issues.select(F.col("id").alias("issue_id"), *ISSUE_FIELDS)
+    di = listed(document_issues(refs, docs).join(i, "issue_id"), "document_id", _ISSUE_ORDER, ISSUE_FIELDS, "issues")
+    who = listed(people, "document_id", ["entity", "name", "role", "email"], ["name", "entity", "role", "email"], "stakeholders")
     d = docs.join(di, docs["id"] == di["document_id"], "left").drop("document_id").join(who, F.col("id") == who["document_id"], "left").drop("document_id")
-    nested = d.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("id", "title", "filename", "download_url", "ai_summary", "hydro_relevant", "directness", topics_array(F.col("topics")).alias("topics"), "issues", "stakeholders"))).alias("documents"))
-    mi = meeting_issues(refs, issues).groupBy(F.col("meeting_id").alias("mid")).agg(F.array_sort(F.collect_list(F.struct("name", "native_id", "status"))).alias("issues"))
-    return meetings.join(nested, meetings["id"] == nested["meeting_id"], "left").drop("meeting_id").join(mi, F.col("id") == mi["mid"], "left").drop("mid")
+    none = lambda c: F.coalesce(c, F.array().cast(dict(d.dtypes)[c])).alias(c)
+    fields = [
+        F.col("doc_type").alias("type"), "title", "filename", F.col("download_url").alias("url"), "member_url", "posted_date", (F.col("hydro_relevant") != 0).alias("hydro_relevant"), "hydro_relevance_reason", "ai_summary", "hydro_read_through",
+        (F.col("source_names_hydro") != 0).alias("source_names_hydro"), topics_array(F.col("topics")).alias("topics"), "directness", evidence_array(F.col("evidence")).alias("evidence"), none("issues"), none("stakeholders"),
+    ]
+    nested = listed(d, "meeting_id", ["id"], fields, "documents")
+    mi = listed(refs.where("matched_meeting_id IS NOT NULL").select("issue_id", F.col("matched_meeting_id").alias("mid")).join(i, "issue_id"), "mid", _ISSUE_ORDER, ISSUE_FIELDS, "issues")
+    m = meetings.select(
+        "id", "title", F.col("meeting_date").alias("date"), F.col("meeting_time").alias("time"), "rto", "committee", "source_url", "detail_url", "materials_url",
+        (F.col("hydro_relevant") != 0).alias("meeting_hydro_relevant"), F.col("hydro_relevance_reason").alias("meeting_hydro_reason"),
+    )
+    rows = m.join(mi, m["id"] == mi["mid"], "left").drop("mid").join(nested, F.col("id") == nested["meeting_id"], "left").drop("meeting_id")
+    return rows.withColumns({c: F.coalesce(c, F.array().cast(dict(rows.dtypes)[c])) for c in ("issues", "documents")})
 
 
 def related_documents(docs: DataFrame, window_days: int = 10, limit: int = 12) -> DataFrame:
@@ -81,19 +103,22 @@ def related_documents(docs: DataFrame, window_days: int = 10, limit: int = 12) -
 
     docs: id, event_id, rto, event_date, doc_type, topics (array), ai_summary. Documents of one operator, type, topic list and day
     are alike as anchors and, but for their ids, as answers: such groups are joined (by buckets of window_days, on each shared key),
-    an answering group gives its `limit` smallest ids at most, and the best go back to every anchor of a group. So a type that very
+    an answering group gives its `limit` smallest ids at most, and the best go back to every anchor of a group. A missing type
+    reads as "document", a missing operator as "Other". So a type that very
     many documents have costs no more than its groups. Answers that share type and topic are taken alone if there are at least two.
     """
     day, alike = F.unix_date("event_date"), ["rto", "doc_type", "topics", "day"]
-    base = docs.select("id", "rto", "doc_type", F.array_sort(F.array_distinct("topics")).alias("topics"), day.alias("day"), (F.col("ai_summary").isNotNull() & (F.col("ai_summary") != "")).alias("has"))
+    known = lambda c, other: F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit(other)).alias(c)
+    topics = F.array_sort(F.array_distinct(F.coalesce("topics", F.array().cast("array<string>"))))
+    base = docs.select("id", known("rto", "Other"), known("doc_type", "document"), topics.alias("topics"), day.alias("day"), (F.col("ai_summary").isNotNull() & (F.col("ai_summary") != "")).alias("has"))
     base = base.withColumn("grp", F.xxhash64(*alike))
-    keys = F.array_union(F.array(F.concat(F.lit("type:"), F.coalesce("doc_type", F.lit("")))), F.transform("topics", lambda t: F.concat(F.lit("topic:"), t)))
+    keys = F.array_union(F.array(F.concat(F.lit("type:"), F.col("doc_type"))), F.transform("topics", lambda t: F.concat(F.lit("topic:"), t)))
     left = base.select(*alike, "grp").distinct().withColumn("bucket", F.explode(F.array(*[F.floor(F.col("day") / window_days) + s for s in (-1, 0, 1)]))).withColumn("key", F.explode(keys))
     first = base.where("has").withColumn("rn", F.row_number().over(Window.partitionBy("grp").orderBy("id"))).where(F.col("rn") <= max(2, limit)).groupBy(*alike).agg(F.collect_list("id").alias("ids"))
     right = first.withColumn("bucket", F.floor(F.col("day") / window_days)).withColumn("key", F.explode(keys)).select("key", "bucket", "ids", *[F.col(c).alias(f"o_{c}") for c in alike])
     gap = F.abs(F.col("day") - F.col("o_day"))
     hit = left.join(right, ["key", "bucket"]).where((F.col("rto") != F.col("o_rto")) & (gap <= window_days))
-    shared, same = F.size(F.array_intersect("topics", "o_topics")), F.coalesce(F.col("doc_type") == F.col("o_doc_type"), F.lit(False))
+    shared, same = F.size(F.array_intersect("topics", "o_topics")), F.col("doc_type") == F.col("o_doc_type")
     pairs = hit.select("grp", "ids", F.col("o_rto").alias("related_rto"), gap.alias("day_gap"), shared.alias("shared"), same.alias("same_type")).distinct()
     scored = pairs.withColumn("score", F.when(F.col("same_type"), 4).otherwise(0) + F.col("shared")).withColumn("strong", F.col("same_type") & (F.col("shared") > 0))
     n_strong = F.sum(F.when(F.col("strong"), F.size("ids")).otherwise(0)).over(Window.partitionBy("grp"))

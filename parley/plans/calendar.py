@@ -20,6 +20,10 @@ ev AS (SELECT m.id, m.rto, m.title, m.meeting_date, m.meeting_time, m.committee,
 
 
 def events(t):
+    return t.once("events", lambda: _events(t))
+
+
+def _events(t):
     links = resolved(t).where("matched_meeting_id IS NOT NULL").select(F.col("matched_meeting_id").alias("meeting_id"))
     return analytics.event_rollup(t.meetings, t.stored_documents, links)
 
@@ -175,7 +179,7 @@ r AS (SELECT q, kind, label, row_number() OVER (PARTITION BY q, kind ORDER BY CA
 SELECT q, kind, label, rn FROM r WHERE rn <= CASE WHEN kind IN ('rto', 'topic') THEN 4 ELSE 5 END"""
 
 
-@query(_SUGGEST)
+@query(_SUGGEST, stored=True)
 def search_suggestions(t):
     index, out = suggestion_index(t), None
     for text in ("pe", "is"):
@@ -201,7 +205,7 @@ def filter_events(t):
 UNION ALL SELECT 'facet', id, rto, meeting_date FROM ev WHERE id IN (SELECT d.meeting_id FROM who w JOIN stored_documents d ON d.id = w.document_id WHERE w.org = 'Acme Power')
 UNION ALL SELECT 'text', id, rto, meeting_date FROM ev WHERE contains(lower(concat_ws(' ', title, committee, rto)), 'person 7') OR id IN (SELECT meeting_id FROM stored_documents WHERE contains(lower(title), 'person 7'))
   OR id IN (SELECT d.meeting_id FROM kept k JOIN stored_documents d ON d.id = k.document_id WHERE contains(lower(concat_ws(' ', k.name, k.entity)), 'person 7'))
-  OR id IN (SELECT r.matched_meeting_id FROM matched_references r JOIN issues i ON i.id = r.issue_id WHERE contains(lower(concat_ws(' ', canonical_name, short_title, native_id)), 'person 7'))""")
+  OR id IN (SELECT r.matched_meeting_id FROM matched_references r JOIN issues i ON i.id = r.issue_id WHERE contains(lower(concat_ws(' ', canonical_name, short_title, native_id)), 'person 7'))""", stored=True)
 def search_events(t):
     """The ways of the filter one by one: the days of this week, one entity, a text among issues, stakeholders and document titles."""
     from ..operators import matching

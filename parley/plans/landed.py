@@ -9,7 +9,7 @@ from ..sources import feeds
 from ..streaming import upserts
 from .calendar import ENTITY_SQL, STRIP_SQL
 from .registry import query
-from .store import _CALENDAR, _CORPUS, _LINES, _PEOPLE, corpus, people, resolved, shown_calendar
+from .store import _CALENDAR, _CORPUS, _LINES, _PEOPLE, corpus, feed, people, resolved, shown_calendar
 
 _GUID = "lower(concat('0a1b2c3d', lpad(cast(user_id % 9 AS string), 4, '0'), 'aaaabbbb', lpad(cast(user_id % 7 AS string), 12, '0')))"
 _TEXT_GUID = "concat('0a1b2c3d-', lpad(cast(user_id % 9 AS string), 4, '0'), '-aaaa-bbbb-', lpad(cast(user_id % 7 AS string), 12, '0'))"
@@ -82,14 +82,14 @@ def merge_initiative_sources(t):
 
 @query("""WITH s AS (SELECT DISTINCT matched_meeting_id AS event_id, 0 AS level, issue_id FROM matched_references WHERE matched_meeting_id IS NOT NULL UNION SELECT DISTINCT d.meeting_id, 1, r.issue_id FROM matched_references r JOIN stored_documents d ON d.id = r.matched_document_id),
 o AS (SELECT event_id, issue_id, min(level) AS level FROM s GROUP BY 1, 2)
-SELECT o.event_id, o.level, i.rto, CASE WHEN i.id % 10 = 0 THEN 'OLD' || i.id ELSE i.native_id END AS native_id, CASE WHEN i.id % 10 <> 0 THEN i.id END AS issue_id, CASE WHEN i.id % 10 = 0 THEN 'stub' ELSE coalesce(canonical_name, short_title, native_id) END AS name,
-CASE WHEN i.id % 10 <> 0 THEN i.status END AS status FROM o JOIN issues i ON i.id = o.issue_id""")
+SELECT o.event_id, o.level, i.rto, CASE WHEN i.id % 10 = 0 THEN 'OLD' || i.id ELSE i.native_id END AS native_id, CASE WHEN i.id % 10 <> 0 THEN i.id END AS issue_id, CASE WHEN i.id % 10 = 0 THEN 'stub' ELSE canonical_name END AS canonical_name, CASE WHEN i.id % 10 = 0 THEN 'open' ELSE status END AS status,
+CASE WHEN i.id % 10 <> 0 THEN short_title END AS short_title, CASE WHEN i.id % 10 <> 0 THEN is_open END AS is_open, CASE WHEN i.id % 10 <> 0 THEN stakeholder_phase END AS stakeholder_phase, CASE WHEN i.id % 10 <> 0 THEN committee_owner END AS committee_owner, CASE WHEN i.id % 10 <> 0 THEN url END AS url FROM o JOIN issues i ON i.id = o.issue_id""", stored=True)
 def hydrate_issues(t):
     refs = resolved(t)
     own = t.issues.select(F.col("id").alias("issue_id"), "rto", F.when(F.col("id") % 10 == 0, F.concat(F.lit("OLD"), F.col("id").cast("string"))).otherwise(F.col("native_id")).alias("native_id"))
     by_meeting = refs.where("matched_meeting_id IS NOT NULL").select(F.col("matched_meeting_id").alias("event_id"), F.lit(0).alias("level"), "issue_id")
     by_document = refs.join(t.stored_documents.select(F.col("id").alias("matched_document_id"), "meeting_id"), "matched_document_id").select(F.col("meeting_id").alias("event_id"), F.lit(1).alias("level"), "issue_id")
-    stubs = by_meeting.unionByName(by_document).join(own, "issue_id").select("event_id", "level", F.col("issue_id").alias("pos"), "rto", "native_id", F.lit("stub").alias("name"))
+    stubs = by_meeting.unionByName(by_document).join(own, "issue_id").select("event_id", "level", F.col("issue_id").alias("pos"), "rto", "native_id", F.lit("stub").alias("canonical_name"), F.lit("open").alias("status"))
     return matching.hydrate_issues(stubs, t.issues)
 
 
@@ -123,7 +123,7 @@ def collect_issue_references(t):
 @query(_PEOPLE + f""", org AS (SELECT k.*, {ENTITY_SQL} AS org FROM (SELECT *, {STRIP_SQL} AS n FROM kept) k),
 seen AS (SELECT d.meeting_id, lower(o.name) AS name, o.org FROM org o JOIN stored_documents d ON d.id = o.document_id)
 SELECT 'committee' AS facet, id FROM meetings WHERE committee = 'Planning Committee' AND rto = 'PJM' UNION ALL SELECT DISTINCT 'stakeholder', meeting_id FROM seen WHERE name = 'person 7' AND org IS NULL UNION ALL SELECT DISTINCT 'entity', meeting_id FROM seen WHERE org = 'Acme Power'
-UNION ALL SELECT DISTINCT 'initiative', r.matched_meeting_id FROM matched_references r JOIN issues i ON i.id = r.issue_id WHERE i.rto = 'CAISO' AND i.native_id = 'ISS10' AND r.matched_meeting_id IS NOT NULL""")
+UNION ALL SELECT DISTINCT 'initiative', r.matched_meeting_id FROM matched_references r JOIN issues i ON i.id = r.issue_id WHERE i.rto = 'CAISO' AND i.native_id = 'ISS10' AND r.matched_meeting_id IS NOT NULL""", stored=True)
 def match_facet(t):
     links = resolved(t).where("matched_meeting_id IS NOT NULL").join(t.issues.select(F.col("id").alias("issue_id"), "rto", "native_id"), "issue_id").select(F.col("matched_meeting_id").alias("meeting_id"), "rto", "native_id")
     wants = {"committee": {"committee": "Planning Committee", "rto": "PJM"}, "stakeholder": {"name": "person 7", "entity": None}, "entity": {"entity": "Acme Power"}, "initiative": {"rto": "CAISO", "native_id": "ISS10"}}
@@ -134,16 +134,16 @@ def match_facet(t):
     return out
 
 
-@query(_CALENDAR)
+@query(_CALENDAR, stored=True)
 def calendar_feed(t):
     """Written and read back."""
     path = feeds.new_folder(t.spark, "feed")
-    events = linking.calendar_events(t.meetings, t.stored_documents, resolved(t), t.issues, people(t))
+    events = feed(t)
     feeds.write_calendar_feed(events, path)
     return shown_calendar(feeds.read_calendar_feed(t.spark, path, events.schema))
 
 
-@query(_CALENDAR)
+@query(_CALENDAR, stored=True)
 def calendar_feed_array(t):
     """The form of one JSON array: read whole (a feed is one file), and compared like the other."""
     path = feeds.new_folder(t.spark, "feed")
@@ -153,7 +153,7 @@ def calendar_feed_array(t):
     return shown_calendar(feeds.read_calendar_feed(t.spark, path, events.schema, multi_line=True))
 
 
-@query("SELECT id, rto, native_id, coalesce(canonical_name, short_title, native_id) AS name, status, is_open, count(r.ref_url) AS total_refs, count(r.matched_document_id) AS matched_refs FROM issues i LEFT JOIN matched_references r ON r.issue_id = i.id GROUP BY ALL")
+@query("SELECT id, rto, native_id, coalesce(canonical_name, short_title, native_id) AS name, status, is_open, count(r.ref_url) AS total_refs, count(r.matched_document_id) AS matched_refs FROM issues i LEFT JOIN matched_references r ON r.issue_id = i.id GROUP BY ALL", stored=True)
 def issue_list(t):
     """Written and read back."""
     path, rows = feeds.new_folder(t.spark, "issues"), linking.issues_with_reference_counts(t.issues, resolved(t))
@@ -161,7 +161,7 @@ def issue_list(t):
     return feeds.read_calendar_feed(t.spark, path, rows.schema)
 
 
-@query(_CORPUS + "SELECT * EXCLUDE (id) REPLACE (nullif(topics, '') AS topics, nullif(evidence, '') AS evidence, nullif(initiatives, '') AS initiatives, nullif(stakeholders, '') AS stakeholders) FROM flat")
+@query(_CORPUS + "SELECT * EXCLUDE (id) REPLACE (nullif(topics, '') AS topics, nullif(evidence, '') AS evidence, nullif(initiatives, '') AS initiatives, nullif(stakeholders, '') AS stakeholders) FROM flat", stored=True)
 def corpus_csv(t):
     """Written and read back; an empty cell reads as null."""
     path, rows = feeds.new_folder(t.spark, "corpus"), corpus(t)
@@ -169,7 +169,7 @@ def corpus_csv(t):
     return feeds.read_corpus_csv(t.spark, path, feeds.flat_corpus(rows).select(*feeds.CORPUS_COLUMNS).schema)
 
 
-@query(_CORPUS + "SELECT * FROM flat")
+@query(_CORPUS + "SELECT * FROM flat", stored=True)
 def corpus_json(t):
     """Written with its lists kept, and read back."""
     path, rows = feeds.new_folder(t.spark, "corpus"), corpus(t)
@@ -177,7 +177,7 @@ def corpus_json(t):
     return feeds.flat_corpus(feeds.read_calendar_feed(t.spark, path, rows.schema))
 
 
-@query(_CORPUS + _LINES + "SELECT id, line FROM lines")
+@query(_CORPUS + _LINES + "SELECT id, line FROM lines", stored=True)
 def corpus_csv_compact(t):
     rows = corpus(t)
     return rows.select("id", feeds.compact_csv_line(rows).alias("line"))

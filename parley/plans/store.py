@@ -18,6 +18,10 @@ def doc_sightings(t):
 
 
 def resolved(t):
+    return t.once("resolved", lambda: _resolved(t))
+
+
+def _resolved(t):
     return linking.resolve_issue_references(t.issue_references, t.stored_documents.select("id", "download_url"), t.meetings.select("id", "detail_url"))
 
 
@@ -59,6 +63,10 @@ kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id, n
 
 
 def people(t):
+    return t.once("people", lambda: _people(t))
+
+
+def _people(t):
     texts = t.base("documents").select(F.col("doc_id").alias("document_id"), F.col("text").alias("source_text"))
     return folds.replace_stakeholders(None, t.document_stakeholders, texts)
 
@@ -117,7 +125,7 @@ di AS (SELECT DISTINCT issue_id, document_id FROM (SELECT issue_id, matched_docu
 """
 
 
-@query(_DOC_ISSUES + "SELECT issue_id, document_id FROM di")
+@query(_DOC_ISSUES + "SELECT issue_id, document_id FROM di", stored=True)
 def document_issues(t):
     return linking.document_issues(resolved(t), t.stored_documents)
 
@@ -148,7 +156,7 @@ def corpus(t):
     return linking.corpus(t.stored_documents, t.meetings, resolved(t), t.issues, people(t))
 
 
-@query(_CORPUS + "SELECT * FROM flat")
+@query(_CORPUS + "SELECT * FROM flat", stored=True)
 def hydro_corpus(t):
     return feeds.flat_corpus(corpus(t))
 
@@ -166,29 +174,34 @@ def corpus_profile(t):
     return analytics.corpus_profile(rows).drop("json_bytes")
 
 
-_CALENDAR = _PEOPLE.rstrip() + ", " + _DOC_ISSUES[5:] + """, dx AS (SELECT document_id, count(*) AS n, string_agg(native_id, ',' ORDER BY i.rto, i.native_id) AS l FROM di JOIN issues i ON i.id = di.issue_id GROUP BY 1),
-dq AS (SELECT document_id, count(*) AS n, string_agg(name, ',' ORDER BY coalesce(entity, ''), name) AS l FROM kept GROUP BY 1),
-dd AS (SELECT d.meeting_id, count(*) AS n, string_agg(concat(cast(d.id AS string), ':', coalesce(d.title, ''), ':', replace(coalesce(d.topics, ''), ';', ','), ':', coalesce(dx.l, ''), ':', coalesce(dq.l, '')), '|' ORDER BY d.id) AS l
+_ISSUE = "{'rto': i.rto, 'native_id': i.native_id, 'canonical_name': i.canonical_name, 'status': i.status, 'stakeholder_phase': i.stakeholder_phase, 'committee_owner': i.committee_owner, 'is_open': i.is_open, 'url': i.url}"
+_CALENDAR = _PEOPLE.rstrip() + ", " + _DOC_ISSUES[5:] + f""", dx AS (SELECT document_id, list({_ISSUE} ORDER BY canonical_name NULLS FIRST, i.rto, i.native_id) AS l FROM di JOIN issues i ON i.id = di.issue_id GROUP BY 1),
+dq AS (SELECT document_id, list({{'name': name, 'entity': entity, 'role': role, 'email': email}} ORDER BY entity NULLS FIRST, name, role NULLS FIRST, email NULLS FIRST) AS l FROM kept GROUP BY 1),
+dd AS (SELECT d.meeting_id, count(*) AS n, list({{'type': d.doc_type, 'title': d.title, 'filename': d.filename, 'url': d.download_url, 'member_url': d.member_url, 'posted_date': d.posted_date, 'hydro_relevant': d.hydro_relevant <> 0, 'hydro_relevance_reason': d.hydro_relevance_reason,
+  'ai_summary': d.ai_summary, 'hydro_read_through': d.hydro_read_through, 'source_names_hydro': d.source_names_hydro <> 0, 'topics': CASE WHEN d.topics <> '' THEN string_split(d.topics, ';') ELSE [] END, 'directness': d.directness,
+  'evidence': coalesce(from_json(d.evidence, '[{{"claim":"VARCHAR","quote":"VARCHAR","verified":"BOOLEAN"}}]'), []), 'issues': coalesce(dx.l, []), 'stakeholders': coalesce(dq.l, [])}} ORDER BY d.id) AS l
   FROM stored_documents d LEFT JOIN dx ON dx.document_id = d.id LEFT JOIN dq ON dq.document_id = d.id GROUP BY 1),
-mi AS (SELECT matched_meeting_id AS mid, string_agg(native_id, ',' ORDER BY coalesce(canonical_name, short_title, native_id), native_id) AS l FROM matched_references r JOIN issues i ON i.id = r.issue_id WHERE matched_meeting_id IS NOT NULL GROUP BY 1)
-SELECT m.id, m.rto, m.title, m.meeting_date, coalesce(dd.n, 0) AS n_documents, coalesce(dd.l, '') AS documents, coalesce(mi.l, '') AS issues FROM meetings m LEFT JOIN dd ON dd.meeting_id = m.id LEFT JOIN mi ON mi.mid = m.id"""
+mi AS (SELECT matched_meeting_id AS mid, list({_ISSUE} ORDER BY canonical_name NULLS FIRST, i.rto, i.native_id) AS l FROM matched_references r JOIN issues i ON i.id = r.issue_id WHERE matched_meeting_id IS NOT NULL GROUP BY 1)
+SELECT m.id, to_json({{'id': m.id, 'title': m.title, 'date': m.meeting_date, 'time': m.meeting_time, 'rto': m.rto, 'committee': m.committee, 'source_url': m.source_url, 'detail_url': m.detail_url, 'materials_url': m.materials_url, 'meeting_hydro_relevant': m.hydro_relevant <> 0, 'meeting_hydro_reason': m.hydro_relevance_reason,
+  'issues': coalesce(mi.l, []), 'documents': coalesce(dd.l, [])}})::VARCHAR AS json FROM meetings m LEFT JOIN dd ON dd.meeting_id = m.id LEFT JOIN mi ON mi.mid = m.id"""
 
 
 def shown_calendar(e):
-    """The nested feed as text, for comparison: each document with its title, topics, issues and people, and the meeting's issues."""
-    none = lambda x, what: F.coalesce(F.array_join(F.transform(x, lambda i: i[what]), ","), F.lit(""))
-    one = lambda d: F.concat_ws(":", d["id"].cast("string"), F.coalesce(d["title"], F.lit("")), F.array_join(d["topics"], ","), none(d["issues"], "native_id"), none(d["stakeholders"], "name"))
-    documents = F.coalesce(F.array_join(F.transform("documents", one), "|"), F.lit(""))
-    return e.select("id", "rto", "title", "meeting_date", F.when(F.col("documents").isNull(), 0).otherwise(F.size("documents")).cast("long").alias("n_documents"), documents.alias("documents"), none(F.col("issues"), "native_id").alias("issues"))
+    """The nested feed as JSON text, for comparison: every field of a meeting, its issues, documents and people."""
+    return e.select("id", F.to_json(F.struct(*e.columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def feed(t):
+    return linking.calendar_events(t.meetings, t.stored_documents, resolved(t), t.issues, people(t))
 
 
-@query(_CALENDAR)
+@query(_CALENDAR, stored=True)
 def calendar_events(t):
-    return shown_calendar(linking.calendar_events(t.meetings, t.stored_documents, resolved(t), t.issues, people(t)))
+    return shown_calendar(feed(t))
 
 
-_RELATED = _TYPED + """, d AS (SELECT f.id, f.meeting_id AS event_id, f.rto, f.doc_type, m.meeting_date AS event_date, CASE WHEN s.topics <> '' THEN string_split(s.topics, ';') ELSE [] END AS topics, s.ai_summary FROM folded f JOIN meetings m ON m.id = f.meeting_id JOIN screenings s ON s.doc_id = f.id),
-p AS (SELECT a.id, b.id AS related_id, b.rto AS related_rto, abs(a.event_date - b.event_date) AS day_gap, len(list_intersect(a.topics, b.topics)) AS shared, a.doc_type = b.doc_type AS same_type FROM d a JOIN d b ON a.rto <> b.rto AND a.event_id <> b.event_id AND abs(a.event_date - b.event_date) <= 10 AND b.ai_summary IS NOT NULL),
+_RELATED = _TYPED + """, d AS (SELECT f.id, f.meeting_id AS event_id, f.rto, CASE WHEN f.id % 7 <> 3 THEN f.doc_type END AS doc_type, m.meeting_date AS event_date, CASE WHEN s.topics <> '' THEN string_split(s.topics, ';') ELSE [] END AS topics, s.ai_summary FROM folded f JOIN meetings m ON m.id = f.meeting_id JOIN screenings s ON s.doc_id = f.id),
+p AS (SELECT a.id, b.id AS related_id, b.rto AS related_rto, abs(a.event_date - b.event_date) AS day_gap, len(list_intersect(a.topics, b.topics)) AS shared, coalesce(a.doc_type, 'document') = coalesce(b.doc_type, 'document') AS same_type FROM d a JOIN d b ON a.rto <> b.rto AND a.event_id <> b.event_id AND abs(a.event_date - b.event_date) <= 10 AND b.ai_summary IS NOT NULL),
 q AS (SELECT *, CASE WHEN same_type THEN 4 ELSE 0 END + shared AS score, same_type AND shared > 0 AS strong FROM p WHERE same_type OR shared > 0),
 r AS (SELECT *, count(*) FILTER (WHERE strong) OVER (PARTITION BY id) AS n_strong FROM q),
 z AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, day_gap, related_id) AS rn FROM r WHERE n_strong < 2 OR strong)
@@ -208,7 +221,8 @@ def related_by_rto(t):
 
 
 def dated_documents(t):
-    d = folds.upsert_documents(doc_sightings(t)).select("id", F.col("meeting_id").alias("event_id"), "rto", "doc_type")
+    """Some documents have no type."""
+    d = folds.upsert_documents(doc_sightings(t)).select("id", F.col("meeting_id").alias("event_id"), "rto", F.when(F.col("id") % 7 != 3, F.col("doc_type")).alias("doc_type"))
     m = t.meetings.select(F.col("id").alias("event_id"), F.col("meeting_date").alias("event_date"))
     s = t.screenings.select(F.col("doc_id").alias("id"), text.topics_array(F.col("topics")).alias("topics"), "ai_summary")
     return d.join(m, "event_id").join(s, "id")

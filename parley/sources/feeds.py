@@ -26,9 +26,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/parley-{uuid.uuid4().hex}/{name}"
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read back, so that what reads it several times does not make it anew."""
+    path = new_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def write_calendar_feed(events: DataFrame, path: str) -> None:
-    """Nested meetings as JSON lines, newest first."""
-    events.orderBy(F.desc("meeting_date"), "id").write.json(path)
+    """Nested meetings as JSON lines, newest first; nulls are written."""
+    events.orderBy(F.desc("date"), "id").write.option("ignoreNullFields", False).json(path)
 
 
 def read_calendar_feed(spark: SparkSession, path: str, schema: StructType, multi_line: bool = False) -> DataFrame:
