@@ -106,8 +106,9 @@ def train(table: DataFrame, bound: int = LABELLED, steps: int = STEPS, rate: flo
     known = lists.agg(F.sort_array(F.collect_list(F.struct("g", "l"))).alias("known"))
     places = known.select(F.posexplode("known").alias("f", "x")).select("f", F.explode("x.l").alias("i")).groupBy("i").agg(F.sort_array(F.collect_list("f")).alias("at"))
     row = F.struct("i", F.col("label").alias("y"), (1 / F.sqrt(F.greatest(F.size("grams"), F.lit(1)))).alias("s"), F.coalesce("at", F.array().cast("array<int>")).alias("at"))
-    one = numbered.join(places, "i", "left").agg(F.sort_array(F.collect_list(row)).alias("rows"), F.count("*").alias("n"), F.sum("label").alias("ones"), F.lit(1).alias("k"))
-    one = one.join(known.withColumn("k", F.lit(1)), "k").select("rows", "n", "ones", F.col("known.g").alias("known"), F.col("known.l").alias("lists"))
+    one = numbered.join(places, "i", "left").agg(F.sort_array(F.collect_list(row)).alias("rows"), F.greatest(F.count("*"), F.lit(1)).alias("n"), F.sum("label").alias("ones"))
+    both = one.unionByName(known.select(F.col("known.g").alias("known"), F.col("known.l").alias("lists")), allowMissingColumns=True)  # two rows made one
+    one = both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("rows", "n", "ones", "known", "lists")])
     # Even steps work out what the rows miss, odd ones move the weights: what both need stands in the state, so nothing is worked out twice.
     fitted = one.selectExpr("n", "ones", "known", f"""aggregate(sequence(1, {2 * steps}),
         named_struct('w', transform(known, g -> 0D), 'b', 0D, 'miss', transform(rows, r -> 0D)),
@@ -117,11 +118,12 @@ def train(table: DataFrame, bound: int = LABELLED, steps: int = STEPS, rate: flo
             'miss', IF(t % 2 = 0, z.miss, transform(rows, r -> 1 / (1 + exp(-(z.b + r.s * aggregate(r.at, 0D, (a, f) -> a + z.w[f])))) - r.y)))) AS z""")
     got = fitted.select("n", "ones", "known", "z.w", "z.b").first()  # bounded: at most BUCKETS weights
     weights = np.zeros(BUCKETS + 1)
-    if got["n"] and 0 < got["ones"] < got["n"]:
+    ones = got["ones"] or 0
+    if 0 < ones < got["n"]:
         weights[np.array(got["known"], dtype=np.int64)] = got["w"]
         weights[-1] = got["b"]
     else:
-        weights[-1] = 1.0 if got["n"] and got["ones"] == got["n"] else -1.0
+        weights[-1] = 1.0 if ones else -1.0
     return weights
 
 
