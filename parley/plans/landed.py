@@ -145,11 +145,9 @@ def calendar_feed(t):
 
 @query(_CALENDAR, stored=True)
 def calendar_feed_array(t):
-    """The form of one JSON array: read whole (a feed is one file), and compared like the other."""
-    path = feeds.new_folder(t.spark, "feed")
-    events = linking.calendar_events(t.meetings, t.stored_documents, resolved(t), t.issues, people(t))
-    one = F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct(*events.columns))), ","), F.lit("]"))
-    events.agg(one.alias("value")).write.text(path)
+    """The form of one JSON array, written in ordered parts and read by byte ranges."""
+    path, events = feeds.new_folder(t.spark, "feed"), feed(t)
+    feeds.write_calendar_feed_array(events, path)
     return shown_calendar(feeds.read_calendar_feed(t.spark, path, events.schema, multi_line=True))
 
 

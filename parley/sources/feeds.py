@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -38,16 +38,74 @@ def write_calendar_feed(events: DataFrame, path: str) -> None:
     events.orderBy(F.desc("date"), "id").write.option("ignoreNullFields", False).json(path)
 
 
+def write_calendar_feed_array(events: DataFrame, path: str) -> None:
+    """Nested meetings as one JSON array, newest first: the files of the folder, one after the other, are the array's text."""
+    order = [F.desc("date"), F.asc("id")]
+    first = events.select("id", "date").orderBy(*order).first()
+    record = F.concat(F.when(F.lit(first is None) | (F.col("id") == F.lit(first and first["id"])), "").otherwise(","), F.to_json(F.struct(*events.columns), {"ignoreNullFields": "false"}))
+    lines = events.select(F.lit(1).alias("k"), "date", "id", record.alias("value"))
+    ends = events.sparkSession.createDataFrame([(0, "["), (2, "]")], "k int, value string")
+    ends.unionByName(lines, allowMissingColumns=True).orderBy("k", *order).select("value").write.text(path)
+
+
 def read_calendar_feed(spark: SparkSession, path: str, schema: StructType, multi_line: bool = False) -> DataFrame:
     """The feed (or, multi_line, one JSON array) under a given schema; a missing path gives no rows."""
     try:
-        return spark.read.schema(schema).option("multiLine", multi_line).json(path)
+        return read_json_array(spark, path, schema) if multi_line else spark.read.schema(schema).json(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
 
+def read_json_array(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The objects of a JSON array, in one file or laid out over the files of a folder (cut between objects), read by byte ranges.
+
+    A file is cut at every closing brace, in as many tasks as it has splits. Where a piece stands, inside a string or not and how
+    deep, follows from the pieces before it: every split sums up what it does to either state, and the splits' sums, in order,
+    give each its start. A record ends where the depth comes back to that of the array.
+    """
+    pieces = spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("at"), "value")
+    plain = F.regexp_replace("value", r"\\.", "")  # escapes hold no quote of a string
+    inside = F.regexp_replace(plain, r'^[^"]*"?', "")  # what follows the string that the piece begins in
+    rows = pieces.select("*", (F.regexp_count(plain, F.lit('"')) % 2).alias("flip"), _depth(plain).alias("step0"), _depth(inside).alias("step1"), (F.regexp_count(plain, F.lit('"')) == 0).alias("all_string"))
+    rows = rows.withColumn("step1", F.when(F.col("all_string"), 0).otherwise(F.col("step1")))
+    split = Window.partitionBy("file", "block").orderBy("at")
+    before = split.rowsBetween(Window.unboundedPreceding, -1)
+    # The state at a piece's start, if the split starts outside a string; the other case is its opposite. A closing brace counts outside strings.
+    rows = rows.withColumn("odd", F.coalesce(F.sum("flip").over(before), F.lit(0)) % 2)
+    net = lambda odd: F.when(odd == 0, F.col("step0")).otherwise(F.col("step1")) - F.when((odd + F.col("flip")) % 2 == 0, 1).otherwise(0)
+    rows = rows.withColumns({"net0": net(F.col("odd")), "net1": net(1 - F.col("odd"))})
+    splits = rows.groupBy("file", "block").agg((F.sum("flip") % 2).alias("turn"), F.sum("net0").alias("sum0"), F.sum("net1").alias("sum1"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.max("size").alias("size"))
+    # What stands behind a file's last brace is a piece as well, but none that a brace closes.
+    file = Window.partitionBy("file")
+    rest = F.when((F.col("block") == F.max("block").over(file)) & (F.sum("bytes").over(file) > F.col("size")), 1).otherwise(0)
+    splits = splits.withColumn("rest", rest).withColumns({"sum0": F.col("sum0") + F.col("rest"), "sum1": F.col("sum1") + F.col("rest")})
+    # A row a split: the files and splits in order.
+    earlier = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.withColumn("state", F.coalesce(F.sum("turn").over(earlier), F.lit(0)) % 2)
+    starts = starts.withColumn("base", F.coalesce(F.sum(F.when(F.col("state") == 0, F.col("sum0")).otherwise(F.col("sum1"))).over(earlier), F.lit(0))).select("file", "block", "state", "base", "rest")
+    met = rows.join(starts, ["file", "block"])
+    met = met.withColumn("net", F.when(F.col("state") == 0, F.col("net0")).otherwise(F.col("net1"))).withColumn("open", (F.col("odd") + F.col("state") + F.col("flip")) % 2 == 0)
+    met = met.withColumn("depth", F.col("base") + F.sum("net").over(split))
+    ends = met.withColumn("ends", (F.col("open") & (F.col("depth") == 1)).cast("long"))
+    # Records that end before a piece, in its split; the splits' counts number them through.
+    own = ends.withColumn("no", F.coalesce(F.sum("ends").over(before), F.lit(0)))
+    count = ends.groupBy("file", "block").agg(F.sum("ends").alias("n"))
+    first = count.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    own = own.withColumn("behind", (F.col("rest") == 1) & (F.col("at") == F.max("at").over(Window.partitionBy("file", "block")))).where("NOT behind")
+    whole = own.join(first, ["file", "block"]).groupBy((F.col("first") + F.col("no")).alias("record")).agg(F.array_sort(F.collect_list(F.struct("file", "block", "at", "value"))).alias("parts"), F.max("ends").alias("ends"))
+    text = F.concat(F.array_join(F.transform("parts", lambda p: p["value"]), "}"), F.lit("}"))
+    record = F.regexp_replace(text, r"^[\s\x{FEFF}\[,]+", "")
+    return whole.where("ends = 1").select(F.from_json(record, schema).alias("r")).select("r.*")
+
+
+def _depth(text: Column) -> Column:
+    """Brackets and braces that a piece opens, less brackets that it closes, outside the strings that begin in it."""
+    bare = F.regexp_replace(text, r'"[^"]*(?:"|$)', "")
+    return F.regexp_count(bare, F.lit(r"[\[{]")) - F.regexp_count(bare, F.lit(r"\]"))
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     """Issues with their counts, or the corpus with its lists kept: one compact record per line."""
     rows.write.json(path)

@@ -2,8 +2,10 @@
 
 import datetime
 import glob
+import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from parley.operators import matching, payloads
 from parley.sources import feeds
@@ -99,3 +101,36 @@ def test_store_takes_late_repeated_and_failed_batches(spark, monkeypatch):
     store = upserts.Store(spark, f"{base}/store", 4)
     store.apply(_landed(spark, [(50, meeting(rto="X", title="X"), None, None, None)]), store.done())
     assert at(store) == after
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_array_feed_is_read_by_byte_ranges(spark, indent):
+    """Braces, quotes and escapes in strings, nested lists, empty records; several tasks read one file."""
+    records = [{"id": i, "t": t, "x": [{"y": "{" * (i % 3)}, {"y": '"}'}]} for i, t in enumerate(["plain", 'a } b { "q" ]', "back\\slash\\", "é\n\u2028", "", None, "[{", "\\\"}", "x" * 500] * 12)]
+    base = feeds.new_folder(spark, "array")
+    spark.createDataFrame([(json.dumps(records, indent=indent),)], "value string").coalesce(1).write.option("lineSep", "\n").text(base)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        scan = spark.read.option("lineSep", "}").text(base)
+        assert scan.rdd.getNumPartitions() > 5
+        kind = spark.createDataFrame([], "id long, t string, x array<struct<y: string>>").schema
+        got = sorted((r["id"], r["t"], [x["y"] for x in r["x"]]) for r in feeds.read_json_array(spark, base, kind).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [(r["id"], r["t"], [x["y"] for x in r["x"]]) for r in records]
+
+
+def test_array_feed_in_parts(spark):
+    rows = spark.range(50).select("id", F.date_add(F.lit(DAY), (F.col("id") % 7).cast("int")).alias("date"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("}{ "), "id")).alias("title"))
+    path = feeds.new_folder(spark, "array")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    feeds.write_calendar_feed_array(rows, path)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted(glob.glob(f"{path.removeprefix('file://')}/part-*"))
+    assert len(files) > 1
+    whole = json.loads("".join(open(f).read() for f in files))
+    assert [r["id"] for r in whole] == [r["id"] for r in rows.orderBy(F.desc("date"), "id").collect()] and "title" in whole[0]
+    assert {tuple(r) for r in feeds.read_calendar_feed(spark, path, rows.schema, multi_line=True).collect()} == {tuple(r) for r in rows.collect()}
+    feeds.write_calendar_feed_array(rows.limit(0), none := feeds.new_folder(spark, "array"))
+    assert feeds.read_calendar_feed(spark, none, rows.schema, multi_line=True).count() == 0
