@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.text import normalize_entity
-
+from .textindex import TextIndex
 
 
 def rank(level: Column) -> Column:
@@ -194,41 +194,62 @@ def meetings_ahead(events: DataFrame, today: str, days: int | None = None, relev
     return rows.where("is_relevant") if relevant_only else rows
 
 
-def filter_events(events: DataFrame, view: str = "all", rtos: list[str] | None = None, topics: list[str] | None = None, text: str | None = None, today: str | None = None, week_end: str | None = None, facet: DataFrame | None = None) -> DataFrame:
+def haystack(feed: DataFrame) -> Column:
+    """What an event is searched in: title, committee and operator, then its own and its documents' issues, its people and the
+    titles of its documents, as far as the rows of calendar_events have them."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    words = lambda x, names: F.concat_ws(" ", *[blank(x[n]) for n in names])
+    kind = lambda c: feed.schema[c].dataType.elementType if c in feed.columns else None
+    some = lambda c, of: F.coalesce(c, F.array().cast(of))
+
+    def below(field):
+        """The lists of a field of the documents, as one list."""
+        of = kind("documents")[field].dataType
+        return F.flatten(F.transform(some(F.col("documents"), feed.schema["documents"].dataType), lambda d: some(d[field], of)))
+
+    parts = [blank(F.col(c)) for c in ("title", "committee", "rto")]
+    if kind("issues"):
+        issues = some(F.col("issues"), feed.schema["issues"].dataType)
+        if kind("documents") and "issues" in kind("documents").names:
+            issues = F.array_distinct(F.concat(issues, below("issues")))
+        named = [c for c in ("title", "name", "native_id") if c in kind("issues").names]
+        parts.append(F.array_join(F.transform(issues, lambda i: words(i, named)), " "))
+    if kind("documents"):
+        people = F.array_join(F.transform(below("stakeholders"), lambda s: words(s, ("name", "entity"))), " ")
+        parts += [people, F.coalesce(F.array_join(F.transform("documents", lambda d: blank(d["title"])), " "), F.lit(""))]
+    return F.concat_ws(" ", *parts)
+
+
+def filter_events(events: DataFrame, view: str = "all", rtos: list[str] | None = None, topics: list[str] | None = None, text: str | None = None, today: str | None = None, week_end: str | None = None, facet: DataFrame | None = None, index: TextIndex | None = None) -> DataFrame:
     """Events of a view, of operators, of topics, of a facet (rows of match_facet, by id) and with a text.
 
-    The view "today" takes the days from today to week_end. Text is sought in title, committee, rto and, where the events have
-    the nested columns of calendar_events, in issues, stakeholders and document titles.
+    The view "today" takes the days from today to week_end. Text is sought in the haystack of the rows, or in a text index of
+    events by id, which spares the rows their nested columns.
     """
     days = lambda e: e.where(F.col("meeting_date").between(F.lit(today).cast("date"), F.lit(week_end).cast("date")))
     rows = {"all": lambda e: e, "relevant": lambda e: e.where("is_relevant"), "issues": lambda e: e.where("has_issues"), "today": days}[view](events)
     rows = rows.where(F.col("rto").isin(rtos)) if rtos else rows
     rows = rows.where(F.arrays_overlap("topics", F.array(*[F.lit(t) for t in topics]))) if topics else rows
     rows = rows.join(facet.select("id").distinct(), "id", "left_semi") if facet is not None else rows
-    parts = ["title", "committee", "rto"]
-    if "issues" in events.columns:
-        named = [c for c in ("title", "name", "native_id") if c in events.schema["issues"].dataType.elementType.names]
-        parts.append(F.array_join(F.transform("issues", lambda i: F.concat_ws(" ", *[i[c] for c in named])), " "))
-    if "documents" in events.columns:
-        who = F.flatten(F.transform("documents", lambda d: F.coalesce(d["stakeholders"], F.array().cast(events.schema["documents"].dataType.elementType["stakeholders"].dataType))))
-        parts += [F.array_join(F.transform(who, lambda s: F.concat_ws(" ", s["name"], s["entity"])), " "), F.array_join(F.transform("documents", lambda d: d["title"]), " ")]
-    return rows.where(F.lower(F.concat_ws(" ", *parts)).contains(text.lower())) if text else rows
+    if text and index is not None:
+        return rows.join(index.find(text).select("id"), "id", "left_semi")
+    return rows.where(F.lower(haystack(events)).contains(text.lower())) if text else rows
 
 
 #: Suggestions of each kind; kinds that are not ranked by prefix.
 TOP, BY_COUNT = {"rto": 4, "topic": 4}, ("rto", "topic")
 
 
-def search_suggestions(index: DataFrame, text: str) -> DataFrame:
+def search_suggestions(index: TextIndex, text: str) -> DataFrame:
     """The first few of each kind whose search text holds the text (at least two characters), with their place.
 
-    index: kind, label, search (lower case), n, date. Matches at the start come first, then the higher count; markets and topics go by
-    count alone, meetings by date.
+    index: over rows of kind, label, search (lower case), n, date. Matches at the start come first, then the higher count; markets
+    and topics go by count alone, meetings by date.
     """
     t = text.strip().lower()
     plain, meeting = F.col("kind").isin(*BY_COUNT), F.col("kind") == "meeting"
     rank = [F.when(meeting, F.col("date")), F.desc(~plain & ~meeting & F.col("search").startswith(t)), F.desc(F.when(~meeting, F.col("n"))), "label"]
     rn = F.row_number().over(Window.partitionBy("kind").orderBy(*rank))
     most = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in TOP.items() for x in kv]), F.col("kind")), F.lit(5))
-    found = index.where(F.col("search").contains(t) & F.lit(len(t) >= 2))
+    found = index.find(t) if len(t) >= 2 else index.rows.select(*index.columns).where(F.lit(False))
     return found.withColumn("rn", rn).where((F.col("rn") <= 5) & (F.col("rn") <= most))

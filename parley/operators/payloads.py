@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_any_date
 from ..functions.text import classify_document_by_source, committee_of_subtype
+from ..sources.feeds import kept
 
 CAISO_SITE = "https://www.caiso.com"
 CAISO_EVENTS = "array<struct<id string, title string, hidden boolean, isoArchived boolean, format array<string>, `start` string, `end` string, allDay boolean, description string, url string, calendarTopics struct<titles array<string>>, calendarCategories struct<titles array<string>>, calendarTopicsUrl array<string>>>"
@@ -88,22 +89,31 @@ def normalize_isone_events(payloads: DataFrame, kinds: tuple[str, ...] = ("Meeti
     return out.where("event_id IS NOT NULL AND meeting_date IS NOT NULL AND committee IS NOT NULL")
 
 
-def flatten_document_tree(trees: DataFrame, depth: int = 12, site: str = CAISO_SITE) -> DataFrame:
+def flatten_document_tree(trees: DataFrame, step: int = 12, site: str = CAISO_SITE) -> DataFrame:
     """event_id, download_url, doc_type, title, filename, posted_date of the documents of a folder tree, the first of each address.
 
     trees: event_id, tree (JSON nodes, or such JSON as a JSON string). Every level is one narrow step that splits nodes from
-    their children, so only the last step, the first of each address in walking order, shuffles. Folders are no documents; a
-    document may have children; videos are skipped. Unreadable trees give no rows; trees deeper than depth fail the job.
+    their children; `step` levels make one plan. Nodes that still have children then go into the next one, from the shared
+    folder, until none are left, so trees may be of any depth that Spark's JSON parser reads (some 500 levels). Only the last
+    step, the first of each address in walking order, shuffles. Folders are no documents; a document may have children;
+    videos are skipped. Unreadable trees give no rows.
     """
     inner = F.get(F.from_json(F.concat(F.lit("["), "tree", F.lit("]")), "array<string>"), F.lit(0))
     rows = trees.where("tree IS NOT NULL").select("event_id", F.posexplode(F.from_json(inner, "array<string>")).alias("at", "node")).select("event_id", F.array("at").alias("path"), "node", F.lit(True).alias("fresh"))
     children = F.coalesce(F.from_json("node", "struct<children array<string>>")["children"], F.array().cast("array<string>"))
-    for level in range(depth):
-        below = F.when(F.col("fresh"), children).otherwise(F.array().cast("array<string>"))
-        if level == depth - 1:
-            below = F.when(F.size(below) > 0, F.raise_error(F.lit(f"document tree deeper than {depth}")).cast("array<string>")).otherwise(below)
-        nodes = F.concat(F.array(F.struct("path", "node", F.lit(False).alias("fresh"))), F.transform(below, lambda c, i: F.struct(F.concat("path", F.array(i)).alias("path"), c.alias("node"), F.lit(True).alias("fresh"))))
-        rows = rows.select("event_id", F.inline(nodes))
+    whole = None
+    while True:
+        for _ in range(step):
+            below = F.when(F.col("fresh"), children).otherwise(F.array().cast("array<string>"))
+            nodes = F.concat(F.array(F.struct("path", "node", F.lit(False).alias("fresh"))), F.transform(below, lambda c, i: F.struct(F.concat("path", F.array(i)).alias("path"), c.alias("node"), F.lit(True).alias("fresh"))))
+            rows = rows.select("event_id", F.inline(nodes))
+        rows = kept(rows.withColumn("fresh", F.col("fresh") & (F.size(children) > 0)), "tree_nodes")
+        done = rows.where("NOT fresh").select("event_id", "path", "node")
+        whole = done if whole is None else whole.unionByName(done)
+        rows = rows.where("fresh")
+        if rows.isEmpty():
+            break
+    rows = whole
     n = rows.select("event_id", "path", F.from_json("node", TREE_NODE).alias("n")).where(F.coalesce(F.lower("n.type"), F.lit("")) != "folder")
     copies = F.filter("n.data.siteInfos", lambda c: c["url"] != "")
     raw = F.coalesce(_some(F.col("n.data.url")), F.get(F.filter(copies, lambda c: c["siteId"] == "1"), F.lit(0))["url"], F.get(copies, F.lit(0))["url"])

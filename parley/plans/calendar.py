@@ -8,8 +8,9 @@ from .. import dims
 from ..functions.dates import parse_meeting_time, resolve_meeting_time
 from ..functions.dates import time_in_text as time_in_text_of
 from ..operators import analytics, linking
+from ..operators.textindex import TextIndex
 from .registry import TODAY, query
-from .store import _PEOPLE, DOC_TYPE_SQL, doc_sightings, people, resolved
+from .store import _DOC_ISSUES, _PEOPLE, DOC_TYPE_SQL, doc_sightings, feed, people, resolved
 from ..operators import folds
 
 _EVENTS = """WITH hot AS (SELECT meeting_id, count(*) AS n_docs, count(*) FILTER (WHERE hydro_relevant = 1) AS n_relevant, max(CASE WHEN hydro_relevant = 1 THEN CASE directness WHEN 'direct' THEN 3 WHEN 'precedent' THEN 2 WHEN 'reference' THEN 1 END END) AS directness_rank FROM stored_documents GROUP BY 1),
@@ -181,7 +182,7 @@ SELECT q, kind, label, rn FROM r WHERE rn <= CASE WHEN kind IN ('rto', 'topic')
 
 @query(_SUGGEST, stored=True)
 def search_suggestions(t):
-    index, out = suggestion_index(t), None
+    index, out = TextIndex(suggestion_index(t), ["kind", "label"], F.col("search")), None
     for text in ("pe", "is"):
         part = analytics.search_suggestions(index, text).select(F.lit(text).alias("q"), "kind", "label", "rn")
         out = part if out is None else out.unionByName(part)
@@ -201,20 +202,25 @@ def filter_events(t):
     return analytics.filter_events(events(t), "relevant", ["PJM", "MISO", "SPP"], ["storage", "transmission"], "committee").select("id", "rto", "meeting_date")
 
 
-@query(_WHO + ", " + _EVENTS[5:] + f"""SELECT 'today' AS way, id, rto, meeting_date FROM ev WHERE meeting_date BETWEEN DATE '{TODAY}' AND DATE '2024-01-19'
+#: Texts that are sought: in people and organisations, in issues, in titles, with spaces around, in one character.
+_SOUGHT = ("acme power", "iss12", "straw prop", "person 7", "ü")
+
+
+@query(_WHO + ", " + _EVENTS[5:].rstrip() + ", " + _DOC_ISSUES[5:] + f""", parts AS (SELECT id, concat_ws(' ', coalesce(title, ''), coalesce(committee, ''), rto) AS part FROM meetings UNION ALL SELECT meeting_id, title FROM stored_documents
+UNION ALL SELECT d.meeting_id, concat(k.name, ' ', coalesce(k.entity, '')) FROM kept k JOIN stored_documents d ON d.id = k.document_id
+UNION ALL SELECT r.matched_meeting_id, i.native_id FROM matched_references r JOIN issues i ON i.id = r.issue_id UNION ALL SELECT d.meeting_id, i.native_id FROM di JOIN stored_documents d ON d.id = di.document_id JOIN issues i ON i.id = di.issue_id),
+sought AS (SELECT unnest({list(_SOUGHT)}) AS q)
+SELECT 'today' AS way, id, rto, meeting_date FROM ev WHERE meeting_date BETWEEN DATE '{TODAY}' AND DATE '2024-01-19'
 UNION ALL SELECT 'facet', id, rto, meeting_date FROM ev WHERE id IN (SELECT d.meeting_id FROM who w JOIN stored_documents d ON d.id = w.document_id WHERE w.org = 'Acme Power')
-UNION ALL SELECT 'text', id, rto, meeting_date FROM ev WHERE contains(lower(concat_ws(' ', title, committee, rto)), 'person 7') OR id IN (SELECT meeting_id FROM stored_documents WHERE contains(lower(title), 'person 7'))
-  OR id IN (SELECT d.meeting_id FROM kept k JOIN stored_documents d ON d.id = k.document_id WHERE contains(lower(concat_ws(' ', k.name, k.entity)), 'person 7'))
-  OR id IN (SELECT r.matched_meeting_id FROM matched_references r JOIN issues i ON i.id = r.issue_id WHERE contains(lower(concat_ws(' ', canonical_name, short_title, native_id)), 'person 7'))""", stored=True)
+UNION ALL SELECT q, id, rto, meeting_date FROM ev JOIN (SELECT DISTINCT q, id AS part_of FROM sought JOIN parts ON contains(lower(part), q)) h ON h.part_of = ev.id""", stored=True)
 def search_events(t):
-    """The ways of the filter one by one: the days of this week, one entity, a text among issues, stakeholders and document titles."""
+    """The ways of the filter one by one: the days of this week, one entity, texts by an index over the events' haystacks."""
     from ..operators import matching
 
-    who = people(t)
-    nested = linking.calendar_events(t.meetings, t.stored_documents, resolved(t), t.issues, who).select("id", "issues", "documents")
-    rows = events(t).join(nested, "id", "left")
+    who, rows, nested = people(t), events(t), feed(t)
+    index = TextIndex(nested.select("id", analytics.haystack(nested).alias("hay")), ["id"], F.col("hay"))
     facet = matching.match_facet(t.meetings, t.stored_documents, who, None, "entity", entity="Acme Power")
-    ways = {"today": {"view": "today", "today": TODAY, "week_end": "2024-01-19"}, "facet": {"facet": facet}, "text": {"text": "person 7"}}
+    ways = {"today": {"view": "today", "today": TODAY, "week_end": "2024-01-19"}, "facet": {"facet": facet}} | {q: {"text": q, "index": index} for q in _SOUGHT}
     out = None
     for way, how in ways.items():
         part = analytics.filter_events(rows, **how).select(F.lit(way).alias("way"), "id", "rto", "meeting_date")

@@ -27,13 +27,17 @@ def test_committee_names(spark):
     assert [r[0] for r in df.select(committee_from_slug(F.col("s"))).collect()] == ["Markets+ Design", None, None]
 
 
-def test_tree_too_deep_fails_and_junk_is_empty(spark):
-    node = '{"type":"Document","data":{"url":"/a"},"children":[%s]}'
-    deep = "[" + node % (node % (node % "")) + "]"
-    df = spark.createDataFrame([(1, deep), (2, None), (3, "{"), (4, "[]"), (5, "[1, null]")], "event_id int, tree string")
-    assert payloads.flatten_document_tree(df, depth=4).select("event_id", "download_url").collect() == [(1, "https://www.caiso.com/a")]
-    with pytest.raises(Exception, match="deeper than 2"):
-        payloads.flatten_document_tree(df, depth=2).collect()
+def test_trees_of_any_depth(spark):
+    def tree(levels):
+        node = ""
+        for i in reversed(range(levels)):
+            node = '{"type":"%s","data":{"url":"/%d"},"children":[%s%s]}' % ("Folder" if i % 5 == 4 else "Document", i, node, ',{"type":"Document","data":{"url":"/0"}}' if node else "")
+        return f"[{node}]"
+
+    df = spark.createDataFrame([(1, tree(12)), (2, None), (3, "{"), (4, "[]"), (5, "[1, null]"), (6, tree(40)), (7, tree(1))], "event_id int, tree string")
+    want = sorted((e, f"https://www.caiso.com/{i}") for e, n in ((1, 12), (6, 40), (7, 1)) for i in range(n) if i % 5 != 4)
+    for step in (12, 5):
+        assert sorted(tuple(r) for r in payloads.flatten_document_tree(df, step=step).select("event_id", "download_url").collect()) == want
 
 
 def test_timeline_bounds(spark):

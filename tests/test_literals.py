@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import dates, text
 from parley.operators import analytics, linking, matching, screening
+from parley.operators.textindex import TextIndex
 
 
 def one(spark, rows, schema, *columns):
@@ -95,6 +96,15 @@ def test_stage2_gates(spark):
 def test_suggestions(spark):
     rows = [("rto", f"m{i} pe", f"m{i} pe", i, None) for i in range(6)] + [("entity", "apex", "apex", 9, None), ("entity", "peco", "peco", 1, None)] + [("meeting", str(i), "open", 1, datetime.date(2024, 1, 9 - i)) for i in range(7)]
     index = spark.createDataFrame(rows, "kind string, label string, search string, n long, date date")
+    index = TextIndex(index, ["kind", "label"], F.col("search"))
     got = [(r["kind"], r["label"]) for r in analytics.search_suggestions(index, " PE").orderBy("kind", "rn").collect()]
     assert got == [("entity", "peco"), ("entity", "apex"), *[("meeting", str(i)) for i in (6, 5, 4, 3, 2)], *[("rto", f"m{i} pe") for i in (5, 4, 3, 2)]]
     assert analytics.search_suggestions(index, "p").count() == 0
+
+
+def test_text_index_finds_what_a_scan_finds(spark):
+    texts = [None, "", "a", "Ab", "abc", "xABCx", "ab c", "é\u00fcö ab", "aaaa", "a" * 5000 + "bc", "cab", "😀 abc"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    index = TextIndex(rows, ["id"], F.col("text"))
+    for q in ("", "a", "ab", "abc", "ABC", "b c", "\u00fcö", "zz", "aaab", "😀 a", "aaaaa"):
+        assert sorted(r["id"] for r in index.find(q).collect()) == [i for i, x in enumerate(texts) if q.lower() in (x or "").lower()], q
