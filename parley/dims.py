@@ -55,6 +55,8 @@ ZONES = {
     "CAISO": "America/Los_Angeles", "MISO": "America/Chicago", "SPP": "America/Chicago", "SPP Markets +": "America/Chicago", "ERCOT": "America/Chicago",
 }
 ZONE_OF_LETTER = {"E": "America/New_York", "C": "America/Chicago", "M": "America/Denver", "P": "America/Los_Angeles"}
+#: Hours by which the zone of a letter is ahead of UTC in winter.
+STANDARD_HOURS = {"E": -5, "C": -6, "M": -7, "P": -8}
 ENTITY_ALIASES = {
     "pjm interconnection": "PJM", "pjm interconnection l.l.c": "PJM", "pjm interconnection llc": "PJM", "constellation energy": "Constellation", "constellation energy generation": "Constellation", "constellation power": "Constellation",
     "exelon generation": "Exelon", "duke energy ohio": "Duke Energy", "duke energy ohio & kentucky": "Duke Energy", "duke energy carolinas": "Duke Energy", "first energy": "FirstEnergy", "ferc": "FERC",

@@ -40,7 +40,7 @@ SELECT d.doc_id AS seq, m.rto, m.title AS meeting_title, m.meeting_date,
   CASE WHEN d.doc_id % 3 = 0 THEN '2024-01-10' END AS posted_date, CAST(NULL AS string) AS member_url, d.text AS extracted_text
 FROM documents d JOIN meeting_scrapes m ON m.seq = d.doc_id * 5""",
     "stored_documents": """
-SELECT f.*, CASE WHEN f.title LIKE '%Agenda%' THEN 'agenda' WHEN f.title LIKE '%Minutes%' THEN 'minutes' ELSE 'report' END AS doc_type,
+SELECT f.*, CASE WHEN f.id % 3 <> 1 THEN 1 ELSE 0 END AS downloaded, CASE WHEN f.title LIKE '%Agenda%' THEN 'agenda' WHEN f.title LIKE '%Minutes%' THEN 'minutes' ELSE 'report' END AS doc_type,
   s.hydro_relevant, s.ai_summary, s.topics, s.directness, s.source_names_hydro, s.hydro_relevance_reason, s.hydro_read_through, s.evidence FROM (
 SELECT download_url, min(x.seq) AS id, min_by(m.id, x.seq) AS meeting_id, min_by(x.rto, x.seq) AS rto,
   max_by(x.title, x.seq) FILTER (WHERE x.title IS NOT NULL) AS title, max_by(filename, x.seq) FILTER (WHERE filename IS NOT NULL) AS filename,
@@ -97,6 +97,8 @@ def with_views(query: str, without: tuple[str, ...] = ()) -> str:
     add(query)
     inner = ",\n".join(f"{v} AS ({VIEWS[v].strip()})" for v in order)
     rest = query.strip()
+    if rest[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {inner},\n{rest[15:]}" if inner else rest
     if rest[:5].upper() == "WITH ":
         return f"WITH {inner},\n{rest[5:]}" if inner else rest
     return f"WITH {inner}\n{rest}" if inner else rest

@@ -69,24 +69,49 @@ def parse_meeting_time(text: Column) -> Column:
 
 def time_in_text(text: Column) -> Column:
     """The first clock time, or span of two, in free text; null if none."""
+    # Fixed value: it must equal the original system's for right results.
     clock = r"\d{1,2}:\d{2}\s*(?:a\.m\.|p\.m\.|AM|PM|am|pm)"
     found = F.trim(F.regexp_extract(F.coalesce(text, F.lit("")), rf"({clock}(?:\s*[-–]\s*{clock})?(?:\s*(?:E[PDS]T|ET))?)", 1))
     return F.when(found != "", found)
 
 
+def _offset(at: Column, zone: Column) -> Column:
+    """Minutes by which a zone is ahead of UTC at a time of UTC."""
+    return ((F.unix_seconds(F.from_utc_timestamp(at, zone)) - F.unix_seconds(at)) / 60).cast("int")
+
+
+def zone_short(at: Column, zone: Column) -> Column:
+    """A zone's short name at a time of UTC: EST or EDT and the like where the zone has such names, else its distance from GMT."""
+    ahead = _offset(at, zone)
+    named = [(dims.ZONE_OF_LETTER[x], x, hours) for x, hours in dims.STANDARD_HOURS.items()]
+    letter = reduce(lambda c, n: c.when(zone == n[0], F.concat(F.lit(n[1]), F.when(ahead == n[2] * 60, "ST").otherwise("DT"))), named[1:], F.when(zone == named[0][0], F.concat(F.lit(named[0][1]), F.when(ahead == named[0][2] * 60, "ST").otherwise("DT"))))
+    minutes = F.abs(ahead) % 60
+    gmt = F.concat(F.lit("GMT"), F.when(ahead < 0, "-").otherwise("+"), (F.abs(ahead) / 60).cast("int").cast("string"), F.when(minutes > 0, F.concat(F.lit(":"), F.lpad(minutes.cast("string"), 2, "0"))).otherwise(""))
+    return letter.when(zone == "UTC", "UTC").when(ahead == 0, "GMT").otherwise(gmt)
+
+
+def clock_range(start: Column, end: Column, zone: Column) -> Column:
+    """A time of UTC, or a span of two, on the 12-hour clock of a zone, with the zone's short name at the start."""
+    clock = lambda at: F.date_format(F.from_utc_timestamp(at, zone), "h:mm a")
+    return F.when(start.isNotNull(), F.concat(clock(start), F.when(end.isNotNull(), F.concat(F.lit(" – "), clock(end))).otherwise(""), F.lit(" "), zone_short(start, zone)))
+
+
 def resolve_meeting_time(date: Column, text: Column, rto: Column, viewer: str = "America/New_York") -> Column:
-    """struct(zone, start_utc, end_utc, start_viewer, end_viewer, time24, raw): the tag's zone before the operator's.
+    """struct(zone, start_utc, end_utc, start_viewer, end_viewer, time24, raw, shown, zone_short, source_shown): the tag's zone
+    before the operator's.
 
-    Without a zone the clock time stands as written: time24 is its start and raw the text. An end before the start is the same day's.
+    shown is the span on the viewer's clock, source_shown that of the source's zone where it is another. Without a zone the clock
+    time stands as written: time24 is its start, raw and shown the text. An end before the start is the same day's.
     """
     zone = F.coalesce(zone_tag(text), F.try_element_at(F.create_map(*[F.lit(x) for kv in dims.ZONES.items() for x in kv]), rto))
     time = parse_meeting_time(text)
     utc = lambda minutes: F.to_utc_timestamp(F.timestamp_seconds(F.unix_date(date).cast("long") * 86400 + minutes * 60), zone)
     start, end = utc(time["start_min"]), utc(time["end_min"])
     plain = F.lpad((time["start_min"] / 60).cast("int").cast("string"), 2, "0"), F.lpad((time["start_min"] % 60).cast("string"), 2, "0")
-    here = F.from_utc_timestamp(start, viewer)
+    here, as_written = F.from_utc_timestamp(start, viewer), F.when(start.isNull() & time["start_min"].isNotNull(), text)
     return F.struct(
         zone.alias("zone"), start.alias("start_utc"), end.alias("end_utc"), here.alias("start_viewer"), F.from_utc_timestamp(end, viewer).alias("end_viewer"),
-        F.when(start.isNotNull(), F.date_format(here, "HH:mm")).when(time["start_min"].isNotNull(), F.concat_ws(":", *plain)).alias("time24"),
-        F.when(start.isNull() & time["start_min"].isNotNull(), text).alias("raw"),
+        F.when(start.isNotNull(), F.date_format(here, "HH:mm")).when(time["start_min"].isNotNull(), F.concat_ws(":", *plain)).alias("time24"), as_written.alias("raw"),
+        F.coalesce(clock_range(start, end, F.lit(viewer)), as_written).alias("shown"), F.when(start.isNotNull(), zone_short(start, F.lit(viewer))).alias("zone_short"),
+        F.when(zone != viewer, clock_range(start, end, zone)).alias("source_shown"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import dims
+from .markup import SPACE, squeeze, strip
 
 
 def first_rule(text: Column, rules: list[tuple[str, str]], otherwise: Column | None = None) -> Column:
@@ -130,31 +131,23 @@ def normalize_entity(name: Column) -> Column:
     return F.coalesce(F.try_element_at(alias, F.lower(n)), F.when(n != "", n))
 
 
+#: Signs that are folded before a quote is sought in a text. They must equal the original system's for right results.
+_DASHES, _SINGLES, _DOUBLES, _SPACE, _NOTHING, _ELLIPSIS = "‐‑‒–—―−\u00ad", "‘’‚‛′´`", "“”„‟″", "\u00a0", "\u200b", "…"
+
+
 def fold_typography(text: Column) -> Column:
-    """White space and typographic signs folded, for finding a quote in a text."""
-    dashes, singles, doubles = "‐‑‒–—―−­", "‘’‚‛′´`", "“”„‟″"
-    t = F.replace(F.coalesce(text, F.lit("")), F.lit("…"), F.lit("..."))
-    t = F.translate(t, dashes + singles + doubles + " ​", "-" * len(dashes) + "'" * len(singles) + '"' * len(doubles) + " ")
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    """White space (all that Unicode has) and typographic signs folded, for finding a quote in a text."""
+    t = F.replace(F.coalesce(text, F.lit("")), F.lit(_ELLIPSIS), F.lit("..."))
+    return squeeze(F.translate(t, _DASHES + _SINGLES + _DOUBLES + _SPACE + _NOTHING, "-" * len(_DASHES) + "'" * len(_SINGLES) + '"' * len(_DOUBLES) + " "))
 
 
 def build_excerpt(text: Column, budget: int = dims.EXCERPT_CHARS) -> Column:
     """struct(excerpt, elided): the text within the budget, else its head and tail around a marker."""
-    strip = lambda c, p: F.regexp_replace(c, p, "")
-    t = strip(strip(F.coalesce(text, F.lit("")), r"^\s+"), r"\s+$")
+    t = strip(F.coalesce(text, F.lit("")))
     head = int(budget * dims.HEAD_SHARE)
-    cut = F.concat(strip(F.substring(t, 1, head), r"\s+$"), F.lit(dims.OMISSION), strip(F.right(t, F.lit(budget - head)), r"^\s+"))
-    return F.struct(F.when(F.length(t) > budget, cut).otherwise(t).alias("excerpt"), (F.length(t) > budget).alias("elided"))
+    start, end = F.regexp_replace(F.substring(t, 1, head), f"{SPACE}+$", ""), F.regexp_replace(F.right(t, F.lit(budget - head)), f"^{SPACE}+", "")
+    return F.struct(F.when(F.length(t) > budget, F.concat(start, F.lit(dims.OMISSION), end)).otherwise(t).alias("excerpt"), (F.length(t) > budget).alias("elided"))
 
 
 def source_names_term(text: Column, pattern: str = dims.SUBJECT_TERM) -> Column:
     return F.coalesce(text, F.lit("")).rlike(pattern)
-
-
-def markup_to_text(html: Column) -> Column:
-    t = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", "")
-    t = F.regexp_replace(t, r"(?i)<br\s*/?>|</(?:p|div|li|tr|h[1-6]|ul|ol|table|article|section|nav)\s*>", "\n")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?i)</t[dh]\s*>", " "), r"(?s)<[^>]*>", "")
-    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(name), F.lit(sign))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t ]+", " "), r" ?\n[ \n]*", "\n"))

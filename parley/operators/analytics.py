@@ -15,9 +15,9 @@ def rank(level: Column) -> Column:
 
 
 def store_stats(meetings: DataFrame, docs: DataFrame) -> DataFrame:
-    """Per operator that has meetings: meetings, documents, documents with a posting date (the stand-in for downloaded)."""
+    """Per operator that has meetings: meetings, documents, downloaded documents (marked by downloaded = 1)."""
     m = meetings.groupBy("rto").agg(F.count("*").alias("meetings"))
-    d = docs.groupBy("rto").agg(F.count("*").alias("documents"), F.count("posted_date").alias("downloaded"))
+    d = docs.groupBy("rto").agg(F.count("*").alias("documents"), F.count_if(F.col("downloaded") == 1).alias("downloaded"))
     zero = F.lit(0).cast("long")
     return m.join(d, "rto", "left").select("rto", "meetings", F.coalesce("documents", zero).alias("documents"), F.coalesce("downloaded", zero).alias("downloaded"))
 
@@ -132,13 +132,20 @@ def doc_type_tally(docs: DataFrame) -> DataFrame:
 
 
 def diversify_round_robin(rows: DataFrame, limit: int) -> DataFrame:
-    """At most `limit` rows: the i-th earliest of each operator in turn, operators in order of first appearance."""
-    order = ["meeting_date", "meeting_time", "id"]
+    """At most `limit` rows in order of date and time, with their place and left_over, the number of rows that are not among them.
+
+    If there are more, the i-th earliest of each operator is taken in turn, operators in order of first appearance.
+    """
+    order = ["meeting_date", F.coalesce("meeting_time", F.lit("")), "id"]
     w = Window.partitionBy("rto").orderBy(*order)
     # No operator gives more than `limit` rows, so later ones are dropped before they are shuffled.
     ranked = rows.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= limit)
-    ranked = ranked.withColumn("lead_row", F.min(F.struct(*order)).over(Window.partitionBy("rto")))
-    return ranked.orderBy("turn", "lead_row", *order).limit(limit).drop("turn", "lead_row")
+    lead = F.first(F.struct(*[F.col(c) if isinstance(c, str) else c.alias("t") for c in order])).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    chosen = ranked.withColumn("lead", lead).orderBy("turn", "lead").limit(limit)
+    total = rows.agg(F.count("*").alias("n")).scalar()
+    # At most `limit` rows are put in order.
+    place = F.row_number().over(Window.orderBy("meeting_date", F.coalesce("meeting_time", F.lit("")), "turn", "lead"))
+    return chosen.withColumn("place", place).withColumn("left_over", F.greatest(total - limit, F.lit(0))).drop("turn", "lead")
 
 
 def calendar_day_cells(events: DataFrame, visible: int = 3) -> DataFrame:
@@ -160,24 +167,26 @@ def week_stats(events: DataFrame) -> DataFrame:
 
 
 def week_lanes(events: DataFrame) -> DataFrame:
-    """Per day, the first lane that is free at each timed event's start. A day is cut where no event is open, and every such stretch
-    is laid out by itself (first-fit is a loop that built-ins cannot say); lanes is the most that are in use at once that day."""
-
-    def lay_out(rows):
-        rows = rows.sort_values(["start_min", "id"])
-        free: list[int] = []
-        at = []
-        for start, end in zip(rows["start_min"], rows["end_min"]):
-            lane = next((i for i, f in enumerate(free) if f <= start), len(free))
-            free[lane:] = [end] if lane == len(free) else [end, *free[lane + 1 :]]
-            at.append(lane)
-        return rows.assign(lane=at)[["id", "meeting_date", "start_min", "end_min", "lane"]]
+    """Per day, the first lane that is free at each timed event's start (60 minutes if it has no end); lanes is the most in use that day.
 
+    A day is cut where no event is open, as lanes are all free there. A stretch in between is one fold over its events in order,
+    whose state is the list of the lanes' ends.
+    """
     timed = events.where("start_min IS NOT NULL").select("id", "meeting_date", "start_min", F.coalesce(F.when(F.col("end_min") > F.col("start_min"), F.col("end_min")), F.col("start_min") + 60).alias("end_min"))
     order = Window.partitionBy("meeting_date").orderBy("start_min", "id")
     busy = timed.withColumn("busy_until", F.max("end_min").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     cut = busy.withColumn("stretch", F.sum(F.when(F.col("busy_until") > F.col("start_min"), 0).otherwise(1)).over(order)).drop("busy_until")
-    laid = cut.groupBy("meeting_date", "stretch").applyInPandas(lay_out, "id long, meeting_date date, start_min int, end_min int, lane int")
+    rows = cut.groupBy("meeting_date", "stretch").agg(F.sort_array(F.collect_list(F.struct("start_min", "id", "end_min"))).alias("events"))
+
+    def lay(state: Column, e: Column) -> Column:
+        free = F.array_position(F.transform(state["ends"], lambda x: x <= e["start_min"]), True)
+        lane = F.when(free > 0, free - 1).otherwise(F.size(state["ends"])).cast("int")
+        ends = F.when(free > 0, F.transform(state["ends"], lambda x, i: F.when(i == free - 1, e["end_min"]).otherwise(x))).otherwise(F.concat(state["ends"], F.array(e["end_min"])))
+        return F.struct(ends.alias("ends"), F.concat(state["lanes"], F.array(lane)).alias("lanes"))
+
+    none = F.struct(F.array().cast("array<int>").alias("ends"), F.array().cast("array<int>").alias("lanes"))
+    laid = rows.select("meeting_date", "events", F.aggregate("events", none, lay, lambda z: z["lanes"]).alias("lanes")).select("meeting_date", F.inline(F.arrays_zip("events", F.col("lanes").alias("lane"))))
+    laid = laid.select("events.id", "meeting_date", "events.start_min", "events.end_min", "lane")
     return laid.withColumn("lanes", F.max(F.col("lane") + 1).over(Window.partitionBy("meeting_date")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import markup_to_text
+from ..functions.markup import squeeze, unescape, without_tags
 from .payloads import first_per
 
 #: Class prefixes of an issue row and the field each one sets; statuses that end an issue.
@@ -21,7 +21,7 @@ def _filled(text: Column) -> Column:
 
 
 def _bare(markup: Column) -> Column:
-    return F.trim(F.regexp_replace(markup_to_text(markup), r"\s+", " "))
+    return squeeze(unescape(without_tags(markup)))
 
 
 def us_date(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import backfilled_title, evidence_array, markup_to_text, topics_array
+from ..functions.text import evidence_array, topics_array
 
 
 def resolve_issue_references(refs: DataFrame, docs: DataFrame, meetings: DataFrame) -> DataFrame:
@@ -36,9 +36,11 @@ def document_issues(refs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def issues_with_reference_counts(issues: DataFrame, refs: DataFrame) -> DataFrame:
+    """All columns of an issue with its name and its references, open ones first, then by operator and canonical name."""
     n = refs.groupBy("issue_id").agg(F.count("*").alias("total_refs"), F.count("matched_document_id").alias("matched_refs"))
     zero = F.lit(0).cast("long")
-    return issues.join(n, issues["id"] == n["issue_id"], "left").select("id", "rto", "native_id", issue_name().alias("name"), "status", "is_open", F.coalesce("total_refs", zero).alias("total_refs"), F.coalesce("matched_refs", zero).alias("matched_refs"))
+    rows = issues.join(n, issues["id"] == n["issue_id"], "left").withColumns({"name": issue_name(), "is_open": F.col("is_open") != 0, "total_refs": F.coalesce("total_refs", zero), "matched_refs": F.coalesce("matched_refs", zero)})
+    return rows.select(*issues.columns, "name", "total_refs", "matched_refs").orderBy(F.desc_nulls_last("is_open"), "rto", F.asc_nulls_first("canonical_name"), "id")
 
 
 def corpus(docs: DataFrame, meetings: DataFrame, refs: DataFrame, issues: DataFrame, people: DataFrame) -> DataFrame:
@@ -154,40 +156,3 @@ def backfill_member_url(docs: DataFrame, meetings: DataFrame) -> DataFrame:
     found = lacks_member_url(docs) & F.col("materials_url").like("%/spp-documents-filings/?id=%")
     filled = docs.join(m, "meeting_id", "left").withColumn("member_url", F.when(found, F.col("materials_url")).otherwise(F.col("member_url"))).drop("materials_url")
     return filled.withColumn("still_missing", F.coalesce(lacks_member_url(filled), F.lit(False)))
-
-
-#: Links to files, by the extension at the end of the path.
-DOCUMENT_PATH = r"(?i)\.(?:pdf|docx?|xlsx?|pptx?|csv|txt|zip|ashx)$"
-_LINK = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))[^>]*>(.*?)(?=</?a[\s>]|\z)"""
-
-
-def absolute_url(href: Column, base: Column) -> Column:
-    """href as seen from a page at base, with . and .. steps taken."""
-    origin, scheme = F.regexp_extract(base, r"^([A-Za-z][\w+.-]*://[^/?#]*)", 1), F.regexp_extract(base, r"^([A-Za-z][\w+.-]*:)", 1)
-    folder = F.regexp_replace(F.regexp_replace(F.regexp_replace(base, r"^[A-Za-z][\w+.-]*://[^/?#]*", ""), r"[?#].*$", ""), r"[^/]*$", "")
-    path, tail = F.regexp_extract(href, r"^([^?#]*)", 1), F.regexp_replace(href, r"^[^?#]*", "")
-    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path))
-    empty = F.array().cast("array<string>")
-    steps = F.aggregate(F.split(F.regexp_replace(whole, r"/\.{1,2}$", "$0/"), "/"), empty, lambda a, x: F.when(x == "..", F.when(F.size(a) > 1, F.slice(a, 1, F.size(a) - 1)).otherwise(a)).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
-    own = F.when(path == "", F.concat(F.regexp_replace(base, r"[?#].*$", ""), tail)).otherwise(F.concat(origin, F.array_join(steps, "/"), tail))
-    return F.when(href.rlike(r"^[A-Za-z][\w+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, href)).otherwise(own)
-
-
-def document_links(pages: DataFrame, keep: str = DOCUMENT_PATH) -> DataFrame:
-    """(page_id, url, filename, title, posted_date, position): a page's links whose path matches `keep`, the first of each URL.
-
-    pages: page_id, url, html. A title of no use (like "PDF") or none gives way to the file's name; the date is the first in the path.
-    """
-    g = lambda i: F.regexp_extract_all("html", F.lit(_LINK), F.lit(i))
-    both = lambda a, b: F.concat(a, b)
-    zipped = F.arrays_zip(F.zip_with(F.zip_with(g(1), g(2), both), g(3), both).alias("href"), g(4).alias("label"))
-    rows = pages.select("page_id", F.col("url").alias("base"), F.posexplode(zipped).alias("position", "link"))
-    href = F.trim(F.replace(F.col("link.href"), F.lit("&amp;"), F.lit("&")))
-    found = rows.where(href != "").select("page_id", "position", absolute_url(href, F.coalesce("base", F.lit(""))).alias("url"), markup_to_text(F.col("link.label")).alias("label"))
-    path = F.regexp_replace("url", r"[?#].*$", "")
-    first = found.where(path.rlike(keep)).groupBy("page_id", "url").agg(F.min(F.struct("position", "label")).alias("f")).select("page_id", "url", "f.position", F.trim("f.label").alias("label"))
-    tail = F.regexp_extract(path, r"([^/]*)$", 1)
-    named = first.withColumn("filename", F.coalesce(F.try_url_decode(F.replace(tail, F.lit("+"), F.lit("%2B"))), tail))
-    title = F.coalesce(backfilled_title(F.col("label"), F.col("filename")), F.lit(""))
-    day = F.regexp_extract(path, r"(?<!\d)((?:19|20)\d{2}[-/_]?(?:0[1-9]|1[0-2])[-/_]?(?:0[1-9]|[12]\d|3[01]))(?!\d)", 1)
-    return named.select("page_id", "url", "filename", F.when(title == "", F.col("filename")).otherwise(title).alias("title"), F.try_to_timestamp(F.regexp_replace(day, r"\D", ""), F.lit("yyyyMMdd")).cast("date").alias("posted_date"), "position")

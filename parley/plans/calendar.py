@@ -29,7 +29,7 @@ def _events(t):
     return analytics.event_rollup(t.meetings, t.stored_documents, links)
 
 
-@query("SELECT m.rto, m.n AS meetings, coalesce(d.n, 0) AS documents, coalesce(d.p, 0) AS downloaded FROM (SELECT rto, count(*) AS n FROM meetings GROUP BY 1) m LEFT JOIN (SELECT rto, count(*) AS n, count(posted_date) AS p FROM stored_documents GROUP BY 1) d ON d.rto = m.rto")
+@query("SELECT m.rto, m.n AS meetings, coalesce(d.n, 0) AS documents, coalesce(d.p, 0) AS downloaded FROM (SELECT rto, count(*) AS n FROM meetings GROUP BY 1) m LEFT JOIN (SELECT rto, count(*) AS n, count(*) FILTER (WHERE downloaded = 1) AS p FROM stored_documents GROUP BY 1) d ON d.rto = m.rto")
 def store_stats(t):
     return analytics.store_stats(t.meetings, t.stored_documents)
 
@@ -118,7 +118,7 @@ def meetings_ahead(t):
 @query(_EVENTS + """, due AS (SELECT * FROM ev WHERE is_relevant AND meeting_date BETWEEN DATE '2024-01-22' AND DATE '2024-01-26'),
 turns AS (SELECT *, row_number() OVER (PARTITION BY rto ORDER BY meeting_date, coalesce(meeting_time, ''), id) AS turn FROM due),
 leads AS (SELECT rto, meeting_date AS ld, coalesce(meeting_time, '') AS lt, id AS li FROM turns WHERE turn = 1)
-SELECT id, rto, meeting_date, meeting_time FROM (SELECT t.*, row_number() OVER (ORDER BY turn, ld, lt, li) AS k FROM turns t JOIN leads l ON l.rto = t.rto) x WHERE k <= 20""")
+SELECT id, rto, meeting_date, meeting_time, row_number() OVER (ORDER BY meeting_date, coalesce(meeting_time, ''), turn, ld, lt, li)::INTEGER AS place, greatest((SELECT count(*) FROM due) - 20, 0) AS left_over FROM (SELECT t.*, ld, lt, li, row_number() OVER (ORDER BY turn, ld, lt, li) AS k FROM turns t JOIN leads l ON l.rto = t.rto) x WHERE k <= 20""")
 def diversify_round_robin(t):
     return analytics.diversify_round_robin(analytics.meetings_ahead(events(t), TODAY).select("id", "rto", "meeting_date", "meeting_time"), 20)
 
@@ -139,7 +139,14 @@ def week_stats(t):
     return analytics.week_stats(events(t))
 
 
-@query(None)
+_TIMES = "(VALUES ('9:00 AM - 12:00 PM', 540, 720), ('1:30 p.m.', 810, NULL), ('10:00 AM – 3:00 PM MT', 600, 900), ('12:15 PM ET', 735, NULL)) s(label, start_min, end_min)"
+
+
+@query(f"""WITH RECURSIVE timed AS (SELECT id, meeting_date, start_min, coalesce(end_min, start_min + 60) AS end_min, row_number() OVER (PARTITION BY meeting_date ORDER BY start_min, id) AS k FROM meetings JOIN {_TIMES} ON label = meeting_time),
+laid AS (SELECT id, meeting_date, start_min, end_min, k, 0 AS lane, [end_min] AS ends FROM timed WHERE k = 1
+UNION ALL SELECT id, meeting_date, start_min, end_min, k, CASE WHEN p > 0 THEN p - 1 ELSE len(ends) END, CASE WHEN p > 0 THEN list_concat(ends[1:p - 1], [end_min], ends[p + 1:]) ELSE list_append(ends, end_min) END
+FROM (SELECT t.*, l.ends, coalesce(list_position(list_transform(l.ends, lambda e: e <= t.start_min), true), 0) AS p FROM laid l JOIN timed t ON t.meeting_date = l.meeting_date AND t.k = l.k + 1) x)
+SELECT id, meeting_date, start_min::INTEGER AS start_min, end_min::INTEGER AS end_min, lane::INTEGER AS lane, (max(lane) OVER (PARTITION BY meeting_date) + 1)::INTEGER AS lanes FROM laid""")
 def week_lanes(t):
     time = parse_meeting_time(F.col("meeting_time"))
     return analytics.week_lanes(t.meetings.select("id", "meeting_date", time["start_min"].alias("start_min"), time["end_min"].alias("end_min")))
@@ -278,6 +285,19 @@ FROM meetings m JOIN (VALUES ('9:00 AM - 12:00 PM', 540, 720, NULL), ('1:30 p.m.
 """
 
 
+_SHORT = "CASE zone WHEN 'America/New_York' THEN 'E' WHEN 'America/Chicago' THEN 'C' WHEN 'America/Denver' THEN 'M' ELSE 'P' END || 'ST'"
+
+
+@query(_RESOLVED + f"""SELECT id, coalesce(strftime(timezone('America/New_York', timezone('UTC', s)), '%-I:%M %p') || coalesce(' – ' || strftime(timezone('America/New_York', timezone('UTC', e)), '%-I:%M %p'), '') || ' EST', CASE WHEN start_min IS NOT NULL THEN label END) AS shown,
+CASE WHEN s IS NOT NULL THEN 'EST' END AS zone_short, CASE WHEN s IS NOT NULL AND zone <> 'America/New_York' THEN strftime(timezone(zone, timezone('UTC', s)), '%-I:%M %p') || coalesce(' – ' || strftime(timezone(zone, timezone('UTC', e)), '%-I:%M %p'), '') || ' ' || {_SHORT} END AS source_shown
+FROM (SELECT *, cast(timezone('UTC', timezone(zone, meeting_date + to_minutes(start_min))) AS timestamp) AS s, cast(timezone('UTC', timezone(zone, meeting_date + to_minutes(end_min))) AS timestamp) AS e FROM x) y""")
+def meeting_time_labels(t):
+    """The times as shown to a viewer in New York; all days of the stand-in meetings are winter days, the clock changes are tested on literal ones."""
+    known = F.when(F.col("rto") != "FERC", F.col("rto"))
+    r = resolve_meeting_time(F.col("meeting_date"), F.col("meeting_time"), known)
+    return t.meetings.select("id", r.alias("r")).select("id", "r.shown", "r.zone_short", "r.source_shown")
+
+
 @query(_RESOLVED + """SELECT id, zone, s AS start_utc, e AS end_utc, coalesce(strftime(timezone('America/New_York', timezone('UTC', s)), '%H:%M'), CASE label WHEN '9:00 AM - 12:00 PM' THEN '09:00' WHEN '1:30 p.m.' THEN '13:30' END) AS time24, CASE WHEN s IS NULL AND start_min IS NOT NULL THEN label END AS raw
 FROM (SELECT *, cast(timezone('UTC', timezone(zone, meeting_date + to_minutes(start_min))) AS timestamp) AS s, cast(timezone('UTC', timezone(zone, meeting_date + to_minutes(end_min))) AS timestamp) AS e FROM x) y""")
 def resolve_meeting_times(t):

@@ -9,7 +9,7 @@ from ..sources import feeds
 from ..streaming import upserts
 from .calendar import ENTITY_SQL, STRIP_SQL
 from .registry import query
-from .store import _CALENDAR, _CORPUS, _LINES, _PEOPLE, corpus, feed, people, resolved, shown_calendar
+from .store import _CALENDAR, _CORPUS, _ISSUE_LIST, _LINES, _PEOPLE, corpus, feed, people, resolved, shown_calendar
 
 _GUID = "lower(concat('0a1b2c3d', lpad(cast(user_id % 9 AS string), 4, '0'), 'aaaabbbb', lpad(cast(user_id % 7 AS string), 12, '0')))"
 _TEXT_GUID = "concat('0a1b2c3d-', lpad(cast(user_id % 9 AS string), 4, '0'), '-aaaa-bbbb-', lpad(cast(user_id % 7 AS string), 12, '0'))"
@@ -151,7 +151,7 @@ def calendar_feed_array(t):
     return shown_calendar(feeds.read_calendar_feed(t.spark, path, events.schema, multi_line=True))
 
 
-@query("SELECT id, rto, native_id, coalesce(canonical_name, short_title, native_id) AS name, status, is_open, count(r.ref_url) AS total_refs, count(r.matched_document_id) AS matched_refs FROM issues i LEFT JOIN matched_references r ON r.issue_id = i.id GROUP BY ALL", stored=True)
+@query(_ISSUE_LIST, stored=True)
 def issue_list(t):
     """Written and read back."""
     path, rows = feeds.new_folder(t.spark, "issues"), linking.issues_with_reference_counts(t.issues, resolved(t))

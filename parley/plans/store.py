@@ -71,9 +71,15 @@ def _people(t):
     return folds.replace_stakeholders(None, t.document_stakeholders, texts)
 
 
-@query(_PEOPLE + "SELECT document_id, seq, name, entity, role, email FROM kept")
+_AGAIN = _PEOPLE.replace("LEFT JOIN documents d ON d.doc_id = p.document_id WHERE trim(p.name) <> ''", "LEFT JOIN documents d ON d.doc_id = p.document_id WHERE trim(p.name) <> '' AND p.seq % 3 = 0 AND p.document_id % 2 = 0").replace("WITH people AS", "again AS").replace("kept AS", "new AS").replace("FROM people)", "FROM again)")
+
+
+@query(_PEOPLE.rstrip() + ",\n" + _AGAIN + """SELECT document_id, seq, name, entity, role, email FROM new
+UNION ALL SELECT document_id, seq, name, entity, role, email FROM kept WHERE document_id NOT IN (SELECT document_id FROM document_stakeholders WHERE seq % 3 = 0 AND document_id % 2 = 0)""")
 def replace_stakeholders(t):
-    return people(t)
+    """Stored rows of all documents, of which those of some are replaced by new ones (fewer of them)."""
+    texts = t.base("documents").select(F.col("doc_id").alias("document_id"), F.col("text").alias("source_text"))
+    return folds.replace_stakeholders(people(t), t.document_stakeholders.where("seq % 3 = 0 AND document_id % 2 = 0"), texts)
 
 
 @query("""SELECT d.id, d.download_url, CASE WHEN s.doc_id IS NOT NULL THEN s.source_names_hydro ELSE d.hydro_relevant END AS hydro_relevant, coalesce(CASE WHEN s.doc_id % 2 = 0 THEN concat('New ', cast(s.doc_id AS string)) END, d.ai_summary) AS ai_summary
@@ -130,8 +136,11 @@ def document_issues(t):
     return linking.document_issues(resolved(t), t.stored_documents)
 
 
-@query("""SELECT i.id, i.rto, i.native_id, coalesce(canonical_name, short_title, native_id) AS name, i.status, i.is_open, count(r.ref_url) AS total_refs, count(r.matched_document_id) AS matched_refs
-FROM issues i LEFT JOIN matched_references r ON r.issue_id = i.id GROUP BY ALL""")
+_ISSUE_LIST = """SELECT i.* REPLACE (is_open <> 0 AS is_open), coalesce(canonical_name, short_title, native_id) AS name, coalesce(n.total_refs, 0) AS total_refs, coalesce(n.matched_refs, 0) AS matched_refs
+FROM issues i LEFT JOIN (SELECT issue_id, count(*) AS total_refs, count(matched_document_id) AS matched_refs FROM matched_references GROUP BY 1) n ON n.issue_id = i.id"""
+
+
+@query(_ISSUE_LIST)
 def issues_with_reference_counts(t):
     return linking.issues_with_reference_counts(t.issues, resolved(t))
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import dates, text
-from ..operators import linking, screening
+from ..functions import dates, markup, text
+from ..operators import links, screening
 from .calendar import ENTITY_SQL, STRIP_SQL
 from .registry import query
 from .store import DOC_TYPE_SQL
@@ -115,12 +115,12 @@ def postprocess_screening(t):
 def quotes(t):
     """Per document three quotes: a passage with other typography, an empty one, one that does not occur."""
     d = t.base("documents").where("text IS NOT NULL")
-    passage = F.concat(F.lit("  "), F.replace(F.substring("text", 30, 60), F.lit(" "), F.lit("  ")))
+    passage = F.concat(F.lit("\u3000 "), F.replace(F.substring("text", 30, 60), F.lit(" "), F.lit(" \u2009\u2028 ")))
     e = F.array(*[F.struct(F.lit("c").alias("claim"), q.alias("quote")) for q in (passage, F.lit(""), F.lit("no such – quote at all"))])
     return d.select("doc_id", screening.verify_evidence(e, F.col("text")).alias("e"))
 
 
-@query(r"""WITH n AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS x, trim(regexp_replace(substr(text, 30, 60), '\s+', ' ', 'g')) AS q FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN q <> '' AND contains(x, q) THEN 1 ELSE 0 END AS verified, CASE WHEN q <> '' AND contains(x, q) THEN 2 ELSE 3 END AS unverified FROM n""")
+@query(r"""WITH n AS (SELECT doc_id, trim(regexp_replace(text, '[\s\p{Z}\x0b\x{85}]+', ' ', 'g')) AS x, trim(regexp_replace(substr(text, 30, 60), '[\s\p{Z}\x0b\x{85}]+', ' ', 'g')) AS q FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN q <> '' AND contains(x, q) THEN 1 ELSE 0 END AS verified, CASE WHEN q <> '' AND contains(x, q) THEN 2 ELSE 3 END AS unverified FROM n""")
 def verify_evidence(t):
     n = F.size(F.filter("e", lambda x: x["verified"]))
     return quotes(t).select("doc_id", n.alias("verified"), (F.size("e") - n).alias("unverified"))
@@ -140,31 +140,29 @@ def screening_run_summary(t):
     return screening.screening_run_summary(rows.select("relevant", "directness", (F.length("text") > 4000).alias("elided"), (F.col("doc_id") % 2).alias("unverified"), F.col("text").contains("trash").alias("leak"), (F.col("doc_id") % 4).alias("n_stakeholders")))
 
 
-@query(r"""SELECT page_id, count(*) AS links, count(DISTINCT href) AS hrefs FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"', 1)) AS href FROM pages) x GROUP BY 1""")
-def extract_document_links(t):
-    href = F.regexp_extract_all("html", F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), F.lit(1))
-    return t.base("pages").select("page_id", F.explode(href).alias("href")).groupBy("page_id").agg(F.count("*").alias("links"), F.countDistinct("href").alias("hrefs"))
+#: What some pages get behind their end: references of all forms, and spaces of several kinds.
+_TAIL = "<p>&ndash; &#8217; caf&eacute;&#x27;s &notit; &unknown;</p><td>a</td><td>b</td> \n 　\n&nbsp;end&#128;"
+_TAIL_TEXT = "– ’ café's ¬it; &unknown;\n a b\n end€"
 
 
-@query(None)
-def document_links(t):
-    """The given pages link paths without extensions: the pattern takes every named path."""
-    return linking.document_links(t.base("pages"), keep=r"/[^/]+$")
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') AS origin, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)', 1) AS hs, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)', 2) AS ls FROM pages),
+a AS (SELECT page_id, origin, unnest(hs) AS href, unnest(ls) AS label, unnest(generate_series(1, len(hs))) AS i FROM p),
+u AS (SELECT page_id, concat(origin, href) AS url, regexp_extract(href, '([^/]*)$', 1) AS filename, trim(replace(replace(replace(label, '&quot;', '"'), '&lt;', '<'), '&amp;', '&')) AS title, i FROM a),
+f AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY i) AS rn FROM u WHERE regexp_matches(url, '/[^/]+$'))
+SELECT page_id, url, filename, title, NULL::DATE AS posted_date, row_number() OVER (PARTITION BY page_id ORDER BY i)::INTEGER - 1 AS position FROM f WHERE rn = 1""")
+def extract_document_links(t):
+    """The given pages link paths without extensions: the pattern takes every named path. The sources' rules are tested on literal pages."""
+    return links.document_links(t.base("pages"), keep=r"/[^/]+$")
 
 
-@query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g') AS t FROM pages),
-b AS (SELECT page_id, regexp_replace(t, '(?i)<br\s*/?>|</(p|div|li|tr|h[1-6]|ul|ol|table|article|section|nav)\s*>', chr(10), 'g') AS t FROM a),
-c AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)</t[dh]\s*>', ' ', 'g'), '(?s)<[^>]*>', '', 'g') AS t FROM b),
-d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM c)
-SELECT page_id, trim(regexp_replace(regexp_replace(t, '[ \t\x{A0}]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g')) AS text FROM d""")
+@query(r"""WITH src AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN html ELSE html END AS html FROM pages),
+a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<script[^>]*>.*?</script>', ' ', 'g'), '(?s)<style[^>]*>.*?</style>', ' ', 'g') AS t FROM src),
+b AS (SELECT page_id, regexp_replace(regexp_replace(t, '</(p|tr|li|div|h\d)>|<br\s*/?>', chr(10), 'g'), '</td>', '  ', 'g') AS t FROM a),
+c AS (SELECT page_id, regexp_replace(t, '<[^>]+>', '', 'g') AS t FROM b),
+d AS (SELECT page_id, regexp_replace(replace(replace(replace(regexp_replace(t, '&amp;?', chr(1), 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), chr(1), '&', 'g') AS t FROM c),
+e AS (SELECT page_id, (SELECT html LIKE '%</html>' FROM pages q WHERE q.page_id = d.page_id) AS whole, regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '[\s\p{Z}]*\n[\s\p{Z}]*', chr(10), 'g') AS t FROM d)
+SELECT page_id, nullif(regexp_replace(regexp_replace(t, '^[\s\p{Z}]+', ''), '[\s\p{Z}]+$', ''), '') || CASE WHEN page_id % 3 = 0 AND whole THEN 'TAIL' ELSE '' END AS text FROM e""".replace("TAIL", "\n" + _TAIL_TEXT.replace("'", "''")))
 def markup_to_text(t):
-    return t.base("pages").select("page_id", text.markup_to_text(F.col("html")).alias("text"))
-
-
-@query("""SELECT id, coalesce(replace(topics, ';', '|'), '') AS topics, CASE WHEN topics IS NULL THEN 0 ELSE len(string_split(topics, ';')) END AS n_topics, hydro_relevant = 1 AS relevant, CASE WHEN id % 3 <> 0 THEN directness END AS directness,
-CASE WHEN id % 7 <> 0 AND evidence LIKE '[{%' THEN 2 ELSE 0 END AS n_evidence, CASE WHEN id % 7 <> 0 AND evidence LIKE '[{%' THEN concat('c', cast(id AS string), ' — "q" | ? — "x" [UNVERIFIED]') ELSE '' END AS evidence FROM stored_documents""")
-def decode_screening_columns(t):
-    """Some ratings are unknown words and some evidence is no JSON."""
-    odd = {"directness": F.when(F.col("id") % 3 == 0, F.lit("strong")).otherwise(F.col("directness")), "evidence": F.when(F.col("id") % 7 == 0, F.lit("not json")).otherwise(F.col("evidence"))}
-    rows = screening.decode_screening(t.stored_documents.withColumns(odd))
-    return rows.select("id", F.array_join("topics", "|").alias("topics"), F.size("topics").alias("n_topics"), "relevant", "directness", F.size("evidence").alias("n_evidence"), text.evidence_text(F.col("evidence")).alias("evidence"))
+    """Every third page that is whole gets an end with references of all forms."""
+    html = F.when((F.col("page_id") % 3 == 0) & F.endswith("html", F.lit("</html>")), F.concat("html", F.lit("<br>" + _TAIL))).otherwise(F.col("html"))
+    return t.base("pages").select("page_id", markup.markup_to_text(html).alias("text"))

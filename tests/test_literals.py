@@ -108,3 +108,60 @@ def test_text_index_finds_what_a_scan_finds(spark):
     index = TextIndex(rows, ["id"], F.col("text"))
     for q in ("", "a", "ab", "abc", "ABC", "b c", "\u00fcö", "zz", "aaab", "😀 a", "aaaaa"):
         assert sorted(r["id"] for r in index.find(q).collect()) == [i for i, x in enumerate(texts) if q.lower() in (x or "").lower()], q
+
+
+def test_time_labels_across_clock_changes(spark):
+    rows = [("2024-03-08", "9:00 AM - 12:00 PM", "CAISO"), ("2024-03-11", "9:00 AM - 12:00 PM", "CAISO"), ("2024-11-01", "1:30 p.m.", "MISO"), ("2024-11-04", "1:30 p.m. MT", "MISO"), ("2024-07-01", "10:00 AM ET", "SPP"), ("2024-07-01", "10:00 AM", "Other"), ("2024-07-01", "TBD", "PJM")]
+    r = dates.resolve_meeting_time(F.col("d").cast("date"), F.col("t"), F.col("r"))
+    got = one(spark, rows, "d string, t string, r string", *[r[c] for c in ("shown", "zone_short", "source_shown")])
+    assert got == [
+        ("12:00 PM – 3:00 PM EST", "EST", "9:00 AM – 12:00 PM PST"), ("12:00 PM – 3:00 PM EDT", "EDT", "9:00 AM – 12:00 PM PDT"), ("2:30 PM EDT", "EDT", "1:30 PM CDT"), ("3:30 PM EST", "EST", "1:30 PM MST"),
+        ("10:00 AM EDT", "EDT", None), ("10:00 AM", None, None), (None, None, None),
+    ]
+    abroad = dates.resolve_meeting_time(F.col("d").cast("date"), F.col("t"), F.col("r"), "Asia/Kolkata")
+    assert one(spark, rows[:1], "d string, t string, r string", abroad["shown"], abroad["zone_short"]) == [("10:30 PM – 1:30 AM GMT+5:30", "GMT+5:30")]
+
+
+def test_round_robin_in_order_with_remainder(spark):
+    day = lambda n: datetime.date(2024, 1, n)
+    rows = [(1, "A", day(2), None), (2, "A", day(3), "9"), (3, "A", day(4), None), (4, "B", day(3), None), (5, "B", day(3), "8"), (6, "C", day(9), None), (7, None, day(1), "x")]
+    events = spark.createDataFrame(rows, "id int, rto string, meeting_date date, meeting_time string")
+    take = lambda n: [(r["id"], r["place"], r["left_over"]) for r in analytics.diversify_round_robin(events, n).orderBy("place").collect()]
+    assert take(5) == [(7, 1, 2), (1, 2, 2), (4, 3, 2), (2, 4, 2), (6, 5, 2)]
+    assert [r[0] for r in take(9)] == [7, 1, 4, 5, 2, 3, 6] and take(9)[0][2] == 0
+
+
+def test_issues_open_first(spark):
+    issues = spark.createDataFrame([(1, "B", "n1", "z", None, "s", 0), (2, "A", "n2", "y", None, "s", 1), (3, "A", "n3", None, "short", "s", 1), (4, "A", "n4", "a", None, "s", None)], "id int, rto string, native_id string, canonical_name string, short_title string, status string, is_open int")
+    refs = spark.createDataFrame([(2, "u", 5), (2, "v", None)], "issue_id int, ref_url string, matched_document_id int")
+    assert [(r["id"], r["name"], r["is_open"], r["total_refs"], r["matched_refs"]) for r in linking.issues_with_reference_counts(issues, refs).collect()] == [(3, "short", True, 0, 0), (2, "y", True, 2, 1), (1, "z", False, 0, 0), (4, "a", None, 0, 0)]
+
+
+def test_missing_types_are_documents(spark):
+    rows = [(1, 1, "PJM", datetime.date(2024, 1, 1), None, None, "s"), (2, 2, "SPP", datetime.date(2024, 1, 2), "", [], "s"), (3, 3, "SPP", datetime.date(2024, 1, 2), "report", [], "s"), (4, 4, None, datetime.date(2024, 1, 3), "document", ["x"], "")]
+    docs = spark.createDataFrame(rows, "id int, event_id int, rto string, event_date date, doc_type string, topics array<string>, ai_summary string")
+    assert sorted((r["id"], r["related_id"], r["score"]) for r in linking.related_documents(docs).collect()) == [(1, 2, 4), (2, 1, 4), (4, 1, 4), (4, 2, 4)]
+
+
+def test_evidence_in_text_with_other_spaces(spark):
+    e = F.array(F.struct(F.lit("c").alias("claim"), F.col("q").alias("quote")))
+    rows = [("a b", "x a\u2009b y"), ("a b", "a\u3000\u2028b"), ("a-b", "a\u2013b"), ("ab", "a\u200bb"), ("a b", "a\x1cb"), ("a b", "a.b"), ("\u2003", "a b")]
+    got = one(spark, rows, "q string, t string", F.get(screening.verify_evidence(e, F.col("t")), F.lit(0))["verified"])
+    assert [r[0] for r in got] == [True, True, True, True, True, False, False]
+
+
+def test_lanes_first_fit(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(i, datetime.date(2024, 1, 1 + i % 5), rng.choice([None, *range(480, 700, 15)]), rng.choice([None, 600, 720, 500])) for i in range(300)]
+    got = {r["id"]: (r["lane"], r["lanes"]) for r in analytics.week_lanes(spark.createDataFrame(rows, "id int, meeting_date date, start_min int, end_min int")).collect()}
+    want = {}
+    for day in {r[1] for r in rows}:
+        ends, lanes = [], {}
+        for start, i, end in sorted((s, i, e if e is not None and e > s else s + 60) for i, d, s, e in rows if d == day and s is not None):
+            lane = next((k for k, e in enumerate(ends) if e <= start), len(ends))
+            ends[lane:] = [end] + ends[lane + 1 :] if lane < len(ends) else [end]
+            lanes[i] = lane
+        want |= {i: (lane, len(ends)) for i, lane in lanes.items()}
+    assert got == want
