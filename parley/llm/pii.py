@@ -4,13 +4,13 @@ Spans: a text is split by a pattern and its matches are taken; their lengths giv
 written without backtracking over long runs, and each is tried only on texts that hold a character it needs.
 
 Contextual extraction, bootstrapped: the valid base matches are the seed entities. A lexical pattern is a kind with the
-word before or the word after an entity. Candidates have a kind's shape but fail its base pattern (a dotted address split
-by spaces, digits without a plus sign, an address written with `at` and `dot`). Patterns and instances form a graph, and
-Spark scores them in turns: a pattern's trust is the mean belief in its distinct instances (seeds 1, unknown candidates
-PRIOR); a pattern with SUPPORT believed instances and a trust of TRUST or more passes its trust on to its candidates, which
-are believed from then on. So candidates found in one round induce patterns that no seed ever stood in, and those find
-further ones in the next; it ends when a round finds nothing new. Candidates that a trusted pattern stands beside are
-further spans; base spans always stay.
+word before or the word after an entity, however much white space stands between. Candidates have a kind's shape but fail
+its base pattern (a dotted address split by spaces, digits without a plus sign, an address written with `at` and `dot`).
+Patterns and instances form a graph, and Spark scores them in turns: a pattern's trust is the share of believed ones among
+its distinct instances (seeds are believed; an unknown candidate counts PRIOR); a pattern with SUPPORT believed instances
+and a trust of TRUST or more makes all its candidates believed. So candidates found in one round induce patterns that no
+seed ever stood in, and those find further ones in the next. Belief only grows, and it ends when a round finds nothing new.
+Every mention of a believed candidate is a further span, wherever it stands; base spans always stay.
 
 Defined results: a null text is empty and has no span; equal spans of equal texts are found in each row; repeated rows
 keep a row each; an empty table gives an empty table; extra columns travel along in `redact`.
@@ -35,21 +35,37 @@ BASE = {
 NEEDS = {"email": r"@[A-Za-z0-9-]++\.[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]"}
 #: Shapes that a trusted pattern may discover.
 SHAPES = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,64}+(?: ?[\[(.](?:(?:dot|DOT)[\])] ?)?[A-Za-z0-9-]{1,64}+){1,4}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?:(?: ?[\[(](?:dot|DOT)[\])] ?| ?\.)[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9.])[0-9]{1,3} ?[.,] ?[0-9]{1,3} ?[.,] ?[0-9]{1,3} ?[.,] ?[0-9]{1,3}(?![0-9.])",
     "card": r"(?<![0-9])[0-9]{4}[._/][0-9]{4}[._/][0-9]{4}[._/][0-9]{4}(?![0-9])",
     "phone": r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
 }
-#: Most rounds, trust that a pattern needs, believed instances that it needs, belief in an unknown candidate.
-ROUNDS, TRUST, SUPPORT, PRIOR = 6, 0.8, 5, 0.5
-
-
-def spans(text: Column, pattern: str) -> Column:
-    """array<struct<s,e,v>> of the pattern's leftmost non-overlapping matches, in code points, end exclusive."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.transform(F.split(text, pattern, -1), F.length)
-    step = lambda acc, x: F.struct((acc["p"] + F.get(between, acc["i"]) + F.length(x)).cast("int").alias("p"), (acc["i"] + 1).alias("i"), F.concat(acc["out"], F.array(F.struct((acc["p"] + F.get(between, acc["i"])).cast("int").alias("s"), (acc["p"] + F.get(between, acc["i"]) + F.length(x)).cast("int").alias("e"), x.alias("v")))).alias("out"))
-    none = F.array().cast("array<struct<s:int,e:int,v:string>>")
-    return F.aggregate(found, F.struct(F.lit(0).alias("p"), F.lit(0).alias("i"), none.alias("out")), step, lambda acc: acc["out"])
+#: Trust that a pattern needs, believed instances that it needs, what an unknown candidate counts.
+TRUST, SUPPORT, PRIOR = 0.8, 5, 0.65
+#: The word at the end of what stands before an entity (a colon or equals sign belongs to it), and at the start of what stands behind.
+_BEFORE, _AFTER = r"(?<!\p{L})(\p{L}{2,}+[:=]?)[\s\p{Z}]*+$", r"^[\s\p{Z}]++(\p{L}{2,}+)"
+_SPAN = "struct<s:int,e:int,v:string,cues:array<string>>"
+
+
+def spans(text: Column, pattern: str, keep=None) -> Column:
+    """array<struct<s,e,v,cues>> of the pattern's leftmost non-overlapping matches that `keep` accepts: place in code points, end
+    exclusive, the text and its patterns' words (`<` the word before, `>` the word after; none where another match of the
+    pattern stands next to it)."""
+    found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    # Every match with what stands before and behind it; the last piece has no match of its own.
+    left = F.zip_with(found, pieces, lambda v, p: F.struct(v.alias("v"), p.alias("l")))
+    met = F.zip_with(left, F.slice(pieces, 2, 1 << 30), lambda x, r: F.struct(x["v"].alias("v"), x["l"].alias("l"), r.alias("r")))
+    word = lambda p, form, mark: F.nullif(F.concat(F.lit(mark), F.lower(F.regexp_extract(p, form, 1))), F.lit(mark))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["p"] + F.length(x["l"])
+        end = start + F.length(x["v"])
+        span = F.struct(start.cast("int").alias("s"), end.cast("int").alias("e"), x["v"].alias("v"), F.array_compact(F.array(word(x["l"], _BEFORE, "<"), word(x["r"], _AFTER, ">"))).alias("cues"))
+        good = F.lit(True) if keep is None else keep(x)
+        return F.struct(end.cast("int").alias("p"), F.when(x["v"].isNotNull() & good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+    none = F.array().cast(f"array<{_SPAN}>")
+    return F.aggregate(met, F.struct(F.lit(0).alias("p"), none.alias("out")), step, lambda acc: acc["out"])
 
 
 def luhn(digits: Column) -> Column:
@@ -79,57 +95,42 @@ def _of(kind: str):
 def base(docs: DataFrame) -> DataFrame:
     """docs plus a column of valid base spans for each kind."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    none = F.array().cast("array<struct<s:int,e:int,v:string>>")
-    cols = {k: F.when(text.rlike(NEEDS[k]), F.filter(spans(text, BASE[k]), _is(k))).otherwise(none) for k in KINDS}
+    none = F.array().cast(f"array<{_SPAN}>")
+    cols = {k: F.when(text.rlike(NEEDS[k]), spans(text, BASE[k], _is(k))).otherwise(none) for k in KINDS}
     return docs.withColumns({f"b_{k}": c for k, c in cols.items()})
 
 
 def mentions(found: DataFrame) -> DataFrame:
     """(kind, value, cues, seed, s, e, key columns): every base span and every shaped candidate, with the words beside it."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    none = F.array().cast("array<struct<s:int,e:int,v:string>>")
+    none = F.array().cast(f"array<{_SPAN}>")
     parts = []
     for kind in KINDS:
         for seed, col in ((True, F.col(f"b_{kind}")), (False, F.when(text.rlike(SHAPES[kind]), spans(text, SHAPES[kind])).otherwise(none))):
-            parts.append(F.transform(col, _mention(text, kind, seed)))
+            parts.append(F.transform(col, _mention(kind, seed)))
     return found.select("doc_id", "tkey", F.explode(F.concat(*parts)).alias("m")).select("doc_id", "tkey", "m.*")
 
 
-def _mention(text: Column, kind: str, seed: bool):
-    return lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(seed).alias("seed"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("value"), F.array_compact(F.array(_before(text, x["s"]), _after(text, x["e"]))).alias("cues"))
-
-
-def _before(text: Column, start: Column) -> Column:
-    """The word before a place, lower-cased and marked; a colon or equals sign belongs to it. Null if a sign or more than 39 characters stand between."""
-    near = F.substring(text, F.greatest(start - 39, F.lit(1)), F.least(start, F.lit(40)))
-    word = F.lower(F.regexp_extract(near, r"([\p{L}]{2,30}[:=]?)\s*$", 1))
-    return F.when(word != "", F.concat(F.lit("<"), word))
-
-
-def _after(text: Column, end: Column) -> Column:
-    word = F.lower(F.regexp_extract(F.substring(text, end + 1, 40), r"^\s+([\p{L}]{2,30})", 1))
-    return F.when(word != "", F.concat(F.lit(">"), word))
+def _mention(kind: str, seed: bool):
+    return lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(seed).alias("seed"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("value"), x["cues"].alias("cues"))
 
 
-def trusted(found: DataFrame) -> DataFrame:
-    """(kind, cue, trust) of the patterns that the graph of patterns and instances supports."""
+def believed(found: DataFrame) -> DataFrame:
+    """(kind, value) of the candidates that the graph of patterns and instances supports, seeds left out."""
     edges = found.select("kind", "value", "seed", F.explode("cues").alias("cue")).groupBy("kind", "cue", "value").agg(F.max("seed").alias("seed"))
-    graph, _ = common.store(edges, "pattern_graph")
-    instance = graph.groupBy("kind", "value").agg(F.max("seed").alias("seed"))
-    belief = instance.withColumn("belief", F.when(F.col("seed"), 1.0).otherwise(PRIOR))
-    sure = -1
-    for _ in range(ROUNDS):
-        belief, _ = common.store(belief, "belief")
-        now = belief.where(F.col("belief") >= TRUST).count()
-        if now == sure:
+    # A text that is a seed somewhere is one everywhere.
+    seeds = found.where("seed").select("kind", "value").distinct().withColumn("known", F.lit(True))
+    graph, path = common.store(edges.drop("seed").join(seeds, ["kind", "value"], "left").withColumn("known", F.coalesce("known", F.lit(False))), "pattern_graph")
+    while True:
+        pattern = graph.groupBy("kind", "cue").agg(F.avg(F.when(F.col("known"), 1.0).otherwise(PRIOR)).alias("trust"), F.count_if("known").alias("sure"))
+        good = pattern.where((F.col("sure") >= SUPPORT) & (F.col("trust") >= TRUST) & (F.col("trust") < 1)).select("kind", "cue")  # those of trust 1 have nothing to pass on
+        fresh, new = common.store(graph.where("NOT known").join(good, ["kind", "cue"], "left_semi").select("kind", "value").distinct(), "believed")
+        if fresh.isEmpty():
             break
-        sure = now
-        scored = graph.select("kind", "cue", "value").join(belief.select("kind", "value", "belief"), ["kind", "value"])
-        pattern = scored.groupBy("kind", "cue").agg(F.avg("belief").alias("trust"), F.count_if(F.col("belief") >= TRUST).alias("believed"))
-        good, _ = common.store(pattern.where((F.col("believed") >= SUPPORT) & (F.col("trust") >= TRUST)).select("kind", "cue", "trust"), "patterns")
-        best = graph.select("kind", "cue", "value").join(good, ["kind", "cue"]).groupBy("kind", "value").agg(F.max("trust").alias("best"))
-        belief = instance.join(best, ["kind", "value"], "left").select("kind", "value", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("best", F.lit(PRIOR))).alias("belief"))
-    return good
+        grown, more = common.store(graph.join(fresh.withColumn("now", F.lit(True)), ["kind", "value"], "left").select("kind", "cue", "value", (F.col("known") | F.col("now").isNotNull()).alias("known")), "pattern_graph")
+        common.drop(found.sparkSession, path, new)
+        graph, path = grown, more
+    return graph.where("known").select("kind", "value").distinct().join(seeds.select("kind", "value"), ["kind", "value"], "left_anti")
 
 
 def detect(docs: DataFrame) -> DataFrame:
@@ -138,7 +139,7 @@ def detect(docs: DataFrame) -> DataFrame:
     kept = [f"b_{k}" for k in KINDS]
     found, _ = common.store(base(rows), "personal")
     mention, _ = common.store(mentions(found.select("doc_id", "tkey", "text", *kept)), "mentions")
-    new = mention.where("not seed").withColumn("cue", F.explode("cues")).join(trusted(mention).select("kind", "cue"), ["kind", "cue"])
+    new = mention.where("NOT seed").select("doc_id", "tkey", "kind", "value", "s", "e").join(believed(mention), ["kind", "value"], "left_semi")
     more = new.groupBy(F.col("doc_id").alias("d"), F.col("tkey").alias("t")).agg(F.collect_set(F.struct("kind", "s", "e")).alias("more"))
     narrow = found.select("doc_id", "tkey", *kept)
     joined = narrow.join(more, narrow["doc_id"].eqNullSafe(F.col("d")) & (narrow["tkey"] == F.col("t")), "left")
