@@ -1,6 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
-Words are the runs of letters and digits of the lower-cased text (any byte beyond ASCII counts as a letter). Every n-gram
+Words are the runs of letters and digits of the lower-cased text; characters beyond ASCII count as letters, but for general
+and East Asian punctuation and spaces. In scripts that are written without spaces (SOLO) every character is a word. Every n-gram
 of an item is a seed, named by a 64-bit hash. One scan of the corpus gives the places of the seeds in every document;
 where the benchmark's seeds take no more than FILTER_BYTES they go along as a filter (and once more, the rare ones, to cut
 out the words around them), a larger benchmark meets all n-grams of the corpus in the shuffle. Spark counts in how many rows a seed stands, and an item keeps the seeds that are rare for
@@ -8,7 +9,9 @@ it (at most FACTOR times the median of its seeds' counts, or FLOOR): a phrase th
 name a passage, while the seeds of an item that leaked into very many documents stay. If an item had only common seeds,
 its median would be as common, so every item keeps at least half of its seeds. Rare seeds are joined with their places;
 places of an item in a document that lie near each other make one passage, which is aligned locally with the item's
-words (+2 match, -1 mismatch, -1 gap). The score is a share of the best possible one.
+words (+2 match, -1 mismatch, -1 gap). The score is a share of the best possible one; a hit needs THRESHOLD of it, and of
+short items a share worth EVIDENCE words (a character of SOLO counting half a word, and STRICT at most), as a few words in
+common say little.
 
 Defined results: null or empty texts and empty benchmark items match nothing; equal scores go to the smallest item_id,
 then the earliest passage; an item shorter than the n-gram has its whole word sequence as its one seed; repeated rows
@@ -25,20 +28,55 @@ from pyspark.sql import functions as F
 from . import common
 
 N = 3
-THRESHOLD = 0.33
+THRESHOLD, EVIDENCE, STRICT = 0.33, 5.5, 0.95
 FLOOR, FACTOR = 20, 20
 #: Bytes of seeds (8 each) up to which they are sent to every task as a filter.
 FILTER_BYTES = 64 << 20
 _SIGNS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+#: Blocks of characters that stand between words, and of scripts written without spaces, by first and last code point.
+BETWEEN = ((0x2000, 0x206F), (0x3000, 0x303F), (0xFF00, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+SOLO = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF))
 #: Bytes of text that are hashed in one go.
 _CHUNK = 2 << 20
 _BASE = 0xE7037ED1A0B428DB
 
 
-def word_codes(text: str) -> np.ndarray:
-    """A 64-bit hash of every word of a text, in order."""
+def _within(codes: np.ndarray, blocks) -> np.ndarray:
+    out = np.zeros(len(codes), dtype=bool)
+    for first, last in blocks:
+        out |= (codes >= first) & (codes <= last)
+    return out
+
+
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end byte of every word of UTF-8 text."""
+    lead = np.flatnonzero(data >= 0xE0)  # characters of three or four bytes; shorter ones are in neither list of blocks
+    lead = lead[lead < len(data) - 2]
+    if not len(lead):
+        return common.word_spans(data, _SIGNS)
+    four = (data[lead] >= 0xF0) & (lead < len(data) - 3)
+    bits = [data[lead + i].astype(np.int64) & 0x3F for i in (1, 2)]
+    last = data[np.minimum(lead + 3, len(data) - 1)].astype(np.int64) & 0x3F
+    codes = np.where(four, ((((data[lead].astype(np.int64) & 7) << 6 | bits[0]) << 6 | bits[1]) << 6) | last, ((data[lead].astype(np.int64) & 0xF) << 6 | bits[0]) << 6 | bits[1])
+    # Bytes of one word carry one mark; neighbouring words of one character carry 2 and 3 in turn.
+    mark = np.where(_SIGNS[data], 0, 1).astype(np.int8)
+    between, solo = _within(codes, BETWEEN), _within(codes, SOLO)
+    turn = (2 + np.arange(len(lead)) % 2).astype(np.int8)
+    for i in range(4):
+        here = (between | solo) & ((i < 3) | four)
+        mark[lead[here] + i] = np.where(solo, turn, 0)[here]
+    edge = np.flatnonzero(np.diff(mark, prepend=0, append=0))
+    start, end = edge[:-1], edge[1:]
+    words = mark[start] > 0
+    return start[words], end[words]
+
+
+def word_codes(text: str) -> tuple[np.ndarray, float]:
+    """A 64-bit hash of every word of a text, in order, and how many words they are worth."""
     data = np.frombuffer(text.lower().encode("utf-8", "replace"), dtype=np.uint8)
-    return common.word_hashes(data, *common.word_spans(data, _SIGNS))
+    start, end = word_spans(data)
+    alone = sum(_within(np.array([ord(c)]), SOLO)[0] for c in text if ord(c) >= 0x0E00)
+    return common.word_hashes(data, start, end), len(start) - alone / 2
 
 
 def grams(codes: np.ndarray, n: int) -> np.ndarray:
@@ -57,20 +95,21 @@ def align(item: np.ndarray, passage: np.ndarray) -> int:
     return best
 
 
-def items_of(benchmark: DataFrame, n: int) -> DataFrame:
-    """(item_id, words, seeds): word hashes and distinct seed hashes of every item that has words.
+def items_of(benchmark: DataFrame, n: int, threshold: float = THRESHOLD) -> DataFrame:
+    """(item_id, words, seeds, needed): word hashes, distinct seed hashes and the score that counts, of every item that has words.
 
     Shorter items take one seed of their own length, so `sizes` of seeds may be 1 to n.
     """
 
     def run(batches):
         for batch in batches:
-            words = [word_codes(t or "") for t in batch.column(1).to_pylist()]
+            found = [word_codes(t or "") for t in batch.column(1).to_pylist()]
+            words, needed = [w for w, _ in found], [min(max(threshold, STRICT), max(threshold, EVIDENCE / max(worth, 1.0))) for _, worth in found]
             seeds = [np.unique(grams(w, min(n, max(1, len(w))))).tolist() for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w.view(np.int64).tolist() for w in words], pa.list_(pa.int64())), pa.array(seeds, pa.list_(pa.int64()))], names=["item_id", "words", "seeds"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w.view(np.int64).tolist() for w in words], pa.list_(pa.int64())), pa.array(seeds, pa.list_(pa.int64())), pa.array(needed, pa.float64())], names=["item_id", "words", "seeds", "needed"])
 
     rows = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    return rows.mapInArrow(run, "item_id long, words array<long>, seeds array<long>").where(F.size("words") > 0)
+    return rows.mapInArrow(run, "item_id long, words array<long>, seeds array<long>, needed double").where(F.size("words") > 0)
 
 
 class Seeds:
@@ -87,7 +126,7 @@ class Seeds:
         """Some neighbouring texts, hashed in one go: their word hashes, the first word of each text (and the end), and
         for all n-grams found the text, the hash and the place among all words."""
         data = np.frombuffer(b" ".join(texts), dtype=np.uint8)
-        start, end = common.word_spans(data, _SIGNS)
+        start, end = word_spans(data)
         codes = common.word_hashes(data, start, end)
         begin = np.cumsum([0] + [len(t) + 1 for t in texts])
         row = np.searchsorted(begin, start, "right") - 1
@@ -159,12 +198,12 @@ def scores(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float =
     """(doc_id, tkey, item_id, score, start_word, end_word) of the best item of every row that reaches the threshold."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", common.text_key(F.col("text")).alias("tkey"), "text")
-    items, _ = common.store(items_of(benchmark, n), "items")
+    items, _ = common.store(items_of(benchmark, n, threshold), "items")
     seeds = items.select("item_id", F.explode("seeds").alias("seed"))
     sizes = sorted({n, *(r[0] for r in items.select(F.size("words").alias("n")).where(F.col("n") < n).distinct().collect())})  # at most n values
     few = seeds.select("seed").distinct()
     bounded = few.count() * 8 <= filter_bytes
-    listed = lambda df: np.array([r["seed"] for r in df.collect()], dtype=np.int64)  # noqa: E731  (only where bounded)
+    listed = lambda df: df.toArrow().column("seed").to_numpy()  # noqa: E731  (only where bounded; eight bytes a seed)
     # Equal rows have equal places, which count once.
     places, _ = common.store(places_of(rows, kind, Seeds(sizes, listed(few) if bounded else None)), "places")
     held = places.select("doc_id", "tkey", "seed").distinct().groupBy("seed").agg(F.count("*").alias("rows"))
@@ -188,24 +227,25 @@ def scores(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float =
     near, _ = common.store(near, "stretches")
     met = near.distinct().join(passages, near["doc_id"].eqNullSafe(F.col("d")) & (near["tkey"] == F.col("t")) & (F.col("a") < F.col("first") + F.size("stretch")) & (F.col("b") > F.col("first")))
     lo, hi = F.greatest("a", "first"), F.least(F.col("b"), F.col("first") + F.size("stretch"))
-    pairs = met.select("doc_id", "tkey", "item_id", lo.alias("start_word"), hi.alias("end_word"), F.slice("stretch", (lo - F.col("first") + 1).cast("int"), (hi - lo).cast("int")).alias("passage")).join(items.select("item_id", "words"), "item_id")
+    pairs = met.select("doc_id", "tkey", "item_id", lo.alias("start_word"), hi.alias("end_word"), F.slice("stretch", (lo - F.col("first") + 1).cast("int"), (hi - lo).cast("int")).alias("passage")).join(items.select("item_id", "words", "needed"), "item_id")
 
     def score(batches):
         for batch in batches:
-            item, passage = batch.column("words"), batch.column("passage")
-            found = [_share(item[i].values.to_numpy(), passage[i].values.to_numpy(), threshold) for i in range(batch.num_rows)]
+            item, passage, needed = batch.column("words"), batch.column("passage"), batch.column("needed").to_pylist()
+            found = [_share(item[i].values.to_numpy(), passage[i].values.to_numpy(), needed[i]) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "tkey", "item_id", "start_word", "end_word")), pa.array(found, pa.float64())], names=["doc_id", "tkey", "item_id", "start_word", "end_word", "score"])
 
-    scored = pairs.select("doc_id", "tkey", "item_id", "start_word", "end_word", "words", "passage").mapInArrow(score, f"doc_id {kind}, tkey long, item_id long, start_word long, end_word long, score double").where(F.col("score") >= threshold)
+    scored = pairs.select("doc_id", "tkey", "item_id", "start_word", "end_word", "words", "passage", "needed").mapInArrow(score, f"doc_id {kind}, tkey long, item_id long, start_word long, end_word long, score double").where("score > 0")
     best = F.max_by(F.struct("item_id", "score", "start_word", "end_word"), F.struct("score", -F.col("item_id"), -F.col("start_word")))
     return scored.groupBy("doc_id", "tkey").agg(best.alias("m")).select("doc_id", "tkey", "m.*")
 
 
-def _share(item: np.ndarray, passage: np.ndarray, threshold: float) -> float:
-    """The alignment's share of the item's best score; 0 where the words that both hold cannot reach the threshold."""
-    if np.isin(item, passage).sum() < threshold * len(item):
+def _share(item: np.ndarray, passage: np.ndarray, needed: float) -> float:
+    """The alignment's share of the item's best score; 0 where it is less than needed."""
+    if np.isin(item, passage).sum() < needed * len(item):
         return 0.0
-    return align(item, passage) / (2 * len(item))
+    share = align(item, passage) / (2 * len(item))
+    return share if share >= needed else 0.0
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

@@ -1,10 +1,12 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine over a block-max inverted index, with calibrated votes.
 
-Terms are character n-grams of the lower-cased text within a word and its two ends (so whole short words are terms too).
-From a bounded, hash-chosen sample of labelled rows (EXAMPLES per class) the TERMS that tell the classes apart best are
-taken; their document frequencies are counted over all documents. The examples' unit vectors form an inverted index cut
-into blocks of similar examples; each block keeps the largest weight of every term. A document scores the blocks from
-the highest bound down and stops when no block can still hold one of its K nearest: the neighbours are exact. Their
+Terms are the character n-grams (GRAM) of the lower-cased text's words with their two ends; a shorter word is a term
+itself. From a bounded, hash-chosen sample of labelled rows (EXAMPLES per class) every term is taken that LEAST examples
+have and that tells the classes apart, whichever it leans to: its z, the difference of its shares in standard errors, is
+SIGNIFICANT or more. There is no other bound on terms. A term's weight is its inverse document frequency, counted over all
+documents, times z*z / (9 + z*z). The examples' unit vectors form an inverted index: every term's list of examples, cut
+into blocks of similar examples, with the largest weight of every term in a block. A document takes the blocks from the
+highest bound down and stops when no block can still hold one of its K nearest: the neighbours are exact. Their
 similarity-weighted votes, with the evidence's weight, go through a logistic calibration fitted on the examples (each
 without itself), weighted back to the labelled rows' class shares.
 
@@ -16,7 +18,7 @@ similarity go to the earlier example of the index; extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -25,44 +27,41 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bound on the labelled rows of each class that are fitted on, terms, neighbours, examples in a block of the index.
-EXAMPLES, TERMS, K, BLOCK = 2000, 4096, 15, 64
-SIZES = range(4, 9)
+#: Bound on the labelled rows of each class that are fitted on, neighbours, examples in a block of the index.
+EXAMPLES, K, BLOCK = 2000, 15, 64
+#: Characters of a term, examples that must have it, standard errors by which its shares must differ.
+GRAM, LEAST, SIGNIFICANT = 5, 3, 1.5
 _GAPS = re.compile(r"[\W_]+")
-_CHUNK = 1 << 20
+#: Words whose terms a worker remembers.
+_WORDS = 200_000
 
 
-def plain(text: str) -> str:
-    return " " + _GAPS.sub(" ", text.lower()).strip() + " "
+def words_of(text: str) -> list[str]:
+    return _GAPS.sub(" ", text.lower()).split()
 
 
-def grams(text: str) -> set[str]:
-    found: set[str] = set()
-    for word in set(plain(text).split()):
-        word = f" {word} "
-        for n in SIZES:
-            found.update(word[i : i + n] for i in range(len(word) - n + 1))
-    return found
+def grams(word: str) -> list[str]:
+    whole = f" {word} "
+    return [whole[i : i + GRAM] for i in range(len(whole) - GRAM + 1)] or [whole]
 
 
 class Terms:
-    """Finds the chosen terms in a text (an Aho-Corasick automaton) and gives the weighted unit vector."""
+    """The chosen terms of a text, with their counts and weights."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray):
-        import ahocorasick
-
-        self.idf, self.n = idf, len(terms)
-        self.machine = ahocorasick.Automaton()
-        for i, t in enumerate(terms):
-            self.machine.add_word(t, i)
-        if terms:
-            self.machine.make_automaton()
+    def __init__(self, terms: list[str], weights: np.ndarray):
+        self.weights, self.place = weights, {t: i for i, t in enumerate(terms)}
+        self.known: dict[str, list[int]] = {}
 
     def counts(self, text: str) -> dict[int, int]:
         found: dict[int, int] = defaultdict(int)
-        if self.n:
-            for _, i in self.machine.iter(plain(text)):
-                found[i] += 1
+        for word, n in Counter(words_of(text)).items():
+            places = self.known.get(word)
+            if places is None:
+                if len(self.known) >= _WORDS:
+                    self.known.clear()
+                places = self.known[word] = [self.place[g] for g in grams(word) if g in self.place]
+            for i in places:
+                found[i] += n
         return found
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -70,41 +69,50 @@ class Terms:
         at = np.array(sorted(found), dtype=np.int64)
         if not len(at):
             return at, np.zeros(0)
-        w = (1 + np.log([found[i] for i in at.tolist()])) * self.idf[at]
-        return at, w
+        return at, (1 + np.log([found[i] for i in at.tolist()])) * self.weights[at]
 
 
 class Index:
-    """Examples in blocks; in a block every term has its list of weights and the largest of them."""
+    """Examples in blocks; every term has its list of examples and weights, cut at the blocks, and the largest weight in each block."""
 
     def __init__(self, ids: list[int], labels: list[int], vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         lead = [int(at[w.argmax()]) if len(at) else n_terms for at, w in vectors]
         order = sorted(range(len(ids)), key=lambda i: (lead[i], ids[i]))
         self.ids, self.labels = np.array(ids, dtype=np.int64)[order], np.array(labels)[order]
-        n = max(1, -(-len(order) // BLOCK))
-        self.weights = np.zeros((n, n_terms, BLOCK), dtype=np.float32)
-        for place, i in enumerate(order):
-            at, w = vectors[i]
-            if len(at):
-                self.weights[place // BLOCK, at, place % BLOCK] = w / np.linalg.norm(w)
-        self.bound = self.weights.max(axis=2).T.copy()  # term x block
+        self.blocks = max(1, -(-len(order) // BLOCK))
+        term = np.concatenate([np.zeros(0, np.int64), *[vectors[i][0] for i in order]])
+        place = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
+        weight = np.concatenate([np.zeros(0), *[vectors[i][1] / np.linalg.norm(vectors[i][1]) for i in order if len(vectors[i][0])]])
+        listed = np.lexsort((place, term))
+        self.place, self.weight = place[listed], weight[listed]
+        key = term[listed] * self.blocks + self.place // BLOCK
+        self.start = np.searchsorted(key, np.arange(n_terms * self.blocks + 1))
+        self.bound = np.zeros(n_terms * self.blocks)
+        np.maximum.at(self.bound, key, self.weight)
+        self.bound = self.bound.reshape(n_terms, self.blocks)
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and similarities of the k nearest examples with a term in common."""
-        w = (w / np.linalg.norm(w)).astype(np.float32)
+        w = w / np.linalg.norm(w)
         bound = w @ self.bound[at]
-        best, where = np.zeros(0, dtype=np.float32), np.zeros(0, dtype=np.int64)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) >= k and bound[b] * (1 + 1e-5) < best[-1]):  # slack for rounding in single precision
-                break
-            sim = w @ self.weights[b, at]
-            if 0 <= skip - b * BLOCK < BLOCK:
-                sim[skip - b * BLOCK] = 0
-            best, where = np.concatenate((best, sim)), np.concatenate((where, b * BLOCK + np.arange(BLOCK)))
-            top = np.lexsort((where, -best))[:k]
-            best, where = best[top], where[top]
-        near = best > 1e-6
-        return where[near], best[near]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        sim, done, step, least = np.zeros(len(self.ids)), 0, 4, 0.0
+        while done < len(order) and bound[order[done]] * (1 + 1e-9) >= least:  # slack for rounding
+            blocks = order[done : done + step]
+            key = (at[:, None] * self.blocks + blocks).ravel()
+            n = self.start[key + 1] - self.start[key]
+            of = np.repeat(np.arange(len(key)), n)
+            entry = np.arange(len(of)) - (np.cumsum(n) - n)[of] + self.start[key][of]
+            sim += np.bincount(self.place[entry], weights=self.weight[entry] * w[of // len(blocks)], minlength=len(sim))
+            if skip >= 0:
+                sim[skip] = 0
+            done, step = done + len(blocks), step * 2
+            if len(sim) > k:
+                least = np.partition(sim, len(sim) - k)[len(sim) - k]
+        near = np.flatnonzero(sim > max(1e-9, least * (1 - 1e-9)))
+        near = near[np.lexsort((near, -sim[near]))][:k]
+        return near, sim[near]
 
 
 def signals(index: Index, share: float, at: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[float, float, np.ndarray, np.ndarray]:
@@ -166,7 +174,7 @@ def model(docs: DataFrame, labels: DataFrame) -> dict:
         tally: dict[str, list[int]] = defaultdict(lambda: [0, 0])
         for batch in batches:
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for g in grams(text or ""):
+                for g in {g for word in set(words_of(text or "")) for g in grams(word)}:
                     tally[g][y] += 1
             if len(tally) > 500_000:
                 yield _tally(tally)
@@ -177,12 +185,13 @@ def model(docs: DataFrame, labels: DataFrame) -> dict:
     p1, p0 = (F.col("n1") + 0.5) / (n[1] + 1), (F.col("n0") + 0.5) / (n[0] + 1)
     pooled = (F.col("n0") + F.col("n1") + 1) / (n[0] + n[1] + 2)
     ratio = (p1 - p0) / F.sqrt(pooled * (1 - pooled) * (1 / (n[0] + 1) + 1 / (n[1] + 1)))
-    terms = [r["term"] for r in seen.where("n0 + n1 >= 4").withColumn("z", ratio).where("z > 1").orderBy(F.desc(F.col("z") * F.log(p1 / p0 + 1)), "term").limit(TERMS).collect()]
+    chosen = seen.where(F.col("n0") + F.col("n1") >= LEAST).withColumn("z", ratio).where(F.abs("z") >= SIGNIFICANT).orderBy("term").select("term", "z").toArrow()  # bounded by the sample's texts
+    terms, z = chosen.column("term").to_pylist(), chosen.column("z").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def frequency(batches):
         finder = Terms(shared.value, np.ones(len(shared.value)))
-        df, rows = np.zeros(len(shared.value) + 1, dtype=np.int64), 0
+        df = np.zeros(len(shared.value) + 1, dtype=np.int64)
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 df[-1] += 1
@@ -193,9 +202,9 @@ def model(docs: DataFrame, labels: DataFrame) -> dict:
     df = np.zeros(len(terms) + 1)
     for r in docs.select("text").mapInArrow(frequency, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
         df[r["i"]] = r["n"]
-    idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
+    weights = (np.log((df[-1] + 1) / (df[:-1] + 1)) + 1) * z * z / (9 + z * z)
     rows = sorted((r["doc_id"], int(r["toxic"]), r["text"] or "") for r in picked.toLocalIterator())
-    finder = Terms(terms, idf)
+    finder = Terms(terms, weights)
     vectors = [finder.vector(t) for _, _, t in rows]
     index = Index([r[0] for r in rows], [r[1] for r in rows], vectors, len(terms))
     place = {int(d): i for i, d in enumerate(index.ids)}
@@ -203,7 +212,7 @@ def model(docs: DataFrame, labels: DataFrame) -> dict:
     y = np.array([r[1] for r in rows], dtype=float)
     weight = np.where(y == 1, have[1] / n[1], have[0] / n[0])
     beta = logistic(shape(*np.array(got).T), y, weight / weight.mean())
-    return {"share": share, "index": index, "terms": terms, "idf": idf, "beta": beta}
+    return {"share": share, "index": index, "terms": terms, "weights": weights, "beta": beta}
 
 
 def _tally(tally: dict) -> pa.RecordBatch:
@@ -217,7 +226,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches):
         m = fitted.value
-        finder = Terms(m["terms"], m["idf"]) if m["index"] is not None else None
+        finder = Terms(m["terms"], m["weights"]) if m["index"] is not None else None
         for batch in batches:
             scores, near, marks = [], [], []
             for text in batch.column("text").to_pylist():
