@@ -110,6 +110,55 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in binary.to_pylist()]
 
 
+class Recent(dict):
+    """What make gives for a key, remembered: of at most `limit` keys, half of them being the ones used last.
+
+    New and rediscovered keys go into a young half; when it is full it becomes the old one, whose keys are forgotten unless
+    they are asked for again. Keys longer than `longest` are not remembered.
+    """
+
+    def __init__(self, make, limit: int, longest: int = 64):
+        super().__init__()
+        self.make, self.half, self.longest, self.old = make, max(1, limit // 2), longest, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self._remember({key: value})
+        return value
+
+    def _remember(self, made: dict) -> None:
+        if len(self) + len(made) > self.half:
+            self.old = dict(self)
+            self.clear()
+        self.update({k: v for k, v in made.items() if len(k) <= self.longest})
+
+    def many(self, keys: list) -> list:
+        """What make gives for each of the keys; to be overridden where that is cheaper for many at a time."""
+        return list(map(self.make, keys))
+
+    def all(self, keys: list) -> list:
+        """The values of a list of keys; those that are not remembered are made together."""
+        got = list(map(self.get, keys))
+        if None in got:
+            made, fresh = {}, []
+            for k in {k for k, v in zip(keys, got) if v is None}:
+                value = self.old.get(k)
+                if value is None:
+                    fresh.append(k)
+                else:
+                    made[k] = value
+            made.update(zip(fresh, self.many(fresh)))
+            got = [made[k] if v is None else v for k, v in zip(keys, got)]
+            self._remember(made)
+        return got
+
+    def forget(self) -> None:
+        """Leaves most of the memory to what a worker does next."""
+        self.old = {}
+
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 

@@ -16,7 +16,9 @@ own; repeated rows keep a row each; an empty table gives an empty table; extra c
 from __future__ import annotations
 
 import base64
+import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +32,17 @@ BAND_WIDTH = {"chars_per_token": (8.0, 8.0), "fallback_share": (8.0, 8.0), "toke
 LEAST_SPREAD = {"chars_per_token": 0.08, "fallback_share": 0.01, "token_entropy": 0.05, "tokens_per_word": 0.05, "entropy_excess": 0.05}
 #: Documents of the whole corpus that count into each language's median and spread.
 PRIOR = 3.0
-#: Words that a worker remembers, and no longer than its task: later stages find the memory free.
-_LIMIT = 120_000
+#: Words that a worker remembers.
+_LIMIT = 240_000
+_WHITE = re.compile(r"\s")
 _FEATURES = ("chars_per_token", "fallback_share", "token_entropy")
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _SIGNS = tuple(s.encode() for s in "#*$%&|<>")
 _MEMO: dict[str, "Fertility"] = {}
 
 
-class Fertility(dict):
-    """Word -> (subword ids, byte-fallback tokens, byte-level tokens, characters); emptied at a fixed number of words."""
+class Fertility(common.Recent):
+    """Word -> (subword ids, byte-fallback tokens, byte-level tokens, characters)."""
 
     def __init__(self, pieces: str, ranks: str):
         import public_tokenizers
@@ -47,20 +50,34 @@ class Fertility(dict):
         import tiktoken
 
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=pieces)
-        self.fallback = {i for i in range(self.pieces.vocab_size()) if self.pieces.is_byte(i)}
+        self.fallback = np.array([self.pieces.is_byte(i) for i in range(self.pieces.vocab_size())])
         with open(ranks, "rb") as f:
             known = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         self.bytes = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
 
-    def __missing__(self, word: bytes):
-        if len(self) >= _LIMIT:
-            self.clear()
-        text = word.decode("utf-8", "replace")
-        ids = self.pieces.encode(text)
-        value = (np.array(ids, dtype="<u2").tobytes(), sum(i in self.fallback for i in ids), len(self.bytes.encode_ordinary(" " + text)), len(text))
-        if len(word) <= 64:
-            self[word] = value
-        return value
+        self.spaced = np.zeros(max(known.values()) + 1, dtype=bool)
+        self.spaced[[i for token, i in known.items() if token.startswith(b" ")]] = True
+        super().__init__(lambda word: self.many([word])[0], _LIMIT)
+
+    def many(self, words: list[bytes]) -> list[tuple[bytes, int, int, int]]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        found = self.pieces.encode(texts, num_threads=1)
+        ends = np.cumsum([0, *map(len, found)])
+        ids = np.fromiter(chain.from_iterable(found), dtype="<u2", count=int(ends[-1]))
+        flat, fallback = ids.tobytes(), np.concatenate(([0], np.cumsum(self.fallback[ids])))
+        bounds = ends.tolist()
+        parts = [flat[2 * a : 2 * b] for a, b in zip(bounds, bounds[1:])]
+        return list(zip(parts, np.diff(fallback[ends]).tolist(), self._byte_tokens(texts), map(len, texts)))
+
+    def _byte_tokens(self, texts: list[str]) -> list[int]:
+        """Byte-level tokens of each word with the space before it. Words are encoded as one text: every word's first token,
+        and no other, starts with a space. Words that hold white space of other kinds are encoded alone."""
+        if _WHITE.search("".join(texts)) is None:
+            tokens = np.array(self.bytes.encode_ordinary(" " + " ".join(texts)))
+            first = np.flatnonzero(self.spaced[tokens])
+            if len(first) == len(texts):
+                return np.diff(first, append=len(tokens)).tolist()
+        return [len(self.bytes.encode_ordinary(" " + t)) for t in texts]
 
 
 def fertility(pieces: str | None = None, ranks: str | None = None) -> Fertility:
@@ -97,7 +114,7 @@ def measure(text: bytes, memo: Fertility) -> tuple:
             dup += 1
         elif line and not line.isspace():
             seen.add(line)
-    got = list(map(memo.__getitem__, words))
+    got = memo.all(words)
     chars = sum([g[3] for g in got])
     ids = np.frombuffer(b"".join([g[0] for g in got]), dtype="<u2")
     if len(ids):
@@ -123,7 +140,7 @@ def features(docs: DataFrame, pieces: str | None = None, ranks: str | None = Non
                 kinds = [pa.int64()] * 5 + [pa.float64()] * 3
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "tkey", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *_FEATURES])
         finally:
-            memo.clear()
+            memo.forget()
 
     kind = dict(docs.dtypes)["doc_id"]
     return rows.mapInArrow(run, f"doc_id {kind}, tkey long, lang string, {BASE}, " + ", ".join(f"{f} double" for f in _FEATURES))

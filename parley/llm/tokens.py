@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 from array import array
 
+from . import common
+
 #: Letters, single digits and runs of signs, as the vocabulary's own split gives them for lower-case words of plain Latin text.
 _PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xe0-\xf6\xf8-\xff\xdf]+|[0-9]|[^a-z\xe0-\xf6\xf8-\xff\xdf0-9]+")
 _PLAIN = re.compile(rb"[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
@@ -24,54 +26,40 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in own else next(rest)) for b in range(256)]
 
 
-class WordIds(dict):
-    """Lower-case Latin-1 word -> its ids as unsigned 32-bit integers. Emptied at `limit` entries, so memory is bounded."""
+class WordIds(common.Recent):
+    """Lower-case Latin-1 word -> its ids as unsigned 32-bit integers. Words used of late are remembered, so memory is bounded."""
 
     def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
-        self.whole, self.limit, self.parts = Tokenizer.from_file(path), limit, {}
+        super().__init__(self._ids, limit)
+        self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         letters = _byte_letters()
         self.shown = ["".join(letters[x] for x in chr(b).encode()) for b in range(256)]
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
+    def _ids(self, word: bytes) -> bytes:
         if word.isalpha() and len(word) <= 200:  # of bytes: letters a to z alone
-            ids = self._part(word)
-        elif len(word) <= 200 and b"<|" not in word and _PLAIN.fullmatch(word):
-            ids = b"".join(map(self._part, _PARTS.findall(word)))
-        else:
-            ids = self._library(word.decode("latin-1"))
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+            return self._part(word)
+        if len(word) <= 200 and b"<|" not in word and _PLAIN.fullmatch(word):
+            parts = _PARTS.findall(word)
+            return b"".join([self[part] for part in parts]) if len(parts) > 1 else self._part(word)
+        return self._library(word.decode("latin-1"))
 
     def _part(self, part: bytes) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            if len(self.parts) >= self.limit:
-                self.parts.clear()
-            shown = part.decode() if part.isascii() else "".join([self.shown[b] for b in part])
-            self.parts[part] = ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-        return ids
+        shown = part.decode() if part.isascii() else "".join([self.shown[b] for b in part])
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _library(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def forget(self) -> None:
-        """Leaves the memory to what a worker does next."""
-        self.clear()
-        self.parts.clear()
-
     def encode(self, text: bytes) -> bytes:
         try:
             words = (text if text.isascii() else text.decode().encode("latin-1")).translate(_LOWER).split()
         except UnicodeEncodeError:
             # Words with other characters go to the library as they stand, the rest of the text as above.
             return b"".join([self._any(w) for w in text.split()])
-        return b"".join([self[w] for w in words])
+        return b"".join(self.all(words))
 
     def _any(self, word: bytes) -> bytes:
         shown = word.decode()

@@ -5,8 +5,8 @@ itself. From a bounded, hash-chosen sample of labelled rows (EXAMPLES per class)
 have and that tells the classes apart, whichever it leans to: its z, the difference of its shares in standard errors, is
 SIGNIFICANT or more. There is no other bound on terms. A term's weight is its inverse document frequency, counted over all
 documents, times z*z / (9 + z*z). The examples' unit vectors form an inverted index: every term's list of examples, cut
-into blocks of similar examples, with the largest weight of every term in a block. A document takes the blocks from the
-highest bound down and stops when no block can still hold one of its K nearest: the neighbours are exact. Their
+into blocks of similar examples, with the largest weight of every term in a block. A document takes the blocks of the highest bounds first and is done if no
+other block can still hold one of its K nearest, else it takes them all: the neighbours are exact. Their
 similarity-weighted votes, with the evidence's weight, go through a logistic calibration fitted on the examples (each
 without itself), weighted back to the labelled rows' class shares.
 
@@ -29,8 +29,10 @@ from . import common
 
 #: Bound on the labelled rows of each class that are fitted on, neighbours, examples in a block of the index.
 EXAMPLES, K, BLOCK = 2000, 15, 64
+#: Blocks that are tried first; if another one may hold a nearer example, all lists are summed up.
+FIRST = 2
 #: Characters of a term, examples that must have it, standard errors by which its shares must differ.
-GRAM, LEAST, SIGNIFICANT = 5, 3, 1.5
+GRAM, LEAST, SIGNIFICANT = 5, 3, 2.0
 _GAPS = re.compile(r"[\W_]+")
 #: Words whose terms a worker remembers.
 _WORDS = 200_000
@@ -49,17 +51,13 @@ class Terms:
     """The chosen terms of a text, with their counts and weights."""
 
     def __init__(self, terms: list[str], weights: np.ndarray):
-        self.weights, self.place = weights, {t: i for i, t in enumerate(terms)}
-        self.known: dict[str, list[int]] = {}
+        self.weights, place = weights, {t: i for i, t in enumerate(terms)}
+        self.known = common.Recent(lambda word: [place[g] for g in grams(word) if g in place], _WORDS)
 
     def counts(self, text: str) -> dict[int, int]:
         found: dict[int, int] = defaultdict(int)
-        for word, n in Counter(words_of(text)).items():
-            places = self.known.get(word)
-            if places is None:
-                if len(self.known) >= _WORDS:
-                    self.known.clear()
-                places = self.known[word] = [self.place[g] for g in grams(word) if g in self.place]
+        words = Counter(words_of(text))
+        for places, n in zip(self.known.all(list(words)), words.values()):
             for i in places:
                 found[i] += n
         return found
@@ -87,29 +85,33 @@ class Index:
         self.place, self.weight = place[listed], weight[listed]
         key = term[listed] * self.blocks + self.place // BLOCK
         self.start = np.searchsorted(key, np.arange(n_terms * self.blocks + 1))
+        self.whole = self.start[:: self.blocks].tolist()  # a term's list over all blocks
         self.bound = np.zeros(n_terms * self.blocks)
         np.maximum.at(self.bound, key, self.weight)
         self.bound = self.bound.reshape(n_terms, self.blocks)
 
+    def _sum(self, start: list[int], end: list[int], w: np.ndarray, skip: int) -> np.ndarray:
+        """Similarities of all places from stretches of the lists, each with its weight."""
+        place = np.concatenate([self.place[a:b] for a, b in zip(start, end)])
+        weight = np.concatenate([self.weight[a:b] for a, b in zip(start, end)])
+        weight *= np.repeat(w, np.subtract(end, start))
+        sim = np.bincount(place, weights=weight, minlength=len(self.ids))
+        if skip >= 0:
+            sim[skip] = 0
+        return sim
+
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and similarities of the k nearest examples with a term in common."""
         w = w / np.linalg.norm(w)
         bound = w @ self.bound[at]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        sim, done, step, least = np.zeros(len(self.ids)), 0, 4, 0.0
-        while done < len(order) and bound[order[done]] * (1 + 1e-9) >= least:  # slack for rounding
-            blocks = order[done : done + step]
-            key = (at[:, None] * self.blocks + blocks).ravel()
-            n = self.start[key + 1] - self.start[key]
-            of = np.repeat(np.arange(len(key)), n)
-            entry = np.arange(len(of)) - (np.cumsum(n) - n)[of] + self.start[key][of]
-            sim += np.bincount(self.place[entry], weights=self.weight[entry] * w[of // len(blocks)], minlength=len(sim))
-            if skip >= 0:
-                sim[skip] = 0
-            done, step = done + len(blocks), step * 2
-            if len(sim) > k:
-                least = np.partition(sim, len(sim) - k)[len(sim) - k]
+        first = np.argsort(-bound, kind="stable")[:FIRST]
+        key = (at[:, None] * self.blocks + first).ravel()
+        sim = self._sum(self.start[key].tolist(), self.start[key + 1].tolist(), np.repeat(w, len(first)), skip)
+        rest = np.delete(bound, first).max(initial=0.0) * (1 + 1e-9)  # slack for rounding
+        least = np.partition(sim, len(sim) - k)[len(sim) - k] if len(sim) > k else 0.0
+        if rest >= least and rest > 0:  # another block may hold one of the nearest
+            sim = self._sum([self.whole[t] for t in at.tolist()], [self.whole[t + 1] for t in at.tolist()], w, skip)
+            least = np.partition(sim, len(sim) - k)[len(sim) - k] if len(sim) > k else 0.0
         near = np.flatnonzero(sim > max(1e-9, least * (1 - 1e-9)))
         near = near[np.lexsort((near, -sim[near]))][:k]
         return near, sim[near]
@@ -162,13 +164,29 @@ def sample(docs: DataFrame, labels: DataFrame, bound: int = EXAMPLES) -> tuple[D
     return texts, have
 
 
-def model(docs: DataFrame, labels: DataFrame) -> dict:
+def counted(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """(doc_id, ids, tfs): the chosen terms of every document by their number, and how often it has them."""
+    shared, kind = docs.sparkSession.sparkContext.broadcast(terms), dict(docs.dtypes)["doc_id"]
+
+    def run(batches):
+        finder = Terms(shared.value, np.ones(len(shared.value)))
+        for batch in common.slices(batches):
+            found = [finder.counts(text) if text else {} for text in batch.column("text").to_pylist()]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            ids, tfs = (np.fromiter((x for f in found for x in part(f)), dtype=np.int32, count=ends[-1]) for part in (dict.keys, dict.values))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (ids, tfs))], names=["doc_id", "ids", "tfs"])
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, tfs array<int>")
+
+
+def model(docs: DataFrame, labels: DataFrame) -> tuple[dict, DataFrame | None]:
+    """What the labelled rows teach, and the documents' counts of the chosen terms (null where nothing can be fitted)."""
     picked, have = sample(docs, labels)
     picked, _ = common.store(picked, "examples")
     n = {y: 0 for y in (0, 1)} | {int(r["toxic"]): r["count"] for r in picked.groupBy("toxic").count().collect()}
     share = have.get(1, 0) / max(1, sum(have.values()))
     if not n[0] or not n[1]:
-        return {"share": share, "index": None}
+        return {"share": share, "index": None}, None
 
     def count(batches):
         tally: dict[str, list[int]] = defaultdict(lambda: [0, 0])
@@ -187,20 +205,17 @@ def model(docs: DataFrame, labels: DataFrame) -> dict:
     ratio = (p1 - p0) / F.sqrt(pooled * (1 - pooled) * (1 / (n[0] + 1) + 1 / (n[1] + 1)))
     chosen = seen.where(F.col("n0") + F.col("n1") >= LEAST).withColumn("z", ratio).where(F.abs("z") >= SIGNIFICANT).orderBy("term").select("term", "z").toArrow()  # bounded by the sample's texts
     terms, z = chosen.column("term").to_pylist(), chosen.column("z").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    counts, _ = common.store(counted(docs, terms), "term_counts")
 
     def frequency(batches):
-        finder = Terms(shared.value, np.ones(len(shared.value)))
-        df = np.zeros(len(shared.value) + 1, dtype=np.int64)
+        df = np.zeros(len(terms) + 1, dtype=np.int64)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                df[-1] += 1
-                if text:
-                    df[list(finder.counts(text))] += 1
+            df[-1] += batch.num_rows
+            df[:-1] += np.bincount(batch.column("ids").flatten().to_numpy(), minlength=len(terms))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df))), pa.array(df)], names=["i", "n"])
 
     df = np.zeros(len(terms) + 1)
-    for r in docs.select("text").mapInArrow(frequency, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
+    for r in counts.select("ids").mapInArrow(frequency, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():  # a row a term
         df[r["i"]] = r["n"]
     weights = (np.log((df[-1] + 1) / (df[:-1] + 1)) + 1) * z * z / (9 + z * z)
     rows = sorted((r["doc_id"], int(r["toxic"]), r["text"] or "") for r in picked.toLocalIterator())
@@ -212,7 +227,7 @@ def model(docs: DataFrame, labels: DataFrame) -> dict:
     y = np.array([r[1] for r in rows], dtype=float)
     weight = np.where(y == 1, have[1] / n[1], have[0] / n[0])
     beta = logistic(shape(*np.array(got).T), y, weight / weight.mean())
-    return {"share": share, "index": index, "terms": terms, "weights": weights, "beta": beta}
+    return {"share": share, "index": index, "terms": terms, "weights": weights, "beta": beta}, counts
 
 
 def _tally(tally: dict) -> pa.RecordBatch:
@@ -222,28 +237,29 @@ def _tally(tally: dict) -> pa.RecordBatch:
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, score, evidence (doc_ids of the three nearest examples) and evidence_labels of every row."""
-    fitted = docs.sparkSession.sparkContext.broadcast(model(docs, labels))
+    fit, counts = model(docs, labels)
+    if counts is None:
+        return docs.select("doc_id", F.lit(float(fit["share"])).alias("score"), F.array().cast("array<long>").alias("evidence"), F.array().cast("array<int>").alias("evidence_labels"))
+    fitted = docs.sparkSession.sparkContext.broadcast({k: fit[k] for k in ("share", "index", "weights", "beta")})
 
     def run(batches):
         m = fitted.value
-        finder = Terms(m["terms"], m["weights"]) if m["index"] is not None else None
-        for batch in batches:
-            scores, near, marks = [], [], []
-            for text in batch.column("text").to_pylist():
-                if finder is None:
-                    scores.append(m["share"])
-                    near.append([])
-                    marks.append([])
-                    continue
-                at, w = finder.vector(text or "")
-                vote, strength, where, sim = signals(m["index"], m["share"], at, w)
-                x = shape([vote], [strength])[0]
-                scores.append(float(1 / (1 + np.exp(-np.clip(m["beta"][0] + x @ m["beta"][1:], -30, 30)))))
+        for batch in common.slices(batches):
+            votes, near, marks = [], [], []
+            lists, tfs = batch.column("ids"), batch.column("tfs").flatten().to_numpy()
+            ids, ends = lists.flatten().to_numpy().astype(np.int64), lists.offsets.to_numpy()
+            every = (1 + np.log(tfs)) * m["weights"][ids]
+            for a, b in zip(ends - ends[0], ends[1:] - ends[0]):
+                order = np.argsort(ids[a:b])
+                vote, strength, where, _ = signals(m["index"], m["share"], ids[a:b][order], every[a:b][order])
+                votes.append((vote, strength))
                 near.append(m["index"].ids[where[:3]].tolist())
                 marks.append(m["index"].labels[where[:3]].tolist())
+            x = shape(*np.array(votes).reshape(-1, 2).T)
+            scores = 1 / (1 + np.exp(-np.clip(m["beta"][0] + x @ m["beta"][1:], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int32()))], names=["doc_id", "score", "evidence", "evidence_labels"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double, evidence array<long>, evidence_labels array<int>")
+    return counts.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double, evidence array<long>, evidence_labels array<int>")
 
 
 def digest(scored: DataFrame) -> DataFrame:

@@ -38,18 +38,22 @@ def plain(docs, labels):
     weight = {g: (math.log((len(docs) + 1) / (sum(g in h for h in held) + 1)) + 1) * v * v / (9 + v * v) for g, v in z.items()}
     vector = lambda counts: {g: (1 + math.log(c)) * weight[g] for g, c in counts.items() if g in weight}
     examples = [(d, y, vector(have[d])) for d, y in rows]
+    # Ties go to the earlier example of the index: by its strongest term, then by doc_id.
+    first = {g: i for i, g in enumerate(sorted(weight))}
+    lead = lambda e: first[max(sorted(e), key=lambda g: round(e[g], 12))] if e else len(first)
+    ordered = sorted(examples, key=lambda x: (lead(x[2]), x[0]))
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
 
     def signals(v, skip=None):
         if not v:
             return 0.0, 0.0
         near = []
-        for d, y, e in examples:
+        for place, (d, y, e) in enumerate(ordered):
             if d != skip and e:
                 s = sum(x * e[g] for g, x in v.items() if g in e) / norm(v) / norm(e)
                 if s > 1e-9:
-                    near.append((s, y))
-        near = sorted(near, reverse=True)[: tox.K]
+                    near.append((-round(s, 12), place, s, y))
+        near = [(s, y) for _, _, s, y in sorted(near)[: tox.K]]
         return (sum(s * s * y for s, y in near) / sum(s * s for s, _ in near), math.log1p(norm(v))) if near else (0.0, 0.0)
 
     x = np.array([[1, a, b, a * b, b == 0] for a, b in (signals(v, d) for d, _, v in examples)], dtype=float)
