@@ -113,7 +113,7 @@ class Index:
             sim = self._sum([self.whole[t] for t in at.tolist()], [self.whole[t + 1] for t in at.tolist()], w, skip)
             least = np.partition(sim, len(sim) - k)[len(sim) - k] if len(sim) > k else 0.0
         near = np.flatnonzero(sim > max(1e-9, least * (1 - 1e-9)))
-        near = near[np.lexsort((near, -sim[near]))][:k]
+        near = near[np.lexsort((near, -np.round(sim[near], 12)))][:k]  # equal but for rounding is a tie
         return near, sim[near]
 
 
