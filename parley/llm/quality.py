@@ -7,7 +7,8 @@ drawn towards the whole corpus as if PRIOR of its documents were among the langu
 flips a verdict; the band spans both medians while the language has few documents. Two more figures follow from the features and have
 bands: tokens per word, which signs hung on words raise, and the entropy in excess of what a text of this many tokens
 has (a curve fitted over all those documents), which signs repeated between words lower. A document is kept if it
-passes the base rules and all five figures lie in the bands.
+passes the base rules and all five figures lie in the bands; characters per token have no upper and tokens per word no
+lower bound.
 
 Defined results: null and empty texts have zero counts and fail the base rules; a null language is a language of its
 own; repeated rows keep a row each; an empty table gives an empty table; extra columns travel along.
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Widths of a band below and above the median in robust spreads (quartile distance / 1.349), and the least spread of each figure.
-BAND_WIDTH = {"chars_per_token": (8.0, 8.0), "fallback_share": (8.0, 8.0), "token_entropy": (8.0, 8.0), "tokens_per_word": (8.0, 8.0), "entropy_excess": (5.0, 12.0)}
+#: A side without a width has no bound: text that tokenises better than its language's is not rejected for that.
+BAND_WIDTH = {"chars_per_token": (8.0, None), "fallback_share": (8.0, 8.0), "token_entropy": (8.0, 8.0), "tokens_per_word": (None, 8.0), "entropy_excess": (5.0, 12.0)}
 LEAST_SPREAD = {"chars_per_token": 0.08, "fallback_share": 0.01, "token_entropy": 0.05, "tokens_per_word": 0.05, "entropy_excess": 0.05}
 #: Documents of the whole corpus that count into each language's median and spread.
 PRIOR = 3.0
@@ -176,7 +178,7 @@ def bands(found: DataFrame) -> DataFrame:
         spread = F.sqrt(F.greatest(within + apart * apart, F.lit(least**2)) * (1 + PRIOR / n))
         return (own[1] - apart + sign * BAND_WIDTH[f][sign > 0] * spread).alias(f"{f}_{'high' if sign > 0 else 'low'}")
 
-    return by.select("band_lang", *[bound(f, sign) for f in BAND_WIDTH for sign in (-1, 1)])
+    return by.select("band_lang", *[bound(f, sign) for f in BAND_WIDTH for sign in (-1, 1) if BAND_WIDTH[f][sign > 0]])
 
 
 def judge(found: DataFrame) -> DataFrame:
@@ -187,7 +189,8 @@ def judge(found: DataFrame) -> DataFrame:
     by = F.broadcast(by) if by.count() <= 1000 else by
     inside = F.lit(True)
     for f in BAND_WIDTH:
-        inside = inside & F.col(f).between(F.col(f"{f}_low"), F.col(f"{f}_high"))
+        low, high = BAND_WIDTH[f]
+        inside = inside & (F.col(f) >= F.col(f"{f}_low") if low else F.lit(True)) & (F.col(f) <= F.col(f"{f}_high") if high else F.lit(True))
     joined = full.join(by, F.coalesce("lang", F.lit("")) == F.col("band_lang"), "left")
     # A language in which every row fails the base rules has no band and keeps nothing.
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).select(*found.columns, "kept")
