@@ -8,7 +8,8 @@ from .. import dims
 from ..functions import text
 from ..operators import analytics, digest, issues, linking, matching, payloads
 from .registry import TODAY, query
-from .store import people, resolved
+from .calendar import _EVENTS
+from .store import _DOC_ISSUES, _PEOPLE, DOC_TYPE_SQL, people, resolved
 
 _ISO = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\")"
 
@@ -156,16 +157,51 @@ def committee_from_slug(t):
     return t.base("lineitem").select("l_orderkey", "l_linenumber", text.committee_from_slug(F.expr(slug)).alias("committee"))
 
 
-@query(None)
+def _after(lead: str, text: str, tail: str = "") -> str:
+    """SQL of a line that is left out where its text is null or empty."""
+    return f"CASE WHEN ({text}) <> '' THEN '{lead}' || ({text}) || '{tail}' END"
+
+
+_NAMED = lambda table, key: "CASE " + key + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
+_LONG = "strftime({}, '%B %-d, %Y')".format
+_LABEL = _NAMED(dims.TOPIC_LABELS, "tp")
+_DIGEST = _PEOPLE.rstrip() + ", " + _DOC_ISSUES[5:].rstrip() + ", " + _EVENTS[5:].rstrip() + f""",
+who AS (SELECT document_id, string_agg(DISTINCT name || coalesce(' (' || entity || ')', ''), '; ' ORDER BY name || coalesce(' (' || entity || ')', '')) AS who FROM kept GROUP BY 1),
+ini AS (SELECT document_id, string_agg(coalesce(short_title, canonical_name, native_id), '; ' ORDER BY coalesce(short_title, canonical_name, native_id)) AS ini FROM di JOIN issues i ON i.id = di.issue_id GROUP BY 1),
+src AS (SELECT d.*, coalesce(hydro_relevant = 1, false) AS hot, {DOC_TYPE_SQL.replace("(x, ", "(low, ")} AS dt, coalesce(from_json(evidence, '[{{"claim":"VARCHAR","quote":"VARCHAR","verified":"BOOLEAN"}}]'), []) AS ev,
+  array_to_string(list_transform(string_split(nullif(topics, ''), ';'), lambda tp: coalesce({_LABEL}, tp)), ' · ') AS tps FROM (SELECT *, lower(concat_ws(' ', title, filename)) AS low FROM stored_documents) d),
+doc AS (SELECT meeting_id, id, hot, concat_ws('\n', '#### ' || CASE WHEN hot THEN '[HYDRO] ' ELSE '' END || coalesce(nullif(title, ''), nullif(filename, ''), '(untitled)'),
+  {_after("- ", "concat_ws(' · ', " + _after("**Type:** ", "dt") + ", " + _after("**Posted:** ", "posted_date") + ")")}, {_after("- **Confidence:** ", _NAMED(dims.CONFIDENCE, "directness"))}, {_after("- **Topics:** ", "tps")},
+  CASE WHEN hot THEN {_after("- **Why flagged:** ", "hydro_relevance_reason")} END, {_after("- **Stakeholders:** ", "who")}, {_after("- **Initiatives touched:** ", "ini")}, {_after("- **URL:** ", "coalesce(nullif(member_url, ''), download_url)")}, '',
+  {_after(digest.SAYS, "ai_summary", chr(10))}, {_after(digest.MATTERS, "hydro_read_through", chr(10))}, CASE WHEN hydro_read_through <> '' AND NOT source_names_hydro = 1 THEN '{digest.UNNAMED}' END,
+  {_after(digest.SOURCED, "array_to_string(list_transform(ev, lambda e: '- ' || CASE WHEN e.verified THEN '' ELSE '[UNVERIFIED] ' END || e.claim || ' — \"' || e.quote || '\"'), '" + chr(10) + "')", chr(10))},
+  CASE WHEN len(list_filter(ev, lambda e: NOT coalesce(e.verified, false))) > 0 THEN '{digest.UNVERIFIED}' END) AS t FROM src LEFT JOIN who ON who.document_id = src.id LEFT JOIN ini ON ini.document_id = src.id),
+docs AS (SELECT meeting_id, count(*) AS n, count(*) FILTER (WHERE hot) AS n_hot, string_agg(t, '\n' ORDER BY NOT hot, id) AS t FROM doc GROUP BY 1),
+iss AS (SELECT matched_meeting_id AS mid, count(*) AS n, string_agg(concat_ws('\n', '- **' || name || '**' || CASE WHEN short_title <> '' AND short_title <> name THEN ' (' || short_title || ')' ELSE '' END || coalesce({_after(" — _", "status", "_")}, ''),
+  {_after("  - Stakeholder phase: ", "stakeholder_phase")}, {_after("  - Owner: ", "committee_owner")}, {_after("  - ", "url")}), '\n' ORDER BY name, short_title NULLS FIRST, status NULLS FIRST, stakeholder_phase NULLS FIRST, committee_owner NULLS FIRST, url NULLS FIRST) AS t
+  FROM (SELECT r.matched_meeting_id, i.*, coalesce(canonical_name, short_title, native_id) AS name FROM matched_references r JOIN issues i ON i.id = r.issue_id WHERE r.matched_meeting_id IS NOT NULL) x GROUP BY 1),
+told AS (SELECT cast(date_trunc('week', e.meeting_date) AS date) AS week, row_number() OVER (PARTITION BY date_trunc('week', e.meeting_date) ORDER BY e.meeting_date, e.id) AS k, e.rto, coalesce(d.n, 0) AS n, coalesce(d.n_hot, 0) AS n_hot, m.*, d.t AS dt, iss.n AS n_iss, iss.t AS it
+  FROM ev e JOIN meetings m ON m.id = e.id LEFT JOIN docs d ON d.meeting_id = e.id LEFT JOIN iss ON iss.mid = e.id WHERE e.is_relevant),
+shown AS (SELECT week, k, rto, n, n_hot, concat_ws('\n', '---\n', '## ' || k || '. ' || rto || ' — ' || title || '\n', '- **Date:** ' || concat_ws(' · ', {_LONG("meeting_date")}, nullif(meeting_time, '')), {_after("- **Committee:** ", "committee")}, {_after("- **Source:** ", "source_url")},
+  {_after("- **Detail page:** ", "detail_url")}, {_after("- **Materials:** ", "materials_url")}, '', {_after("**Why hydro-relevant:** ", "hydro_relevance_reason", chr(10))}, CASE WHEN n_iss > 0 THEN '### Initiatives (' || n_iss || ')\n\n' || it || '\n' END,
+  '### Documents (' || n || ' total' || CASE WHEN n_hot > 0 THEN ', ' || n_hot || ' hydro-relevant' ELSE '' END || ')\n', CASE WHEN n = 0 THEN '_No documents attached._\n' ELSE dt END) AS t FROM told),
+weeks AS (SELECT week, count(*) AS k, sum(n)::BIGINT AS docs, sum(n_hot)::BIGINT AS hot, array_to_string(list_sort(list(DISTINCT rto)), ', ') AS rtos, string_agg(t, '\n' ORDER BY k) AS t FROM shown GROUP BY 1),
+spine AS (SELECT cast(unnest(generate_series(date_trunc('week', a), date_trunc('week', b), interval 7 day)) AS date) AS week FROM (SELECT min(meeting_date) AS a, greatest(max(meeting_date), DATE '{TODAY}') AS b FROM ev) x)
+SELECT s.week, '# RTO Hydro Digest — Week of ' || {_LONG("s.week")} || '\n\n_Generated ' || {_LONG(f"DATE '{TODAY}'")} || '. Window: ' || {_LONG("s.week")} || ' – ' || {_LONG("s.week + 6")} || '._\n\n' || CASE WHEN k IS NULL THEN '{digest.EMPTY_WEEK}'
+  ELSE '**' || k || ' hydro-relevant meeting' || CASE WHEN k = 1 THEN '' ELSE 's' END || '** across ' || rtos || '. ' || hot || ' hydro-flagged document' || CASE WHEN hot = 1 THEN '' ELSE 's' END || ' of ' || docs || ' total.\n\n' || t END AS markdown FROM spine s LEFT JOIN weeks w ON w.week = s.week"""
+
+
+@query(_DIGEST, stored=True)
 def digest_markdown(t):
-    """Tested on a literal week."""
-    more = t.meetings.select("id", "source_url", "detail_url", "materials_url", F.col("meeting_time").alias("time_label"))
-    tied = linking.meeting_issues(resolved(t), t.issues).groupBy(F.col("meeting_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("name", F.lit(None).cast("string").alias("short_title"), "status", F.lit(None).cast("string").alias("stakeholder_phase"), F.lit(None).cast("string").alias("owner"), F.lit(None).cast("string").alias("url")))).alias("issues"))
-    events = analytics.event_rollup(t.meetings, t.stored_documents).join(more, "id").join(tied, "id", "left").withColumn("reason", F.lit(None).cast("string"))
+    """Every week's text in full."""
+    more = t.meetings.select("id", "source_url", "detail_url", "materials_url", F.col("meeting_time").alias("time_label"), F.col("hydro_relevance_reason").alias("reason"))
+    full = t.issues.select(F.col("id").alias("issue_id"), linking.issue_name().alias("name"), "short_title", "status", "stakeholder_phase", F.col("committee_owner").alias("owner"), "url")
+    tied = resolved(t).where("matched_meeting_id IS NOT NULL").select(F.col("matched_meeting_id").alias("id"), "issue_id").join(full, "issue_id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("name", "short_title", "status", "stakeholder_phase", "owner", "url"))).alias("issues"))
+    events = analytics.event_rollup(t.meetings, t.stored_documents).join(more, "id").join(tied, "id", "left")
     who = people(t).groupBy("document_id").agg(F.array_sort(F.collect_set(F.concat("name", F.coalesce(F.concat(F.lit(" ("), "entity", F.lit(")")), F.lit(""))))).alias("stakeholders"))
     named = linking.document_issues(resolved(t), t.stored_documents).join(t.issues.select(F.col("id").alias("issue_id"), F.coalesce("short_title", "canonical_name", "native_id").alias("n")), "issue_id").groupBy("document_id").agg(F.array_sort(F.collect_list("n")).alias("initiatives"))
     docs = t.stored_documents.withColumnRenamed("id", "document_id").join(who, "document_id", "left").join(named, "document_id", "left").select(
         F.col("document_id").alias("id"), "meeting_id", "title", "filename", text.classify_document(F.concat_ws(" ", "title", "filename")).alias("doc_type"), "posted_date", "directness", F.split(F.when(F.col("topics") != "", F.col("topics")), ";").alias("topics"), (F.col("hydro_relevant") == 1).alias("relevant"),
-        F.lit(None).cast("string").alias("reason"), "stakeholders", "initiatives", "member_url", F.col("download_url").alias("url"), "ai_summary", F.lit(None).cast("string").alias("read_through"), (F.col("source_names_hydro") == 1).alias("source_names_subject"), F.array().cast("array<struct<claim string, quote string, verified boolean>>").alias("evidence"),
+        F.col("hydro_relevance_reason").alias("reason"), "stakeholders", "initiatives", "member_url", F.col("download_url").alias("url"), "ai_summary", F.col("hydro_read_through").alias("read_through"), (F.col("source_names_hydro") == 1).alias("source_names_subject"), text.evidence_array(F.col("evidence")).alias("evidence"),
     )
     return digest.digest_markdown(events, docs, TODAY)
