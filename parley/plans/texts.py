@@ -142,7 +142,7 @@ def screening_run_summary(t):
 
 #: What some pages get behind their end: references of all forms, and spaces of several kinds.
 _TAIL = "<p>&ndash; &#8217; caf&eacute;&#x27;s &notit; &unknown;</p><td>a</td><td>b</td> \n 　\n&nbsp;end&#128;"
-_TAIL_TEXT = "– ’ café's ¬it; &unknown;\n a b\n end€"
+_TAIL_TEXT = "– ’ café's ¬it; &unknown;\na b\nend€"
 
 
 @query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') AS origin, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)', 1) AS hs, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)', 2) AS ls FROM pages),
