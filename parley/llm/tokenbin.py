@@ -20,6 +20,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,9 +31,11 @@ MAGIC = b"CTXIDS02"
 END = 1
 BLOCK = 1024
 #: Ids of one segment: the blocks that are coded side by side, and what a task holds in memory.
-SEGMENT = 4 << 20
+SEGMENT = 2 << 20
 #: Bytes of text that a writing task takes at most, and ids that a reading task takes.
 PART_BYTES, PART_IDS = 256 << 20, 64 << 20
+#: Bytes of text that are encoded together (a longer text alone), and ids up to which a table finds their ranks.
+GROUP, _TABLE = 4 << 20, 1 << 22
 #: Places for guesses in a block and order; classes of order 0, and the least share of each in 2**_SHARE.
 _SLOTS, _CLASSES, _LEAST, _SHARE = 512, 16, 96, 15
 #: Largest chance of a guess in 2**16, and the rank from which ids are never guessed.
@@ -51,12 +54,17 @@ class Order0:
         low = total[:-1] - total[first] if len(known) else freq
         #: Place within the class, frequency and class of each rank in one number.
         self.packed = (low << 24) + (freq << 5) + kind
-        self.inverse = np.repeat(np.arange(len(known)), freq)
+        self.inverse = np.repeat(np.arange(len(known), dtype=np.int32), freq)
         self.begin = total[np.searchsorted(kind, np.arange(_CLASSES))]
 
     @staticmethod
     def of(ids: np.ndarray) -> Order0:
-        known, count = np.unique(ids, return_counts=True)
+        if len(ids) and int(ids.max()) < _TABLE:
+            count = np.bincount(ids)
+            known = np.flatnonzero(count)
+            count = count[known]
+        else:
+            known, count = np.unique(ids, return_counts=True)
         order = np.argsort(-count, kind="stable")
         known, count = known[order].astype(np.int64), count[order].astype(np.int64)
         bits = max(14, int(np.ceil(np.log2(max(1, len(known)) / _CLASSES))) + 2)
@@ -70,6 +78,15 @@ class Order0:
             freq[own[0]] += (1 << bits) - freq[own].sum()
         return Order0(known, freq, kind, bits)
 
+    def ranks(self, ids: np.ndarray) -> np.ndarray:
+        most = int(self.known.max(initial=0))
+        if most < _TABLE:
+            table = np.zeros(most + 1, dtype=np.int32)
+            table[self.known] = np.arange(len(self.known))
+            return table.take(ids)
+        by_id = np.argsort(self.known)
+        return by_id[np.searchsorted(self.known[by_id], ids)]
+
 
 class Mixer:
     """The models of all blocks side by side: guesses with confidences, hit rates, and how often each class occurs."""
@@ -87,7 +104,7 @@ class Mixer:
         self.bounds[1:-1], self.bounds[-1] = (k << _SHARE) // _CLASSES, 1 << _SHARE
         self.inner = self.bounds[1:-1].view(np.int16)
         self.k, self.below = k.astype(np.int16), (k * _LEAST).astype(np.int16)
-        self.rise = ((1 << _SHARE) - _CLASSES * _LEAST) * np.ones_like(self.k)
+        self.rise = np.int16((1 << _SHARE) - _CLASSES * _LEAST)
         self.step = np.zeros((_CLASSES - 1, lanes), dtype=np.int16)
         self.prev = np.zeros((2, lanes), dtype=np.int64)
 
@@ -115,8 +132,7 @@ class Mixer:
         low = flat.take(at).astype(np.int64)
         return low, flat.take(at + len(self.lane)) - low
 
-    def learn(self, live: int, own: np.ndarray, kind: np.ndarray) -> None:
-        hit = self.said == own
+    def learn(self, live: int, own: np.ndarray, kind: np.ndarray, hit: np.ndarray) -> None:
         two, one = self.two.view(np.int32), self.one.view(np.int32)
         two = two + ((hit[0] * np.int32(_TOP) - two) >> 4)
         one = one + (((hit[1] * np.int32(_TOP) - one) * ~hit[0]) >> 4)
@@ -127,7 +143,9 @@ class Mixer:
         self.guess[self.at] = np.where(hit, self.entry + (self.sure < 3), missed)
         # Each bound moves 1/64 of the way to where it would stand if only this class occurred.
         step, inner = self.step[:, :live], self.inner[:, :live]
-        np.multiply(kind.astype(np.int16) < self.k, self.rise, out=step)
+        np.subtract(kind.astype(np.int16), self.k, out=step)
+        step >>= 15  # all bits where the class is below
+        step &= self.rise
         step += self.below
         step -= inner
         step >>= 6
@@ -145,19 +163,19 @@ def encode(ids: np.ndarray) -> tuple[Order0, list[np.ndarray]]:
     """The frequencies of the ids, and the 16-bit digits of each block."""
     sizes, order0 = _lanes(len(ids)), Order0.of(ids)
     lanes = len(sizes)
-    by_id = np.argsort(order0.known)
     grid = np.zeros((lanes, BLOCK), dtype=np.int32)
-    grid.ravel()[: len(ids)] = by_id[np.searchsorted(order0.known[by_id], ids)]
+    grid.ravel()[: len(ids)] = order0.ranks(ids)
     grid = np.ascontiguousarray(grid.T)
     mixer, bits = Mixer(lanes), order0.bits
     low, span = np.zeros(lanes, dtype=_U), np.full(lanes, (1 << 63) - 1, dtype=_U)
-    digits = np.zeros((3 * BLOCK + 8, lanes), dtype=np.int32)
-    flat, at = digits.ravel(), np.arange(lanes, dtype=np.int64)
+    # A block's digits lie one after the other, so that its next one is near the last.
+    digits = np.zeros((lanes, 3 * BLOCK + 8), dtype=np.int32)
+    flat, at = digits.ravel(), np.arange(lanes, dtype=np.int64) * digits.shape[1]
 
     def shift(some: np.ndarray) -> None:
         value, place = low[some], at[some]
-        flat[place] += (value >> _U(47)).astype(np.int32)
-        at[some] = place + lanes
+        flat[place] = value >> _U(47)
+        at[some] = place + 1
         low[some] = (value & _KEEP) << _U(16)
         span[some] <<= _U(16)
 
@@ -173,41 +191,48 @@ def encode(ids: np.ndarray) -> tuple[Order0, list[np.ndarray]]:
         part = (span[:live] - guessed) >> _U(_SHARE + bits)
         begin = guessed + part * ((begin << bits) + width * (of >> 24)).view(_U)
         size = part * (width * (of >> 5 & 0x7FFFF)).view(_U)
-        by2 = (mixer.said[0] == own) & (two > 0)
+        hit = mixer.said == own
+        by2 = hit[0] & (two > 0)
         some = np.flatnonzero(by2)
         begin[some], size[some] = 0, unit[some] * two[some]
-        some = np.flatnonzero((mixer.said[1] == own) & ~by2 & (both > two))
+        some = np.flatnonzero(hit[1] & ~by2 & (both > two))
         begin[some] = unit[some] * two[some]
         size[some] = guessed[some] - begin[some]
-        mixer.learn(live, own, kind)
+        mixer.learn(live, own, kind, hit)
         low[:live] += begin
         span[:live] = size
         over = np.flatnonzero(low > _FULL)
         if len(over):
-            flat[at[over] - lanes] += 1
+            flat[at[over] - 1] += 1
             low[over] &= _FULL
-        while len(some := np.flatnonzero(span[:live] < _SHORT)):
+        some = np.flatnonzero(span[:live] < _SHORT)
+        while len(some):
             shift(some)
+            some = some[span[some] < _SHORT]
     for _ in range(4):
         shift(np.arange(lanes))
-    used = at // max(1, lanes)
-    for i in range(int(used.max(initial=1)) - 1, 0, -1):  # carries run to the front
-        digits[i - 1] += digits[i] >> 16
-    digits = np.ascontiguousarray(digits[: used.max(initial=0)].T).astype("<u2")
+    used = at - np.arange(lanes) * digits.shape[1]
+    digits = digits[:, : used.max(initial=0)]
+    while len(over := np.flatnonzero((digits[:, 1:] >> 16).any(axis=1))):  # carries run to the front
+        some = digits[over]
+        some[:, :-1] += some[:, 1:] >> 16
+        some[:, 1:] &= 0xFFFF
+        digits[over] = some
+    digits = digits.astype("<u2")
     return order0, [digits[i, :n] for i, n in enumerate(used.tolist())]
 
 
 def decode(order0: Order0, sizes: list[int], blocks: list[np.ndarray]) -> np.ndarray:
     """The ids of whole blocks and at last one shorter block; any of a segment's blocks will do."""
     lanes, bits = len(sizes), order0.bits
-    digits = np.zeros((lanes, max((len(b) for b in blocks), default=0) + 4), dtype=_U)
+    digits = np.zeros((lanes, max((len(b) for b in blocks), default=0) + 4), dtype=np.uint16)
     for i, b in enumerate(blocks):
         digits[i, : len(b)] = b
-    digits = np.ascontiguousarray(digits.T)
-    flat, at = digits.ravel(), np.arange(lanes, dtype=np.int64) + 4 * lanes
+    flat, at = digits.ravel(), np.arange(lanes, dtype=np.int64) * digits.shape[1] + 4
     # The first digit lies at bits 47 to 62, as the encoder's shift takes it; a bit of the last one waits.
-    code = (digits[0] << _U(47)) + (digits[1] << _U(31)) + (digits[2] << _U(15)) + (digits[3] >> _U(1))
-    spare = digits[3] & _U(1)
+    head = digits[:, :4].astype(_U).T
+    code = (head[0] << _U(47)) + (head[1] << _U(31)) + (head[2] << _U(15)) + (head[3] >> _U(1))
+    spare = head[3] & _U(1)
     span = np.full(lanes, (1 << 63) - 1, dtype=_U)
     mixer = Mixer(lanes)
     grid = np.zeros((BLOCK, lanes), dtype=np.int32)
@@ -220,7 +245,8 @@ def decode(order0: Order0, sizes: list[int], blocks: list[np.ndarray]) -> np.nda
         guessed = unit * both
         part = (span[:live] - guessed) >> _U(_SHARE + bits)
         plain = now >= guessed
-        rest, part_ = ((now - guessed) * plain).view(np.int64), part.view(np.int64)
+        # Negative where a guess was right; what follows from it is then replaced.
+        rest, part_ = (now - guessed).view(np.int64), part.view(np.int64)
         value = (rest / part_).astype(np.int64)  # a quotient of doubles, off by one at most
         left = rest - value * part_
         value += (left >= part_).view(np.int8) - (left < 0).view(np.int8)
@@ -228,7 +254,8 @@ def decode(order0: Order0, sizes: list[int], blocks: list[np.ndarray]) -> np.nda
         kind = mixer.class_of(live, value >> bits)
         begin, width = mixer.class_bounds(live, kind)
         begin <<= bits
-        own = order0.inverse.take(order0.begin.take(kind) + (value - begin) // width, mode="clip")
+        # Below 2**53 the floor of a quotient of doubles is exact for such small divisors.
+        own = order0.inverse.take(order0.begin.take(kind) + ((value - begin) / width).astype(np.int64), mode="clip").astype(np.int64)
         of = order0.packed.take(own)
         begin = guessed + part * (begin + width * (of >> 24)).view(_U)
         size = part * (width * (of >> 5 & 0x7FFFF)).view(_U)
@@ -239,17 +266,20 @@ def decode(order0: Order0, sizes: list[int], blocks: list[np.ndarray]) -> np.nda
         size[some] = np.where(by2, first, guessed[some] - first)
         own[some] = np.where(by2, mixer.said[0][some], mixer.said[1][some])
         kind[some] = order0.kind.take(own[some])
-        mixer.learn(live, own, kind)
+        mixer.learn(live, own, kind, mixer.said == own)
         grid[t, :live] = own
         code[:live] -= begin
         span[:live] = size
-        while len(some := np.flatnonzero(span[:live] < _SHORT)):
+        some = np.flatnonzero(span[:live] < _SHORT)
+        while len(some):
             place = at[some]
-            digit = flat.take(place, mode="clip")
-            at[some] = place + lanes
+            digit = flat.take(place, mode="clip").astype(_U)
+            at[some] = place + 1
             code[some] = (code[some] << _U(16)) + (spare[some] << _U(15)) + (digit >> _U(1))
             spare[some] = digit & _U(1)
-            span[some] <<= _U(16)
+            size = span[some] << _U(16)
+            span[some] = size
+            some = some[size < _SHORT]
     return order0.known[grid.T.ravel()[: sum(sizes)]]
 
 
@@ -297,13 +327,23 @@ def _tasks(spark, most: int, least: int) -> int:
     return max(1, most, min(least, 4 * spark.sparkContext.defaultParallelism))
 
 
+def _groups(batches):
+    """The rows of batches of (doc_id, text), some megabytes of text at a time."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = done = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, done + GROUP, side="right")))
+            yield batch.slice(at, to - at)
+            at, done = to, int(ends[to - 1])
+
+
 def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int = END) -> DataFrame:
     """Writes the files in ascending doc_id order; returns the stored manifest, one line per segment."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = _tasks(docs.sparkSession, -(-total // PART_BYTES), total >> 22)
     placed = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    tail = end.to_bytes(4, "little")
 
     def run(batches):
         from pyspark import TaskContext
@@ -316,19 +356,26 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int
 
         def flush():
             nonlocal held, size
-            ids = np.frombuffer(b"".join(held[2]), dtype="<u4").astype(np.int64)
-            data = pack_segment(held[0], held[1], ids)
-            lines.append((part, len(lines), out.name, out.write(data), len(data), len(ids)))
+            data = pack_segment(held[0], held[1], np.concatenate(held[2]))
+            lines.append((part, len(lines), out.name, out.write(data), len(data), size))
             held, size = ([], [], []), 0
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), common.as_bytes(batch.column(1))):
-                ids = ids_of.encode(text) + tail
-                if size and size + len(ids) // 4 > SEGMENT:
+        for batch in _groups(batches):
+            docs = batch.column(0).to_pylist()
+            ids, lengths = ids_of.encode_all(common.as_bytes(batch.column(1)))
+            ids = np.insert(ids, np.cumsum(lengths), end)
+            lengths = lengths + 1
+            ends = np.cumsum(lengths)
+            at = first = 0
+            while at < len(docs):
+                to = max(int(np.searchsorted(ends, first + SEGMENT - size, side="right")), at + (not size))
+                if to > at:
+                    for column, value in zip(held, (docs[at:to], lengths[at:to].tolist(), [ids[first : ends[to - 1]]])):
+                        column.extend(value)
+                    size += int(ends[to - 1]) - first
+                    at, first = to, int(ends[to - 1])
+                if at < len(docs):
                     flush()
-                for column, value in zip(held, (doc, len(ids) // 4, ids)):
-                    column.append(value)
-                size += len(ids) // 4
         if size:
             flush()
         out.close()
