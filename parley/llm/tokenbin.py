@@ -53,7 +53,7 @@ class Order0:
         total = np.concatenate(([0], np.cumsum(freq)))
         low = total[:-1] - total[first] if len(known) else freq
         #: Place within the class, frequency and class of each rank in one number.
-        self.packed = (low << 24) + (freq << 5) + kind
+        self.packed = (low << 32) + (freq << 5) + kind
         self.inverse = np.repeat(np.arange(len(known), dtype=np.int32), freq)
         self.begin = total[np.searchsorted(kind, np.arange(_CLASSES))]
 
@@ -67,10 +67,12 @@ class Order0:
             known, count = np.unique(ids, return_counts=True)
         order = np.argsort(-count, kind="stable")
         known, count = known[order].astype(np.int64), count[order].astype(np.int64)
-        bits = max(14, int(np.ceil(np.log2(max(1, len(known)) / _CLASSES))) + 2)
         middle = np.cumsum(count) - (count + 1) // 2
-        # By weight; a class never holds more ids than half its places.
-        kind = np.maximum(middle * _CLASSES // max(1, int(count.sum())), np.arange(len(known)) >> (bits - 1))
+        # By weight, but the many rare ids at the end are spread over more classes than they weigh.
+        most = max(1 << 13, -(-2 * len(known) // _CLASSES))
+        kind = np.minimum(middle * _CLASSES // max(1, int(count.sum())), _CLASSES - 1 - np.arange(len(known))[::-1] // most)
+        # A class never holds more ids than half its places.
+        bits = max(14, int(np.bincount(kind, minlength=1).max() - 1).bit_length() + 1)
         freq = np.zeros(len(known), dtype=np.int64)
         for k in np.unique(kind).tolist():
             own = np.flatnonzero(kind == k)
@@ -189,8 +191,8 @@ def encode(ids: np.ndarray) -> tuple[Order0, list[np.ndarray]]:
         unit = span[:live] >> _U(16)
         guessed = unit * both
         part = (span[:live] - guessed) >> _U(_SHARE + bits)
-        begin = guessed + part * ((begin << bits) + width * (of >> 24)).view(_U)
-        size = part * (width * (of >> 5 & 0x7FFFF)).view(_U)
+        begin = guessed + part * ((begin << bits) + width * (of >> 32)).view(_U)
+        size = part * (width * (of >> 5 & 0x7FFFFFF)).view(_U)
         hit = mixer.said == own
         by2 = hit[0] & (two > 0)
         some = np.flatnonzero(by2)
@@ -257,8 +259,8 @@ def decode(order0: Order0, sizes: list[int], blocks: list[np.ndarray]) -> np.nda
         # Below 2**53 the floor of a quotient of doubles is exact for such small divisors.
         own = order0.inverse.take(order0.begin.take(kind) + ((value - begin) / width).astype(np.int64), mode="clip").astype(np.int64)
         of = order0.packed.take(own)
-        begin = guessed + part * (begin + width * (of >> 24)).view(_U)
-        size = part * (width * (of >> 5 & 0x7FFFF)).view(_U)
+        begin = guessed + part * (begin + width * (of >> 32)).view(_U)
+        size = part * (width * (of >> 5 & 0x7FFFFFF)).view(_U)
         some = np.flatnonzero(~plain)
         first = unit[some] * two[some]
         by2 = now[some] < first

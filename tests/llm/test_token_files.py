@@ -1,9 +1,10 @@
-"""Token-id files: memory of a whole segment and ids of many texts at a time."""
+"""Token-id files: memory of a whole segment, ids of many texts at a time, and segments with many rare ids."""
 
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from parley.llm import tokenbin
 from parley.llm.tokens import WordIds, default_vocabulary
@@ -43,3 +44,10 @@ def test_texts_are_grouped_by_size(monkeypatch):
     texts = ["abcd", None, "efgh", "x" * 30, "", "ij", "k" * 9]
     batch = pa.RecordBatch.from_arrays([pa.array(range(7), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
     assert [b.column(1).to_pylist() for b in tokenbin._groups([batch, batch.slice(7)])] == [["abcd", None, "efgh"], ["x" * 30], ["", "ij"], ["k" * 9]]
+
+
+@pytest.mark.parametrize("often, rare", [(300_000, 40_000), (700_000, 300_000), (0, 60_000)])
+def test_many_rare_ids(often, rare):
+    ids = np.concatenate((np.zeros(often, dtype=np.int64), np.random.default_rng(2).permutation(rare)))
+    assert (tokenbin.Order0.of(ids).freq > 0).all()
+    assert np.array_equal(tokenbin.open_segment(tokenbin.pack_segment([1], [len(ids)], ids))[2], ids)
