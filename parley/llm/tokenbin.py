@@ -114,12 +114,15 @@ class Mixer:
         """Of 2**16, for the first `live` blocks: the share of order 2, and of order 2 and 1 together."""
         one, two = self.prev[:, :live]
         h = one * 0x9E35
-        self.at = np.stack(((h + two * 0x6A2D) >> 3, h >> 4))
+        self.at = np.empty_like(self.prev[:, :live])
+        np.right_shift(h, 4, out=self.at[1])
+        h += two * 0x6A2D
+        np.right_shift(h, 3, out=self.at[0])
         self.at &= _SLOTS - 1
         self.at += self.row[:, :live]
         self.entry = self.guess.take(self.at)
         self.said, self.sure = self.entry >> np.uint16(2), self.entry & np.uint16(3)
-        state = (self.sure[0] << np.uint16(2)) + self.sure[1] + (self.said[0] == self.said[1]) * np.uint16(16)
+        state = (self.sure[0] << np.uint16(2)) + self.sure[1] + ((self.said[0] == self.said[1]).view(np.uint8) << np.uint8(4))
         self.state = (self.lane[:live] << 5) + state
         both = self.rate.take(self.state)
         self.two, self.one = both & np.uint32(65_535), both >> np.uint32(16)
@@ -140,9 +143,13 @@ class Mixer:
         one = one + (((hit[1] * np.int32(_TOP) - one) * ~hit[0]) >> 4)
         self.rate[self.state] = (two + (one << 16)).view(np.uint32)
         fresh = (np.minimum(own, _NONE).astype(np.uint16) << np.uint16(2)) + np.uint16(1)
-        # A hit makes surer; a miss less sure, and a guess that was hardly sure gives way.
-        missed = np.where(self.sure <= 1, fresh, self.entry - np.uint16(1))
-        self.guess[self.at] = np.where(hit, self.entry + (self.sure < 3), missed)
+        # A hit makes surer; a miss less sure, and a guess that was hardly sure gives way, as most do.
+        kept = np.flatnonzero((self.sure > 1) | hit)
+        new = np.empty_like(self.entry)
+        new[:] = fresh
+        right = hit.take(kept)
+        new.ravel()[kept] = self.entry.take(kept) + np.where(right, self.sure.take(kept) < 3, -1)
+        self.guess[self.at] = new
         # Each bound moves 1/64 of the way to where it would stand if only this class occurred.
         step, inner = self.step[:, :live], self.inner[:, :live]
         np.subtract(kind.astype(np.int16), self.k, out=step)

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 from array import array
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,7 @@ _LOWER = bytes(ord(x) if ord(x := chr(b).lower()) < 256 else b for b in range(25
 _SPACE, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
 _BLANK = b" \t\n\v\f\r"
 _KINDS = bytes(_SPACE if b in _BLANK else _ODD if b == 0x27 or not _PLAIN.fullmatch(bytes([b])) else _DIGIT if 0x30 <= b <= 0x39 else _LETTER if _LETTERS.fullmatch(bytes([b])) else _SIGN for b in range(256))
+_ID = attrgetter("id")
 _CACHES: dict[str, "WordIds"] = {}
 
 
@@ -117,12 +120,12 @@ class WordIds(common.Recent):
                 value = self.old.get(key)
                 if value is not None:
                     made[key] = got[i] = value
-                elif _LETTERS.fullmatch(key):
+                elif (key.isalpha() and len(key) <= 200) or _LETTERS.fullmatch(key):
                     words.append(i)
                 else:
                     made[key] = got[i] = self._ids(key)
             tokens = [self.model.tokenize(self._show(keys[i])) for i in words]
-            raw, end = array("I", [t.id for own in tokens for t in own]).tobytes(), 0
+            raw, end = array("I", list(map(_ID, chain.from_iterable(tokens)))).tobytes(), 0
             for i, own in zip(words, tokens):
                 made[keys[i]] = got[i] = raw[end : (end := end + 4 * len(own))]
             self._remember(made)
