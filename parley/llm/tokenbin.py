@@ -34,6 +34,8 @@ BLOCK = 1024
 SEGMENT = 2 << 20
 #: Bytes of text that a writing task takes at most, and ids that a reading task takes.
 PART_BYTES, PART_IDS = 256 << 20, 64 << 20
+#: Words and parts of words that a writing worker remembers at most, some 200 bytes each.
+WORDS = 800_000
 #: Bytes of text that are encoded together (a longer text alone), and ids up to which a table finds their ranks.
 GROUP, _TABLE = 4 << 20, 1 << 22
 #: Places for guesses in a block and order; classes of order 0, and the least share of each in 2**_SHARE.
@@ -168,13 +170,22 @@ def _lanes(n: int) -> list[int]:
     return [BLOCK] * (n // BLOCK) + ([n % BLOCK] if n % BLOCK else [])
 
 
+def _turned(grid: np.ndarray) -> np.ndarray:
+    """Rows as columns, some at a time, so that what is read and written stays near."""
+    out = np.empty(grid.shape[::-1], dtype=grid.dtype)
+    for i in range(0, grid.shape[0], 64):
+        for j in range(0, grid.shape[1], 64):
+            out[j : j + 64, i : i + 64] = grid[i : i + 64, j : j + 64].T
+    return out
+
+
 def encode(ids: np.ndarray) -> tuple[Order0, list[np.ndarray]]:
     """The frequencies of the ids, and the 16-bit digits of each block."""
     sizes, order0 = _lanes(len(ids)), Order0.of(ids)
     lanes = len(sizes)
     grid = np.zeros((lanes, BLOCK), dtype=np.int32)
     grid.ravel()[: len(ids)] = order0.ranks(ids)
-    grid = np.ascontiguousarray(grid.T)
+    grid = _turned(grid)
     mixer, bits = Mixer(lanes), order0.bits
     low, span = np.zeros(lanes, dtype=_U), np.full(lanes, (1 << 63) - 1, dtype=_U)
     # A block's digits lie one after the other, so that its next one is near the last.
@@ -289,13 +300,14 @@ def decode(order0: Order0, sizes: list[int], blocks: list[np.ndarray]) -> np.nda
             size = span[some] << _U(16)
             span[some] = size
             some = some[size < _SHORT]
-    return order0.known[grid.T.ravel()[: sum(sizes)]]
+    return order0.known.astype(np.uint32).take(_turned(grid).ravel()[: sum(sizes)])
 
 
 def pack_segment(docs: list, lengths: list[int], ids: np.ndarray) -> bytes:
     order0, blocks = encode(ids)
     sizes = _lanes(len(ids))
-    sums = [zlib.crc32(ids[i * BLOCK : i * BLOCK + s].astype("<u4").tobytes()) for i, s in enumerate(sizes)]
+    raw = np.ascontiguousarray(ids, dtype="<u4")
+    sums = [zlib.crc32(raw[i * BLOCK : i * BLOCK + s]) for i, s in enumerate(sizes)]
     head = zlib.compress(json.dumps({"docs": docs, "lengths": lengths, "known": order0.known.tolist(), "freq": order0.freq.tolist(), "kind": order0.kind.tolist(), "bits": order0.bits, "digits": [len(b) for b in blocks], "sizes": sizes, "crc32": sums}).encode(), 6)
     body = b"".join(b.tobytes() for b in blocks)
     return MAGIC + len(head).to_bytes(8, "little") + len(body).to_bytes(8, "little") + head + body
@@ -312,9 +324,9 @@ def _opened(data: bytes) -> tuple[dict, Order0, list[np.ndarray]]:
 
 
 def _check(ids: np.ndarray, sizes: list[int], sums: list[int]) -> np.ndarray:
-    at = 0
+    at, raw = 0, np.ascontiguousarray(ids, dtype="<u4")
     for size, crc in zip(sizes, sums):
-        if zlib.crc32(ids[at : at + size].astype("<u4").tobytes()) != crc:
+        if zlib.crc32(raw[at : at + size]) != crc:
             raise ValueError("a block of token ids does not match its checksum")
         at += size
     return ids
@@ -357,7 +369,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int
     def run(batches):
         from pyspark import TaskContext
 
-        ids_of = word_ids(vocabulary or default_vocabulary())
+        ids_of = word_ids(vocabulary or default_vocabulary(), WORDS)
         out = files.Writer(folder, files.own_name("ids", ".ctx"))
         part, lines = TaskContext.get().partitionId(), []
         held: tuple[list, list, list] = ([], [], [])

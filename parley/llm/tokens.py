@@ -139,10 +139,11 @@ class WordIds(common.Recent):
             return self._library(shown)
 
 
-def word_ids(path: str) -> WordIds:
-    """One cache for each worker process and vocabulary."""
+def word_ids(path: str, limit: int = 400_000) -> WordIds:
+    """One cache for each worker process and vocabulary, with the limit asked for last."""
     if path not in _CACHES:
-        _CACHES[path] = WordIds(path)
+        _CACHES[path] = WordIds(path, limit)
+    _CACHES[path].half = max(1, limit // 2)
     return _CACHES[path]
 
 
